@@ -26,11 +26,12 @@ from sheetweave.functions.geometry import box
 from sheetweave.operators import foldrules, graph
 from sheetweave.operators.components import connected_components
 from sheetweave.operators.filters import long_enough, without_junk
-from sheetweave.operators.matching import merge_reach, mergeable
-from sheetweave.operators.spatial import links_within
+from sheetweave.operators.matching import measured, merge_reach, mergeable
+from sheetweave.operators.spatial import links_between
 from sheetweave.scratch import Scratch
 
 PLACE = ["x1", "y1", "x2", "y2"]
+NODE = ["drawing_id", "id"]
 ROWS_PER_TASK = 20_000
 
 
@@ -42,6 +43,8 @@ def fold_components(rows: DataFrame, fold: Callable[[pd.DataFrame], list], schem
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bins = max(parts, math.ceil(rows.count() / ROWS_PER_TASK))
+    drawing_type = rows.schema["drawing_id"].dataType.simpleString()
+    schema = f"drawing_id {drawing_type}, component bigint, {schema}"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(packed: pd.DataFrame) -> pd.DataFrame:
@@ -54,27 +57,46 @@ def fold_components(rows: DataFrame, fold: Callable[[pd.DataFrame], list], schem
     return binned.groupBy("bin").applyInPandas(run, schema)
 
 
-def _settle(items: DataFrame, links: Callable[[DataFrame], DataFrame], fold, schema: str,
-            alone: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> DataFrame:
+def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame], fold, schema: str,
+            as_state: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> DataFrame:
     """Final states of the fold over each drawing; see the head of this module.
 
-    Items have an id; states have owner, id and final beside their own columns.
+    Items and states have an id, that of a state being its first item's. Only
+    the grown states of the components folded last are looked at again.
     """
     scratch = Scratch(items.sparkSession)
     items = scratch.save(items)
-    states = alone(items.withColumn("owner", F.col("id")))
-    known = None
+    originals = as_state(items)
+    labels = scratch.save(connected_components(links(originals, originals))
+                          .withColumnRenamed("node", "id"))
+    fresh = scratch.save(fold_components(items.join(labels, NODE), fold, schema))
+    states = fresh
     for _ in range(max_rounds):
-        found = scratch.save(links(states))
-        if found.isEmpty():
-            return states.where("final").drop("owner", "final")
-        known = found if known is None else scratch.save(known.unionByName(found))
-        labels = connected_components(known)
-        labels = scratch.save(labels.select("drawing_id", F.col("node").alias("id"), "component"))
-        key = ["drawing_id", "id"]
-        single = alone(items.join(labels, key, "left_anti").withColumn("owner", F.col("id")))
-        folded = scratch.save(fold_components(items.join(labels, key), fold, schema))
-        states = single.unionByName(folded.withColumnRenamed("component", "owner").select(*single.columns))
+        grown = fresh.where("NOT final").select(*originals.columns).distinct()
+        changed = grown.select("drawing_id").distinct()
+        others = originals.unionByName(states.where("NOT final").select(*originals.columns)).join(
+            changed, "drawing_id", "left_semi")
+        met = links(grown, others)
+        for end in ("a", "b"):
+            known = labels.select("drawing_id", F.col("id").alias(end), F.col("component").alias("_c"))
+            met = (met.join(known, ["drawing_id", end], "left")
+                   .withColumn(end, F.coalesce("_c", end)).drop("_c"))
+        met = scratch.save(met.where("a <> b").distinct())
+        if met.isEmpty():
+            final = states.where("final").select(*originals.columns)
+            return originals.join(labels.select(*NODE), NODE, "left_anti").unionByName(final)
+        united = scratch.save(connected_components(met))
+        moved = united.select("drawing_id", F.col("node").alias("component"), F.col("component").alias("_to"))
+        single = (united.selectExpr("drawing_id", "node id", "component")
+                  .join(labels.select(*NODE), NODE, "left_anti"))
+        labels = scratch.save(
+            labels.join(moved, ["drawing_id", "component"], "left")
+            .select(*NODE, F.coalesce("_to", "component").alias("component")).unionByName(single))
+        again = united.select("drawing_id", "component").distinct()
+        fresh = scratch.save(fold_components(
+            items.join(labels.join(again, ["drawing_id", "component"], "left_semi"), NODE), fold, schema))
+        states = states.join(moved.select("drawing_id", "component"), ["drawing_id", "component"],
+                             "left_anti").unionByName(fresh)
     raise RuntimeError(f"merge not settled after {max_rounds} rounds")
 
 
@@ -101,8 +123,8 @@ def dedup_lines(lines: DataFrame, distance: float = 25.0) -> DataFrame:
     # Near lines have near middles, so each needs only the cells around one point.
     cx, cy = g.center(box())
     middle = g.Box(cx, cy, cx, cy)
-    links = links_within(items.select(*key, *PLACE), "id", middle, max(distance, 8.0), distance / 2,
-                         lambda l, r: near)
+    placed = items.select(*key, *PLACE)
+    links = links_between(placed, placed, middle, max(distance, 8.0), distance / 2, lambda l, r: near)
     scratch = Scratch(lines.sparkSession)
     labels = scratch.save(connected_components(links).withColumnRenamed("node", "id"))
 
@@ -112,7 +134,7 @@ def dedup_lines(lines: DataFrame, distance: float = 25.0) -> DataFrame:
         return [(i,) for i in part["id"].to_numpy()[~keep]]
 
     dropped = fold_components(items.select(*key, *PLACE).join(labels, key), fold,
-                              "drawing_id bigint, component bigint, id bigint")
+                              "id bigint")
     return items.join(dropped, key, "left_anti").withColumnRenamed("id", "line_id")
 
 
@@ -124,26 +146,25 @@ def merge_segments(lines: DataFrame, min_length: float = 15.0, dedup_distance: f
     clean = dedup_lines(long_enough(lines, min_length).select("drawing_id", "line_id", *PLACE),
                         dedup_distance)
 
-    def alone(items):
-        return items.select("drawing_id", "owner", "id", F.lit(True).alias("final"), *PLACE)
+    def as_state(rows):
+        return rows.select(*NODE, *PLACE)
 
-    def links(states):
-        grown = states.withColumns({f"g_{c}": v for c, v in zip(
-            PLACE, g.grow(g.bounds(box()), merge_reach(g.segment_length(box()))))})
+    def links(new, old):
+        def grown(states):
+            sized = measured(states)
+            return sized.withColumns({f"g_{c}": v for c, v in zip(
+                PLACE, g.grow(g.bounds(box()), merge_reach(F.col("len"))))})
 
-        def linked(l, r):
-            a, b = box(l), box(r)
-            return mergeable(a, b, slack=1e-6) | mergeable(b, a, slack=1e-6)
-
-        return links_within(grown, "owner", box("g_"), 128, 0, linked)
+        return links_between(grown(new), grown(old), box("g_"), 128, 0,
+                             lambda l, r: mergeable(l, r, slack=1e-6, either_axis=True))
 
     def fold(part):
         part = part.sort_values("id")
         return foldrules.merge_segments(part["id"].to_numpy(), _boxes(part))
 
-    schema = ("drawing_id bigint, component bigint, id bigint, final boolean, "
+    schema = ("id bigint, final boolean, "
               "x1 bigint, y1 bigint, x2 bigint, y2 bigint")
-    return _settle(_renamed(clean, "line_id"), links, fold, schema, alone).withColumnRenamed("id", "line_id")
+    return _settle(_renamed(clean, "line_id"), links, fold, schema, as_state).withColumnRenamed("id", "line_id")
 
 
 def merge_editor_lines(lines: DataFrame, distance: float = 15.0, angle: float = 5.0,
@@ -169,7 +190,7 @@ def merge_editor_lines(lines: DataFrame, distance: float = 15.0, angle: float =
 
     joined = fold_components(
         lines.select(*columns).join(labels, key), fold,
-        "drawing_id bigint, component bigint, line_id bigint, line_type string, direction string, "
+        "line_id bigint, line_type string, direction string, "
         "x1 bigint, y1 bigint, x2 bigint, y2 bigint").drop("component")
     return lines.select(*columns).join(labels, key, "left_anti").unionByName(joined)
 
@@ -191,7 +212,7 @@ def chain_lines(lines: DataFrame, max_line_distance: float = 50.0) -> DataFrame:
 
     walked = fold_components(
         lines.select(*key, *PLACE).join(labels, key), fold,
-        "drawing_id bigint, component bigint, chain_id bigint, member_pos bigint, line_id bigint")
+        "chain_id bigint, member_pos bigint, line_id bigint")
     single = (lines.select(*key).join(labels, key, "left_anti")
               .selectExpr("drawing_id", "line_id chain_id", "0L member_pos", "line_id"))
     members = scratch.save(walked.drop("component").unionByName(single))
@@ -207,12 +228,12 @@ def line_networks(lines: DataFrame, max_line_distance: float = 50.0) -> DataFram
 
 # --- texts -------------------------------------------------------------------
 
-_TEXT_STATE = ("drawing_id bigint, component bigint, id bigint, final boolean, x1 bigint, y1 bigint, "
+_TEXT_STATE = ("id bigint, final boolean, x1 bigint, y1 bigint, "
                "x2 bigint, y2 bigint, text string, score double")
 
 
-def _text_alone(items):
-    return items.select("drawing_id", "owner", "id", F.lit(True).alias("final"), *PLACE, "text", "score")
+def _text_state(rows):
+    return rows.select(*NODE, *PLACE, "text", "score")
 
 
 def _text_arrays(part):
@@ -222,25 +243,28 @@ def _text_arrays(part):
 def merge_close_texts(texts: DataFrame, y_tolerance: float = 6, x_gap: float = 12) -> DataFrame:
     """Texts of one row that follow closely appended to the first; its score is kept."""
 
-    def links(states):
-        def follows(a, b):
-            return ((F.abs(b.y1 - a.y1) < y_tolerance) & (b.x1 - a.x2 > 0) & (b.x1 - a.x2 < x_gap))
+    def follows(a, b):
+        return ((F.abs(b.y1 - a.y1) < y_tolerance) & (b.x1 - a.x2 > 0) & (b.x1 - a.x2 < x_gap))
 
-        return links_within(states, "owner", box(), 128, max(y_tolerance, x_gap) / 2,
-                            lambda l, r: follows(box(l), box(r)) | follows(box(r), box(l)))
+    def links(new, old):
+        return links_between(new, old, box(), 128, max(y_tolerance, x_gap) / 2,
+                             lambda l, r: follows(box(l), box(r)) | follows(box(r), box(l)))
 
     def fold(part):
         return foldrules.append_close(*_text_arrays(part), y_tolerance, x_gap)
 
     items = _renamed(texts.select("drawing_id", "text_id", *PLACE, "text", "score"), "text_id")
-    return _settle(items, links, fold, _TEXT_STATE, _text_alone).withColumnRenamed("id", "text_id")
+    return _settle(items, links, fold, _TEXT_STATE, _text_state).withColumnRenamed("id", "text_id")
 
 
 def _merge_texts(texts: DataFrame, vertical: bool, width_share: float = 0.22) -> DataFrame:
+    widths = texts.select("drawing_id", "page_width").distinct()
+
     def marked(states):
         t = F.col("text")
-        return states.withColumns({"tag": textrules.is_tag(t), "wordy": textrules.is_wordy(t),
-                                   "short": F.length(t) <= 2})
+        return states.join(widths, "drawing_id").select(
+            *NODE, *PLACE, textrules.is_tag(t).alias("tag"), textrules.is_wordy(t).alias("wordy"),
+            (F.length(t) <= 2).alias("short"), (width_share * F.col("page_width")).alias("widest"))
 
     def linked(l, r):
         a, b = box(l), box(r)
@@ -255,23 +279,21 @@ def _merge_texts(texts: DataFrame, vertical: bool, width_share: float = 0.22) ->
         return ((g.y_overlap(a, b) >= 0.55 - 1e-9) & (gap <= limit + 1e-6)
                 & (either("tag") | either("wordy") | either("short")) & fits)
 
-    widths = texts.select("drawing_id", "page_width").distinct()
+    b = box()
+    if vertical:
+        reach = 12.5 + 0.175 * F.greatest(F.lit(1), g.width(b)) + 1
+    else:
+        reach = 0.6 * F.greatest(F.lit(1), g.height(b)) + 1
 
-    def links(states):
-        rows = marked(states.join(widths, "drawing_id").withColumn("widest", width_share * F.col("page_width")))
-        b = box()
-        if vertical:
-            reach = 12.5 + 0.175 * F.greatest(F.lit(1), g.width(b)) + 1
-        else:
-            reach = 0.6 * F.greatest(F.lit(1), g.height(b)) + 1
-        return links_within(rows, "owner", b, 128, reach, linked)
+    def links(new, old):
+        return links_between(marked(new), marked(old), b, 128, reach, linked)
 
     def fold(part):
         widest = None if vertical else width_share * part["page_width"].iat[0]
         return foldrules.merge_texts(*_text_arrays(part), vertical, widest)
 
     items = _renamed(texts, "text_id")
-    merged = _settle(items, links, fold, _TEXT_STATE, _text_alone)
+    merged = _settle(items, links, fold, _TEXT_STATE, _text_state)
     return merged.withColumnRenamed("id", "text_id").join(widths, "drawing_id")
 
 
@@ -316,9 +338,9 @@ def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limi
     items = (masks.join(features, key).join(pixels, key)
              .select("drawing_id", F.col("mask_id").alias("id"), "score", *PLACE, "area", "ys", "starts", "ends"))
 
-    def alone(rows):
-        return rows.select("drawing_id", "owner", "id", F.lit(True).alias("final"), *PLACE, "area",
-                           "score", F.array("id").alias("members"))
+    def as_state(rows):
+        members = F.col("members") if "members" in rows.columns else F.array("id")
+        return rows.select(*NODE, *PLACE, "area", "score", members.alias("members"))
 
     def linked(l, r):
         a, b, area_a, area_b = box(l), box(r), F.col(l + "area"), F.col(r + "area")
@@ -334,9 +356,9 @@ def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limi
             | ((score > 0.7 - eps) & (gap < reach * 0.8 + eps) & (size < 8 + eps)))
         return g.boxes_touch(a, b) | near
 
-    def links(states):
-        return links_within(states.select("drawing_id", "owner", *PLACE, "area"), "owner", box(), 128,
-                            reach / 2 + 1, linked)
+    def links(new, old):
+        return links_between(new.select(*NODE, *PLACE, "area"), old.select(*NODE, *PLACE, "area"), box(),
+                             128, reach / 2 + 1, linked)
 
     def fold(part):
         cells = list(zip(part["ys"], part["starts"], part["ends"]))
@@ -344,6 +366,6 @@ def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limi
                                      part["area"].to_numpy(), cells, iou_limit, reach)
         return rows
 
-    schema = ("drawing_id bigint, component bigint, id bigint, final boolean, x1 bigint, y1 bigint, "
+    schema = ("id bigint, final boolean, x1 bigint, y1 bigint, "
               "x2 bigint, y2 bigint, area bigint, score double, members array<bigint>")
-    return _settle(items, links, fold, schema, alone).withColumnRenamed("id", "mask_id")
+    return _settle(items, links, fold, schema, as_state).withColumnRenamed("id", "mask_id")

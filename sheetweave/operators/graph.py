@@ -326,7 +326,11 @@ def chain_links(members: DataFrame, symbols: DataFrame, max_distance: float) ->
     ``k`` is the place of the first symbol; distances stay in path order even
     where a backward chain swaps source and target.
     """
-    hits = chain_hits(members, symbols, max_distance)
+    return link_hits(chain_hits(members, symbols, max_distance), members, max_distance)
+
+
+def link_hits(hits: DataFrame, members: DataFrame, max_distance: float) -> DataFrame:
+    """The links of given hits, see chain_links."""
     placed = with_position(hits, ["drawing_id", "chain_id"],
                            ["pos", "first_member", "symbol_id"], "k")
     steps = with_successor(placed, ["drawing_id", "chain_id"], "k", ["symbol_id", "distance"])

@@ -25,19 +25,44 @@ def overlapping_pairs(boxes: DataFrame, id_column: str, threshold: float, size:
             .where(F.col("iou") > threshold).select("drawing_id", "a", "b", "iou"))
 
 
-def mergeable(a: g.Segment, b: g.Segment, angle: float = MERGE_ANGLE, gap: float = MERGE_GAP,
-              perp: float = MERGE_PERP, slack: float = 0.0):
-    """Nearly collinear segments that overlap along the first or nearly touch."""
-    turn = g.angle_difference(g.segment_angle(a), g.segment_angle(b))
-    off = F.least(g.point_line_distance(b.x1, b.y1, a), g.point_line_distance(b.x2, b.y2, a),
-                  g.point_line_distance(a.x1, a.y1, b), g.point_line_distance(a.x2, a.y2, b))
-    ux, uy = g.unit_direction(g.segment_angle(a))
-    t = [g.project(x, y, a.x1, a.y1, ux, uy)
-         for x, y in ((a.x1, a.y1), (a.x2, a.y2), (b.x1, b.y1), (b.x2, b.y2))]
-    space = (F.greatest(F.least(t[0], t[1]), F.least(t[2], t[3]))
-             - F.least(F.greatest(t[0], t[1]), F.greatest(t[2], t[3])))
-    return ((g.segment_length(a) >= 1) & (g.segment_length(b) >= 1) & (turn <= angle + slack)
-            & (off <= perp + slack) & (space <= gap + slack))
+def measured(lines: DataFrame, prefix: str = "") -> DataFrame:
+    """Adds length, angle and direction of the segment, worked out once per row."""
+    s = box(prefix)
+    angle = F.col(f"{prefix}angle")
+    return lines.withColumns({f"{prefix}len": g.segment_length(s), f"{prefix}angle": g.segment_angle(s)}) \
+        .withColumns({f"{prefix}ux": F.cos(F.radians(angle)), f"{prefix}uy": F.sin(F.radians(angle))})
+
+
+def _space_along(axis: str, other: str):
+    """Gap of the two segments projected on the first one's axis; negative on overlap."""
+    a, b, ux, uy = box(axis), box(other), F.col(f"{axis}ux"), F.col(f"{axis}uy")
+    end, t1, t2 = (g.project(x, y, a.x1, a.y1, ux, uy)
+                   for x, y in ((a.x2, a.y2), (b.x1, b.y1), (b.x2, b.y2)))
+    return (F.greatest(F.least(F.lit(0.0), end), F.least(t1, t2))
+            - F.least(F.greatest(F.lit(0.0), end), F.greatest(t1, t2)))
+
+
+def _off_line(line: str, other: str):
+    """Smaller distance of the other segment's ends from the infinite line."""
+    a, b = box(line), box(other)
+    vx, vy = a.x2 - a.x1, a.y2 - a.y1
+    cross = F.least(*(F.abs(vx * (y - a.y1) - vy * (x - a.x1)) for x, y in ((b.x1, b.y1), (b.x2, b.y2))))
+    return cross / (F.col(f"{line}len") + 1e-9)
+
+
+def mergeable(a: str, b: str, angle: float = MERGE_ANGLE, gap: float = MERGE_GAP,
+              perp: float = MERGE_PERP, slack: float = 0.0, either_axis: bool = False):
+    """Nearly collinear measured segments that overlap along the first or nearly touch.
+
+    Takes the prefixes of their columns; ``either_axis`` also looks along the second.
+    """
+    turn = g.angle_difference(F.col(f"{a}angle"), F.col(f"{b}angle"))
+    off = F.least(_off_line(a, b), _off_line(b, a))
+    close = _space_along(a, b) <= gap + slack
+    if either_axis:
+        close = close | (_space_along(b, a) <= gap + slack)
+    return ((F.col(f"{a}len") >= 1) & (F.col(f"{b}len") >= 1) & (turn <= angle + slack)
+            & (off <= perp + slack) & close)
 
 
 def merge_reach(length, angle: float = MERGE_ANGLE, gap: float = MERGE_GAP, perp: float = MERGE_PERP):
@@ -56,11 +81,11 @@ def collinear_pairs(lines: DataFrame, size: float = 128) -> DataFrame:
         s = box(f"{p}_")
         named = lines.select("drawing_id", F.col("line_id").alias(p),
                              *(F.col(c).alias(f"{p}_{c}") for c in PLACE))
-        grown = g.grow(g.bounds(s), merge_reach(g.segment_length(s)))
-        return named.withColumns({f"{p}_b{c}": v for c, v in zip(PLACE, grown)})
+        grown = g.grow(g.bounds(s), merge_reach(F.col(f"{p}_len")))
+        return measured(named, f"{p}_").withColumns({f"{p}_b{c}": v for c, v in zip(PLACE, grown)})
 
     pairs = pair_join(side("a"), side("b"), box("a_b"), box("b_b"), size)
-    return (pairs.where("a < b").where(mergeable(box("a_"), box("b_")))
+    return (pairs.where("a < b").where(mergeable("a_", "b_"))
             .select("drawing_id", "a", "b"))
 
 

@@ -61,29 +61,29 @@ def segment_cells(df: DataFrame, s: Segment, size: float, reach: Column | float)
     return around.where(near).drop("low_x", "low_y")
 
 
-def links_within(items: DataFrame, owner: str, b: Box, size: float, reach, linked,
-                 dense: int = 1024) -> DataFrame:
-    """Links (drawing_id, a, b) between owners that hold rows for which ``linked`` is true.
-
-    ``linked`` takes two column-name prefixes. It serves to find groups that may
-    be treated apart, for which a coarser grouping is right as well: a cell with
-    more than ``dense`` rows links all its owners to the lowest one, so its cost
-    is linear in its rows.
+def links_between(new: DataFrame, old: DataFrame, b: Box, size: float, reach, linked,
+                  dense: int = 1024) -> DataFrame:
+    """Links (drawing_id, a, b) between ids of new and old rows for which ``linked`` is true.
+
+    ``linked`` takes the column-name prefixes of the two rows; both boxes are
+    grown by the reach. The links serve to find groups that may be treated
+    apart, for which a coarser grouping is right as well: a cell with more than
+    ``dense`` old rows ties all its ids to the lowest one, at a cost linear in
+    its rows.
     """
-    spread = with_cells(items.withColumn("_owner", F.col(owner)), b, size, reach)
     cell = ["drawing_id", "cell_x", "cell_y"]
-    load = spread.groupBy(*cell).agg(F.count("*").alias("_n"), F.min("_owner").alias("_first"))
-    placed = spread.join(load, cell)
-    crowded = (placed.where((F.col("_n") > dense) & (F.col("_owner") > F.col("_first")))
-               .selectExpr("drawing_id", "_first a", "_owner b"))
-    sparse = placed.where(F.col("_n").between(2, dense)).drop("_n", "_first")
-    names = [c for c in sparse.columns if c not in cell]
-    left = sparse.select(*cell, *(F.col(c).alias(f"l_{c}") for c in names))
-    right = sparse.select(*cell, *(F.col(c).alias(f"r_{c}") for c in names))
+    names = [c for c in new.columns if c != "drawing_id"] + ["low_x", "low_y"]
+    n, o = (with_cells(df, b, size, reach) for df in (new, old))
+    crowds = (o.groupBy(*cell).agg(F.count("*").alias("_n"), F.min("id").alias("_first"))
+              .where(F.col("_n") > dense).drop("_n"))
+    tied = (o.select(*cell, "id").unionByName(n.select(*cell, "id")).join(crowds, cell)
+            .where("id <> _first").selectExpr("drawing_id", "_first a", "id b"))
+    left = n.select(*cell, *(F.col(c).alias(f"l_{c}") for c in names)).join(crowds, cell, "left_anti")
+    right = o.select(*cell, *(F.col(c).alias(f"r_{c}") for c in names))
     pairs = (left.join(right, cell)
-             .where((F.col("l__owner") < F.col("r__owner"))
+             .where((F.col("l_id") != F.col("r_id"))
                     & (F.col("cell_x") == F.greatest("l_low_x", "r_low_x"))
                     & (F.col("cell_y") == F.greatest("l_low_y", "r_low_y"))
                     & linked("l_", "r_"))
-             .selectExpr("drawing_id", "l__owner a", "r__owner b"))
-    return pairs.unionByName(crowded).distinct()
+             .selectExpr("drawing_id", "least(l_id, r_id) a", "greatest(l_id, r_id) b"))
+    return pairs.unionByName(tied).distinct()
