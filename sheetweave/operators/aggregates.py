@@ -129,7 +129,7 @@ def farthest_pair(points: DataFrame, keys: list[str]) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in points.select(*keys).schema.fields)
 
-    def pick(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = _farthest(rows) if len(rows) > 1 else (rows.index[0], rows.index[0])
         a, b = rows.loc[i], rows.loc[j]
         return pd.DataFrame([[*key, a["px"], a["py"], b["px"], b["py"]]],

@@ -207,8 +207,8 @@ def _(fx):
     single = docs.select("drawing_id", F.from_json("value", kind).alias("d"))
     total = (lambda i: F.aggregate("d.sam2_prompts.points", F.lit(0.0), lambda s, p: s + p[i]))
     names = (sinks.combined_points(docs).select(
-        F.explode(F.map_keys(F.from_json("value", "MAP<STRING, STRING>"))).cast("bigint").alias("drawing_id"),
-        F.lit(True).alias("named")))
+        F.explode(F.map_keys(F.from_json("value", "MAP<STRING, STRING>"))).alias("drawing_id"),
+        F.lit(True).alias("named")).withColumn("drawing_id", F.col("drawing_id").cast("bigint")))
     return single.select(
         "drawing_id", "d.num_detections", r6(total(0)).alias("sum_x"), r6(total(1)).alias("sum_y"),
         F.aggregate("d.sam2_prompts.labels", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("labels")).join(
