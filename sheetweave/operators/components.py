@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sheetweave.scratch import Scratch
 
 ID_SPAN = 65_536
+ONE_TASK = 100_000
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,6 +43,13 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "lo": nodes["node"].to_numpy()[label[leaf]]})
 
 
+def _contract_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for a whole partition, of a size checked before."""
+    links = list(batches)
+    if links:
+        yield from _contract(iter([pd.concat(links)]))
+
+
 def _small_star(links: DataFrame) -> DataFrame:
     """Ties all lower neighbours of a node to the lowest of them."""
     low = links.groupBy("drawing_id", "hi").agg(F.min("lo").alias("low"))
@@ -76,12 +84,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     the size. Nodes without links are left out.
     """
     scratch = Scratch(links.sparkSession)
-    directed = (links.where("a <> b")
-                .selectExpr("drawing_id", "greatest(a, b) hi", "least(a, b) lo").distinct())
+    directed = scratch.save(links.where("a <> b")
+                            .selectExpr("drawing_id", "greatest(a, b) hi", "least(a, b) lo"))
+    if directed.count() <= ONE_TASK:
+        return _with_roots(scratch.save(
+            directed.coalesce(1).mapInPandas(_contract_whole, directed.schema)))
     spread = (directed.repartition("drawing_id", F.floor(F.col("hi") / ID_SPAN))
               .sortWithinPartitions("drawing_id"))
-    schema = directed.schema
-    current = scratch.save(spread.mapInPandas(_contract, schema).distinct())
+    current = scratch.save(spread.mapInPandas(_contract, directed.schema).distinct())
     for _ in range(max_rounds):
         if _is_settled(current):
             break
@@ -90,5 +100,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         current = following
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    roots = current.selectExpr("drawing_id", "lo node", "lo component").distinct()
-    return current.selectExpr("drawing_id", "hi node", "lo component").unionByName(roots)
+    return _with_roots(current)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    roots = stars.selectExpr("drawing_id", "lo node", "lo component").distinct()
+    return stars.selectExpr("drawing_id", "hi node", "lo component").unionByName(roots)

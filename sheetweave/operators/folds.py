@@ -35,14 +35,16 @@ NODE = ["drawing_id", "id"]
 ROWS_PER_TASK = 20_000
 
 
-def fold_components(rows: DataFrame, fold: Callable[[pd.DataFrame], list], schema: str) -> DataFrame:
-    """Applies the fold to the rows of every (drawing_id, component).
+def fold_components(items: DataFrame, labels: DataFrame, fold: Callable[[pd.DataFrame], list],
+                    schema: str) -> DataFrame:
+    """Applies the fold to the items of every labelled (drawing_id, component).
 
-    Many small components share one call into Python.
+    Many small components share one call into Python. Labels are a written table.
     """
-    spark = rows.sparkSession
+    spark = items.sparkSession
+    rows = items.join(labels, [c for c in labels.columns if c != "component"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bins = max(parts, math.ceil(rows.count() / ROWS_PER_TASK))
+    bins = max(parts, math.ceil(labels.count() / ROWS_PER_TASK))
     drawing_type = rows.schema["drawing_id"].dataType.simpleString()
     schema = f"drawing_id {drawing_type}, component bigint, {schema}"
     names = [c.split()[0] for c in schema.split(", ")]
@@ -68,8 +70,8 @@ def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame]
     items = scratch.save(items)
     originals = as_state(items)
     labels = scratch.save(connected_components(links(originals, originals))
-                          .withColumnRenamed("node", "id"))
-    fresh = scratch.save(fold_components(items.join(labels, NODE), fold, schema))
+                          .withColumnRenamed("node", "id").select(*NODE, "component"))
+    fresh = scratch.save(fold_components(items, labels, fold, schema))
     states = fresh
     for _ in range(max_rounds):
         grown = fresh.where("NOT final").select(*originals.columns).distinct()
@@ -93,8 +95,9 @@ def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame]
             labels.join(moved, ["drawing_id", "component"], "left")
             .select(*NODE, F.coalesce("_to", "component").alias("component")).unionByName(single))
         again = united.select("drawing_id", "component").distinct()
-        fresh = scratch.save(fold_components(
-            items.join(labels.join(again, ["drawing_id", "component"], "left_semi"), NODE), fold, schema))
+        members = scratch.save(labels.join(again, ["drawing_id", "component"], "left_semi")
+                               .select(*NODE, "component"))
+        fresh = scratch.save(fold_components(items, members, fold, schema))
         states = states.join(moved.select("drawing_id", "component"), ["drawing_id", "component"],
                              "left_anti").unionByName(fresh)
     raise RuntimeError(f"merge not settled after {max_rounds} rounds")
@@ -124,7 +127,7 @@ def dedup_lines(lines: DataFrame, distance: float = 25.0) -> DataFrame:
     cx, cy = g.center(box())
     middle = g.Box(cx, cy, cx, cy)
     placed = items.select(*key, *PLACE)
-    links = links_between(placed, placed, middle, max(distance, 8.0), distance / 2, lambda l, r: near)
+    links = links_between(placed, placed, middle, max(distance, 8.0), distance / 2, near)
     scratch = Scratch(lines.sparkSession)
     labels = scratch.save(connected_components(links).withColumnRenamed("node", "id"))
 
@@ -133,8 +136,7 @@ def dedup_lines(lines: DataFrame, distance: float = 25.0) -> DataFrame:
         keep = foldrules.drop_near_copies(_boxes(part), distance)
         return [(i,) for i in part["id"].to_numpy()[~keep]]
 
-    dropped = fold_components(items.select(*key, *PLACE).join(labels, key), fold,
-                              "id bigint")
+    dropped = fold_components(placed, labels, fold, "id bigint")
     return items.join(dropped, key, "left_anti").withColumnRenamed("id", "line_id")
 
 
@@ -146,6 +148,8 @@ def merge_segments(lines: DataFrame, min_length: float = 15.0, dedup_distance: f
     clean = dedup_lines(long_enough(lines, min_length).select("drawing_id", "line_id", *PLACE),
                         dedup_distance)
 
+    meet = mergeable("l_", "r_", slack=1e-6, either_axis=True)
+
     def as_state(rows):
         return rows.select(*NODE, *PLACE)
 
@@ -155,8 +159,7 @@ def merge_segments(lines: DataFrame, min_length: float = 15.0, dedup_distance: f
             return sized.withColumns({f"g_{c}": v for c, v in zip(
                 PLACE, g.grow(g.bounds(box()), merge_reach(F.col("len"))))})
 
-        return links_between(grown(new), grown(old), box("g_"), 128, 0,
-                             lambda l, r: mergeable(l, r, slack=1e-6, either_axis=True))
+        return links_between(grown(new), grown(old), box("g_"), 128, 0, meet)
 
     def fold(part):
         part = part.sort_values("id")
@@ -189,7 +192,7 @@ def merge_editor_lines(lines: DataFrame, distance: float = 15.0, angle: float =
         return [(i, kind, direction, *ends) for i, *ends, direction in rows]
 
     joined = fold_components(
-        lines.select(*columns).join(labels, key), fold,
+        lines.select(*columns), labels, fold,
         "line_id bigint, line_type string, direction string, "
         "x1 bigint, y1 bigint, x2 bigint, y2 bigint").drop("component")
     return lines.select(*columns).join(labels, key, "left_anti").unionByName(joined)
@@ -211,7 +214,7 @@ def chain_lines(lines: DataFrame, max_line_distance: float = 50.0) -> DataFrame:
         return foldrules.walk_chains(part["line_id"].to_numpy(), _boxes(part), reach)
 
     walked = fold_components(
-        lines.select(*key, *PLACE).join(labels, key), fold,
+        lines.select(*key, *PLACE), labels, fold,
         "chain_id bigint, member_pos bigint, line_id bigint")
     single = (lines.select(*key).join(labels, key, "left_anti")
               .selectExpr("drawing_id", "line_id chain_id", "0L member_pos", "line_id"))
@@ -246,9 +249,10 @@ def merge_close_texts(texts: DataFrame, y_tolerance: float = 6, x_gap: float = 1
     def follows(a, b):
         return ((F.abs(b.y1 - a.y1) < y_tolerance) & (b.x1 - a.x2 > 0) & (b.x1 - a.x2 < x_gap))
 
+    meet = follows(box("l_"), box("r_")) | follows(box("r_"), box("l_"))
+
     def links(new, old):
-        return links_between(new, old, box(), 128, max(y_tolerance, x_gap) / 2,
-                             lambda l, r: follows(box(l), box(r)) | follows(box(r), box(l)))
+        return links_between(new, old, box(), 128, max(y_tolerance, x_gap) / 2, meet)
 
     def fold(part):
         return foldrules.append_close(*_text_arrays(part), y_tolerance, x_gap)
@@ -266,16 +270,16 @@ def _merge_texts(texts: DataFrame, vertical: bool, width_share: float = 0.22) ->
             *NODE, *PLACE, textrules.is_tag(t).alias("tag"), textrules.is_wordy(t).alias("wordy"),
             (F.length(t) <= 2).alias("short"), (width_share * F.col("page_width")).alias("widest"))
 
-    def linked(l, r):
-        a, b = box(l), box(r)
-        either = (lambda name: F.col(l + name) | F.col(r + name))
+    def linked():
+        a, b = box("l_"), box("r_")
+        either = (lambda name: F.col("l_" + name) | F.col("r_" + name))
         if vertical:
             gap = F.greatest(a.y1, b.y1) - F.least(a.y2, b.y2)
             limit = F.greatest(F.lit(25.0), 0.35 * F.greatest(F.lit(1), F.least(g.width(a), g.width(b))))
             return (g.x_overlap(a, b) >= 0.55 - 1e-9) & (gap <= limit + 1e-6) & either("wordy")
         gap = F.greatest(a.x1, b.x1) - F.least(a.x2, b.x2)
         limit = 1.2 * F.greatest(F.lit(1), F.least(g.height(a), g.height(b)))
-        fits = (F.greatest(a.x2, b.x2) - F.least(a.x1, b.x1)) <= F.col(l + "widest") + 1e-6
+        fits = (F.greatest(a.x2, b.x2) - F.least(a.x1, b.x1)) <= F.col("l_widest") + 1e-6
         return ((g.y_overlap(a, b) >= 0.55 - 1e-9) & (gap <= limit + 1e-6)
                 & (either("tag") | either("wordy") | either("short")) & fits)
 
@@ -285,8 +289,10 @@ def _merge_texts(texts: DataFrame, vertical: bool, width_share: float = 0.22) ->
     else:
         reach = 0.6 * F.greatest(F.lit(1), g.height(b)) + 1
 
+    meet = linked()
+
     def links(new, old):
-        return links_between(marked(new), marked(old), b, 128, reach, linked)
+        return links_between(marked(new), marked(old), b, 128, reach, meet)
 
     def fold(part):
         widest = None if vertical else width_share * part["page_width"].iat[0]
@@ -342,8 +348,8 @@ def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limi
         members = F.col("members") if "members" in rows.columns else F.array("id")
         return rows.select(*NODE, *PLACE, "area", "score", members.alias("members"))
 
-    def linked(l, r):
-        a, b, area_a, area_b = box(l), box(r), F.col(l + "area"), F.col(r + "area")
+    def linked():
+        a, b, area_a, area_b = box("l_"), box("r_"), F.col("l_area"), F.col("r_area")
         gap, score = g.box_gap(a, b), g.alignment(a, b)
         size = F.greatest(area_a, area_b) / F.greatest(F.least(area_a, area_b), F.lit(1))
         asp_a, asp_b = g.aspect(a), g.aspect(b)
@@ -356,9 +362,11 @@ def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limi
             | ((score > 0.7 - eps) & (gap < reach * 0.8 + eps) & (size < 8 + eps)))
         return g.boxes_touch(a, b) | near
 
+    meet = linked()
+
     def links(new, old):
         return links_between(new.select(*NODE, *PLACE, "area"), old.select(*NODE, *PLACE, "area"), box(),
-                             128, reach / 2 + 1, linked)
+                             128, reach / 2 + 1, meet)
 
     def fold(part):
         cells = list(zip(part["ys"], part["starts"], part["ends"]))

@@ -20,8 +20,8 @@ def _shrunk(lines, factor):
 def _crowded(texts):
     """The texts moved together, so that words of one row and block lie near each other."""
     return texts.selectExpr(
-        "drawing_id", "text_id", "floor(x1/8)*4 x1", "floor(y1/24)*8 y1", "floor(x1/8)*4+x2-x1 x2",
-        "floor(y1/24)*8+y2-y1 y2", "text", "score")
+        "drawing_id", "text_id", "floor(x1/8)*6 x1", "floor(y1/24)*14 y1", "floor(x1/8)*6+x2-x1 x2",
+        "floor(y1/24)*14+y2-y1 y2", "text", "score")
 
 
 def text_conflict(a, b):

@@ -71,10 +71,6 @@ SELECT drawing_id, line_id, x1, y1, x2, y2, i,
   CASE WHEN (i+line_id)%(3+line_id%40)=0 THEN 0 ELSE 1 END hit
 FROM (SELECT *, unnest(range(0, 80)) i FROM lines_v) q"""
 
-PIXELS_DUCKDB = """
-SELECT drawing_id, y, unnest(range(0, 1600)) x FROM
- (SELECT drawing_id, unnest(range(0, 1100)) y FROM drawings_v) q"""
-
 _VIEWS = {
     "symbols_v": SYMBOLS, "dets_v": DETECTIONS, "texts_v": TEXTS, "lines_v": LINES,
     "drawings_v": DRAWINGS, "edits_v": EDITS, "clusters_v": CLUSTERS,
@@ -178,9 +174,13 @@ class Fixtures:
 
     @property
     def pixel_rows(self) -> DataFrame:
-        """Grey values of every page, one array per row of pixels."""
-        return (self.drawings.select(
-            "drawing_id", F.explode(F.expr("sequence(0L, 1099L)")).alias("y"))
-            .withColumn("grey", F.expr(
-                "transform(sequence(0L, 1599L),"
-                " x -> CAST((x*13+y*7+drawing_id*5)%256 AS SMALLINT))")))
+        """Grey values of every page, one array per row of pixels.
+
+        The value at x is (13x + 7y + 5 drawing) % 256. Every row is a piece of
+        one periodic sequence, as 13 * 197 = 1 (mod 256).
+        """
+        period = ",".join(str(13 * i % 256) for i in range(1600 + 256))
+        rows = self.drawings.select("drawing_id", F.explode(F.expr("sequence(0L, 1099L)")).alias("y"))
+        return rows.withColumn("grey", F.expr(
+            f"slice(CAST(split('{period}', ',') AS ARRAY<SMALLINT>),"
+            " CAST((y*7+drawing_id*5)*197%256+1 AS INT), 1600)"))
