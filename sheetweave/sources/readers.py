@@ -25,7 +25,7 @@ OCR = """boxes ARRAY<ARRAY<DOUBLE>>, scores ARRAY<DOUBLE>, texts ARRAY<STRING>,
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file; the drawing is the partition folder or the file name."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     if "drawing_id" in files.columns:
         return files.select("drawing_id", "value")
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
@@ -80,15 +80,15 @@ def parse_lines(docs: DataFrame) -> DataFrame:
                                    F.expr("CAST(array() AS ARRAY<VARIANT>)")).alias(t)
                         for t in ("solid", "dashed")))
 
-    def of_type(name: str, first: Column) -> DataFrame:
-        rows = parsed.select("drawing_id", first.alias("first"), F.posexplode(name).alias("pos", "e"))
-        line = F.coalesce(_variant("e", "$.line", "array<double>"), _variant("e", "$", "array<double>"))
-        return rows.select(
-            "drawing_id", (F.col("first") + F.col("pos")).cast("bigint").alias("line_id"),
-            F.lit(name).alias("line_type"),
-            F.coalesce(_variant("e", "$.direction", "string"), F.lit("none")).alias("direction"), *_corners(line))
-
-    return of_type("solid", F.lit(0)).unionByName(of_type("dashed", F.size("solid")))
+    entries = F.concat(
+        F.transform("solid", lambda e, i: F.struct(F.lit("solid").alias("line_type"), i.alias("line_id"), e.alias("e"))),
+        F.transform("dashed", lambda e, i: F.struct(F.lit("dashed").alias("line_type"),
+                                                    (F.size("solid") + i).alias("line_id"), e.alias("e"))))
+    rows = parsed.select("drawing_id", F.inline(entries))
+    line = F.coalesce(_variant("e", "$.line", "array<double>"), _variant("e", "$", "array<double>"))
+    return rows.select(
+        "drawing_id", F.col("line_id").cast("bigint").alias("line_id"), "line_type",
+        F.coalesce(_variant("e", "$.direction", "string"), F.lit("none")).alias("direction"), *_corners(line))
 
 
 def parse_line_header(docs: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def run_missing(drawings: DataFrame, stage: Stage, path: str, run: str) -> DataF
 
 def stream_documents(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """New document files as they arrive, (drawing_id, value)."""
-    return (spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch)
-            .schema("value string, drawing_id bigint").text(path)
+    return (spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+            .schema("value string, drawing_id bigint").text(path, wholetext=True)
             .select("drawing_id", "value"))
 
 

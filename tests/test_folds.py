@@ -63,7 +63,7 @@ def test_editor_lines(lines):
 @pytest.mark.parametrize("distance", [30.0, 120.0])
 def test_chains(lines, distance, partitions):
     rows, df = lines
-    want = {(d, path[0] if False else min(path), place, i) for d, part in by_drawing(rows).items()
+    want = {(d, min(path), place, i) for d, part in by_drawing(rows).items()
             for path in twins.chains([(r[0], r[1], r[3:]) for r in part], distance / 2)
             for place, i in enumerate(path)}
     got = folds.chain_lines(df, distance).select("drawing_id", "chain_id", "member_pos", "line_id")
