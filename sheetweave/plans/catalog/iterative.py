@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sheetweave.functions import geometry as g
 from sheetweave.operators import folds, masks as m, tracks
 from sheetweave.operators.suppression import absorbed_by, suppress
-from sheetweave.plans.catalog.registry import query, r6
+from sheetweave.plans.catalog import sweepsql as sw
+from sheetweave.plans.catalog.registry import query
 
 PLACE = ["x1", "y1", "x2", "y2"]
 
@@ -17,11 +18,11 @@ def _shrunk(lines, factor):
         f"CAST(floor({c}/{factor}) AS BIGINT) {c}" for c in PLACE))
 
 
-def _crowded(texts):
+def _crowded(texts, band=24):
     """The texts moved together, so that words of one row and block lie near each other."""
     return texts.selectExpr(
-        "drawing_id", "text_id", "floor(x1/8)*6 x1", "floor(y1/24)*14 y1", "floor(x1/8)*6+x2-x1 x2",
-        "floor(y1/24)*14+y2-y1 y2", "text", "score")
+        "drawing_id", "text_id", "floor(x1/8)*6 x1", f"floor(y1/{band})*14 y1", "floor(x1/8)*6+x2-x1 x2",
+        f"floor(y1/{band})*14+y2-y1 y2", "text", "score")
 
 
 def text_conflict(a, b):
@@ -72,9 +73,8 @@ def _(fx):
                  F.max("y2").alias("y2"), F.max("score").alias("score")))
 
 
-@query("it_dedup_lines", """
-WITH RECURSIVE l AS (SELECT drawing_id, line_id, CAST(floor(x1/5) AS BIGINT) x1, CAST(floor(y1/5) AS BIGINT) y1,
-  CAST(floor(x2/5) AS BIGINT) x2, CAST(floor(y2/5) AS BIGINT) y2 FROM lines_v),
+# Walks the lines in order with the list of those dropped so far.
+DEDUP = """
 m AS (SELECT *, (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) len2 FROM l),
 near AS (SELECT a.drawing_id, a.line_id i, list({'j': b.line_id, 'longer': b.len2 > a.len2} ORDER BY b.line_id) js
   FROM m a JOIN m b ON a.drawing_id = b.drawing_id AND a.line_id < b.line_id
@@ -91,8 +91,15 @@ walk AS (SELECT drawing_id, CAST(0 AS BIGINT) step, CAST([] AS BIGINT[]) dropped
       lambda q: q.j < list_filter(list_filter(js, lambda p: NOT list_contains(dropped, p.j)), lambda p: p.longer)[1].j),
       lambda q: q.j), i) END) END
  FROM walk w JOIN steps s ON s.drawing_id = w.drawing_id AND s.step = w.step + 1),
-final AS (SELECT drawing_id, dropped FROM walk QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY step DESC) = 1)
-SELECT l.drawing_id, line_id FROM l JOIN final f ON f.drawing_id = l.drawing_id WHERE NOT list_contains(dropped, line_id)""")
+final AS (SELECT drawing_id, dropped FROM walk QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY step DESC) = 1),
+distinct_lines AS (SELECT l.*, 0 w FROM l JOIN final f ON f.drawing_id = l.drawing_id WHERE NOT list_contains(dropped, line_id))
+"""
+
+
+@query("it_dedup_lines", """
+WITH RECURSIVE l AS (SELECT drawing_id, line_id, CAST(floor(x1/5) AS BIGINT) x1, CAST(floor(y1/5) AS BIGINT) y1,
+  CAST(floor(x2/5) AS BIGINT) x2, CAST(floor(y2/5) AS BIGINT) y2 FROM lines_v),""" + DEDUP + """
+SELECT drawing_id, line_id FROM distinct_lines""")
 def _(fx):
     # The lines on a page a fifth as large, so that many lie near each other.
     return folds.dedup_lines(_shrunk(fx.lines, 5)).select("drawing_id", "line_id")
@@ -166,24 +173,42 @@ def _(fx):
     return tracks.sweep_collinear(_shrunk(fx.lines, 16))
 
 
-@query("it_merge_close_text")
+CROWDED = """WITH RECURSIVE crowded AS (SELECT t.drawing_id, text_id, CAST(floor(x1/8) AS BIGINT)*6 x1,
+  CAST(floor(y1/24) AS BIGINT)*14 y1, CAST(floor(x1/8) AS BIGINT)*6+x2-x1 x2, CAST(floor(y1/24) AS BIGINT)*14+y2-y1 y2,
+  regexp_replace(trim("text"), '\\s+', ' ', 'g') t, "text" raw, score, width w
+  FROM texts_v t JOIN drawings_v d ON t.drawing_id = d.drawing_id),"""
+ROWS = sw.walk("rowed", "crowded", "drawing_id", sw.TEXT_FIELDS, "y1, x1, text_id", sw.rows_join, sw.rows_union,
+               resort=sw.READING)
+TEXT_ITEM = 'drawing_id, o.id text_id, o.x1 x1, o.y1 y1, o.x2 x2, o.y2 y2, o.t "text", o.s score'
+
+
+def _blocks(source: str, fields: str = sw.TEXT_FIELDS, order: str = "y1, x1, text_id") -> str:
+    return sw.walk("blocked", source, "drawing_id", fields, order, sw.blocks_join, sw.blocks_union, resort=sw.READING)
+
+
+@query("it_merge_close_text", CROWDED.replace("/24", "/120") + sw.walk(
+    "closed", "crowded", "drawing_id", sw.TEXT_FIELDS.replace("'t': t", "'t': raw"), "y1, x1, text_id",
+    sw.close_join, sw.close_union, passes=False) + f" SELECT {TEXT_ITEM} FROM closed")
 def _(fx):
-    return folds.merge_close_texts(_crowded(fx.texts)).select("drawing_id", "text_id", *PLACE, "text", "score")
+    return folds.merge_close_texts(_crowded(fx.texts, 120)).select("drawing_id", "text_id", *PLACE, "text", "score")
 
 
-@query("it_merge_horiz")
+@query("it_merge_horiz", CROWDED + ROWS + f" SELECT {TEXT_ITEM} FROM rowed")
 def _(fx):
     merged = folds.merge_horizontal(_crowded(fx.texts), fx.drawings)
     return merged.select("drawing_id", "text_id", *PLACE, "text", "score")
 
 
-@query("it_merge_vert")
+@query("it_merge_vert", CROWDED + _blocks("crowded") + f" SELECT {TEXT_ITEM} FROM blocked")
 def _(fx):
     merged = folds.merge_vertical(_crowded(fx.texts), fx.drawings)
     return merged.select("drawing_id", "text_id", *PLACE, "text", "score")
 
 
-@query("it_merge_text")
+@query("it_merge_text", CROWDED + ROWS + "," + _blocks(
+    "rowed", "'id': o.id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 't': o.t, 's': o.s", "o.y1, o.x1, o.id")
+    + f""" SELECT {TEXT_ITEM} FROM blocked WHERE NOT (trim(o.t) = '' OR (length(trim(o.t)) = 1
+ AND NOT regexp_matches(trim(o.t), '[A-Za-z0-9]')) OR ((o.x2-o.x1)*(o.y2-o.y1) < 120 AND o.s < 0.5))""")
 def _(fx):
     return folds.merge_text_items(_crowded(fx.texts), fx.drawings).select(
         "drawing_id", "text_id", *PLACE, "text", "score")
@@ -198,12 +223,20 @@ def _(fx):
                          F.size("members").cast("bigint").alias("members"))
 
 
-@query("it_merge_segments")
+@query("it_merge_segments", """
+WITH RECURSIVE l AS (SELECT drawing_id, line_id, x1, y1, x2, y2 FROM lines_v
+  WHERE sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) >= 15),""" + DEDUP + "," + sw.walk(
+    "merged", "distinct_lines", "drawing_id", sw.LINE_FIELDS, "line_id", sw.segments_join, sw.segments_union) + """
+SELECT drawing_id, o.id line_id, o.x1 x1, o.y1 y1, o.x2 x2, o.y2 y2 FROM merged""")
 def _(fx):
     return folds.merge_segments(fx.lines)
 
 
-@query("it_merge_editor_lines")
+@query("it_merge_editor_lines", """
+WITH RECURSIVE long AS (SELECT *, 0 w FROM lines_v WHERE sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) >= 60),""" + sw.walk(
+    "joined", "long", "drawing_id, line_type", sw.LINE_FIELDS + ", 'd': direction", "line_id", sw.editor_join,
+    sw.editor_union, passes=False, rescan=True) + """
+SELECT drawing_id, o.id line_id, line_type, o.d direction, o.x1 x1, o.y1 y1, o.x2 x2, o.y2 y2 FROM joined""")
 def _(fx):
     return folds.merge_editor_lines(fx.lines, min_length=60.0).select(
         "drawing_id", "line_id", "line_type", "direction", *PLACE)
