@@ -85,16 +85,31 @@ def merge_segments(ids: np.ndarray, segments: np.ndarray) -> list[tuple]:
     """(id, final, x1, y1, x2, y2) of all states; passes are repeated until none merges."""
     states = []
     while True:
-        final, between = sweep(
-            len(ids), lambda i: segments[i],
-            lambda s, later: mergeable_with(s, segments[later]),
-            lambda s, j: extreme_ends(s, segments[j]))
+        low, high = _grown_bounds(segments)
+
+        def absorbs(state, later):
+            # Only segments of which the grown boxes meet can be mergeable.
+            a, z = _grown_bounds(state[None, :])
+            near = ((low[later] <= z) & (a <= high[later])).all(axis=1)
+            hit = np.zeros(len(later), dtype=bool)
+            hit[near] = mergeable_with(state, segments[later[near]])
+            return hit
+
+        final, between = sweep(len(ids), lambda i: segments[i], absorbs,
+                               lambda s, j: extreme_ends(s, segments[j]))
         states += [(ids[i], False, *s) for i, s in between]
         if not between:
             return states + [(ids[i], True, *s) for i, s in final]
         ids, segments = ids[[i for i, _ in final]], np.array([s for _, s in final])
 
 
+def _grown_bounds(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of the boxes grown as in matching.merge_reach."""
+    reach = 29.5 + 0.0875 * np.hypot(segments[:, 2] - segments[:, 0], segments[:, 3] - segments[:, 1])[:, None]
+    one, two = segments[:, :2], segments[:, 2:]
+    return np.minimum(one, two) - reach, np.maximum(one, two) + reach
+
+
 def drop_near_copies(segments: np.ndarray, limit: float) -> np.ndarray:
     """Flags of the lines to keep: of two with both ends near each other the longer one."""
     keep = np.ones(len(segments), dtype=bool)

@@ -73,17 +73,18 @@ def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame]
                           .withColumnRenamed("node", "id").select(*NODE, "component"))
     fresh = scratch.save(fold_components(items, labels, fold, schema))
     states = fresh
+
+    def under_component(rows):
+        """Grown states, named by their component: those of one are not compared."""
+        return (rows.where("NOT final").withColumn("id", F.col("component"))
+                .select(*originals.columns).distinct())
+
     for _ in range(max_rounds):
-        grown = fresh.where("NOT final").select(*originals.columns).distinct()
+        grown = under_component(fresh)
         changed = grown.select("drawing_id").distinct()
-        others = originals.unionByName(states.where("NOT final").select(*originals.columns)).join(
-            changed, "drawing_id", "left_semi")
-        met = links(grown, others)
-        for end in ("a", "b"):
-            known = labels.select("drawing_id", F.col("id").alias(end), F.col("component").alias("_c"))
-            met = (met.join(known, ["drawing_id", end], "left")
-                   .withColumn(end, F.coalesce("_c", end)).drop("_c"))
-        met = scratch.save(met.where("a <> b").distinct())
+        placed = (originals.join(changed, "drawing_id", "left_semi").join(labels, NODE, "left")
+                  .withColumn("id", F.coalesce("component", "id")).select(*originals.columns))
+        met = scratch.save(links(grown, placed.unionByName(under_component(states))))
         if met.isEmpty():
             final = states.where("final").select(*originals.columns)
             return originals.join(labels.select(*NODE), NODE, "left_anti").unionByName(final)
