@@ -28,9 +28,8 @@ def count_clusters(symbols: DataFrame) -> DataFrame:
 def cluster_sizes(clusters: DataFrame) -> DataFrame:
     """Size and share of every cluster; -1 is noise."""
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    return sizes.crossJoin(F.broadcast(total)).select(  # one row on the right
-        "cluster_id", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = sizes.agg(F.sum("n")).scalar()
+    return sizes.select("cluster_id", "n", (F.col("n") / total).alias("share"))
 
 
 def top_categories(symbols: DataFrame) -> DataFrame:
@@ -153,8 +152,8 @@ def cluster_order(clusters: DataFrame, row_id: str) -> DataFrame:
     """Clusters by size, largest first, noise last; with the id of the next new one."""
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
     placed = with_position(sizes, [], [F.expr("cluster_id = -1"), F.desc("n"), "first"], "place")
-    new = sizes.agg((F.max("cluster_id") + 1).alias("next_id"))
-    return placed.crossJoin(F.broadcast(new)).select("cluster_id", "n", "place", "next_id")  # one row
+    new = sizes.agg(F.max("cluster_id") + 1).scalar()
+    return placed.select("cluster_id", "n", "place", new.alias("next_id"))
 
 
 def exact_duplicates(lines: DataFrame) -> DataFrame:

@@ -120,10 +120,10 @@ def move_rows(clusters: DataFrame, moves: DataFrame, row_id: str) -> DataFrame:
 
     All rows of one edit share its new cluster; the last move of a row holds.
     """
-    highest = clusters.agg(F.max("cluster_id").alias("top"))
+    highest = clusters.agg(F.max("cluster_id")).scalar()
     opened = with_position(moves.where("target IS NULL").select("seq").distinct(), [], ["seq"], "nth")
-    given = (moves.join(opened, "seq", "left").crossJoin(F.broadcast(highest))  # one row
-             .withColumn("to", F.coalesce("target", F.col("top") + 1 + F.col("nth"))))
+    given = (moves.join(opened, "seq", "left")
+             .withColumn("to", F.coalesce(F.col("target"), highest + 1 + F.col("nth"))))
     last = given.groupBy(row_id).agg(F.max_by("to", "seq").alias("to"))
     return (clusters.join(last, row_id, "left")
             .withColumn("cluster_id", F.coalesce("to", "cluster_id")).drop("to"))

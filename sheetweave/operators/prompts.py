@@ -152,10 +152,9 @@ def _shuffled(drawings: DataFrame, seed: int) -> DataFrame:
 
 def split(drawings: DataFrame, ratio: float = 0.9, seed: int = 42) -> DataFrame:
     """Whole drawings into train and val: the first int(n * ratio) in seeded order."""
-    total = drawings.select("drawing_id").distinct().agg(F.count("*").alias("n"))
-    cut = (F.col("n") * ratio).cast("bigint")
-    return (_shuffled(drawings, seed).crossJoin(F.broadcast(total))  # one row
-            .select("drawing_id", F.when(F.col("place") < cut, "train").otherwise("val").alias("split")))
+    cut = drawings.agg((F.count_distinct("drawing_id") * ratio).cast("bigint")).scalar()
+    return _shuffled(drawings, seed).select(
+        "drawing_id", F.when(F.col("place") < cut, "train").otherwise("val").alias("split"))
 
 
 def sample(drawings: DataFrame, size: int, seed: int = 42) -> DataFrame:

@@ -21,7 +21,9 @@ DETECTIONS = """
 SELECT drawing_id, symbol_id*3+k det_id, x1+k*(symbol_id%9) x1, y1+k*(symbol_id%7) y1,
   x2+k*(symbol_id%9) x2, y2+k*(symbol_id%7) y2,
   ((symbol_id*37+k*411+drawing_id*13)%1000)/CAST(1000 AS DOUBLE) score
-FROM symbols_v CROSS JOIN (SELECT CAST(0 AS BIGINT) k UNION ALL SELECT 1 UNION ALL SELECT 2) q"""
+FROM {copies}"""
+COPIES_DUCKDB = "(SELECT *, unnest([0::BIGINT, 1, 2]) k FROM symbols_v) q"
+COPIES_SPARK = "symbols_v LATERAL VIEW explode(array(0L, 1L, 2L)) q AS k"
 
 TEXTS = """
 SELECT CAST(floor(c_custkey/75) AS BIGINT) drawing_id, c_custkey%75 text_id,
@@ -72,7 +74,7 @@ SELECT drawing_id, line_id, x1, y1, x2, y2, i,
 FROM (SELECT *, unnest(range(0, 80)) i FROM lines_v) q"""
 
 _VIEWS = {
-    "symbols_v": SYMBOLS, "dets_v": DETECTIONS, "texts_v": TEXTS, "lines_v": LINES,
+    "symbols_v": SYMBOLS, "dets_v": DETECTIONS.format(copies=COPIES_DUCKDB), "texts_v": TEXTS, "lines_v": LINES,
     "drawings_v": DRAWINGS, "edits_v": EDITS, "clusters_v": CLUSTERS,
     "runs_v": RUNS_DUCKDB, "samples_v": SAMPLES_DUCKDB,
 }
@@ -123,7 +125,7 @@ class Fixtures:
 
     @property
     def detections(self) -> DataFrame:
-        return self._sql(DETECTIONS, symbols_v=self.symbols)
+        return self._sql(DETECTIONS.format(copies=COPIES_SPARK), symbols_v=self.symbols)
 
     @property
     def texts(self) -> DataFrame:
