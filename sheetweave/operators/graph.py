@@ -261,7 +261,7 @@ def chain_hits(members: DataFrame, symbols: DataFrame, max_distance: float) -> D
     member closest to the centre, which lies within the distance plus half the
     diagonal of the box. Adds distance, first_member and pos.
     """
-    size = max(max_distance, 64.0)
+    size = max(2 * max_distance, 64.0)
     cx, cy = g.center(box())
     half = F.hypot((F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")) / 2
     nodes = symbols.select("drawing_id", "symbol_id", cx.alias("cx"), cy.alias("cy"), half.alias("half"),
