@@ -134,7 +134,7 @@ def _(fx):
 @query("clu_density")
 def _(fx):
     flat = cl.pca2d(_unit(fx), "embedding").select("vec_id", "px", "py")
-    return cl.density_clusters(flat, "vec_id", 0.05, 5, 10).select("vec_id", "cluster_id")
+    return cl.density_clusters(flat, "vec_id", 0.03, 5, 10).select("vec_id", "cluster_id")
 
 
 @query("clu_pca2d")
