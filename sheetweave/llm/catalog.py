@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import exact_dedup, line_dedup
+from sheetweave.llm import bpe, exact_dedup, line_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
