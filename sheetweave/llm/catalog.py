@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import bpe, exact_dedup, line_dedup
+from sheetweave.llm import bpe, exact_dedup, jaccard, language_id, line_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_language_id": language_id.op9_language_id,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLE = {
