@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import bpe, exact_dedup, jaccard, language_id, line_dedup
+from sheetweave.llm import bpe, exact_dedup, jaccard, language_id, line_dedup, substring_dedup
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_language_id": language_id.op9_language_id,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
