@@ -35,7 +35,16 @@ LONGEST = 1024
 CACHED_CHUNKS, CACHED_WORDS = 20_000, 150_000
 
 SPECIAL = re.compile(rb"<\|(?:startoftext|endoftext)\|>")
-PLAIN = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9'\x80-\xff<>|]*)")
+#: Letters of ASCII and Latin-1, which no normal form changes, and ASCII marks after them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for
+    the code points from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Generations(dict):
@@ -71,6 +80,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.alphabet = byte_letters()
         self.words = Generations(self.encode_word, CACHED_WORDS)
         self.letters = Generations(self.encode_letters, CACHED_WORDS // 8)
         self.chunks = Generations(self.encode_chunk, CACHED_CHUNKS)
@@ -80,13 +90,15 @@ class Encoder:
         ids = self.tokenizer.encode(data.decode("utf-8"), add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def encode_letters(self, piece: bytes) -> bytes:
-        """One pre-token of ASCII characters, lower-cased: the model alone decides."""
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece.decode("ascii"))], "<u4").tobytes()
+    def encode_letters(self, piece: str) -> bytes:
+        """One pre-token, lower-cased: the model alone decides."""
+        if not piece.isascii():
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
 
     def encode_word(self, word: bytes) -> bytes:
         """Letters followed by marks are two pre-tokens; anything else goes the full way."""
-        plain = PLAIN.fullmatch(word)
+        plain = PLAIN.fullmatch(word.decode("utf-8"))
         if plain is None or len(word) > LONGEST:
             return self.whole(word)
         letters, marks = plain[1].lower(), plain[2]
