@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sheetweave.llm.store import id_text
 from sheetweave.llm.texts import map_rows
 
-#: A cut follows white space where the hash has these bits clear; about every 12th word.
-MASK = 7
+#: A cut follows white space where the hash has these bits clear; about every 32nd word.
+MASK = 31
 #: Bytes from which a word without white space is cut at hashes alone.
 LONGEST = 1024
 #: Entries of each of the two generations of a cache.
@@ -38,13 +41,15 @@ SPECIAL = re.compile(rb"<\|(?:startoftext|endoftext)\|>")
 #: Letters of ASCII and Latin-1, which no normal form changes, and ASCII marks after them.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?@\\[-`{}~]*)")
 
+plain_word = PLAIN.fullmatch
 
-def byte_letters() -> dict[int, str]:
+
+def byte_letters() -> str:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for
     the code points from 256 on, in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in own else chr(next(rest)) for b in range(256))
 
 
 class Generations(dict):
@@ -65,6 +70,14 @@ class Generations(dict):
         return value
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers, whatever the machine."""
+    values = array("I", ids)
+    if sys.byteorder == "big":
+        values.byteswap()
+    return values.tobytes()
+
+
 def white(byte: int) -> bool:
     return byte == 32 or 9 <= byte <= 13
 
@@ -81,38 +94,42 @@ class Encoder:
         self.tokenizer.no_padding()
         self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.alphabet = byte_letters()
+        self.tokenize = self.tokenizer.model.tokenize
         self.words = Generations(self.encode_word, CACHED_WORDS)
-        self.letters = Generations(self.encode_letters, CACHED_WORDS // 8)
+        self.marks = Generations(self.encode_letters, CACHED_WORDS // 8)
         self.chunks = Generations(self.encode_chunk, CACHED_CHUNKS)
 
     def whole(self, data: bytes) -> bytes:
         """The library's ids of a string, as little-endian unsigned 32-bit integers."""
-        ids = self.tokenizer.encode(data.decode("utf-8"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(data.decode("utf-8"), add_special_tokens=False).ids)
 
-    def encode_letters(self, piece: str) -> bytes:
-        """One pre-token, lower-cased: the model alone decides."""
-        if not piece.isascii():
-            piece = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+    def encode_letters(self, piece: bytes) -> bytes:
+        """One pre-token, lower-cased, in UTF-8: the model alone decides."""
+        return packed([t.id for t in self.tokenize(charmap_decode(piece, "strict", self.alphabet)[0])])
 
     def encode_word(self, word: bytes) -> bytes:
         """Letters followed by marks are two pre-tokens; anything else goes the full way."""
-        plain = PLAIN.fullmatch(word.decode("utf-8"))
-        if plain is None or len(word) > LONGEST:
+        if len(word) > LONGEST:
             return self.whole(word)
-        letters, marks = plain[1].lower(), plain[2]
-        ids = self.encode_letters(letters)
-        return ids + self.letters[marks] if marks else ids
+        if word.isalpha():
+            return self.encode_letters(word.lower())
+        if word[:-1].isalpha() and word[-1] in b".,":
+            letters = word[:-1].lower()
+            return (self.words.get(letters) or self.encode_letters(letters)) + self.marks[word[-1:]]
+        plain = plain_word(word.decode("utf-8"))
+        if plain is None:
+            return self.whole(word)
+        ids = self.encode_letters(plain[1].lower().encode("utf-8"))
+        return ids + self.marks[plain[2].encode("ascii")] if plain[2] else ids
 
     def encode_chunk(self, chunk: bytes) -> bytes:
         return b"".join(map(self.words.__getitem__, chunk.split()))
 
     def encode(self, data: bytes) -> bytes:
-        cuts = chunk_cuts(data)
+        cuts, inside = chunk_cuts(data)
         edges = zip([0, *cuts], [*cuts, len(data)])
         chunks = self.chunks
-        if len(data) > LONGEST and longest_run(data) > LONGEST:
+        if inside:
             return self.repaired([data[a:b] for a, b in edges])
         return b"".join([chunks[data[a:b]] for a, b in edges])
 
@@ -136,33 +153,27 @@ class Encoder:
         return " ".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def longest_run(data: bytes) -> int:
-    return max(map(len, data.split()), default=0)
-
-
-def chunk_cuts(data: bytes) -> list[int]:
-    """Places where a chunk ends: after white space by the rolling hash; inside words only
-    beyond LONGEST bytes without white space, and then not inside a character or special token."""
-    if len(data) < 32:
-        return []
+def chunk_cuts(data: bytes) -> tuple[list[int], bool]:
+    """Places where a chunk ends, and whether any lies inside a word. Cuts follow white space
+    by the rolling hash; inside words only beyond LONGEST bytes without white space, and then
+    not inside a character or special token."""
     raw = np.frombuffer(data, np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    at = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-    at = at[at >= 8]
+    blank = np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    at = blank[blank >= 7] + 1
     rolled = np.zeros(len(at), np.uint32)
     for k in range(8, 0, -1):
         rolled = rolled * np.uint32(0x01000193) + raw[at - k]
     rolled ^= rolled >> np.uint32(15)
     cuts = at[(rolled & np.uint32(MASK)) == 0]
-    if len(data) > LONGEST and longest_run(data) > LONGEST:
-        bounds = np.concatenate(([0], cuts, [len(data)]))
-        extra = [inner_cuts(raw, a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())
-                 if b - a > LONGEST]
-        inner = np.concatenate(extra) if extra else np.zeros(0, np.int64)
-        for special in SPECIAL.finditer(data):
-            inner = inner[(inner <= special.start()) | (inner >= special.end())]
-        cuts = np.unique(np.concatenate((cuts, inner)))
-    return cuts.tolist()
+    gaps = np.diff(blank, prepend=-1, append=len(raw))
+    if gaps.max() <= LONGEST:
+        return cuts.tolist(), False
+    ends = np.append(blank, len(raw))[gaps > LONGEST]
+    starts = ends - gaps[gaps > LONGEST] + 1
+    inner = np.concatenate([inner_cuts(raw, a, b) for a, b in zip(starts.tolist(), ends.tolist())])
+    for special in SPECIAL.finditer(data):
+        inner = inner[(inner <= special.start()) | (inner >= special.end())]
+    return np.unique(np.concatenate((cuts, inner))).tolist(), True
 
 
 def inner_cuts(raw: np.ndarray, start: int, end: int) -> np.ndarray:
