@@ -45,7 +45,7 @@ from sheetweave.llm.texts import map_rows, mix, sequence_hashes, word_hashes
 
 WORDS = 5
 #: Members and tokens of a block of a group; a task holds two blocks.
-BLOCK_MEMBERS, BLOCK_TOKENS = 1024, 1 << 20
+BLOCK_MEMBERS, BLOCK_TOKENS = 512, 1 << 19
 #: Bits that hold the band in a signature; tokens of irregular documents use bands from 32 on.
 BAND_SHIFT = 58
 #: Weight of a document that meets others in a segment by chance, in rows.

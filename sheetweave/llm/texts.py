@@ -31,7 +31,8 @@ _POWERS = np.cumprod(np.full(64, _BASE, np.uint64))
 
 def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns))
+        for start in range(0, batch.num_rows, 256):  # few Python objects at a time
+            yield from zip(*(column.to_pylist() for column in batch.slice(start, 256).columns))
 
 
 def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
