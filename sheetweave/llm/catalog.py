@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import bpe, exact_dedup, jaccard, language_id, line_dedup, substring_dedup, token_files
+from sheetweave.llm import bpe, decontamination, exact_dedup, jaccard, language_id, line_dedup, substring_dedup, token_files
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
     "op10_bpe": bpe.op10_bpe,
 }
