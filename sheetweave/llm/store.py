@@ -5,6 +5,8 @@ Tables go below ``spark.checkpoint.dir``, so a lost executor costs a re-read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sheetweave.scratch import Scratch
@@ -21,6 +23,17 @@ class Store(Scratch):
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         return path.getFileSystem(conf).getContentSummary(path).getLength()
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Writes a table bucketed and sorted by ``key``: later joins by it move only the
+        other side. ``df`` comes from an aggregation by the key, whose partitions are the
+        buckets already, so each bucket is written by one task."""
+        name, buckets = f"sheetweave_{uuid.uuid4().hex}", partitions(self.spark)
+        (df.write.format("parquet").bucketBy(buckets, key).sortBy(key)
+         .option("path", f"{self.base}/{name}").saveAsTable(name))
+        stored = self.spark.table(name)
+        self._paths[id(stored)] = f"{self.base}/{name}"
+        return stored
+
     def attach(self, large: DataFrame, stored: DataFrame, on, how: str = "inner",
                limit: int = BROADCAST_BYTES) -> DataFrame:
         """Joins a written table to a larger one: by broadcast if it is small, else by a
@@ -29,10 +42,6 @@ class Store(Scratch):
         return large.join(F.broadcast(stored) if small else stored, on, how)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators on texts read, under names of their own; null texts
     become empty. Other columns, whatever their names, stay behind."""

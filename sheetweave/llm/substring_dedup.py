@@ -14,7 +14,8 @@ has no size bound, so shards are not broadcast but travel by their anchor; a tas
 one at a time. Only distinct shared pieces are in a shard, so a passage that a third of
 all documents hold is one piece.
 
-Copies of a text are folded before, by digest. Defined results: null and short texts
+Copies of a text are folded before, by digest; the distinct texts are shuffled once, into a
+table bucketed by it, and all later steps are joined to that table. Defined results: null and short texts
 lose nothing; a copy of a text of at least WINDOW words loses all words; windows that
 repeat within one document only are kept. Null ids come after all others. Rows that
 repeat an id and a text share their result. Other columns are not read.
@@ -127,7 +128,7 @@ def judged_shard(rows):
 def _profile(rows):
     for cid, text in rows:
         words = word_hashes(text.encode("utf-8"))
-        yield cid, len(words), np.unique(anchors_of(words)).view(np.int64)
+        yield cid, np.unique(anchors_of(words)).view(np.int64)
 
 
 def _windows(rows):
@@ -178,85 +179,91 @@ def _ranges(rows):
         yield cid, [a for a, _ in merged], [b for _, b in merged]
 
 
-def removed_ranges(spark: SparkSession, docs: DataFrame) -> tuple[Store, DataFrame, DataFrame]:
-    """Texts (doc_id, text, key), and a stored table (key, low, n_words, starts, ends): the
-    ranges of words that the row with the smallest id of each text loses."""
-    store = Store(spark)
+def text_classes(store: Store, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key), and a table with one row for each distinct text (key, low, cid,
+    text) bucketed by key, so that texts are shuffled once. Copies fold before the shuffle."""
     texts = id_text(docs).withColumn("key", F.unhex(F.sha2("text", 256)))
-    classes = store.save(
-        texts.groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("low"))
-        .select("key", "low", F.monotonically_increasing_id().alias("cid")))
+    own = F.coalesce("doc_id", F.lit(LAST)).alias("low")
+    classes = texts.select("key", own, "text").groupBy("key").agg(F.min("low").alias("low"), F.first("text").alias("text"))
+    return texts.select("doc_id", "key"), store.bucketed(
+        classes.select("key", "low", F.monotonically_increasing_id().alias("cid"), "text"), "key")
+
 
-    def first_rows(stored, *columns):
-        own = F.coalesce("doc_id", F.lit(LAST)) == F.col("low")
-        return store.attach(texts, stored, "key").where(own).select(*columns)
+def lost_ranges(store: Store, classes: DataFrame) -> DataFrame:
+    """(key, starts, ends) for each text that has a window of a text with a smaller id."""
+    ids = classes.select("key", "low", "cid")
 
-    profile = store.save(map_rows(first_rows(classes, "cid", "text"), _profile,
-                                  "cid long, n_words long, anchors array<long>"))
+    def keyed(found: DataFrame) -> DataFrame:
+        return found.join(ids.select("key", "cid"), "cid").drop("cid")
+
+    profile = store.save(map_rows(classes.select("cid", "text"), _profile, "cid long, anchors array<long>"))
     anchors = profile.select("cid", F.explode("anchors").alias("anchor"))
     several = F.min("cid") < F.max("cid")
     common = store.save(anchors.groupBy("anchor").agg(several.alias("s")).where("s").select("anchor"))
-    marked = store.save(
-        store.attach(anchors, common, "anchor").groupBy("cid").agg(F.collect_set("anchor").alias("shared"))
-        .join(classes, "cid").select("key", "low", "cid", "shared"))
-    store.forget(common)
-    found = store.save(map_rows(first_rows(marked, "cid", "text", "shared"), _windows,
+    marked = keyed(anchors.join(common, "anchor").groupBy("cid").agg(F.collect_set("anchor").alias("shared")))
+    found = store.save(map_rows(classes.join(marked, "key").select("cid", "text", "shared"), _windows,
                                 "cid long, at array<int>, hash array<long>"))
-    store.forget(marked)
     windows = found.select("cid", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("cid", "w.at", "w.hash")
     twice = store.save(windows.groupBy("hash").agg(several.alias("s")).where("s").select("hash"))
-    passages = store.save(
-        map_rows(store.attach(windows, twice, "hash").groupBy("cid").agg(F.collect_list("at").alias("at")),
-                 _runs, "cid long, runs array<int>")
-        .join(classes, "cid").select("key", "low", "cid", "runs"))
-    store.forget(found)
-    store.forget(twice)
+    passages = keyed(map_rows(
+        windows.join(twice, "hash").groupBy("cid").agg(F.collect_list("at").alias("at")),
+        _runs, "cid long, runs array<int>"))
     pieces = store.save(map_rows(
-        first_rows(passages, "cid", "low", "text", "runs"), _pieces,
+        classes.join(passages, "key").select("cid", "low", "text", "runs"), _pieces,
         "anchor long, pid binary, cid long, low long, start int, piece binary"))
-    store.forget(passages)
+    for old in (profile, common, found, twice):
+        store.forget(old)
     shards = pieces.groupBy("anchor", "pid").agg(F.min("low").alias("low"), F.first("piece").alias("piece"))
     judged = store.save(map_rows(
         shards.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "pid", "low", "piece"),
         judged_shard, "pid binary, offs array<int>, counts array<int>, lows array<long>"))
-    lost = (store.attach(pieces.select("pid", "cid", "low", "start"), judged, "pid")
+    lost = (pieces.select("pid", "cid", "low", "start").join(judged, "pid")
             .select("cid", "low", "start", F.explode(F.arrays_zip("offs", "counts", "lows")).alias("w"))
             .where("w.lows < low").selectExpr("cid", "start + w.offs AS start", "w.counts AS count"))
-    ranges = map_rows(lost.groupBy("cid").agg(F.collect_list("start").alias("starts"),
-                                              F.collect_list("count").alias("counts")),
-                      _ranges, "cid long, starts array<int>, ends array<int>")
-    result = store.save(
-        classes.join(profile.select("cid", "n_words").distinct(), "cid").join(ranges, "cid", "left")
-        .select("key", "low", "n_words", "starts", "ends"))
-    store.forget(pieces)
-    return store, texts, result
+    return store.save(keyed(map_rows(
+        lost.groupBy("cid").agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts")),
+        _ranges, "cid long, starts array<int>, ends array<int>")))
 
 
 def _without(rows):
-    for doc_id, text, first, starts, ends in rows:
+    for key, low, text, starts, ends in rows:
         words = word_bytes(text)
-        n = len(words)
-        if not first:
-            starts, ends = ([0], [n]) if n >= WINDOW else ([], [])
         keep, at = [], 0
         for a, b in zip(starts or [], ends or []):
             keep += words[at:a]
             at = b
         keep += words[at:]
-        yield doc_id, n, n - len(keep), b" ".join(keep).decode("utf-8")
+        yield key, low, len(words), len(words) - len(keep), b" ".join(keep).decode("utf-8")
+
+
+def substring_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key), and for each distinct text (key, low, n_words, n_removed, kept_text)
+    what its row with the smallest id keeps."""
+    store = Store(spark)
+    rows, classes = text_classes(store, docs)
+    ranges = lost_ranges(store, classes)
+    left = classes.join(ranges, "key", "left").select("key", "low", "text", "starts", "ends")
+    return rows, map_rows(left, _without,
+                          "key binary, low long, n_words long, n_removed long, kept_text string")
+
+
+def of_rows(rows: DataFrame, classes: DataFrame, kept: str, nothing) -> DataFrame:
+    """Results of distinct texts for all rows; a copy with a smaller id of its text loses all."""
+    copy = (F.coalesce("doc_id", F.lit(LAST)) > F.col("low")) & (F.col("n_words") >= WINDOW)
+    return rows.join(classes, "key").select(
+        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, nothing).otherwise(F.col(kept)).alias(kept))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text: the words left, joined by one space."""
-    store, texts, result = removed_ranges(spark, docs)
-    first = F.coalesce("doc_id", F.lit(LAST)) == F.col("low")
-    return map_rows(store.attach(texts, result, "key").select("doc_id", "text", first, "starts", "ends"),
-                    _without, "doc_id long, n_words long, n_removed long, kept_text string")
+    return of_rows(*substring_classes(spark, docs), "kept_text", F.lit(""))
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = substring_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"))
-    return out.select("doc_id", "n_words", "n_removed", digest(F.col("kept_text")).alias("kept_sha256"))
+    rows, classes = substring_classes(spark, spark.read.parquet(f"{folder}/documents.parquet"))
+    hashed = classes.select("key", "low", "n_words", "n_removed", digest(F.col("kept_text")).alias("kept_sha256"))
+    return of_rows(rows, hashed, "kept_sha256", digest(F.lit("")))
 
 
 ORACLE = """
