@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import bpe, decontamination, exact_dedup, jaccard, language_id, line_dedup, substring_dedup, token_files
+from sheetweave.llm import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, line_dedup, substring_dedup, token_files
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_files": token_files.op3_token_files,
+    "op4_html_text": html_text.op4_html_text,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_line_dedup": line_dedup.op7_line_dedup,
