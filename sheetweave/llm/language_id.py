@@ -93,7 +93,7 @@ def _examples(rows):
         for piece in texts:
             if has_letter(piece):
                 bucket, count = np.unique(subwords(piece), return_counts=True)
-                yield lang, bucket.astype(np.int32), count.astype(np.int32)
+                yield lang, bucket.astype("<u2").tobytes(), count.astype("<u4").tobytes()
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -111,13 +111,16 @@ def train(labelled_rows: DataFrame, sample_rows: int = SAMPLE_ROWS, margin: floa
     share = min(1.0, sample_rows / max(1, labelled_rows.select("doc_id").count()))
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 30)) <= int(share * (1 << 30))
     rows = map_rows(labelled_rows.where(drawn).select("doc_id", "text", "lang"), _examples,
-                    "lang string, buckets array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r["lang"], len(r["buckets"]), r["buckets"][:8], r["counts"][:8]))
+                    "lang string, buckets binary, counts binary").collect()
+    rows.sort()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
-    data = [(languages.index(r["lang"]), np.array(r["buckets"]),
-             np.array(r["counts"], np.float32) / sum(r["counts"])) for r in rows]
+    data = []
+    while rows:
+        lang, bucket, count = rows.pop()
+        count = np.frombuffer(count, "<u4").astype(np.float32)
+        data.append((languages.index(lang), np.frombuffer(bucket, "<u2"), count / count.sum()))
     chance = np.random.default_rng(SEED)
     chance.shuffle(data)
     held_back = data[::5] if len(data) >= 50 else data
