@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, line_dedup, substring_dedup, token_files
+from sheetweave.llm import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, line_dedup, substring_dedup, token_counts, token_files
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_files": token_files.op3_token_files,
     "op4_html_text": html_text.op4_html_text,
