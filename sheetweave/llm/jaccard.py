@@ -26,7 +26,7 @@ the task. Pairs are never written.
 Copies of a text are folded to one row before, by digest. Shingle hashes have 64 bits.
 
 Defined results: texts without words have no shingles and no links; their component is
-their smallest id. Repeated rows of a text are one class; null ids take the component of
+their own id. Repeated rows of a text are one class; null ids take the component of
 their class, null if there is no other id. Other columns are not read.
 """
 
@@ -232,7 +232,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     result = store.save(
         classes.join(sets.select("cid", "n").distinct(), "cid").join(linked, "cid", "left")
         .select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "low").alias("component_id")))
-    return store.attach(texts.select("doc_id", "key"), result, "key").select("doc_id", "n_shingles", "component_id")
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return store.attach(texts.select("doc_id", "key"), result, "key").select(
+        "doc_id", "n_shingles", alone.alias("component_id"))
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
