@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from sheetweave.scratch import Scratch
 
 ID_SPAN = 65_536
-ONE_TASK = 100_000
 
 
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,11 +42,13 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "lo": nodes["node"].to_numpy()[label[leaf]]})
 
 
-def _contract_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same for a whole partition, of a size checked before."""
-    links = list(batches)
-    if links:
-        yield from _contract(iter([pd.concat(links)]))
+def _contract_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contracts batch after batch together with the stars so far; holds the nodes of one partition."""
+    held = None
+    for links in batches:
+        held = next(_contract(iter([links if held is None else pd.concat([held, links])])))
+    if held is not None:
+        yield held
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -75,31 +76,23 @@ def _is_settled(links: DataFrame) -> bool:
     return twice.unionByName(inner).isEmpty()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(drawing_id, node, component), the component being its lowest node.
 
-    Links of one drawing are first contracted batch by batch, which settles
-    ordinary drawings at once; what is left, parts of large drawings, is settled
-    by alternating star rounds, of which the number grows with the logarithm of
-    the size. Nodes without links are left out.
+    Links are first contracted within partitions, of which AQE makes few when there
+    is little; what crosses partitions is settled by alternating star rounds, of
+    which the number grows with the logarithm of the size. Nodes without links are left out.
     """
     scratch = Scratch(links.sparkSession)
     directed = scratch.save(links.where("a <> b")
                             .selectExpr("drawing_id", "greatest(a, b) hi", "least(a, b) lo"))
-    if directed.count() <= ONE_TASK:
-        return _with_roots(scratch.save(
-            directed.coalesce(1).mapInPandas(_contract_whole, directed.schema)))
     spread = (directed.repartition("drawing_id", F.floor(F.col("hi") / ID_SPAN))
               .sortWithinPartitions("drawing_id"))
-    current = scratch.save(spread.mapInPandas(_contract, directed.schema).distinct())
-    for _ in range(max_rounds):
-        if _is_settled(current):
-            break
+    current = scratch.save(spread.mapInPandas(_contract_partition, directed.schema))
+    while not _is_settled(current):
         following = scratch.save(_small_star(_large_star(current)))
         scratch.forget(current)
         current = following
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return _with_roots(current)
 
 

@@ -60,7 +60,7 @@ def fold_components(items: DataFrame, labels: DataFrame, fold: Callable[[pd.Data
 
 
 def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame], fold, schema: str,
-            as_state: Callable[[DataFrame], DataFrame], max_rounds: int = 50) -> DataFrame:
+            as_state: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Final states of the fold over each drawing; see the head of this module.
 
     Items and states have an id, that of a state being its first item's. Only
@@ -79,7 +79,7 @@ def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame]
         return (rows.where("NOT final").withColumn("id", F.col("component"))
                 .select(*originals.columns).distinct())
 
-    for _ in range(max_rounds):
+    while True:  # each round unites components, so there are fewer rounds than components
         grown = under_component(fresh)
         changed = grown.select("drawing_id").distinct()
         placed = (originals.join(changed, "drawing_id", "left_semi").join(labels, NODE, "left")
@@ -101,7 +101,6 @@ def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame]
         fresh = scratch.save(fold_components(items, members, fold, schema))
         states = states.join(moved.select("drawing_id", "component"), ["drawing_id", "component"],
                              "left_anti").unionByName(fresh)
-    raise RuntimeError(f"merge not settled after {max_rounds} rounds")
 
 
 def _boxes(part: pd.DataFrame) -> np.ndarray:

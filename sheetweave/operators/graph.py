@@ -28,6 +28,12 @@ def override_boxes(symbols: DataFrame, detections: DataFrame) -> DataFrame:
             .drop(*(f"d_{c}" for c in PLACE)))
 
 
+def first_lines(lines: DataFrame, count: int = 10) -> DataFrame:
+    """The first lines of each drawing in order of their ids; each task passes on no more than these."""
+    by_id = Window.partitionBy("drawing_id").orderBy("line_id")
+    return lines.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= count).drop("_n")
+
+
 def scale_symbols(symbols: DataFrame, lines: DataFrame, header: DataFrame) -> DataFrame:
     """Brings symbols to the space of lines where that is more than twice as large.
 
@@ -35,7 +41,7 @@ def scale_symbols(symbols: DataFrame, lines: DataFrame, header: DataFrame) -> Da
     two nothing is scaled, without a scale the ratio of the means is used.
     """
     mean = F.expr("(x1 + y1 + x2 + y2) / 4")
-    line_mean = (lines.where("line_id < 10").groupBy("drawing_id")
+    line_mean = (first_lines(lines).groupBy("drawing_id")
                  .agg(F.avg(mean).alias("line_mean")))
     symbol_mean = symbols.groupBy("drawing_id").agg(F.avg(mean).alias("symbol_mean"))
     factor = (symbol_mean.join(header, "drawing_id", "left")

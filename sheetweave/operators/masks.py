@@ -95,17 +95,22 @@ def union_masks(runs: DataFrame, masks: DataFrame, group: str) -> tuple[DataFram
 def pixel_stats(runs: DataFrame, pixel_rows: DataFrame) -> DataFrame:
     """Grey statistics of the pixels under each mask.
 
-    Pixel rows are (drawing_id, y, grey ARRAY). Sums of whole numbers are added
-    per task before the shuffle, so the result does not hang on the order.
+    Pixel rows are (drawing_id, y, grey ARRAY). Each run is summed within its row, so
+    no row per pixel arises; whole numbers make the result independent of the order.
     """
     values = F.slice("grey", (F.col("x_start") + 1).cast("int"),
                      (F.col("x_end") - F.col("x_start")).cast("int"))
-    v = F.col("v").cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate("v", zero, lambda a, x: a + x)
+    squares = F.aggregate("v", zero, lambda a, x: a + x.cast("bigint") * x)
+    white = F.size(F.filter("v", lambda x: x > 240))
     sums = (runs.where("x_end > x_start").join(pixel_rows, ["drawing_id", "y"])
-            .select("drawing_id", "mask_id", F.explode(values).alias("v"))
+            .select("drawing_id", "mask_id", values.alias("v"))
+            .select("drawing_id", "mask_id", F.size("v").alias("n"), total.alias("s"), squares.alias("q"),
+                    white.alias("white"))
             .groupBy("drawing_id", "mask_id")
-            .agg(F.count("*").alias("pixels"), F.sum(v).alias("s"), F.sum(v * v).alias("q"),
-                 F.count_if(v > 240).alias("white")))
+            .agg(F.sum("n").alias("pixels"), F.sum("s").alias("s"), F.sum("q").alias("q"),
+                 F.sum("white").alias("white")))
     spread = F.sqrt((F.col("pixels") * F.col("q") - F.col("s") * F.col("s")).cast("double"))
     return sums.select("drawing_id", "mask_id", "pixels",
                        (F.col("white") / F.col("pixels")).alias("white_share"),

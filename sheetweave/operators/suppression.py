@@ -52,13 +52,10 @@ def _hit_by(boxes: DataFrame, taken: DataFrame, conflict: Conflict) -> DataFrame
                    & conflict(box(), box("t_"))))
 
 
-def _decide(pairs: DataFrame, waiting: DataFrame, scratch: Scratch,
-            max_rounds: int) -> tuple[DataFrame | None, DataFrame]:
+def _decide(pairs: DataFrame, waiting: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
     """Dropped nodes, and pairs that hang on boxes which have to wait."""
     dropped = None
-    for _ in range(max_rounds):
-        if pairs.isEmpty():
-            break
+    while not pairs.isEmpty():  # each round drops boxes or is the last
         better = pairs.selectExpr("drawing_id", "better id").distinct()
         taken = (better.join(pairs.selectExpr("drawing_id", "worse id"), NODE, "left_anti")
                  .join(waiting, NODE, "left_anti"))
@@ -74,13 +71,10 @@ def _decide(pairs: DataFrame, waiting: DataFrame, scratch: Scratch,
         scratch.forget(pairs)
         pairs = following
         dropped = now if dropped is None else dropped.unionByName(now)
-    else:
-        raise RuntimeError(f"suppression not settled after {max_rounds} rounds")
     return dropped, pairs
 
 
-def suppress(boxes: DataFrame, conflict: Conflict, size: float = 64, depth: int = 64,
-             max_rounds: int = 200) -> DataFrame:
+def suppress(boxes: DataFrame, conflict: Conflict, size: float = 64, depth: int = 64) -> DataFrame:
     """Boxes that survive, from (drawing_id, id, score, x1, y1, x2, y2).
 
     Boxes in conflict must overlap. The rank is the score, descending, then the id.
@@ -95,7 +89,7 @@ def suppress(boxes: DataFrame, conflict: Conflict, size: float = 64, depth: int
              .select("drawing_id", "top.id", "top.score", "x1", "y1", "x2", "y2"))
     open_boxes = scratch.save(piles)
     kept = boxes.where(~copy)
-    for _ in range(max_rounds):
+    while True:  # each round takes the best box of every cell at least
         spread = with_cells(open_boxes, box(), size)
         listed = scratch.save(_rivals(spread, depth))
         seen = listed.groupBy(*NODE).agg(F.count("*").alias("_seen"))
@@ -104,7 +98,7 @@ def suppress(boxes: DataFrame, conflict: Conflict, size: float = 64, depth: int
                                .where(F.coalesce("_seen", F.lit(0)) < F.col("_cells"))
                                .select(*NODE))
         pairs = scratch.save(_conflicts(listed, conflict))
-        dropped, pairs = _decide(pairs, waiting, scratch, max_rounds)
+        dropped, pairs = _decide(pairs, waiting, scratch)
         left = open_boxes if dropped is None else open_boxes.join(dropped, NODE, "left_anti")
         if waiting.isEmpty():
             return kept.unionByName(left)
@@ -115,7 +109,6 @@ def suppress(boxes: DataFrame, conflict: Conflict, size: float = 64, depth: int
         hit = _hit_by(with_cells(rest, box(), size), with_cells(taken, box(), size), conflict)
         following = scratch.save(rest.join(hit.select(*NODE), NODE, "left_anti"))
         open_boxes = following
-    raise RuntimeError(f"suppression not settled after {max_rounds} rounds")
 
 
 def absorbed_by(boxes: DataFrame, kept: DataFrame, conflict: Conflict,

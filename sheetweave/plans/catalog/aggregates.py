@@ -47,13 +47,14 @@ def _(fx):
 
 @query("agg_coord_mean", """
 WITH s AS (SELECT drawing_id, avg((x1+y1+x2+y2)/4.0) symbol_mean FROM symbols_v GROUP BY drawing_id),
-l AS (SELECT drawing_id, avg((x1+y1+x2+y2)/4.0) line_mean FROM lines_v WHERE line_id < 10 GROUP BY drawing_id)
+l AS (SELECT drawing_id, avg((x1+y1+x2+y2)/4.0) line_mean FROM
+  (SELECT * FROM lines_v QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY line_id) <= 10) GROUP BY drawing_id)
 SELECT s.drawing_id, round(symbol_mean, 6) symbol_mean, round(line_mean, 6) line_mean
 FROM s LEFT JOIN l ON l.drawing_id = s.drawing_id""")
 def _(fx):
     mean = F.expr("(x1+y1+x2+y2)/4")
     symbols = fx.symbols.groupBy("drawing_id").agg(r6(F.avg(mean)).alias("symbol_mean"))
-    lines = (fx.lines.where("line_id < 10").groupBy("drawing_id")
+    lines = (graph.first_lines(fx.lines).groupBy("drawing_id")
              .agg(r6(F.avg(mean)).alias("line_mean")))
     return symbols.join(lines, "drawing_id", "left")
 
@@ -205,22 +206,28 @@ def _(fx):
 
 
 @query("agg_mask_eval", """
-WITH p AS (SELECT drawing_id, CAST(floor(mask_id/3) AS BIGINT) mid, y, x_start, x_end FROM runs_v WHERE mask_id%3 = 1),
-t AS (SELECT drawing_id, CAST(floor(mask_id/3) AS BIGINT) mid, y, x_start, x_end FROM runs_v WHERE mask_id%3 = 0),
+WITH p AS (SELECT drawing_id, CAST(floor(mask_id/3)*2 + mask_id%3 - 1 AS BIGINT) mid, y, x_start, x_end FROM runs_v WHERE mask_id%3 > 0),
+t AS (SELECT drawing_id, CAST(floor(mask_id/3)*2 + k AS BIGINT) mid, y, x_start, x_end FROM runs_v, range(2) r(k) WHERE mask_id%3 = 0),
 pa AS (SELECT drawing_id, mid, sum(x_end-x_start) p FROM p GROUP BY drawing_id, mid),
 ta AS (SELECT drawing_id, mid, sum(x_end-x_start) t FROM t GROUP BY drawing_id, mid),
 i AS (SELECT p.drawing_id, p.mid, sum(greatest(0, least(p.x_end, t.x_end)-greatest(p.x_start, t.x_start))) i
   FROM p JOIN t ON p.drawing_id = t.drawing_id AND p.mid = t.mid AND p.y = t.y GROUP BY p.drawing_id, p.mid),
-q AS (SELECT pa.drawing_id, floor(pa.mid/8) batch, coalesce(i, 0) i, p, t FROM pa
+q AS (SELECT pa.drawing_id, floor(pa.mid/16) batch, coalesce(i, 0) i, p, t FROM pa
   JOIN ta ON pa.drawing_id = ta.drawing_id AND pa.mid = ta.mid
   LEFT JOIN i ON i.drawing_id = pa.drawing_id AND i.mid = pa.mid),
 b AS (SELECT drawing_id, batch, avg(i/(p+t-i+1e-6)) iou, sum(1-(2*i+1)/(p+t+1)) dice, count(*) n FROM q GROUP BY drawing_id, batch)
 SELECT drawing_id, round(avg(iou), 6) mean_iou, round(sum(dice)/sum(n), 6) mean_dice_loss FROM b GROUP BY drawing_id""")
 def _(fx):
-    runs = fx.runs.withColumn("kind", F.expr("mask_id % 3")).withColumn(
-        "mask_id", F.expr("CAST(floor(mask_id/3) AS BIGINT)"))
-    batches = fx.symbols.selectExpr("drawing_id", "symbol_id mask_id", "floor(symbol_id/8) batch")
-    scores = m.evaluate(runs.where("kind = 1").drop("kind"), runs.where("kind = 0").drop("kind"), batches)
+    # Of three copies of a mask the first is the truth, against which both others are held.
+    runs = fx.runs.selectExpr("drawing_id", "mask_id % 3 kind", "CAST(floor(mask_id/3)*2 AS BIGINT) pair",
+                              "y", "x_start", "x_end")
+    both = F.explode(F.array(F.lit(0), F.lit(1)))
+    shape = ["drawing_id", "mask_id", "y", "x_start", "x_end"]
+    pred = runs.where("kind > 0").withColumn("mask_id", F.col("pair") + F.col("kind") - 1).select(*shape)
+    truth = runs.where("kind = 0").withColumn("k", both).withColumn("mask_id", F.col("pair") + F.col("k")).select(*shape)
+    batches = fx.symbols.select("drawing_id", (F.col("symbol_id") * 2).alias("pair"), both.alias("k")).selectExpr(
+        "drawing_id", "pair + k mask_id", "floor((pair + k)/16) batch")
+    scores = m.evaluate(pred, truth, batches)
     return scores.select("drawing_id", r6("mean_iou").alias("mean_iou"),
                          r6("mean_dice_loss").alias("mean_dice_loss"))
 

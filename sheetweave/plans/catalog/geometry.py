@@ -94,7 +94,7 @@ def _(fx):
 
 
 @query("geo_scale_symbols", """
-WITH first_lines AS (SELECT * FROM lines_v WHERE line_id < 10),
+WITH first_lines AS (SELECT * FROM lines_v QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY line_id) <= 10),
 la AS (SELECT drawing_id, avg((x1*5+y1*5+x2*5+y2*5)/4.0) line_avg FROM first_lines GROUP BY drawing_id),
 sa AS (SELECT drawing_id, avg((x1+y1+x2+y2)/4.0) symbol_avg FROM symbols_v GROUP BY drawing_id),
 f AS (SELECT sa.drawing_id, coalesce(line_avg, 3500) > 2*symbol_avg scaled FROM sa LEFT JOIN la USING (drawing_id)),

@@ -182,14 +182,13 @@ def _(fx):
 
 
 @query("join_reload_labels", """
-WITH saved AS (SELECT drawing_id, symbol_id pos, symbol_id*2 mask_id, symbol_id%7 cluster_id, category FROM symbols_v
-  WHERE symbol_id < 40),
+WITH saved AS (SELECT drawing_id, symbol_id pos, symbol_id*2 mask_id, symbol_id%7 cluster_id, category FROM symbols_v),
 names AS (SELECT drawing_id, cluster_id, arg_max(category, pos) category FROM saved GROUP BY drawing_id, cluster_id)
 SELECT s.drawing_id, s.symbol_id, coalesce(v.cluster_id, 0) cluster_id, coalesce(n.category, 'unlabeled') category
 FROM symbols_v s LEFT JOIN saved v ON s.drawing_id = v.drawing_id AND s.symbol_id = v.mask_id
 LEFT JOIN names n ON n.drawing_id = s.drawing_id AND n.cluster_id = coalesce(v.cluster_id, 0)""")
 def _(fx):
-    saved = fx.symbols.where("symbol_id < 40").selectExpr(
+    saved = fx.symbols.selectExpr(
         "drawing_id", "symbol_id pos", "symbol_id*2 mask_id", "symbol_id%7 cluster_id", "category")
     symbols = fx.symbols.selectExpr("drawing_id", "symbol_id", "symbol_id mask_id")
     return mt.reload_labels(symbols, saved).select("drawing_id", "symbol_id", "cluster_id", "category")

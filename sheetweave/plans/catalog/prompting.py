@@ -143,12 +143,13 @@ def _(fx):
 
 
 @query("clu_edit", """
-WITH moves AS (SELECT seq, (seq*7)%500 vec_id, CASE WHEN seq%50 = 0 THEN NULL ELSE seq%5 END target FROM edits_v WHERE seq%3 = 0),
+WITH moves AS (SELECT seq, (seq*7)%(SELECT max(vec_id)+1 FROM clusters_v) vec_id, CASE WHEN seq%50 = 0 THEN NULL ELSE seq%5 END target FROM edits_v WHERE seq%3 = 0),
 opened AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 nth FROM moves WHERE target IS NULL),
 g AS (SELECT m.seq, vec_id, coalesce(target, (SELECT max(cluster_id) FROM clusters_v)+1+nth) t FROM moves m LEFT JOIN opened USING (seq)),
 l AS (SELECT vec_id, arg_max(t, seq) t FROM g GROUP BY vec_id)
 SELECT c.vec_id, coalesce(t, cluster_id) cluster_id FROM clusters_v c LEFT JOIN l ON l.vec_id = c.vec_id""")
 def _(fx):
+    size = fx.clusters.agg(F.max("vec_id") + 1).first()[0]
     moves = fx.edits.where("seq % 3 = 0").selectExpr(
-        "seq", "(seq*7)%500 vec_id", "IF(seq%50 = 0, NULL, seq%5) target")
+        "seq", f"(seq*7)%{size} vec_id", "IF(seq%50 = 0, NULL, seq%5) target")
     return cl.move_rows(fx.clusters, moves, "vec_id").select("vec_id", "cluster_id")

@@ -180,7 +180,8 @@ def label_files(annotations: DataFrame, pages: DataFrame, splits: DataFrame,
 
 def write_labels(labels: DataFrame, path: str) -> None:
     """Label files below one folder per split, and the short dataset description beside them."""
-    labels.write.mode("overwrite").partitionBy("split", "drawing_id", "part").text(f"{path}/labels")
+    key = ["split", "drawing_id", "part"]
+    labels.repartition(*key).write.mode("overwrite").partitionBy(*key).text(f"{path}/labels")
     lines = [f"path: {path}", "train: images/train", "val: images/val", "names:", "  0: symbol", "nc: 1"]
     spark = labels.sparkSession
     (spark.createDataFrame([("\n".join(lines),)], "value string")

@@ -1,11 +1,13 @@
-"""Order-dependent operators against their plain twins, on crowded random drawings."""
+"""Order-dependent operators on crowded random drawings, against plain twins or by their properties."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sheetweave.operators import components, folds, masks as m
+from sheetweave.operators.filters import long_enough
 from tests import twins
 
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -39,17 +41,33 @@ def by_drawing(rows):
 
 
 def test_merge_segments(lines, partitions):
-    rows, df = lines
-    want = {(d, i, *s) for d, part in by_drawing(rows).items()
-            for i, s in twins.merge_segments([(r[0], r[3:]) for r in part])}
+    _, df = lines
+    clean = folds.dedup_lines(long_enough(df, 15.0)).orderBy("drawing_id", "line_id").select(
+        "drawing_id", "line_id", *PLACE).collect()
+    want = {(d, i, *s) for d, part in by_drawing(clean).items()
+            for i, s in twins.absorb([(r[0], tuple(r[1:])) for r in part], twins.segments_join, twins.segments_union)}
     got = {tuple(r) for r in folds.merge_segments(df).select("drawing_id", "line_id", *PLACE).collect()}
     assert got == want
 
 
+def gap(a, b):
+    """Distance of two segments, by the worse of two matched ends."""
+    matched = ((a[:2], b[:2]), (a[2:], b[2:])), ((a[:2], b[2:]), (a[2:], b[:2]))
+    return min(max(math.dist(*pair) for pair in pairs) for pairs in matched)
+
+
 def test_dedup_lines(lines, partitions):
+    """No two lines left are near each other; what is dropped has a near line not shorter than itself."""
     rows, df = lines
-    want = {(d, x[0]) for d, part in by_drawing(rows).items() for x in twins.dedup([(r[0], r[3:]) for r in part], 25.0)}
-    assert {tuple(r) for r in folds.dedup_lines(df).select("drawing_id", "line_id").collect()} == want
+    left = {tuple(r) for r in folds.dedup_lines(df).select("drawing_id", "line_id").collect()}
+    for d, part in by_drawing(rows).items():
+        segments = {r[0]: r[3:] for r in part}
+        for i, s in segments.items():
+            near = [j for j, t in segments.items() if j != i and gap(s, t) < 25.0]
+            if (d, i) in left:
+                assert not any((d, j) in left for j in near)
+            else:
+                assert any((twins.length(segments[j]), -j) > (twins.length(s), -i) for j in near)
 
 
 def test_editor_lines(lines):
@@ -62,12 +80,27 @@ def test_editor_lines(lines):
 
 @pytest.mark.parametrize("distance", [30.0, 120.0])
 def test_chains(lines, distance, partitions):
+    """Paths cover all lines once, hang together from end to end, and cannot take in any later line."""
     rows, df = lines
-    want = {(d, min(path), place, i) for d, part in by_drawing(rows).items()
-            for path in twins.chains([(r[0], r[1], r[3:]) for r in part], distance / 2)
-            for place, i in enumerate(path)}
-    got = folds.chain_lines(df, distance).select("drawing_id", "chain_id", "member_pos", "line_id")
-    assert {tuple(r) for r in got.collect()} == want
+    source = {(d, r[0]): r[1:] for d, part in by_drawing(rows).items() for r in part}
+    found = folds.chain_lines(df, distance).select("drawing_id", "chain_id", "member_pos", "line_id").collect()
+    assert sorted((r.drawing_id, r.line_id) for r in found) == sorted(source)
+    paths = {}
+    for d, chain, place, i in sorted(map(tuple, found)):
+        paths.setdefault((d, chain), []).append(i)
+        assert place == len(paths[d, chain]) - 1
+    def touches(segment, point):
+        return min(math.dist(segment[:2], point), math.dist(segment[2:], point)) < distance / 2
+
+    for (d, chain), path in paths.items():
+        assert chain == min(path)
+        kinds, shapes = zip(*((source[d, i][0], source[d, i][2:]) for i in path))
+        assert len(set(kinds)) == 1
+        assert all(touches(b, a[2:]) or touches(a, b[:2]) for a, b in zip(shapes, shapes[1:]))
+        later = [i for (e, c), other in paths.items() if e == d and c > chain for i in other
+                 if source[d, i][0] == kinds[0]]
+        assert not any(touches(source[d, i][2:], shapes[0][:2]) or touches(source[d, i][2:], shapes[-1][2:])
+                       for i in later)
 
 
 def test_string_drawings(lines):
@@ -144,10 +177,11 @@ def test_masks(spark):
 
 
 def test_components_in_rounds(spark, monkeypatch):
-    """A long path and a star, contracted in small batches and settled by star rounds."""
-    monkeypatch.setattr(components, "ONE_TASK", 0)
+    """A long path and a star over many partitions in small batches, settled by star rounds."""
+    monkeypatch.setattr(components, "ID_SPAN", 16)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         order = list(range(300))
         random.Random(4).shuffle(order)
@@ -156,5 +190,6 @@ def test_components_in_rounds(spark, monkeypatch):
         have = {(r.drawing_id, r.node): r.component for r in got.collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {(1, i): 0 for i in order} | {(2, i): 5 for i in range(5, 90)} | {(3, 8): 8, (3, 9): 8}
     assert have == want
