@@ -201,12 +201,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = store.save(
         kept.join(leaders.where("k > 1").select("sig", F.col("top.cid").alias("leader")), "sig")
         .groupBy("leader", "cid").agg(F.max(F.pmod("band", F.lit(32))).alias("band")))
-    blocks = (pairs.groupBy("leader")
-              .agg(F.count("*").alias("g"), F.sum(F.expr("shiftleft(2L, band)")).alias("tokens"))
-              .where("g > 1")
-              .selectExpr("leader", f"greatest(ceil(g / {BLOCK_MEMBERS}), ceil(tokens / {BLOCK_TOKENS})) nb"))
+    blocks = store.save(
+        pairs.groupBy("leader")
+        .agg(F.count("*").alias("g"), F.sum(F.expr("shiftleft(2L, band)")).alias("tokens")).where("g > 1")
+        .selectExpr("leader", f"greatest(ceil(g / {BLOCK_MEMBERS}), ceil(tokens / {BLOCK_TOKENS})) nb"))
     wanted = store.save(
-        pairs.join(blocks, "leader").groupBy("cid")
+        store.attach(pairs, blocks, "leader").groupBy("cid")
         .agg(F.collect_list(F.struct("leader", "nb")).alias("groups"))
         .join(classes, "cid").select("key", "low", "cid", "groups"))
 
