@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,39 +24,46 @@ def surviving_edits(log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
     """Edits in force at the end of each log, (drawing_id, seq, op, ...).
 
     undo takes back the last edit, at most ``depth`` in a row; redo brings back
-    the last one taken back; a new edit forgets those. Logs are read in order as
-    a stream: no more than the edits that can still be undone or redone is held,
-    all earlier ones are passed on.
+    the last one taken back; a new edit forgets those. Only keys and operations are
+    replayed, in order as a stream that holds no more than the edits that can still be
+    undone or redone; the rows themselves are joined, so all their columns stay exact.
     """
-    columns = log.columns
+    key = ["drawing_id", "seq"]
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        drawing, done, undone = None, deque(), []
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawing, done, undone, schema = None, deque(), [], None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                edit = dict(zip(columns, row))
-                if edit["drawing_id"] != drawing:
+            out, schema = [], pa.schema([batch.schema.field(0), batch.schema.field(1)])
+            for owner, seq, op in zip(*(column.to_pylist() for column in batch.columns)):
+                if owner != drawing:
                     out += done
-                    drawing, done, undone = edit["drawing_id"], deque(), []
-                if edit["op"] == "undo":
+                    drawing, done, undone = owner, deque(), []
+                if op == "undo":
                     if done:
                         undone.append(done.pop())
                     continue
-                if edit["op"] == "redo":
+                if op == "redo":
                     if not undone:
                         continue
-                    row = undone.pop()
+                    done.append(undone.pop())
                 else:
                     undone = []
-                done.append(row)
+                    done.append((owner, seq))
                 if len(done) > depth:
                     out.append(done.popleft())
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(list(done), columns=columns)
+            yield _keys(out, schema)
+        if done:
+            yield _keys(list(done), schema)
 
-    ordered = log.repartition("drawing_id").sortWithinPartitions("drawing_id", "seq")
-    return ordered.mapInPandas(replay, log.schema)
+    ordered = log.select(*key, "op").repartition("drawing_id").sortWithinPartitions(*key)
+    kept = ordered.mapInArrow(replay, log.select(*key).schema)
+    return log.join(kept, key, "left_semi")
+
+
+def _keys(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def without(rows: DataFrame, deleted: DataFrame, id_column: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Tables as JSON documents and label files.
 
-A document holds at most ``part_size`` entries of a list; a drawing with more has
-further parts, each a whole document of its own. So ordinary drawings get the one
-document they are expected to have, and no task assembles a huge one.
+A document holds at most ``part_size`` entries of a list, by their place in it; a drawing
+with more has further parts, each a document of its own (counters are in the first).
+So ordinary drawings get the one document they are expected to have, and no task
+assembles a huge one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
@@ -29,11 +30,27 @@ def bbox_array(b=None) -> Column:
     return F.array(*(b or box()))
 
 
+def _with_part(rows: DataFrame, order: list, part_size: int) -> DataFrame:
+    """Adds the part by the place of a row in its drawing, whatever the ids are.
+
+    Rows are counted and numbered within ranges of ids, which are of bounded size, and
+    the counts of the ranges before are added.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(order[0]) / part_size))
+    earlier = Window.partitionBy("drawing_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("drawing_id", "_range").agg(F.count("*").alias("_n")).select(
+        "drawing_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("drawing_id", "_range").orderBy(*order)
+    place = F.col("_before") + F.row_number().over(inside) - 1
+    return (ranged.join(before, ["drawing_id", "_range"])
+            .withColumn("part", F.floor(place / part_size)).drop("_range", "_before"))
+
+
 def _listed(rows: DataFrame, order: list, entry: Column, name: str, part_size: int) -> DataFrame:
     """JSON list of the entries of each part, in order; the first order column is the number."""
-    part = F.floor(F.col(order[0]) / part_size)
-    ordered = F.sort_array(F.collect_list(F.struct(*order, entry.alias("_entry"))))
-    return rows.groupBy("drawing_id", part.alias("part")).agg(
+    ordered = F.sort_array(F.collect_list(F.struct(*order, "_entry")))
+    listed = rows.select("drawing_id", *order, entry.alias("_entry"))
+    return _with_part(listed, order, part_size).groupBy("drawing_id", "part").agg(
         F.concat(F.lit("["), F.array_join(ordered["_entry"], ","), F.lit("]")).alias(name))
 
 
@@ -145,15 +162,13 @@ def prompt_points(detections: DataFrame, headers: DataFrame, part_size: int = PA
                                bbox_array().alias("bbox")))
     points = _listed(detections, ["det_id"], center, "points", part_size)
     rows = _listed(detections, ["det_id"], entry, "rows", part_size)
-    ones = detections.groupBy("drawing_id", F.floor(F.col("det_id") / part_size).alias("part")).agg(
-        F.count("*").cast("int").alias("n"))
     total = detections.groupBy("drawing_id").agg(F.count("*").alias("num_detections"))
     head = headers.join(total, "drawing_id").select(
         "drawing_id", F.to_json(F.struct("image_path", "num_detections")).alias("head"))
-    return (points.join(rows, KEY).join(ones, KEY).join(head, "drawing_id")
+    return (points.join(rows, KEY).join(head, "drawing_id")
             .select(*KEY, F.concat(
                 F.expr("left(head, length(head)-1)"), F.lit(',"sam2_prompts":{"points":'), F.col("points"),
-                F.lit(',"labels":'), F.to_json(F.array_repeat(F.lit(1), F.col("n"))),
+                F.lit(',"labels":'), F.to_json(F.array_repeat(F.lit(1), F.json_array_length("points"))),
                 F.lit('},"detections":'), F.col("rows"), F.lit("}")).alias("value")))
 
 
@@ -173,7 +188,7 @@ def label_files(annotations: DataFrame, pages: DataFrame, splits: DataFrame,
     rows = annotations.join(pages.select("drawing_id", "width", "height"), "drawing_id").select(
         "drawing_id", "ann_id", F.format_string("0 %.6f %.6f %.6f %.6f", *parts).alias("label"))
     ordered = F.sort_array(F.collect_list(F.struct("ann_id", "label")))
-    text = rows.groupBy("drawing_id", F.floor(F.col("ann_id") / part_size).alias("part")).agg(
+    text = _with_part(rows, ["ann_id"], part_size).groupBy("drawing_id", "part").agg(
         F.array_join(ordered["label"], "\n").alias("value"))
     return text.join(splits.select("drawing_id", "split"), "drawing_id").select("split", *KEY, "value")
 

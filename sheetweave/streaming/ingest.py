@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -12,12 +11,21 @@ from pyspark.sql.streaming.query import StreamingQuery
 Stage = Callable[[DataFrame], DataFrame]
 
 
+def _manifest(path: str) -> str:
+    """Where finished drawings are noted; readers of the results skip this folder."""
+    return f"{path.rstrip('/')}/_done"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def done_drawings(spark: SparkSession, path: str, run: str, key_type: str = "bigint") -> DataFrame:
-    """Drawings with results of other runs below the path; none when there are none yet."""
-    try:
-        done = spark.read.schema(f"drawing_id {key_type}, run string").parquet(path)
-    except AnalysisException:
+    """Drawings that other runs have finished, with results or without."""
+    if not _exists(spark, _manifest(path)):
         return spark.createDataFrame([], f"drawing_id {key_type}")
+    done = spark.read.schema(f"drawing_id {key_type}, run string").parquet(_manifest(path))
     return done.where(F.col("run") != run).select("drawing_id").distinct()
 
 
@@ -26,15 +34,17 @@ def todo(drawings: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def run_missing(drawings: DataFrame, stage: Stage, path: str, run: str) -> DataFrame:
-    """Runs the stage on the drawings without results and writes theirs as one run.
+    """Runs the stage on the drawings that no run has finished, and writes their results as one run.
 
-    A run repeated after a failure replaces what it wrote before, so results come
-    once. Returns the drawings worked on.
+    The drawings are noted as finished after their results are written. A run repeated
+    after a failure replaces what it wrote before, so results come once. Returns the
+    drawings worked on.
     """
     spark = drawings.sparkSession
     key_type = drawings.schema["drawing_id"].dataType.simpleString()
     missing = todo(drawings, done_drawings(spark, path, run, key_type))
     stage(missing).write.mode("overwrite").parquet(f"{path}/run={run}")
+    missing.select("drawing_id").distinct().write.mode("overwrite").parquet(f"{_manifest(path)}/run={run}")
     return missing
 
 

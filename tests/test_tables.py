@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sheetweave.operators import clusters, edits, ink, prompts
+from sheetweave.operators import graph, clusters, edits, ink, prompts
 from sheetweave.sources import readers, sinks
 from sheetweave.streaming import ingest
 
@@ -51,6 +51,31 @@ def test_documents_in_parts(spark):
     assert {p: [n["id"] for n in d["nodes"]] for p, d in parts.items()} == {0: [0, 1], 1: [2, 3], 2: [4]}
 
 
+def test_parts_go_by_place(spark):
+    """Ids far apart stay in one document, and parts are filled in order of the ids."""
+    ids = [0, 60_000, 9_000_000, -5, 2**62]
+    nodes = spark.createDataFrame([(7, i) for i in ids], "drawing_id long, symbol_id long").selectExpr(
+        "drawing_id", "symbol_id", "0 page", "'pump' category", "array('a') captions")
+    whole = sinks.compact_graph(nodes).collect()
+    assert [r.part for r in whole] == [0]
+    assert [n["id"] for n in json.loads(whole[0].value)["nodes"]] == sorted(ids)
+    parts = {r.part: [n["id"] for n in json.loads(r.value)["nodes"]] for r in sinks.compact_graph(nodes, part_size=2).collect()}
+    assert parts == {0: sorted(ids)[:2], 1: sorted(ids)[2:4], 2: sorted(ids)[4:]}
+
+
+def test_first_lines_by_place(spark):
+    lines = spark.createDataFrame([(d, 100 + 7 * i, i) for d in (1, 2) for i in range(30)], "drawing_id long, line_id long, i long")
+    assert sorted((r.drawing_id, r.i) for r in graph.first_lines(lines).collect()) == [(d, i) for d in (1, 2) for i in range(10)]
+
+
+def test_edits_keep_their_columns(spark):
+    """Whole numbers beyond 2**53 beside nulls come back as they were."""
+    big = 2**53 + 1
+    log = spark.createDataFrame([(1, 0, "set", big), (1, 1, "set", None), (1, 2, "undo", None), (1, 3, "set", big + 2)],
+                                "drawing_id long, seq long, op string, value long")
+    assert sorted(map(tuple, edits.surviving_edits(log).collect())) == [(1, 0, "set", big), (1, 3, "set", big + 2)]
+
+
 def test_erase_long_runs(spark):
     rnd = random.Random(8)
     runs = [(0, y, s, s + rnd.randrange(1, 150)) for y in range(12) for s in (rnd.randrange(100),)]
@@ -147,6 +172,15 @@ def test_runs_are_repeatable(spark, tmp_path):
     assert sorted(r.drawing_id for r in spark.read.parquet(path).collect()) == list(range(10))
 
 
+def test_drawings_without_results_are_done(spark, tmp_path):
+    path = str(tmp_path / "out")
+    drawings = spark.range(6).withColumnRenamed("id", "drawing_id")
+    stage = (lambda rows: rows.where("drawing_id % 2 = 0"))
+    assert ingest.run_missing(drawings, stage, path, "a").count() == 6
+    assert ingest.run_missing(drawings, stage, path, "b").count() == 0
+    assert sorted(r.drawing_id for r in spark.read.parquet(path).collect()) == [0, 2, 4]
+
+
 def test_stream_takes_up_new_files(spark, tmp_path):
     docs, out = str(tmp_path / "in"), str(tmp_path / "out")
 
