@@ -128,15 +128,22 @@ def farthest_pair(points: DataFrame, keys: list[str]) -> DataFrame:
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}"
                        for f in points.select(*keys).schema.fields)
 
-    def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = _farthest(rows) if len(rows) > 1 else (rows.index[0], rows.index[0])
-        a, b = rows.loc[i], rows.loc[j]
-        return pd.DataFrame([[*key, a["px"], a["py"], b["px"], b["py"]]],
-                            columns=[*keys, "x1", "y1", "x2", "y2"])
+    def pick(packed: pd.DataFrame) -> pd.DataFrame:
+        """Many groups in one call: the ends of each group's pair, by their rows in the batch."""
+        ends, owners = [], []
+        for _, rows in packed.groupby(keys, sort=False, dropna=False):
+            ends.append(_farthest(rows) if len(rows) > 1 else (rows.index[0], rows.index[0]))
+            owners.append(rows.index[0])
+        a, b = (packed.loc[list(side), ["px", "py"]].to_numpy() for side in zip(*ends))
+        out = packed.loc[owners, keys].reset_index(drop=True)
+        out["x1"], out["y1"], out["x2"], out["y2"] = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
+        return out
 
     kind = points.schema["px"].dataType.simpleString()
     schema = f"{fields}, x1 {kind}, y1 {kind}, x2 {kind}, y2 {kind}"
-    return corners.groupBy(*keys).applyInPandas(pick, schema)
+    bins = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    binned = corners.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins)))
+    return binned.groupBy("bin").applyInPandas(pick, schema)
 
 
 def even_sample(rows: DataFrame, group: str, order: str, size: int = 32) -> DataFrame:
