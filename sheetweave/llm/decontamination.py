@@ -55,8 +55,9 @@ def templated(text: Column) -> Column:
 
 def windows(frame: DataFrame, key: str) -> DataFrame:
     """(key, at, h) for each window of ``words``; positions count from 1."""
-    starts = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
-    return (frame.where(F.size("words") >= WINDOW).select(key, "words", F.explode(starts).alias("at"))
+    # The guard is part of the sequence: a filter would work out the words a second time.
+    starts = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)))
+    return (frame.select(key, "words", F.explode(starts).alias("at"))
             .select(key, "at", F.xxhash64(F.slice("words", F.col("at"), WINDOW)).alias("h"), "words"))
 
 
