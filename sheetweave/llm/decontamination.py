@@ -40,8 +40,8 @@ def spaced(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    clean = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    """Runs of letters and digits; a text without any is one empty word."""
+    return F.split(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def templated(text: Column) -> Column:
