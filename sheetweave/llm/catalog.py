@@ -19,5 +19,6 @@ QUERIES = {
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
+    "op6_ngram_jaccard": jaccard.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
