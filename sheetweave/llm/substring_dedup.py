@@ -12,7 +12,8 @@ match is a window long, the state of that window tells the smallest id that has
 The automaton compares the words themselves. The reference is the whole corpus, which
 has no size bound, so shards are not broadcast but travel by their anchor; a task holds
 one at a time. Only distinct shared pieces are in a shard, so a passage that a third of
-all documents hold is one piece.
+all documents hold is one piece. A shard with more than ``SHARD_PIECES`` distinct pieces
+is judged window by window instead, so that no task holds it; the result is the same.
 
 Copies of a text are folded before, by digest; the distinct texts are shuffled once, into a
 table bucketed by it, and all later steps are joined to that table. Defined results: null and short texts
@@ -35,6 +36,9 @@ from sheetweave.llm.texts import map_rows, sequence_hashes, word_bytes, word_has
 
 WINDOW, ANCHOR = 50, 8
 LAST = (1 << 63) - 1
+#: Distinct pieces up to which the shard of an anchor goes through an automaton in one task.
+SHARD_PIECES = 20_000
+JUDGED = "pid binary, offs array<int>, counts array<int>, lows array<long>"
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -125,6 +129,24 @@ def judged_shard(rows):
             yield pid, starts, [b - a for a, b in zip(starts, ends)], [first[i] for i in starts]
 
 
+def _single_windows(rows):
+    for _, pid, low, piece in rows:
+        words = piece.split(b" ")
+        for at in range(len(words) - WINDOW + 1):
+            yield pid, low, at, hashlib.sha256(b" ".join(words[at:at + WINDOW])).digest()
+
+
+def by_window(store: Store, shards: DataFrame) -> DataFrame:
+    """The same as ``judged_shard`` for shards of any size: their windows one by one, so that no
+    task holds a shard. Equal windows meet in an aggregation by their digest."""
+    single = store.save(map_rows(shards, _single_windows, "pid binary, low long, at int, wid binary"))
+    first = store.save(single.groupBy("wid").agg(F.min("low").alias("lows")))
+    return (store.attach(single.drop("low"), first, "wid").groupBy("pid")
+            .agg(F.collect_list(F.struct("at", "lows")).alias("w"))
+            .select("pid", F.col("w.at").alias("offs"), F.transform("w", lambda _: F.lit(1)).alias("counts"),
+                    F.col("w.lows").alias("lows")))
+
+
 def _profile(rows):
     for cid, text in rows:
         words = word_hashes(text.encode("utf-8"))
@@ -213,10 +235,14 @@ def lost_ranges(store: Store, classes: DataFrame) -> DataFrame:
         "anchor long, pid binary, cid long, low long, start int, piece binary"))
     for old in (profile, common, found, twice):
         store.forget(old)
-    shards = pieces.groupBy("anchor", "pid").agg(F.min("low").alias("low"), F.first("piece").alias("piece"))
-    judged = store.save(map_rows(
-        shards.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "pid", "low", "piece"),
-        judged_shard, "pid binary, offs array<int>, counts array<int>, lows array<long>"))
+    shards = store.save(pieces.groupBy("anchor", "pid").agg(F.min("low").alias("low"), F.first("piece").alias("piece"))
+                        .select("anchor", "pid", "low", "piece"))
+    large = store.save(shards.groupBy("anchor").agg(F.count("*").alias("n"))
+                       .where(F.col("n") > SHARD_PIECES).select("anchor"))
+    fitting = store.attach(shards, large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    judged = store.save(map_rows(fitting, judged_shard, JUDGED).unionByName(
+        by_window(store, store.attach(shards, large, "anchor", "left_semi"))))
+    store.forget(shards)
     lost = (pieces.select("pid", "cid", "low", "start").join(judged, "pid")
             .select("cid", "low", "start", F.explode(F.arrays_zip("offs", "counts", "lows")).alias("w"))
             .where("w.lows < low").selectExpr("cid", "start + w.offs AS start", "w.counts AS count"))

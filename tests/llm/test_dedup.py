@@ -66,6 +66,12 @@ def test_substrings_of_a_small_alphabet(spark, make_docs):
     assert got(found, "doc_id", "n_words", "n_removed", "kept_text") == sorted(plain.substrings(rows), key=repr)
 
 
+def test_large_shards_go_by_window(spark, make_docs, corpus, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_PIECES", 1)
+    found = substring_dedup.substring_dedup(spark, make_docs(corpus))
+    assert got(found, "doc_id", "n_words", "n_removed", "kept_text") == sorted(plain.substrings(corpus), key=repr)
+
+
 def test_automaton():
     chance = random.Random(8)
     for _ in range(200):
