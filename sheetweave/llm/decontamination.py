@@ -6,7 +6,8 @@ words of the benchmark are hash-joined with those of the documents, so a questio
 again with other numbers or names still meets its item. Of the windows on one diagonal (the
 same shift between item and document), the placeholders are compared: each value of the item
 must stand for one value throughout. A document is contaminated by an item if consistent
-windows on a diagonal cover ``SHARE`` of the item's windows. Windows with fewer than
+windows on a diagonal are ``SHARE`` of the item's windows, or as many as ``RUN`` words in a
+row have. Windows with fewer than
 ``LITERALS`` literal words are not used.
 
 The benchmark's windows are broadcast if their table is small (see store.py), else both
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sheetweave.llm.exact_dedup import kept_rows
 from sheetweave.llm.store import Store, id_text
 
-WINDOW, LITERALS, SHARE = 8, 5, 0.5
+WINDOW, LITERALS, SHARE, RUN = 8, 5, 0.5, 13
 NAME, NUMBER, UNIT = "zznamezz", "zznumberzz", "zzunitzz"
 #: Units that are placeholders after a number; fixed values.
 UNITS = ("kilometres kilometers metres meters centimetres centimeters miles feet inches km cm mm m "
@@ -105,7 +106,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     covered = (seen.groupBy(*line).agg(F.count_distinct("pos").alias("n"))
                .join(torn, (F.col("doc_id").eqNullSafe(F.col("x_doc_id"))) & (F.col("item_id") == F.col("x_item_id"))
                      & (F.col("shift") == F.col("x_shift")), "left_anti"))
-    guilty = (covered.join(possible, "item_id").where(F.col("n") >= SHARE * F.col("possible"))
+    guilty = (covered.join(possible, "item_id").where(F.col("n") >= F.least(SHARE * F.col("possible"), F.lit(RUN - WINDOW + 1)))
               .groupBy(F.col("doc_id").alias("_id"))
               .agg(F.count_distinct("item_id").alias("n_items"), F.min("item_id").alias("item_id")))
     verdict = store.save(guilty)

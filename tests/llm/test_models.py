@@ -135,6 +135,7 @@ def test_templates(spark, make_docs):
         (2, QUESTION.format(a=7, b="99.5", c=7, n="Dan").replace("Anna", "Carla")),
         (3, QUESTION.format(a=7, b=99, c=8, n="Dan")),  # one number stands for two
         (4, None), (None, ""), (5, "short"), (6, "If Anna buys 12 apples for 30 dollars"),
+        (8, "x y z. If Anna buys 12 apples for 30 dollars and then sells 12 apples today"),
         (7, "x " * 200_000 + QUESTION.format(a=1, b=2, c=1, n="Eve")), (7, "other text of the same id")]
     items = spark.createDataFrame(
         [(9, QUESTION.format(a=12, b=30, c=12, n="Bob")[4:], 1), (10, None, 2), (11, "few", 3), (9, QUESTION.format(a=12, b=30, c=12, n="Bob")[4:], 1)],
@@ -142,7 +143,7 @@ def test_templates(spark, make_docs):
     found = {r["doc_id"]: (r["contaminated"], r["item_id"]) for r in
              decontamination.contaminated(spark, make_docs(rows), items).collect()}
     assert found == {1: (True, 9), 2: (True, 9), 3: (False, None), 4: (False, None), None: (False, None),
-                     5: (False, None), 6: (False, None), 7: (True, 9)}
+                     5: (False, None), 6: (False, None), 7: (True, 9), 8: (True, 9)}
     kept = decontamination.keep_clean(spark, make_docs(rows), items)
     assert kept.columns == make_docs(rows).columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 4, 5, 6]
@@ -167,7 +168,7 @@ def test_passages(spark):
             item = runs.get(tuple(w[k:k + 8]))
             if item:
                 hit.setdefault(item, set()).add(tuple(w[k:k + 8]))
-        if any(len(h) >= 0.5 * n for (_, n), h in hit.items()):
+        if any(len(h) >= min(0.5 * n, 6) for (_, n), h in hit.items()):
             expected.add(r["doc_id"])
     found = decontamination.contaminated(spark, docs, items).where("contaminated").collect()
     assert {r["doc_id"] for r in found} == expected and expected
