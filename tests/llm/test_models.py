@@ -135,7 +135,7 @@ def test_templates(spark, make_docs):
         (2, QUESTION.format(a=7, b="99.5", c=7, n="Dan").replace("Anna", "Carla")),
         (3, QUESTION.format(a=7, b=99, c=8, n="Dan")),  # one number stands for two
         (4, None), (None, ""), (5, "short"), (6, "If Anna buys 12 apples for 30 dollars"),
-        (8, "x y z. If Anna buys 12 apples for 30 dollars and then sells 12 apples today"),
+        (8, "x y z. If Anna buys 12 apples for 30 dollars and then sells 12 apples to Bob today"),
         (7, "x " * 200_000 + QUESTION.format(a=1, b=2, c=1, n="Eve")), (7, "other text of the same id")]
     items = spark.createDataFrame(
         [(9, QUESTION.format(a=12, b=30, c=12, n="Bob")[4:], 1), (10, None, 2), (11, "few", 3), (9, QUESTION.format(a=12, b=30, c=12, n="Bob")[4:], 1)],
