@@ -66,13 +66,11 @@ def _spoken(texts: DataFrame) -> DataFrame:
     return texts.withColumn("text", textrules.strip(F.col("text"))).where("text <> ''")
 
 
-def _near_centers(symbols: DataFrame, texts: DataFrame, reach: float) -> DataFrame:
-    """Symbol centres within the reach of a text box, copies of either folded.
+def _near_centers(centers: DataFrame, texts: DataFrame, reach: float) -> DataFrame:
+    """Centres (drawing_id, cx, cy, ...) within the reach of a text box, copies of boxes folded.
 
-    (drawing_id, t_x1 .. t_y2, cx, cy, distance)
+    (drawing_id, t_x1 .. t_y2, distance, all columns of the centres)
     """
-    cx, cy = g.center(box())
-    centers = symbols.select("drawing_id", cx.alias("cx"), cy.alias("cy")).distinct()
     boxes = texts.select("drawing_id", *(F.col(c).alias(f"t_{c}") for c in PLACE)).distinct()
     placed = point_cells(centers, F.col("cx"), F.col("cy"), reach)
     spread = with_cells(boxes, box("t_"), reach, reach).drop("low_x", "low_y")
@@ -91,8 +89,7 @@ def assign_texts(texts: DataFrame, symbols: DataFrame, max_distance: float = 100
     owner = (symbols.groupBy("drawing_id", cx.alias("cx"), cy.alias("cy"))
              .agg(F.min("symbol_id").alias("symbol_id")))
     named = [F.col(f"t_{c}").alias(c) for c in PLACE]
-    near = (_near_centers(symbols, texts, max_distance)
-            .join(owner, ["drawing_id", "cx", "cy"])
+    near = (_near_centers(owner, texts, max_distance)
             .groupBy("drawing_id", *named)
             .agg(F.min(F.struct("distance", "symbol_id")).alias("best")))
     return (texts.join(near, ["drawing_id", *PLACE])
@@ -107,7 +104,8 @@ def nearest_texts(texts: DataFrame, symbols: DataFrame, max_distance: float = 10
     # Of copies of one text box no more than the first `top` can matter.
     first = Window.partitionBy("drawing_id", *PLACE).orderBy("text_id")
     few = texts.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= top).drop("_n")
-    near = _near_centers(symbols, few, max_distance).select(
+    centers = symbols.select("drawing_id", cx.alias("cx"), cy.alias("cy")).distinct()
+    near = _near_centers(centers, few, max_distance).select(
         "drawing_id", "cx", "cy", "distance", *(F.col(f"t_{c}").alias(c) for c in PLACE))
     by_distance = Window.partitionBy("drawing_id", "cx", "cy").orderBy("distance", "text_id")
     ranked = (near.join(few.select("drawing_id", *PLACE, "text_id", "text"), ["drawing_id", *PLACE])
