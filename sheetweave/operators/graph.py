@@ -221,9 +221,13 @@ def near_endpoints(lines: DataFrame, distance: float) -> DataFrame:
     (drawing_id, line_type, a_px, a_py, b_px, b_py), a before b or equal to it.
     Lines that share an endpoint share the row of its position.
     """
-    points = line_endpoints(lines).select("drawing_id", "line_type", "px", "py").distinct()
-    a = points.withColumnsRenamed({"px": "a_px", "py": "a_py"})
-    b = points.withColumnsRenamed({"px": "b_px", "py": "b_py"})
+    return _near_points(line_endpoints(lines).select("drawing_id", "line_type", "px", "py").distinct(), distance)
+
+
+def _near_points(points: DataFrame, distance: float) -> DataFrame:
+    """Near pairs of (drawing_id, line_type, px, py, ...), all but the keys with prefixes a_ and b_."""
+    names = [c for c in points.columns if c not in ("drawing_id", "line_type")]
+    a, b = (points.withColumnsRenamed({c: prefix + c for c in names}) for prefix in ("a_", "b_"))
     point_a = g.Box(F.col("a_px"), F.col("a_py"), F.col("a_px"), F.col("a_py"))
     point_b = g.Box(F.col("b_px"), F.col("b_py"), F.col("b_px"), F.col("b_py"))
     near = g.point_distance(F.col("a_px"), F.col("a_py"), F.col("b_px"), F.col("b_py")) < distance
@@ -244,12 +248,7 @@ def endpoint_links(lines: DataFrame, distance: float) -> DataFrame:
              .agg(F.min("line_id").alias("first_line")))
     here = at.join(first, ["drawing_id", "line_type", "px", "py"]).selectExpr(
         "drawing_id", "line_id a", "first_line b")
-    a = first.withColumnsRenamed({"px": "a_px", "py": "a_py", "first_line": "a"})
-    b = first.withColumnsRenamed({"px": "b_px", "py": "b_py", "first_line": "b"})
-    across = (near_endpoints(lines, distance)
-              .join(a, ["drawing_id", "line_type", "a_px", "a_py"])
-              .join(b, ["drawing_id", "line_type", "b_px", "b_py"])
-              .select("drawing_id", "a", "b"))
+    across = _near_points(first, distance).selectExpr("drawing_id", "a_first_line a", "b_first_line b")
     return here.unionByName(across).where("a <> b").distinct()
 
 
