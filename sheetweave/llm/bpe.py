@@ -8,8 +8,8 @@ space. Every other join (inside words longer than ``LONGEST`` bytes, or at speci
 is repaired: both sides are encoded together, and if that differs from the sum of the
 sides, the joint ids replace them and the next join is checked against the joint chunk.
 
-Chunks are shared within a Python worker; sharing them over all tasks would move the
-whole text by a shuffle. Both caches are bounded in entries; forgetting costs time only.
+Chunks are shared within a task; sharing them over all tasks would move the whole text by
+a shuffle. Both caches are bounded in entries; forgetting costs time only.
 
 Defined results: null and empty texts have no ids and decode to an empty string. Repeated
 rows give repeated results. Other columns are not read.
@@ -99,6 +99,12 @@ class Encoder:
         self.marks = Generations(self.encode_letters, CACHED_WORDS // 8)
         self.chunks = Generations(self.encode_chunk, CACHED_CHUNKS)
 
+    def forget(self) -> None:
+        """Empties the caches, so that a worker that waits for other work holds little."""
+        for cache in (self.words, self.marks, self.chunks):
+            cache.clear()
+            cache.old = {}
+
     def whole(self, data: bytes) -> bytes:
         """The library's ids of a string, as little-endian unsigned 32-bit integers."""
         return packed(self.tokenizer.encode(data.decode("utf-8"), add_special_tokens=False).ids)
@@ -199,6 +205,7 @@ def bpe(docs: DataFrame, path: str) -> DataFrame:
         for doc_id, text in rows:
             ids = bpe.encode(text.encode("utf-8"))
             yield doc_id, ids, bpe.decode(ids)
+        bpe.forget()
 
     return map_rows(id_text(docs), work, "doc_id long, ids binary, decoded string")
 
