@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -44,12 +45,19 @@ def kmeans(rows: DataFrame, embedding: str, k: int, restarts: int = 10, seed: in
 
 
 def inertias(rows: DataFrame, embedding: str, ks: range, restarts: int = 3, seed: int = 42) -> DataFrame:
-    """(k, inertia) for every number of clusters tried."""
+    """(k, inertia) for every number of clusters tried; several are fitted at a time."""
     vectors = _vectors(rows, embedding).persist()
-    costs = [(k, min(KMeans(k=k, seed=seed + i, featuresCol="features").fit(vectors).summary.trainingCost
-                     for i in range(restarts))) for k in ks]
+
+    def cost(run: tuple[int, int]) -> float:
+        k, start = run
+        return KMeans(k=k, seed=seed + start, featuresCol="features").fit(vectors).summary.trainingCost
+
+    runs = [(k, start) for k in ks for start in range(restarts)]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        costs = dict(zip(runs, pool.map(cost, runs)))
     vectors.unpersist()
-    return rows.sparkSession.createDataFrame(costs, "k bigint, inertia double")
+    best = [(k, min(costs[k, start] for start in range(restarts))) for k in ks]
+    return rows.sparkSession.createDataFrame(best, "k bigint, inertia double")
 
 
 def largest_k(rows: int, sensitivity: str = "medium") -> int:

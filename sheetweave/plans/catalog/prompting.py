@@ -123,18 +123,21 @@ def _unit(fx):
 
 @query("clu_kmeans")
 def _(fx):
-    return cl.kmeans(_unit(fx), "embedding", k=8, restarts=3).select("vec_id", "cluster_id")
+    return cl.kmeans(_unit(fx), "embedding", k=8, restarts=10).select("vec_id", "cluster_id")
 
 
 @query("clu_elbow")
 def _(fx):
-    return cl.elbow(cl.inertias(_unit(fx), "embedding", range(2, 9), restarts=1))
+    rows = _unit(fx)
+    ks = range(2, cl.largest_k(rows.count()) + 1)
+    return cl.elbow(cl.inertias(rows, "embedding", ks, restarts=3))
 
 
 @query("clu_density")
 def _(fx):
     flat = cl.pca2d(_unit(fx), "embedding").select("vec_id", "px", "py")
-    return cl.density_clusters(flat, "vec_id", 0.03, 5, 10).select("vec_id", "cluster_id")
+    size, need = cl.density_parameters(flat.count())
+    return cl.density_clusters(flat, "vec_id", 0.03, need, size).select("vec_id", "cluster_id")
 
 
 @query("clu_pca2d")
