@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows or bytes after which results go back to Spark.
 FLUSH_ROWS, FLUSH_BYTES = 2048, 4 << 20
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
 #: Bytes of one text that are hashed at a time.
 SLICE = 1 << 20
 
@@ -38,6 +40,7 @@ def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
 def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """mapInArrow over rows; ``work`` turns the rows of a task into rows of ``schema``.
     Results leave in small batches, so a task holds little at a time."""
+    bound_batches(df)
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
     target = to_arrow_schema(parsed)
@@ -57,6 +60,13 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]],
     return df.mapInArrow(run, parsed)
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Limits the session's Arrow batches to ``BATCH_BYTES``: rows are whole documents here, and
+    Spark and Python hold several batches for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(name, BATCH_BYTES)
+
+
 def _batch(held: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [_column(values, field.type) for values, field in zip(zip(*held), target)], schema=target)
