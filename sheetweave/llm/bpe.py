@@ -35,7 +35,7 @@ MASK = 31
 #: Bytes from which a word without white space is cut at hashes alone.
 LONGEST = 1024
 #: Entries of each of the two generations of a cache.
-CACHED_CHUNKS, CACHED_WORDS = 20_000, 400_000
+CACHED_CHUNKS, CACHED_WORDS = 10_000, 150_000
 
 SPECIAL = re.compile(rb"<\|(?:startoftext|endoftext)\|>")
 #: Letters of ASCII and Latin-1, which no normal form changes, and ASCII marks after them.
