@@ -85,7 +85,7 @@ def white(byte: int) -> bool:
 class Encoder:
     """Encodes and decodes as one tokenizer file says. Made once in each Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -95,8 +95,8 @@ class Encoder:
         self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.alphabet = byte_letters()
         self.tokenize = self.tokenizer.model.tokenize
-        self.words = Generations(self.encode_word, CACHED_WORDS)
-        self.marks = Generations(self.encode_letters, CACHED_WORDS // 8)
+        self.words = Generations(self.encode_word, cached_words)
+        self.marks = Generations(self.encode_letters, cached_words // 8)
         self.chunks = Generations(self.encode_chunk, CACHED_CHUNKS)
 
     def forget(self) -> None:
@@ -193,8 +193,8 @@ def inner_cuts(raw: np.ndarray, start: int, end: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> Encoder:
+    return Encoder(path, cached_words)
 
 
 def bpe(docs: DataFrame, path: str) -> DataFrame:
