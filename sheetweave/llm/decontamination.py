@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sheetweave.llm.exact_dedup import kept_rows
+from sheetweave.llm.exact_dedup import kept_ids
 from sheetweave.llm.store import Store, id_text
 
 WINDOW, LITERALS, SHARE, RUN = 8, 5, 0.5, 13
@@ -117,7 +117,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 def keep_clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that no benchmark item contaminates, with all their columns."""
-    return kept_rows(spark, docs, contaminated(spark, docs, benchmark).where("contaminated"))
+    return kept_ids(spark, docs, contaminated(spark, docs, benchmark).where("contaminated"))
 
 
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:

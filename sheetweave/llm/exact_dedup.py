@@ -98,12 +98,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, parts: int = 2) -> DataFra
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    return kept_rows(spark, docs, exact_dedup(spark, docs).where(~F.col("kept")))
+    """The rows of ``docs`` that stay, with all their columns. Each row has its own verdict:
+    rows that share an id, or have none, and differ in text do not share it."""
+    gone = exact_dedup(spark, docs).where(~F.col("kept"))
+    return kept_rows(spark, docs, gone.select("doc_id", F.unhex("text_sha256").alias("digest")))
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped``. Only ids are written and joined."""
+    """``docs`` without the rows whose id and text are in ``dropped`` (doc_id, digest). Only
+    these two are written and joined."""
+    store = Store(spark)
+    gone = store.save(dropped.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct())
+    own = F.unhex(digest(F.coalesce(docs["text"], F.lit(""))))
+    return store.attach(docs, gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (own == gone["_digest"]), "left_anti")
+
+
+def kept_ids(spark: SparkSession, docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped``, for verdicts that rows of an id share."""
     store = Store(spark)
     gone = store.save(dropped.select(F.col("doc_id").alias("_gone")).distinct())
     return store.attach(docs, gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

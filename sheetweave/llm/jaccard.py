@@ -171,6 +171,11 @@ def spanning(linked: np.ndarray):
 
 def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row."""
+    return joined(spark, docs).drop("key")
+
+
+def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, key (the digest of the text), n_shingles, component_id for each row."""
     store = Store(spark)
     texts = id_text(docs).withColumn("key", F.unhex(F.sha2("text", 256)))
     classes = store.save(
@@ -234,13 +239,14 @@ def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "low").alias("component_id")))
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return store.attach(texts.select("doc_id", "key"), result, "key").select(
-        "doc_id", "n_shingles", alone.alias("component_id"))
+        "doc_id", "key", "n_shingles", alone.alias("component_id"))
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows whose id is the smallest of their component."""
-    found = jaccard_join(spark, docs)
-    return kept_rows(spark, docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """The rows whose id is the smallest of their component, with all their columns. Rows that
+    share an id, or have none, and differ in text have verdicts of their own."""
+    gone = joined(spark, docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return kept_rows(spark, docs, gone.select("doc_id", F.col("key").alias("digest")))
 
 
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,8 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sheetweave.llm.exact_dedup import kept_rows
-from sheetweave.llm.texts import map_rows
+from sheetweave.llm.texts import filter_rows, map_rows
 
 #: Rows of the embedding table, its width, and the seed of its start.
 BUCKETS, WIDTH, SEED = 1 << 15, 16, 7
@@ -74,6 +73,12 @@ class Model:
         best = int(scores.argmax())
         return self.languages[best], float(scores[best])
 
+    def too_low(self, lang: str, score: float) -> bool:
+        return lang == "und" or score < self.threshold
+
+    def rejects(self, text: str | None) -> bool:
+        return self.too_low(*self.predict(text))
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
@@ -178,16 +183,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         model = known.value
         for doc_id, text in rows:
             lang, score = model.predict(text)
-            yield doc_id, lang, score, lang == "und" or score < model.threshold
+            yield doc_id, lang, score, model.too_low(lang, score)
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work,
                     "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows whose language is recognised, with all their columns."""
-    found = identify(docs, train(labelled(docs)))
-    return kept_rows(spark, docs, found.where("rejected"))
+    """The rows whose language is recognised, with all their columns. Each row is judged by its
+    own text in the pass that hands it on, whatever its id."""
+    known = spark.sparkContext.broadcast(train(labelled(docs)))
+    return filter_rows(docs, "text", lambda text: not known.value.rejects(text))
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:

@@ -60,6 +60,20 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterator[tuple]],
     return df.mapInArrow(run, parsed)
 
 
+def filter_rows(df: DataFrame, column: str, keep: Callable[[object], bool]) -> DataFrame:
+    """The rows whose value of ``column`` passes ``keep``, with all their columns as they are."""
+    bound_batches(df)
+    place = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # few Python objects at a time
+                part = batch.slice(start, 256)
+                yield part.filter(pa.array(map(keep, part.column(place).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def bound_batches(df: DataFrame) -> None:
     """Limits the session's Arrow batches to ``BATCH_BYTES``: rows are whole documents here, and
     Spark and Python hold several batches for each task."""

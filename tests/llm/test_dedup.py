@@ -124,3 +124,22 @@ def test_empty_tables(spark, make_docs, rows):
     assert line_dedup.line_dedup(spark, docs).count() == len(rows)
     assert substring_dedup.substring_dedup(spark, docs).count() == len(rows)
     assert {r["n_shingles"] for r in jaccard.jaccard_join(spark, docs).collect()} <= {0}
+
+
+#: Two null ids, one of them a copy; an id with two texts, one of them a copy.
+SHARED = [(None, "three"), (None, "alone and clean"), (3, "three"), (5, "A"), (9, "A"), (5, "B")]
+
+
+def test_rows_of_one_id_have_their_own_verdict(spark, make_docs):
+    kept = exact_dedup.keep_distinct(spark, make_docs(SHARED))
+    assert got(kept, "doc_id", "text") == sorted(
+        [(None, "alone and clean"), (3, "three"), (9, "A"), (5, "B")], key=repr)
+
+
+def test_representatives_of_one_id(spark, make_docs):
+    long = " ".join(f"w{k}" for k in range(60))
+    near = long + " x"
+    rows = [(None, near), (None, "alone and clean"), (4, long), (5, near), (5, "some other text")]
+    kept = jaccard.keep_representatives(spark, make_docs(rows))
+    assert got(kept, "doc_id", "text") == sorted(
+        [(None, "alone and clean"), (4, long), (5, "some other text")], key=repr)

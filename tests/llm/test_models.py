@@ -48,6 +48,15 @@ def test_odd_texts(spark, make_docs, model):
     assert all(f[2] for f in found if f[1] == "und")
 
 
+def test_identified_rows_of_one_id(spark, make_docs, documents, monkeypatch, model):
+    """Rows without letters go alone, whatever shares their id."""
+    monkeypatch.setattr(language_id, "train", lambda rows: model)
+    rows = [(None, "12 34"), (None, "the and of the"), (7, None), (7, "the house of the people"), (8, "")]
+    kept = language_id.keep_identified(spark, make_docs(rows))
+    assert kept.columns == make_docs(rows).columns
+    assert sorted(r["text"] for r in kept.collect()) == ["the and of the", "the house of the people"]
+
+
 def test_nothing_to_learn(spark, make_docs):
     docs = make_docs([(0, None), (1, "text")]).withColumn("lang", F.lit(None).cast("string"))
     model = language_id.train(language_id.labelled(docs))
