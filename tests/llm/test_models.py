@@ -160,6 +160,22 @@ def test_templates(spark, make_docs):
     assert decontamination.contaminated(spark, make_docs([], 1), items).count() == 0
 
 
+def verdicts(spark, make_docs, rows, items):
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.contaminated(spark, make_docs(rows), items).collect()
+    return {r["doc_id"]: (r["contaminated"], r["n_items"], r["item_id"]) for r in found}
+
+
+NAMED = ("every day in the early spring near Oslo the old man met with Peter to talk over stra\u00dfe and river boats")
+
+
+def test_wrapping_and_case(spark, make_docs):
+    rows = [(1, NAMED.replace(" Oslo", "\nOslo").replace(" Peter", "  Peter")), (2, NAMED.lower()), (3, NAMED.upper()),
+            (4, NAMED.replace(" Oslo", "\u00a0Oslo").replace("Peter", "Simon")), (5, NAMED[:30])]
+    assert verdicts(spark, make_docs, rows, [(9, NAMED)]) == {
+        **{k: (True, 1, 9) for k in (1, 2, 3, 4)}, 5: (False, 0, None)}
+
+
 def test_passages(spark):
     """Verbatim items in the tables: by plain search for runs of words."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
