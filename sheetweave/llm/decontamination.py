@@ -5,8 +5,9 @@ placeholders; all else is lower-cased and stripped of marks. Windows of ``WINDOW
 words of the benchmark are hash-joined with those of the documents, so a question asked
 again with other numbers or names still meets its item. Windows of the lower-cased words
 themselves are joined beside them, so a verbatim passage meets its item whatever its case or
-wrapping. Of the windows on one diagonal (the same shift between item and document), the
-placeholders are compared: each value of the item must stand for one value throughout. A document
+wrapping. Of the windows on one diagonal (the same shift between item and document) that match
+by placeholder only, the placeholders are compared: each value of the item must stand for one
+value throughout, else these windows do not count. Verbatim windows always count. A document
 is contaminated by an item if the windows that count on a diagonal are ``SHARE`` of the item's
 windows, or as many as ``RUN`` words in a row have. Windows with fewer than ``LITERALS``
 literal words match verbatim only; both limits are tested with them and without them.
@@ -123,7 +124,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     line = ["doc_id", "item", "shift"]
     seen = store.save(sides.select(
         "doc_id", "item", "pos", (F.col("at") - F.col("pos")).alias("shift"), "used", "verbatim",
-        F.filter(pairs, lambda p: is_slot(p["t"])).alias("slots")))
+        F.when(~F.col("verbatim"), F.filter(pairs, lambda p: is_slot(p["t"]))).alias("slots")))
     torn = (seen.select(*line, F.explode("slots").alias("slot"))
             .groupBy(*line, F.col("slot.b").alias("b")).agg(F.min("slot.d").alias("low"), F.max("slot.d").alias("high"))
             .where("low <> high").select(*[F.col(c).alias(f"x_{c}") for c in line]).distinct())
@@ -133,8 +134,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
                                    F.count_if(F.col("used") & F.col("verbatim")).alias("v_used"))
                .join(torn, (F.col("doc_id").eqNullSafe(F.col("x_doc_id"))) & (F.col("item") == F.col("x_item"))
                      & (F.col("shift") == F.col("x_shift")), "left")
-               .select(*line, F.when(F.col("x_item").isNull(), F.col("n")).otherwise(0).alias("n"),
-                       F.when(F.col("x_item").isNull(), F.col("n_used")).otherwise(0).alias("n_used")))
+               .select(*line, F.when(F.col("x_item").isNull(), F.col("n")).otherwise(F.col("v")).alias("n"),
+                       F.when(F.col("x_item").isNull(), F.col("n_used")).otherwise(F.col("v_used")).alias("n_used")))
     enough = lambda n, of: (n > 0) & (n >= F.least(SHARE * of, F.lit(RUN - WINDOW + 1)))
     guilty = (covered.join(possible, "item")
               .where(enough(F.col("n_used"), F.col("possible_used")) | enough(F.col("n"), F.col("possible")))

@@ -166,6 +166,13 @@ def verdicts(spark, make_docs, rows, items):
     return {r["doc_id"]: (r["contaminated"], r["n_items"], r["item_id"]) for r in found}
 
 
+def test_verbatim_windows_of_torn_slots(spark, make_docs):
+    """One occurrence of a repeated number is changed; six usable windows stay as they are."""
+    rows = [(1, QUESTION.format(a=12, b=30, c=13, n="Bob")), (2, QUESTION.format(a=7, b=99, c=8, n="Dan"))]
+    items = [(9, QUESTION.format(a=12, b=30, c=12, n="Bob")[4:])]
+    assert verdicts(spark, make_docs, rows, items) == {1: (True, 1, 9), 2: (False, 0, None)}
+
+
 NAMED = ("every day in the early spring near Oslo the old man met with Peter to talk over stra\u00dfe and river boats")
 
 
