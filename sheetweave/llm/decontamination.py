@@ -16,7 +16,8 @@ The benchmark's windows are broadcast if their table is small (see store.py), el
 sides are shuffled by the window's hash. Matches by hash are checked word by word.
 
 Defined results: null and empty texts, and texts and items shorter than a window, match
-nothing. Repeated items count as one by id.
+nothing. Every text of an item id is matched; they count as one item, of which the id is
+reported. Each text without an item id is an item, with a null ``item_id`` if no other hits.
 Rows that share an id share the verdict, and so
 do rows of null ids. With an empty benchmark every document is clean. Other columns are
 not read.
@@ -95,8 +96,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     texts = id_text(docs)
     items = store.save(
         both_words(benchmark.where(F.col("text").isNotNull())
-                   .groupBy("item_id").agg(F.min("text").alias("text"))
-                   .select(F.col("item_id").cast("long").alias("item"), "item_id", "text"), "item", "item_id"))
+                   .select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+                   .select(F.monotonically_increasing_id().alias("item"), "item_id", "text"), "item", "item_id"))
     spots = store.save(
         windows(items, "item")
         .select("item", F.col("at").alias("pos"), usable(F.slice("words", F.col("at"), WINDOW)).alias("used"),

@@ -183,6 +183,14 @@ def test_wrapping_and_case(spark, make_docs):
         **{k: (True, 1, 9) for k in (1, 2, 3, 4)}, 5: (False, 0, None)}
 
 
+def test_all_texts_of_an_item(spark, make_docs):
+    texts = [" ".join(f"{letter}{chr(97 + k)}" for k in range(12)) for letter in "pqrs"]
+    items = [(9, texts[0]), (9, texts[1]), (None, texts[2]), (4, texts[3]), (9, None), (None, texts[2])]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, " x ".join(texts)), (5, texts[0] + " . " + texts[1]), (6, "x")]
+    assert verdicts(spark, make_docs, rows, items) == {
+        1: (True, 1, 9), 2: (True, 1, 9), 3: (True, 1, None), 4: (True, 3, 4), 5: (True, 1, 9), 6: (False, 0, None)}
+
+
 def test_passages(spark):
     """Verbatim items in the tables: by plain search for runs of words."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
