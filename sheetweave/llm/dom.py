@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"
@@ -19,6 +20,9 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "center"
          "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
          "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
          "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "br", "head"}
+#: Of the RAW elements, those that may hold others of their name, those that a slash closes at
+#: once, and those whose end the page's end stands in for.
+NESTED, EMPTY, TO_END = {"svg", "object", "template"}, {"svg"}, {"script", "style", "title", "textarea"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 HOLDS = {"ul", "ol", "menu", "table", "dl", "td", "th", "div", "section", "article", "body", "main", "aside"}
@@ -60,7 +64,7 @@ def attribute_tokens(attributes: str) -> tuple:
 
 def parse(page: str) -> Tree:
     tree, stack, at, size = Tree(), [0], 0, len(page)
-    names = tree.tags
+    names, ends = tree.tags, {}
     while at < size:
         match = _TOKEN.search(page, at)
         start = match.start() if match else size
@@ -79,8 +83,13 @@ def parse(page: str) -> Tree:
             if tag in BLOCK:
                 _make_room(tree, stack, tag)
             if tag in RAW:
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else size
+                if tag in EMPTY and match[3].endswith("/"):
+                    continue
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                end = ends[tag](at)
+                # Without an end tag the start tag alone is left out.
+                at = end if end is not None else size if tag in TO_END else at
                 continue
             if tag == "br" or tag == "hr":
                 tree.events.append((stack[-1], None))
@@ -95,6 +104,31 @@ def parse(page: str) -> Tree:
     return tree
 
 
+def _ends(page: str, tag: str):
+    """A function from the end of a start tag of ``tag`` to the end of its end tag, None if it
+    has none. The page is searched once, however many start tags it has."""
+    if tag not in NESTED:
+        found = [m.end() for m in re.finditer(f"</{tag}\\b[^>]*>", page, re.I)]
+
+        def first(at):
+            # An end tag that starts before ``at`` cannot end behind it.
+            place = bisect_right(found, at)
+            return found[place] if place < len(found) else None
+
+        return first
+    tags = re.compile(f"<!--.*?(?:-->|\\Z)|<(/?){tag}(?=[\\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S)
+    closed, opened = {}, []
+    for m in tags.finditer(page):
+        if m[1] is None:
+            continue
+        if m[1]:
+            if opened:
+                closed[opened.pop()] = m.end()
+        elif not (tag in EMPTY and m[2].endswith("/")):
+            opened.append(m.end())
+    return closed.get
+
+
 def _pop_to(tree: Tree, stack: list, place: int) -> None:
     while len(stack) > place:
         node = stack.pop()

@@ -123,6 +123,22 @@ def test_blocks():
     assert blocks(tree, [True] * len(tree.tags)) == ["a bc", "d", "e", "f", "g", "h", "i", "jé", "k"]
 
 
+@pytest.mark.parametrize("page, expected", [
+    ('<p>a<svg viewBox="0 0 1 1"/>b</p><p>c</p>', ["ab", "c"]),
+    ("<p>a<svg/>b<svg><text>no</text></svg>c</p>", ["abc"]),
+    ("<p>a<svg><svg><text>no</text></svg>no</svg>b</p>", ["ab"]),
+    ("<p>a<svg>b</p><p>c<svg><text>no</text></svg>d</p>", ["ab", "cd"]),
+    ("<p>a<iframe src='x'>b</p><p>c</p>", ["ab", "c"]),
+    ("<p>a<iframe src='x'>no</iframe>b</p><p>c</p>", ["ab", "c"]),
+    ("<p>a<object>b</p>c<noscript>d<template>e<select>f", ["ab", "cdef"]),
+    ("<p>a<script/>no</script>b<style>no</p>no", ["ab"]),
+    ("<p>a" + "<svg>" * 20_000 + "b" + "<iframe>" * 20_000 + "c", ["abc"]),
+])
+def test_raw_elements(page, expected):
+    tree = parse(page)
+    assert blocks(tree, [True] * len(tree.tags)) == expected
+
+
 def test_decoding_is_best():
     chance = random.Random(3)
     for _ in range(100):
