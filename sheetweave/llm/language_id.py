@@ -8,10 +8,16 @@ everything up to the softmax is linear, prediction adds one row of logits per su
 
 Calibration: a part of the sample is held back from training. On it a temperature is
 fitted, and the score below which a text is rejected: ``margin`` times the smallest score
-of a right answer there.
+of a right answer there. As a softmax is sure of foreign texts too, a text is also rejected
+by the share of its distinct subwords that training met. Its limit lies midway between the
+``LOW`` quantile of whole held-back texts and the 1 - ``LOW`` quantile of texts out of class:
+held-back texts with their language left out, and sampled texts with shuffled letters. If these
+overlap, the limit is the ``LOW`` quantile. A text's share must lie below the limit by three
+standard errors of a share of as many subwords. Texts of fewer than ``JUDGED`` distinct subwords,
+about eight words, say too little and are judged by the score alone.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and if
-nothing could be learned. A text with letters gets a learned language. Ties go to the
+nothing could be learned. A text with letters gets a learned language, rejected or not. Ties go to the
 language first in order. Repeated rows get equal results. Other columns are not read by a
 prediction; an empty table gives no rows.
 """
@@ -31,6 +37,9 @@ BUCKETS, WIDTH, SEED = 1 << 15, 16, 7
 SAMPLE_ROWS = 4000
 #: Short pieces of each sampled text that are learned besides the whole.
 PIECES, EPOCHS, RATE = 2, 6, 0.5
+#: Quantile of the limit, distinct subwords that it needs, and of how many sampled texts one
+#: has the letters of its first characters shuffled.
+LOW, JUDGED, SHUFFLED, SHUFFLED_CHARS = 0.005, 100, 8, 20_000
 
 _TO_SPACE = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -59,6 +68,8 @@ class Model:
     logits: np.ndarray  # one row per bucket
     temperature: float
     threshold: float
+    known: np.ndarray  # buckets that training met
+    limit: float  # least share of known ones
 
     def scores(self, found: np.ndarray) -> np.ndarray:
         total = np.zeros(len(self.languages))
@@ -66,18 +77,27 @@ class Model:
             total += self.logits[found[start:start + (1 << 18)]].sum(axis=0, dtype=np.float64)
         return softmax(total / max(len(found), 1) / self.temperature)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is rejected."""
         if not self.languages or not has_letter(text):
-            return "und", 0.0
-        scores = self.scores(subwords(text))
+            return "und", 0.0, True
+        found = subwords(text)
+        scores = self.scores(found)
         best = int(scores.argmax())
-        return self.languages[best], float(scores[best])
+        share, number = familiar(found, self.known)
+        strange = share < self.limit - 3 * (self.limit * (1 - self.limit) / max(number, 1)) ** 0.5
+        return self.languages[best], float(scores[best]), bool(scores[best] < self.threshold or strange)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
-    def too_low(self, lang: str, score: float) -> bool:
-        return lang == "und" or score < self.threshold
 
-    def rejects(self, text: str | None) -> bool:
-        return self.too_low(*self.predict(text))
+def familiar(found: np.ndarray, known: np.ndarray) -> tuple[float, int]:
+    """Share of the distinct subwords that are known, 1 for fewer than ``JUDGED``, and their number."""
+    own = np.zeros(BUCKETS, np.bool_)
+    own[found] = True
+    number = np.count_nonzero(own)
+    return np.count_nonzero(own & known) / number if number >= JUDGED else 1.0, number
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -86,7 +106,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _examples(rows):
-    """Bucket counts of a whole text and of short pieces of it, chosen by the id."""
+    """Bucket counts of a whole text and of short pieces of it, chosen by the id, and of some
+    texts with shuffled letters."""
     for doc_id, text, lang in rows:
         words = text.split()
         seed = np.random.default_rng(abs(hash((doc_id or 0, 17))) % (1 << 32))
@@ -95,10 +116,14 @@ def _examples(rows):
             size = int(seed.integers(2, 13))
             start = int(seed.integers(0, max(1, len(words) - size)))
             texts.append(" ".join(words[start:start + size]))
-        for piece in texts:
+        kinds = ["whole"] + ["piece"] * (len(texts) - 1)
+        if seed.integers(0, SHUFFLED) == 0:
+            texts.append("".join(seed.permutation(list(text[:SHUFFLED_CHARS]))))
+            kinds.append("shuffled")
+        for piece, kind in zip(texts, kinds):
             if has_letter(piece):
                 bucket, count = np.unique(subwords(piece), return_counts=True)
-                yield lang, bucket.astype("<u2").tobytes(), count.astype("<u4").tobytes()
+                yield lang, bucket.astype("<u2").tobytes(), count.astype("<u4").tobytes(), kind
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -116,22 +141,43 @@ def train(labelled_rows: DataFrame, sample_rows: int = SAMPLE_ROWS, margin: floa
     share = min(1.0, sample_rows / max(1, labelled_rows.select("doc_id").count()))
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 30)) <= int(share * (1 << 30))
     rows = map_rows(labelled_rows.where(drawn).select("doc_id", "text", "lang"), _examples,
-                    "lang string, buckets binary, counts binary").collect()
-    rows.sort()
+                    "lang string, buckets binary, counts binary, kind string").collect()
+    shuffled = [np.frombuffer(r["buckets"], "<u2") for r in rows if r["kind"] == "shuffled"]
+    rows = sorted(r for r in rows if r["kind"] != "shuffled")
     languages = sorted({r["lang"] for r in rows})
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0, 0.0, np.zeros(BUCKETS, np.bool_), 0.0)
     data = []
     while rows:
-        lang, bucket, count = rows.pop()
+        lang, bucket, count, kind = rows.pop()
         count = np.frombuffer(count, "<u4").astype(np.float32)
-        data.append((languages.index(lang), np.frombuffer(bucket, "<u2"), count / count.sum()))
+        data.append((languages.index(lang), np.frombuffer(bucket, "<u2"), count / count.sum(), kind))
     chance = np.random.default_rng(SEED)
     chance.shuffle(data)
     held_back = data[::5] if len(data) >= 50 else data
     learned = [d for k, d in enumerate(data) if k % 5] if len(data) >= 50 else data
     logits = descend(learned, len(languages), chance)
-    return calibrated(languages, logits, held_back, margin)
+    met = np.zeros((len(languages), BUCKETS), np.bool_)
+    for label, bucket, _, _ in learned:
+        met[label, bucket] = True
+    limit = least_familiar(met, held_back, shuffled) if held_back is not learned else 0.0
+    return calibrated(languages, logits, held_back, margin, met.any(axis=0), limit)
+
+
+def least_familiar(met: np.ndarray, held_back: list, shuffled: list) -> float:
+    """The share of known subwords below which a text is rejected; ``met`` has the buckets that
+    training met in each language."""
+    known = met.any(axis=0)
+    whole = [(label, bucket) for label, bucket, _, kind in held_back if kind == "whole" and len(bucket) >= JUDGED]
+    if not whole:
+        return 0.0
+    low = float(np.quantile([familiar(bucket, known)[0] for _, bucket in whole], LOW))
+    foreign = [familiar(bucket, known)[0] for bucket in shuffled if len(bucket) >= JUDGED]
+    if len(met) > 1:
+        others = [np.delete(met, label, axis=0).any(axis=0) for label in range(len(met))]
+        foreign += [familiar(bucket, others[label])[0] for label, bucket in whole]
+    high = float(np.quantile(foreign, 1 - LOW)) if foreign else 0.0
+    return min(low, (low + high) / 2)
 
 
 def descend(data: list, classes: int, chance: np.random.Generator) -> np.ndarray:
@@ -142,7 +188,7 @@ def descend(data: list, classes: int, chance: np.random.Generator) -> np.ndarray
     steps, done = EPOCHS * len(data), 0
     for _ in range(EPOCHS):
         for k in chance.permutation(len(data)):
-            label, bucket, share = data[k]
+            label, bucket, share, _ = data[k]
             rate = np.float32(RATE * (1 - done / steps))
             rows = table[bucket]
             mean = share @ rows
@@ -157,9 +203,10 @@ def descend(data: list, classes: int, chance: np.random.Generator) -> np.ndarray
     return table @ weights + bias
 
 
-def calibrated(languages: list[str], logits: np.ndarray, held_back: list, margin: float) -> Model:
-    means = np.array([share @ logits[bucket] for _, bucket, share in held_back])
-    labels = np.array([label for label, _, _ in held_back])
+def calibrated(languages: list[str], logits: np.ndarray, held_back: list, margin: float,
+               known: np.ndarray, limit: float) -> Model:
+    means = np.array([share @ logits[bucket] for _, bucket, share, _ in held_back])
+    labels = np.array([label for label, *_ in held_back])
 
     def chances(temperature):
         z = means / temperature
@@ -172,7 +219,7 @@ def calibrated(languages: list[str], logits: np.ndarray, held_back: list, margin
     scores = chances(temperature)
     right = scores.max(axis=1)[scores.argmax(axis=1) == labels]
     threshold = margin * float(right.min()) if len(right) else 0.0
-    return Model(languages, logits.astype(np.float32), float(temperature), threshold)
+    return Model(languages, logits.astype(np.float32), float(temperature), threshold, known, limit)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,8 +229,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def work(rows):
         model = known.value
         for doc_id, text in rows:
-            lang, score = model.predict(text)
-            yield doc_id, lang, score, model.too_low(lang, score)
+            yield doc_id, *model.judge(text)
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work,
                     "doc_id long, lang_pred string, score double, rejected boolean")
@@ -193,7 +239,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows whose language is recognised, with all their columns. Each row is judged by its
     own text in the pass that hands it on, whatever its id."""
     known = spark.sparkContext.broadcast(train(labelled(docs)))
-    return filter_rows(docs, "text", lambda text: not known.value.rejects(text))
+    return filter_rows(docs, "text", lambda text: not known.value.judge(text)[2])
 
 
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:

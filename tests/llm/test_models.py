@@ -57,6 +57,21 @@ def test_identified_rows_of_one_id(spark, make_docs, documents, monkeypatch, mod
     assert sorted(r["text"] for r in kept.collect()) == ["the and of the", "the house of the people"]
 
 
+def test_foreign_texts_are_rejected(spark, make_docs, documents, model):
+    """Unlearned languages, shuffled letters and gibberish go; held-out rows of the tables stay."""
+    chance = random.Random(4)
+    clean = [r["text"] for r in documents.where(language_id.held_out() & (F.length("text") > 200)).limit(40).collect()]
+    foreign = ["这是一个中文文件，里面没有任何其他语言的内容。", "Вот русский текст, которого модель никогда не видела",
+               "Tämä on suomenkielinen teksti jota malli ei ole koskaan nähnyt",
+               "Ez egy magyar szöveg amelyet a modell soha nem látott",
+               "".join(chance.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)),
+               *("".join(chance.sample(t, len(t))) for t in clean)]
+    rows = [(k, t) for k, t in enumerate(clean + foreign)]
+    found = language_id.identify(make_docs(rows), model).collect()
+    assert len(clean) == 40
+    assert {r["doc_id"]: r["rejected"] for r in found} == {k: k >= len(clean) for k, _ in rows}
+
+
 def test_nothing_to_learn(spark, make_docs):
     docs = make_docs([(0, None), (1, "text")]).withColumn("lang", F.lit(None).cast("string"))
     model = language_id.train(language_id.labelled(docs))
