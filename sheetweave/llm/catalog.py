@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, line_dedup, substring_dedup, token_counts, token_files
+from sheetweave.llm import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, line_dedup, substring_dedup, token_counts, token_files, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
     "op10_bpe": bpe.op10_bpe,
+    "op13_warc": warc.op13_warc,
 }
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_ngram_jaccard": jaccard.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op13_warc": warc.ORACLE,
 }
