@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sheetweave.llm import bpe, decontamination, exact_dedup, html_text, jaccard, language_id, line_dedup, substring_dedup, token_counts, token_files, warc
+from sheetweave.llm import (bpe, centroids, decontamination, exact_dedup, html_text, jaccard, language_id, line_dedup,
+                            substring_dedup, token_counts, token_files, warc, whitening)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_language_id": language_id.op9_language_id,
     "op10_bpe": bpe.op10_bpe,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_whitening": whitening.op12_whitening,
     "op13_warc": warc.op13_warc,
 }
 ORACLE = {
@@ -22,5 +25,6 @@ ORACLE = {
     "op5_substring_dedup": substring_dedup.ORACLE,
     "op6_ngram_jaccard": jaccard.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op11_centroids": centroids.ORACLE,
     "op13_warc": warc.ORACLE,
 }
