@@ -136,11 +136,14 @@ def held_out() -> F.Column:
 
 
 def train(labelled_rows: DataFrame, sample_rows: int = SAMPLE_ROWS, margin: float = 0.5) -> Model:
-    """Fits on about ``sample_rows`` rows of (doc_id, text, lang): those whose hashed id falls
-    below a share of all hashes, so the sample does not hang on the partitioning."""
+    """Fits on about ``sample_rows`` rows of (doc_id, text, lang): those whose hash of all three falls
+    below a share of all hashes, so the sample does not hang on the partitioning. Of rows alike in
+    all three one is learned, so a row that is repeated millions of times does not fill the driver."""
     share = min(1.0, sample_rows / max(1, labelled_rows.select("doc_id").count()))
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 30)) <= int(share * (1 << 30))
-    rows = map_rows(labelled_rows.where(drawn).select("doc_id", "text", "lang"), _examples,
+    own = F.xxhash64(F.col("doc_id"), F.col("text"), F.col("lang"), F.lit(SEED))
+    drawn = (labelled_rows.select("doc_id", "text", "lang", own.alias("own"))
+             .where(F.pmod("own", F.lit(1 << 30)) <= int(share * (1 << 30))))
+    rows = map_rows(drawn.dropDuplicates(["own"]).select("doc_id", "text", "lang"), _examples,
                     "lang string, buckets binary, counts binary, kind string").collect()
     shuffled = [np.frombuffer(r["buckets"], "<u2") for r in rows if r["kind"] == "shuffled"]
     rows = sorted(r for r in rows if r["kind"] != "shuffled")
@@ -195,12 +198,17 @@ def descend(data: list, classes: int, chance: np.random.Generator) -> np.ndarray
             slope = softmax(mean @ weights + bias).astype(np.float32)
             slope[label] -= 1
             back = weights @ slope
+            back /= max(np.float32(1), np.linalg.norm(back))
             weights -= rate * np.outer(mean, slope)
             bias -= rate * slope
-            # The mean's gradient is spread over the rows in it, scaled to their number.
-            table[bucket] = rows - rate * np.float32(len(bucket)) * np.outer(share, back)
+            # The step is spread over the rows in the mean so that the mean moves by just the slope,
+            # at most 1, whatever the words' shares: one repeated word takes no larger step than many.
+            table[bucket] = rows - rate * np.outer(share / (share @ share), back)
             done += 1
-    return table @ weights + bias
+    logits = table @ weights + bias
+    if not np.isfinite(logits).all():
+        raise ArithmeticError("training of the language model diverged")
+    return logits
 
 
 def calibrated(languages: list[str], logits: np.ndarray, held_back: list, margin: float,

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -72,6 +73,25 @@ def test_foreign_texts_are_rejected(spark, make_docs, documents, model):
     assert {r["doc_id"]: r["rejected"] for r in found} == {k: k >= len(clean) for k, _ in rows}
 
 
+def test_repeated_words(spark, documents):
+    """Texts of one word, thousands of times, and rows of one id neither break nor fill the training."""
+    chance = random.Random(9)
+    odd = [(None if k % 2 else 5, " ".join([chance.choice(["lorem", "xyz", "ababab", "qq"])] * 3000), "en") for k in range(400)]
+    odd += [(77, "one line of a row that comes again and again", "en")] * 3000
+    mixed = documents.select("doc_id", "text", "lang").unionByName(
+        spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    model = language_id.train(language_id.labelled(mixed), sample_rows=4000)
+    assert np.isfinite(model.logits).all()
+    found = language_id.identify(documents, model).join(documents.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in found)
+    repeated = [language_id.subwords("lorem ipsum " * 20 + "xyz " * 5000)] * 2
+    data = [(k % 3, *np.unique(repeated[0], return_counts=True)) for k in range(300)]
+    data = [(label, bucket, (count / count.sum()).astype(np.float32), "whole") for label, bucket, count in data]
+    assert np.abs(language_id.descend(data, 3, np.random.default_rng(1))).max() < 1000
+
+
 def test_nothing_to_learn(spark, make_docs):
     docs = make_docs([(0, None), (1, "text")]).withColumn("lang", F.lit(None).cast("string"))
     model = language_id.train(language_id.labelled(docs))
