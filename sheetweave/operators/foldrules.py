@@ -1,17 +1,21 @@
-"""Small numpy helpers that fold one group of touching items in order.
+"""Decisions of the ordered folds, on numpy arrays of boxes.
 
-Spark finds the groups (see folds.py); each function here sees one of them.
+Rules tell the tile fold (tilefold.py) which group takes in an item; the other functions see one
+group of touching items that Spark has found (folds.py).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
 from sheetweave.functions.textrules import TAG, WORDY
+from sheetweave.operators.tilefold import Outcome, Rule
 
 _TAG, _WORDY = re.compile(TAG), re.compile(WORDY)
 
@@ -49,27 +53,26 @@ def sweep(count: int, start: Callable, absorbs: Callable, take: Callable,
 # --- segments ----------------------------------------------------------------
 
 
-def _perpendicular(px, py, line):
-    x1, y1, x2, y2 = line
+def _perpendicular(px, py, x1, y1, x2, y2):
     vx, vy = x2 - x1, y2 - y1
     return np.abs(vx * (py - y1) - vy * (px - x1)) / (np.hypot(vx, vy) + 1e-9)
 
 
-def mergeable_with(a: np.ndarray, others: np.ndarray, angle=5.0, gap=30.0, perp=20.0) -> np.ndarray:
-    """Flags of the segments that are nearly collinear with a and nearly touch it."""
-    b = others.T
-    la, lb = np.hypot(a[2] - a[0], a[3] - a[1]), np.hypot(b[2] - b[0], b[3] - b[1])
-    aa = np.degrees(np.arctan2(a[3] - a[1], a[2] - a[0]))
+def mergeable(a: np.ndarray, b: np.ndarray, angle=5.0, gap=30.0, perp=20.0) -> np.ndarray:
+    """Flags of the segments a (rows) that are nearly collinear with b and nearly touch it."""
+    x1, y1, x2, y2 = a.T
+    la, lb = np.hypot(x2 - x1, y2 - y1), np.hypot(b[2] - b[0], b[3] - b[1])
+    aa = np.degrees(np.arctan2(y2 - y1, x2 - x1))
     d = np.abs(aa - np.degrees(np.arctan2(b[3] - b[1], b[2] - b[0]))) % 360.0
     d = np.minimum(d, 360.0 - d)
     turn = np.minimum(d, np.abs(d - 180.0))
-    off = np.minimum.reduce([_perpendicular(b[0], b[1], a), _perpendicular(b[2], b[3], a),
-                             _perpendicular(a[0], a[1], b), _perpendicular(a[2], a[3], b)])
+    off = np.minimum.reduce([_perpendicular(b[0], b[1], x1, y1, x2, y2), _perpendicular(b[2], b[3], x1, y1, x2, y2),
+                             _perpendicular(x1, y1, *b), _perpendicular(x2, y2, *b)])
     ux, uy = np.cos(np.radians(aa)), np.sin(np.radians(aa))
-    ta = (a[2] - a[0]) * ux + (a[3] - a[1]) * uy
-    t1 = (b[0] - a[0]) * ux + (b[1] - a[1]) * uy
-    t2 = (b[2] - a[0]) * ux + (b[3] - a[1]) * uy
-    space = np.maximum(min(0.0, ta), np.minimum(t1, t2)) - np.minimum(max(0.0, ta), np.maximum(t1, t2))
+    ta = (x2 - x1) * ux + (y2 - y1) * uy
+    t1 = (b[0] - x1) * ux + (b[1] - y1) * uy
+    t2 = (b[2] - x1) * ux + (b[3] - y1) * uy
+    space = np.maximum(np.minimum(0.0, ta), np.minimum(t1, t2)) - np.minimum(np.maximum(0.0, ta), np.maximum(t1, t2))
     return (la >= 1) & (lb >= 1) & (turn <= angle) & (off <= perp) & (space <= gap)
 
 
@@ -81,55 +84,77 @@ def extreme_ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.rint(np.concatenate([points[np.argmin(t)], points[np.argmax(t)]])).astype(np.int64)
 
 
-def merge_segments(ids: np.ndarray, segments: np.ndarray) -> list[tuple]:
-    """(id, final, x1, y1, x2, y2) of all states; passes are repeated until none merges."""
-    states = []
-    while True:
-        low, high = _grown_bounds(segments)
-
-        def absorbs(state, later):
-            # Only segments of which the grown boxes meet can be mergeable.
-            a, z = _grown_bounds(state[None, :])
-            near = ((low[later] <= z) & (a <= high[later])).all(axis=1)
-            hit = np.zeros(len(later), dtype=bool)
-            hit[near] = mergeable_with(state, segments[later[near]])
-            return hit
-
-        final, between = sweep(len(ids), lambda i: segments[i], absorbs,
-                               lambda s, j: extreme_ends(s, segments[j]))
-        states += [(ids[i], False, *s) for i, s in between]
-        if not between:
-            return states + [(ids[i], True, *s) for i, s in final]
-        ids, segments = ids[[i for i, _ in final]], np.array([s for _, s in final])
-
-
-def _grown_bounds(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corners of the boxes grown as in matching.merge_reach."""
-    reach = 29.5 + 0.0875 * np.hypot(segments[:, 2] - segments[:, 0], segments[:, 3] - segments[:, 1])[:, None]
-    one, two = segments[:, :2], segments[:, 2:]
-    return np.minimum(one, two) - reach, np.maximum(one, two) + reach
-
-
-def drop_near_copies(segments: np.ndarray, limit: float) -> np.ndarray:
-    """Flags of the lines to keep: of two with both ends near each other the longer one."""
-    keep = np.ones(len(segments), dtype=bool)
-    x1, y1, x2, y2 = segments.T.astype(float)
-    length = np.hypot(x2 - x1, y2 - y1)
-    for i in range(len(segments)):
-        if not keep[i]:
-            continue
-        later = i + 1 + np.flatnonzero(keep[i + 1:])
-        same = np.maximum(np.hypot(x1[i] - x1[later], y1[i] - y1[later]),
-                          np.hypot(x2[i] - x2[later], y2[i] - y2[later]))
-        turned = np.maximum(np.hypot(x1[i] - x2[later], y1[i] - y2[later]),
-                            np.hypot(x2[i] - x1[later], y2[i] - y1[later]))
-        near = later[np.minimum(same, turned) < limit]
-        longer = np.flatnonzero(length[near] > length[i])
-        if len(longer):
-            keep[i] = False
-            near = near[:longer[0]]
-        keep[near] = False
-    return keep
+class Segments(Rule):
+    """Collinear segments merged, until a pass merges none."""
+
+    repeat = True
+
+    def grown(self, boxes):
+        reach = 29.5 + 0.0875 * np.hypot(boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1])[:, None]
+        one, two = boxes[:, :2], boxes[:, 2:]
+        return np.concatenate((np.minimum(one, two) - reach, np.maximum(one, two) + reach), axis=1)
+
+    def absorbs(self, boxes, extras, box, extra):
+        return mergeable(boxes, box)
+
+    def take(self, box, extra, other, other_extra):
+        return extreme_ends(box, other), extra
+
+
+class NearCopies(Rule):
+    """Of two lines with both ends near each other the longer one stays. Items do not grow; what tiles
+    tell each other is when an item was dropped, by the id of the line whose turn it was."""
+
+    def __init__(self, limit: float):
+        self.limit = limit
+
+    def grown(self, boxes):
+        """Twice the reach of a turn, shared by both sides: a turn hangs on what is near its line."""
+        x, y = (boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2
+        reach = self.limit + 1
+        return np.stack((x - reach, y - reach, x + reach, y + reach), 1)
+
+    def fold(self, home, told):
+        items = sorted([(i.id, i.box, None) for i in home] + [
+            (id_, g.first.box, g) for id_, g in told.groups.items()], key=lambda i: i[0])
+        ids = [i[0] for i in items]
+        own = np.array([g is None for *_, g in items], bool)
+        never = float("inf")
+        # Which turn dropped an item: its place, or between two places if it is out of sight.
+        turn = np.array([never if g is None or g.gone is None else place_of(ids, g.gone) for *_, g in items])
+        x1, y1, x2, y2 = np.array([b for _, b, _ in items], float).reshape(-1, 4).T
+        length = np.hypot(x2 - x1, y2 - y1)
+        for i in range(len(ids)):
+            if turn[i] < i:
+                continue
+            later = i + 1 + np.flatnonzero(turn[i + 1:] >= i)
+            same = np.maximum(np.hypot(x1[i] - x1[later], y1[i] - y1[later]), np.hypot(x2[i] - x2[later], y2[i] - y2[later]))
+            turned = np.maximum(np.hypot(x1[i] - x2[later], y1[i] - y2[later]), np.hypot(x2[i] - x1[later], y2[i] - y1[later]))
+            near = later[np.minimum(same, turned) < self.limit]
+            longer = np.flatnonzero(length[near] > length[i])
+            if len(longer):
+                near = near[:longer[0]]
+                if own[i]:
+                    turn[i] = i
+            turn[near[own[near]]] = i
+        out = Outcome()
+        by_id = {i.id: i for i in home}
+        for n, id_ in enumerate(ids):
+            if own[n]:
+                item = by_id[id_]
+                out.used[id_].append(item.box)
+                out.states.append((0, (id_,), item))
+                if turn[n] == never:
+                    out.final.append(item)
+                else:
+                    out.states.append((ids[int(turn[n])], None, item))
+        return out
+
+
+def place_of(ids: list[int], id_: int) -> float:
+    """The place of an id in a sorted list; between two places if it is not in it."""
+    at = bisect_left(ids, id_)
+    return at if at < len(ids) and ids[at] == id_ else at - 0.5
 
 
 def join_editor_lines(ids: np.ndarray, segments: np.ndarray, directions: list[str],
@@ -165,73 +190,84 @@ def join_editor_lines(ids: np.ndarray, segments: np.ndarray, directions: list[st
 # --- texts -------------------------------------------------------------------
 
 
+@lru_cache(1 << 14)
 def _marks(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text is like a tag, like a word, and short."""
     return (bool(_TAG.match(text.replace(" ", ""))), bool(_WORDY.match(text.upper())), len(text) <= 2)
 
 
-def _grown(box, text, score, other_box, other_text, other_score, joiner):
-    joined = np.concatenate([np.minimum(box[:2], other_box[:2]), np.maximum(box[2:], other_box[2:])])
-    return joined, (text + joiner + other_text).strip(), max(score, other_score)
-
-
-def merge_texts(ids: np.ndarray, boxes: np.ndarray, texts: list[str], scores: np.ndarray,
-                vertical: bool, widest: float | None = None) -> list[tuple]:
-    """(id, final, x1 .. y2, text, score) of all states of a row or block merge."""
-    order = np.lexsort((ids, boxes[:, 0], boxes[:, 1]))
-    rows = [(ids[i], boxes[i], texts[i], float(scores[i])) for i in order]
-    states = []
-    while True:
-        b = np.array([r[1] for r in rows])
-        tag, wordy, short = np.array([_marks(r[2]) for r in rows]).T
-        lo, hi, side, depth = (0, 2, 1, 3) if vertical else (1, 3, 0, 2)
-
-        def absorbs(state, later):
-            a, text, _ = state
-            o = b[later]
-            shared = np.minimum(a[hi], o[:, hi]) - np.maximum(a[lo], o[:, lo])
-            smaller = np.maximum(1, np.minimum(a[hi] - a[lo], o[:, hi] - o[:, lo]))
-            beside = np.maximum(0, shared) / smaller >= 0.55
-            swap = o[:, side] < a[side]
-            gap = np.where(swap, a[side] - o[:, depth], o[:, side] - a[depth])
-            t, w, s = _marks(text)
-            if vertical:
-                return beside & ~((gap > 0.35 * smaller) & (gap > 25)) & (w | wordy[later])
-            ok = beside & (gap <= 1.2 * smaller) & (t | tag[later] | w | wordy[later] | s | short[later])
-            if widest is not None:
-                ok &= np.maximum(a[2], o[:, 2]) - np.minimum(a[0], o[:, 0]) <= widest
-            return ok
-
-        def take(state, j):
-            a, text, score = state
-            t, _, s = _marks(text)
-            tight = not vertical and (t or tag[j] or s or short[j])
-            return _grown(a, text, score, *rows[j][1:], "" if tight else " ")
-
-        final, between = sweep(len(rows), lambda i: rows[i][1:], absorbs, take)
-        states += [(rows[i][0], False, *box, text, score) for i, (box, text, score) in between]
-        if not between:
-            return states + [(rows[i][0], True, *box, text, score) for i, (box, text, score) in final]
-        rows = sorted(((rows[i][0], *s) for i, s in final), key=lambda r: (r[1][1], r[1][0]))
-
-
-def append_close(ids: np.ndarray, boxes: np.ndarray, texts: list[str], scores: np.ndarray,
-                 y_tolerance: float, x_gap: float) -> list[tuple]:
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.minimum(a[:2], b[:2]), np.maximum(a[2:], b[2:])))
+
+
+class MergedTexts(Rule):
+    """Parts of one row joined, or rows of one block, until a pass joins none."""
+
+    columns = {"text": "string", "score": "double", "page_width": "bigint"}
+    repeat = True
+
+    def __init__(self, vertical: bool, width_share: float = 0.22):
+        self.vertical, self.width_share = vertical, width_share
+
+    def load(self, text, score, page_width):
+        return text, float(score), int(page_width)
+
+    def order(self, box, extra):
+        return int(box[1]), int(box[0])
+
+    def grown(self, boxes):
+        if self.vertical:
+            reach = 12.5 + 0.175 * np.maximum(1, boxes[:, 2] - boxes[:, 0]) + 1
+        else:
+            reach = 0.6 * np.maximum(1, boxes[:, 3] - boxes[:, 1]) + 1
+        return np.concatenate((boxes[:, :2] - reach[:, None], boxes[:, 2:] + reach[:, None]), axis=1)
+
+    def absorbs(self, boxes, extras, box, extra):
+        lo, hi, side, depth = (0, 2, 1, 3) if self.vertical else (1, 3, 0, 2)
+        a, marks = boxes, np.array([_marks(text) for text, *_ in extras])
+        shared = np.minimum(a[:, hi], box[hi]) - np.maximum(a[:, lo], box[lo])
+        smaller = np.maximum(1, np.minimum(a[:, hi] - a[:, lo], box[hi] - box[lo]))
+        beside = np.maximum(0, shared) / smaller >= 0.55
+        gap = np.where(box[side] < a[:, side], a[:, side] - box[depth], box[side] - a[:, depth])
+        tag, wordy, short = _marks(extra[0])
+        if self.vertical:
+            return beside & ~((gap > 0.35 * smaller) & (gap > 25)) & (marks[:, 1] | wordy)
+        wide = np.maximum(a[:, 2], box[2]) - np.minimum(a[:, 0], box[0])
+        return (beside & (gap <= 1.2 * smaller) & (marks.any(axis=1) | tag | wordy | short)
+                & (wide <= self.width_share * extra[2]))
+
+    def take(self, box, extra, other, other_extra):
+        (tag, _, short), (other_tag, _, other_short) = _marks(extra[0]), _marks(other_extra[0])
+        tight = not self.vertical and (tag or short or other_tag or other_short)
+        text = (extra[0] + ("" if tight else " ") + other_extra[0]).strip()
+        return _union(box, other), (text, max(extra[1], other_extra[1]), extra[2])
+
+
+class CloseTexts(Rule):
     """Texts of one row appended to the growing right edge, without a joiner."""
-    order = np.lexsort((ids, boxes[:, 0], boxes[:, 1]))
-    b = boxes[order]
 
-    def absorbs(state, later):
-        (_, y1, x2, _), _ = state
-        gap = b[later, 0] - x2
-        return (np.abs(b[later, 1] - y1) < y_tolerance) & (gap > 0) & (gap < x_gap)
+    columns = {"text": "string", "score": "double"}
 
-    def take(state, j):
-        (x1, y1, _, y2), text = state
-        return (x1, y1, b[j, 2], y2), text + texts[order[j]]
+    def __init__(self, y_tolerance: float, x_gap: float):
+        self.y_tolerance, self.x_gap = y_tolerance, x_gap
+
+    def load(self, text, score):
+        return text, float(score)
+
+    def order(self, box, extra):
+        return int(box[1]), int(box[0])
 
-    final, between = sweep(len(ids), lambda i: (tuple(b[i]), texts[order[i]]), absorbs, take)
-    return [(ids[order[i]], done, *box, text, float(scores[order[i]]))
-            for done, part in ((False, between), (True, final)) for i, (box, text) in part]
+    def grown(self, boxes):
+        """Corners as far apart as a gap may be; only the left edges and the top count."""
+        x, reach = np.sort(boxes[:, [0, 2]], axis=1), np.array([self.x_gap, self.y_tolerance])
+        return np.stack((x[:, 0] - reach[0], boxes[:, 1] - reach[1], x[:, 1] + reach[0], boxes[:, 1] + reach[1]), 1)
+
+    def absorbs(self, boxes, extras, box, extra):
+        gap = box[0] - boxes[:, 2]
+        return (np.abs(box[1] - boxes[:, 1]) < self.y_tolerance) & (gap > 0) & (gap < self.x_gap)
+
+    def take(self, box, extra, other, other_extra):
+        return np.array([box[0], box[1], other[2], box[3]]), (extra[0] + other_extra[0], extra[1])
 
 
 # --- masks -------------------------------------------------------------------
@@ -244,16 +280,6 @@ def _bitmap(box, ys, starts, ends) -> np.ndarray:
     return pixels
 
 
-def _shared(box_a, pixels_a, box_b, pixels_b) -> int:
-    x1, y1 = max(box_a[0], box_b[0]), max(box_a[1], box_b[1])
-    x2, y2 = min(box_a[2], box_b[2]), min(box_a[3], box_b[3])
-    if x2 <= x1 or y2 <= y1:
-        return 0
-    a = pixels_a[y1 - box_a[1]:y2 - box_a[1], x1 - box_a[0]:x2 - box_a[0]]
-    b = pixels_b[y1 - box_b[1]:y2 - box_b[1], x1 - box_b[0]:x2 - box_b[0]]
-    return int(np.count_nonzero(a & b))
-
-
 def same_symbol(box, area, kept: np.ndarray, areas: np.ndarray, shared: np.ndarray,
                 iou_limit: float, reach: float) -> np.ndarray:
     """Flags of the kept masks that belong to the same symbol as the given one."""
@@ -286,37 +312,137 @@ def same_symbol(box, area, kept: np.ndarray, areas: np.ndarray, shared: np.ndarr
     return (iou > iou_limit) | (apart & near & (iou <= iou_limit)) | (~apart & (iou <= iou_limit) & inside)
 
 
-def merge_masks(ids, scores, boxes, areas, runs, iou_limit: float, reach: float) -> list[tuple]:
-    """(id, final, x1 .. y2, area, score, members) of all states, best score first.
+class Masks(Rule):
+    """Each mask joins the first kept one it belongs to, best score first, or is kept itself."""
 
-    Each mask joins the first kept one it belongs to, or is kept itself.
-    """
-    kept, kept_areas, pixels, found, states = [], [], [], [], []
-    for i in np.lexsort((ids, -scores)):
-        box, bits = boxes[i], _bitmap(boxes[i], *runs[i])
-        hit = np.zeros(0, dtype=bool)
-        if kept:
-            stack = np.array(kept)
-            close = ((stack[:, 0] < box[2]) & (box[0] < stack[:, 2])
-                     & (stack[:, 1] < box[3]) & (box[1] < stack[:, 3]))
-            shared = np.array([_shared(box, bits, k, p) if c else 0
-                               for k, p, c in zip(kept, pixels, close)])
-            hit = same_symbol(box, areas[i], stack, np.array(kept_areas), shared, iou_limit, reach)
-        if not hit.any():
-            kept.append(box), kept_areas.append(areas[i]), pixels.append(bits)
-            found.append([ids[i], scores[i], [ids[i]]])
-            continue
-        j = int(np.argmax(hit))
-        old = kept[j]
-        joined = np.concatenate([np.minimum(old[:2], box[:2]), np.maximum(old[2:], box[2:])])
-        canvas = np.zeros((joined[3] - joined[1], joined[2] - joined[0]), dtype=bool)
-        for part, bit in ((old, pixels[j]), (box, bits)):
-            canvas[part[1] - joined[1]:part[3] - joined[1], part[0] - joined[0]:part[2] - joined[0]] |= bit
-        kept[j], pixels[j], kept_areas[j] = joined, canvas, int(np.count_nonzero(canvas))
-        found[j][1] = max(found[j][1], scores[i])
-        found[j][2].append(ids[i])
-        states.append((found[j][0], False, *joined, kept_areas[j], found[j][1], None))
-    return states + [(f[0], True, *k, a, f[1], f[2]) for f, k, a in zip(found, kept, kept_areas)]
+    columns = {"area": "bigint", "score": "double", "members": "array<bigint>", "ys": "array<bigint>",
+               "starts": "array<bigint>", "ends": "array<bigint>"}
+
+    def __init__(self, iou_limit: float, reach: float):
+        self.iou_limit, self.reach = iou_limit, reach
+
+    def load(self, area, score, members, ys, starts, ends):
+        return int(area), float(score), [int(m) for m in members], Pixels(ys, starts, ends)
+
+    def dump(self, extra):
+        area, score, members, pixels = extra
+        return area, score, members, *pixels.runs()
+
+    def result(self, extra):
+        return *extra[:3], None, None, None
+
+    def order(self, box, extra):
+        return (whole_order(-extra[1]),)
+
+    def grown(self, boxes):
+        reach = self.reach / 2 + 1
+        return boxes + np.array([-reach, -reach, reach, reach])
+
+    def absorbs(self, boxes, extras, box, extra):
+        shared = np.array([extra[3].shared(box, other[3], b) for b, other in zip(boxes, extras)])
+        areas = np.array([other[0] for other in extras])
+        return same_symbol(box, extra[0], boxes, areas, shared, self.iou_limit, self.reach)
+
+    def take(self, box, extra, other, other_extra):
+        joined = _union(box, other)
+        pixels = Pixels.union(joined, (box, extra[3]), (other, other_extra[3]))
+        area = int(np.count_nonzero(pixels.bits))
+        return joined, (area, max(extra[1], other_extra[1]), extra[2] + other_extra[2], pixels)
+
+
+class Pixels:
+    """A mask as runs, made into a bitmap of its box when it is first needed."""
+
+    def __init__(self, ys, starts, ends):
+        self.ys, self.starts, self.ends = (np.asarray(a, np.int64) for a in (ys, starts, ends))
+        self.bits: np.ndarray | None = None
+
+    def drawn(self, box) -> np.ndarray:
+        if self.bits is None:
+            self.bits = _bitmap(box, self.ys, self.starts, self.ends)
+            self.corner = box[:2]
+        return self.bits
+
+    def shared(self, box, other: Pixels, other_box) -> int:
+        x1, y1 = max(box[0], other_box[0]), max(box[1], other_box[1])
+        x2, y2 = min(box[2], other_box[2]), min(box[3], other_box[3])
+        if x2 <= x1 or y2 <= y1:
+            return 0
+        a = self.drawn(box)[y1 - box[1]:y2 - box[1], x1 - box[0]:x2 - box[0]]
+        b = other.drawn(other_box)[y1 - other_box[1]:y2 - other_box[1], x1 - other_box[0]:x2 - other_box[0]]
+        return int(np.count_nonzero(a & b))
+
+    @staticmethod
+    def union(box, *parts) -> Pixels:
+        out = Pixels([], [], [])
+        out.bits, out.corner = np.zeros((box[3] - box[1], box[2] - box[0]), dtype=bool), box[:2]
+        for b, pixels in parts:
+            out.bits[b[1] - box[1]:b[3] - box[1], b[0] - box[0]:b[2] - box[0]] |= pixels.drawn(b)
+        return out
+
+    def runs(self) -> tuple[list[int], list[int], list[int]]:
+        if self.bits is None:
+            return self.ys.tolist(), self.starts.tolist(), self.ends.tolist()
+        edges = np.diff(np.pad(self.bits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        y, start = np.nonzero(edges == 1)
+        end = np.nonzero(edges == -1)[1]
+        return (y + self.corner[1]).tolist(), (start + self.corner[0]).tolist(), (end + self.corner[0]).tolist()
+
+
+# --- suppression -------------------------------------------------------------
+
+
+class Suppressed(Rule):
+    """Boxes in order of their score, best first: one in conflict with a kept one is dropped."""
+
+    columns = {"score": "double"}
+
+    def __init__(self, conflict: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.conflict = conflict
+
+    def order(self, box, extra):
+        (score,) = extra
+        return (whole_order(float("inf") if score is None or score != score else -score),)
+
+    def absorbs(self, boxes, extras, box, extra):
+        return self.conflict(boxes, box)
+
+    def take(self, box, extra, other, other_extra):
+        return box, extra
+
+
+def whole_order(value: float) -> int:
+    """A whole number for each double, in the same order."""
+    bits = int(np.float64(value + 0.0).view(np.int64))
+    return bits if bits >= 0 else bits ^ 0x7FFFFFFFFFFFFFFF
+
+
+def _shared_area(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
+    w = np.minimum(boxes[:, 2], box[2]) - np.maximum(boxes[:, 0], box[0])
+    h = np.minimum(boxes[:, 3], box[3]) - np.maximum(boxes[:, 1], box[1])
+    return np.maximum(w, 0) * np.maximum(h, 0)
+
+
+def iou_above(limit: float):
+    """Conflict of boxes by geometry.iou."""
+
+    def conflict(boxes, box):
+        inter = _shared_area(boxes, box)
+        size = lambda b: np.maximum(b[..., 2] - b[..., 0], 0) * np.maximum(b[..., 3] - b[..., 1], 0)
+        return (inter > 0) & (inter / np.maximum(size(boxes) + size(box) - inter, 1e-6) > limit)
+
+    return conflict
+
+
+def plain_iou_from(limit: float):
+    """Conflict of boxes by geometry.iou_plain."""
+
+    def conflict(boxes, box):
+        inter = _shared_area(boxes, box)
+        size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+        return (inter > 0) & (inter / (size(boxes) + size(box) - inter + 1e-9) >= limit)
+
+    return conflict
 
 
 # --- chains ------------------------------------------------------------------

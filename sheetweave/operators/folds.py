@@ -1,13 +1,9 @@
 """Order-dependent merges, exact, without a task per drawing.
 
-The rule "go through the items in order, let each take in later ones and grow"
-only ties items together that touch at some stage. So items are grouped into
-connected components of touching ones, and every component is folded on its
-own. A grown item may touch items of another component; all states that a fold
-passed through are therefore checked against the other components, those that
-touch are united and folded again, until none do. Then no step of the fold over
-the whole drawing could have seen more than one component, and the results are
-the same.
+Lines, texts and masks that grow as they take in others go through the tile fold
+(tilefold.py). Paths and editor lines look for a next part again after each step; their ends
+are ends of their parts, so they never leave a connected component of lines with near
+ends, and every component is folded on its own.
 """
 
 from __future__ import annotations
@@ -20,14 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.functions import geometry as g
 from sheetweave.functions import textrules
-from sheetweave.functions.geometry import box
 from sheetweave.operators import foldrules, graph
 from sheetweave.operators.components import connected_components
 from sheetweave.operators.filters import long_enough, without_junk
-from sheetweave.operators.matching import measured, merge_reach, mergeable
-from sheetweave.operators.spatial import links_between
+from sheetweave.operators.tilefold import CAPACITY, fold
 from sheetweave.scratch import Scratch
 
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -59,50 +52,6 @@ def fold_components(items: DataFrame, labels: DataFrame, fold: Callable[[pd.Data
     return binned.groupBy("bin").applyInPandas(run, schema)
 
 
-def _settle(items: DataFrame, links: Callable[[DataFrame, DataFrame], DataFrame], fold, schema: str,
-            as_state: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Final states of the fold over each drawing; see the head of this module.
-
-    Items and states have an id, that of a state being its first item's. Only
-    the grown states of the components folded last are looked at again.
-    """
-    scratch = Scratch(items.sparkSession)
-    items = scratch.save(items)
-    originals = as_state(items)
-    labels = scratch.save(connected_components(links(originals, originals))
-                          .withColumnRenamed("node", "id").select(*NODE, "component"))
-    fresh = scratch.save(fold_components(items, labels, fold, schema))
-    states = fresh
-
-    def under_component(rows):
-        """Grown states, named by their component: those of one are not compared."""
-        return (rows.where("NOT final").withColumn("id", F.col("component"))
-                .select(*originals.columns).distinct())
-
-    while True:  # each round unites components, so there are fewer rounds than components
-        grown = under_component(fresh)
-        changed = grown.select("drawing_id").distinct()
-        placed = (originals.join(changed, "drawing_id", "left_semi").join(labels, NODE, "left")
-                  .withColumn("id", F.coalesce("component", "id")).select(*originals.columns))
-        met = scratch.save(links(grown, placed.unionByName(under_component(states))))
-        if met.isEmpty():
-            final = states.where("final").select(*originals.columns)
-            return originals.join(labels.select(*NODE), NODE, "left_anti").unionByName(final)
-        united = scratch.save(connected_components(met))
-        moved = united.select("drawing_id", F.col("node").alias("component"), F.col("component").alias("_to"))
-        single = (united.selectExpr("drawing_id", "node id", "component")
-                  .join(labels.select(*NODE), NODE, "left_anti"))
-        labels = scratch.save(
-            labels.join(moved, ["drawing_id", "component"], "left")
-            .select(*NODE, F.coalesce("_to", "component").alias("component")).unionByName(single))
-        again = united.select("drawing_id", "component").distinct()
-        members = scratch.save(labels.join(again, ["drawing_id", "component"], "left_semi")
-                               .select(*NODE, "component"))
-        fresh = scratch.save(fold_components(items, members, fold, schema))
-        states = states.join(moved.select("drawing_id", "component"), ["drawing_id", "component"],
-                             "left_anti").unionByName(fresh)
-
-
 def _boxes(part: pd.DataFrame) -> np.ndarray:
     return part[PLACE].to_numpy()
 
@@ -114,60 +63,21 @@ def _renamed(df: DataFrame, id_column: str) -> DataFrame:
 # --- lines -------------------------------------------------------------------
 
 
-def dedup_lines(lines: DataFrame, distance: float = 25.0) -> DataFrame:
+def dedup_lines(lines: DataFrame, distance: float = 25.0, capacity: int = CAPACITY) -> DataFrame:
     """Of lines with both ends near each other the longer one, in order of their ids."""
-    key = ["drawing_id", "id"]
-    items = _renamed(lines, "line_id")
-    a, b = box("l_"), box("r_")
-    d = g.point_distance
-    same = F.greatest(d(a.x1, a.y1, b.x1, b.y1), d(a.x2, a.y2, b.x2, b.y2))
-    turned = F.greatest(d(a.x1, a.y1, b.x2, b.y2), d(a.x2, a.y2, b.x1, b.y1))
-    near = F.least(same, turned) < distance
-    # Near lines have near middles, so each needs only the cells around one point.
-    cx, cy = g.center(box())
-    middle = g.Box(cx, cy, cx, cy)
-    placed = items.select(*key, *PLACE)
-    links = links_between(placed, placed, middle, max(distance, 8.0), distance / 2, near)
-    scratch = Scratch(lines.sparkSession)
-    labels = scratch.save(connected_components(links).withColumnRenamed("node", "id"))
-
-    def fold(part):
-        part = part.sort_values("id")
-        keep = foldrules.drop_near_copies(_boxes(part), distance)
-        return [(i,) for i in part["id"].to_numpy()[~keep]]
+    kept = fold(_renamed(lines, "line_id").select(*NODE, *PLACE), foldrules.NearCopies(distance), capacity)
+    return lines.join(kept.selectExpr("drawing_id", "id line_id"), ["drawing_id", "line_id"], "left_semi")
 
-    dropped = fold_components(placed, labels, fold, "id bigint")
-    return items.join(dropped, key, "left_anti").withColumnRenamed("id", "line_id")
 
-
-def merge_segments(lines: DataFrame, min_length: float = 15.0, dedup_distance: float = 25.0) -> DataFrame:
+def merge_segments(lines: DataFrame, min_length: float = 15.0, dedup_distance: float = 25.0,
+                   capacity: int = CAPACITY) -> DataFrame:
     """Long enough lines, without near copies, collinear ones merged until none is left to merge.
 
     A merged line keeps the id of its first part. Returns (drawing_id, line_id, x1 .. y2).
     """
-    clean = dedup_lines(long_enough(lines, min_length).select("drawing_id", "line_id", *PLACE),
-                        dedup_distance)
-
-    meet = mergeable("l_", "r_", slack=1e-6, either_axis=True)
-
-    def as_state(rows):
-        return rows.select(*NODE, *PLACE)
-
-    def links(new, old):
-        def grown(states):
-            sized = measured(states)
-            return sized.withColumns({f"g_{c}": v for c, v in zip(
-                PLACE, g.grow(g.bounds(box()), merge_reach(F.col("len"))))})
-
-        return links_between(grown(new), grown(old), box("g_"), 128, 0, meet)
-
-    def fold(part):
-        part = part.sort_values("id")
-        return foldrules.merge_segments(part["id"].to_numpy(), _boxes(part))
-
-    schema = ("id bigint, final boolean, "
-              "x1 bigint, y1 bigint, x2 bigint, y2 bigint")
-    return _settle(_renamed(clean, "line_id"), links, fold, schema, as_state).withColumnRenamed("id", "line_id")
+    items = _renamed(long_enough(lines, min_length), "line_id").select(*NODE, *PLACE)
+    clean = fold(items, foldrules.NearCopies(dedup_distance), capacity)
+    return fold(clean, foldrules.Segments(), capacity).withColumnRenamed("id", "line_id")
 
 
 def merge_editor_lines(lines: DataFrame, distance: float = 15.0, angle: float = 5.0,
@@ -184,7 +94,7 @@ def merge_editor_lines(lines: DataFrame, distance: float = 15.0, angle: float =
     labels = scratch.save(connected_components(links).withColumnRenamed("node", "line_id"))
     key = ["drawing_id", "line_id"]
 
-    def fold(part):
+    def join(part):
         part = part.sort_values("line_id")
         kind = part["line_type"].iat[0]
         rows = foldrules.join_editor_lines(part["line_id"].to_numpy(), _boxes(part),
@@ -192,7 +102,7 @@ def merge_editor_lines(lines: DataFrame, distance: float = 15.0, angle: float =
         return [(i, kind, direction, *ends) for i, *ends, direction in rows]
 
     joined = fold_components(
-        lines.select(*columns), labels, fold,
+        lines.select(*columns), labels, join,
         "line_id bigint, line_type string, direction string, "
         "x1 bigint, y1 bigint, x2 bigint, y2 bigint").drop("component")
     return lines.select(*columns).join(labels, key, "left_anti").unionByName(joined)
@@ -210,11 +120,11 @@ def chain_lines(lines: DataFrame, max_line_distance: float = 50.0) -> DataFrame:
     labels = scratch.save(connected_components(graph.endpoint_links(lines, reach))
                           .withColumnRenamed("node", "line_id"))
 
-    def fold(part):
+    def walk(part):
         return foldrules.walk_chains(part["line_id"].to_numpy(), _boxes(part), reach)
 
     walked = fold_components(
-        lines.select(*key, *PLACE), labels, fold,
+        lines.select(*key, *PLACE), labels, walk,
         "chain_id bigint, member_pos bigint, line_id bigint")
     single = (lines.select(*key).join(labels, key, "left_anti")
               .selectExpr("drawing_id", "line_id chain_id", "0L member_pos", "line_id"))
@@ -231,76 +141,16 @@ def line_networks(lines: DataFrame, max_line_distance: float = 50.0) -> DataFram
 
 # --- texts -------------------------------------------------------------------
 
-_TEXT_STATE = ("id bigint, final boolean, x1 bigint, y1 bigint, "
-               "x2 bigint, y2 bigint, text string, score double")
-
-
-def _text_state(rows):
-    return rows.select(*NODE, *PLACE, "text", "score")
-
-
-def _text_arrays(part):
-    return (part["id"].to_numpy(), _boxes(part), list(part["text"]), part["score"].to_numpy())
-
-
-def merge_close_texts(texts: DataFrame, y_tolerance: float = 6, x_gap: float = 12) -> DataFrame:
+def merge_close_texts(texts: DataFrame, y_tolerance: float = 6, x_gap: float = 12,
+                      capacity: int = CAPACITY) -> DataFrame:
     """Texts of one row that follow closely appended to the first; its score is kept."""
-
-    def follows(a, b):
-        return ((F.abs(b.y1 - a.y1) < y_tolerance) & (b.x1 - a.x2 > 0) & (b.x1 - a.x2 < x_gap))
-
-    meet = follows(box("l_"), box("r_")) | follows(box("r_"), box("l_"))
-
-    def links(new, old):
-        return links_between(new, old, box(), 128, max(y_tolerance, x_gap) / 2, meet)
-
-    def fold(part):
-        return foldrules.append_close(*_text_arrays(part), y_tolerance, x_gap)
-
     items = _renamed(texts.select("drawing_id", "text_id", *PLACE, "text", "score"), "text_id")
-    return _settle(items, links, fold, _TEXT_STATE, _text_state).withColumnRenamed("id", "text_id")
-
-
-def _merge_texts(texts: DataFrame, vertical: bool, width_share: float = 0.22) -> DataFrame:
-    widths = texts.select("drawing_id", "page_width").distinct()
-
-    def marked(states):
-        t = F.col("text")
-        return states.join(widths, "drawing_id").select(
-            *NODE, *PLACE, textrules.is_tag(t).alias("tag"), textrules.is_wordy(t).alias("wordy"),
-            (F.length(t) <= 2).alias("short"), (width_share * F.col("page_width")).alias("widest"))
-
-    def linked():
-        a, b = box("l_"), box("r_")
-        either = (lambda name: F.col("l_" + name) | F.col("r_" + name))
-        if vertical:
-            gap = F.greatest(a.y1, b.y1) - F.least(a.y2, b.y2)
-            limit = F.greatest(F.lit(25.0), 0.35 * F.greatest(F.lit(1), F.least(g.width(a), g.width(b))))
-            return (g.x_overlap(a, b) >= 0.55 - 1e-9) & (gap <= limit + 1e-6) & either("wordy")
-        gap = F.greatest(a.x1, b.x1) - F.least(a.x2, b.x2)
-        limit = 1.2 * F.greatest(F.lit(1), F.least(g.height(a), g.height(b)))
-        fits = (F.greatest(a.x2, b.x2) - F.least(a.x1, b.x1)) <= F.col("l_widest") + 1e-6
-        return ((g.y_overlap(a, b) >= 0.55 - 1e-9) & (gap <= limit + 1e-6)
-                & (either("tag") | either("wordy") | either("short")) & fits)
-
-    b = box()
-    if vertical:
-        reach = 12.5 + 0.175 * F.greatest(F.lit(1), g.width(b)) + 1
-    else:
-        reach = 0.6 * F.greatest(F.lit(1), g.height(b)) + 1
-
-    meet = linked()
-
-    def links(new, old):
-        return links_between(marked(new), marked(old), b, 128, reach, meet)
+    return fold(items, foldrules.CloseTexts(y_tolerance, x_gap), capacity).withColumnRenamed("id", "text_id")
 
-    def fold(part):
-        widest = None if vertical else width_share * part["page_width"].iat[0]
-        return foldrules.merge_texts(*_text_arrays(part), vertical, widest)
 
-    items = _renamed(texts, "text_id")
-    merged = _settle(items, links, fold, _TEXT_STATE, _text_state)
-    return merged.withColumnRenamed("id", "text_id").join(widths, "drawing_id")
+def _merge_texts(texts: DataFrame, vertical: bool, capacity: int) -> DataFrame:
+    merged = fold(_renamed(texts, "text_id"), foldrules.MergedTexts(vertical), capacity)
+    return merged.withColumnRenamed("id", "text_id")
 
 
 def _prepared(texts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -309,27 +159,27 @@ def _prepared(texts: DataFrame, pages: DataFrame) -> DataFrame:
             .select("drawing_id", "text_id", *PLACE, "text", "score", "page_width"))
 
 
-def merge_horizontal(texts: DataFrame, pages: DataFrame) -> DataFrame:
+def merge_horizontal(texts: DataFrame, pages: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Parts of tags and words of one row joined; pages are (drawing_id, width)."""
-    return _merge_texts(_prepared(texts, pages), vertical=False)
+    return _merge_texts(_prepared(texts, pages), False, capacity)
 
 
-def merge_vertical(texts: DataFrame, pages: DataFrame) -> DataFrame:
+def merge_vertical(texts: DataFrame, pages: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Word lines of one block joined."""
-    return _merge_texts(_prepared(texts, pages), vertical=True)
+    return _merge_texts(_prepared(texts, pages), True, capacity)
 
 
-def merge_text_items(texts: DataFrame, pages: DataFrame) -> DataFrame:
+def merge_text_items(texts: DataFrame, pages: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows first, then blocks, then junk removed."""
-    rows = _merge_texts(_prepared(texts, pages), vertical=False)
-    return without_junk(_merge_texts(rows, vertical=True)).drop("page_width")
+    rows = _merge_texts(_prepared(texts, pages), False, capacity)
+    return without_junk(_merge_texts(rows, True, capacity)).drop("page_width")
 
 
 # --- masks -------------------------------------------------------------------
 
 
 def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limit: float = 0.8,
-                reach: int = 20) -> DataFrame:
+                reach: int = 20, capacity: int = CAPACITY // 32) -> DataFrame:
     """Overlapping and neighbouring masks of one symbol united, best score first.
 
     Masks are (drawing_id, mask_id, score), features their box and area. Returns
@@ -341,39 +191,7 @@ def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limi
     pixels = runs.where("x_end > x_start").groupBy(*key).agg(
         F.collect_list(F.struct("y", "x_start", "x_end")).alias("runs")).select(
         *key, F.col("runs.y").alias("ys"), F.col("runs.x_start").alias("starts"), F.col("runs.x_end").alias("ends"))
-    items = (masks.join(features, key).join(pixels, key)
-             .select("drawing_id", F.col("mask_id").alias("id"), "score", *PLACE, "area", "ys", "starts", "ends"))
-
-    def as_state(rows):
-        members = F.col("members") if "members" in rows.columns else F.array("id")
-        return rows.select(*NODE, *PLACE, "area", "score", members.alias("members"))
-
-    def linked():
-        a, b, area_a, area_b = box("l_"), box("r_"), F.col("l_area"), F.col("r_area")
-        gap, score = g.box_gap(a, b), g.alignment(a, b)
-        size = F.greatest(area_a, area_b) / F.greatest(F.least(area_a, area_b), F.lit(1))
-        asp_a, asp_b = g.aspect(a), g.aspect(b)
-        stretch = F.greatest(asp_a, asp_b) / F.greatest(F.least(asp_a, asp_b), F.lit(0.01))
-        filled = (area_a + area_b) / F.greatest(g.area(g.union_box(a, b)), F.lit(1))
-        eps = 1e-9
-        near = (gap <= reach + eps) & (
-            ((score > 0.5 - eps) & (size < 5 + eps) & (stretch < 4 + eps) & (filled > 0.2 - eps))
-            | ((gap < reach * 0.6 + eps) & (score > 0.4 - eps) & (size < 6 + eps) & (filled > 0.15 - eps))
-            | ((score > 0.7 - eps) & (gap < reach * 0.8 + eps) & (size < 8 + eps)))
-        return g.boxes_touch(a, b) | near
-
-    meet = linked()
-
-    def links(new, old):
-        return links_between(new.select(*NODE, *PLACE, "area"), old.select(*NODE, *PLACE, "area"), box(),
-                             128, reach / 2 + 1, meet)
-
-    def fold(part):
-        cells = list(zip(part["ys"], part["starts"], part["ends"]))
-        rows = foldrules.merge_masks(part["id"].to_numpy(), part["score"].to_numpy(), _boxes(part),
-                                     part["area"].to_numpy(), cells, iou_limit, reach)
-        return rows
-
-    schema = ("id bigint, final boolean, x1 bigint, y1 bigint, "
-              "x2 bigint, y2 bigint, area bigint, score double, members array<bigint>")
-    return _settle(items, links, fold, schema, as_state).withColumnRenamed("id", "mask_id")
+    items = (_renamed(masks.join(features, key).join(pixels, key), "mask_id")
+             .select(*NODE, *PLACE, "area", "score", F.array("id").alias("members"), "ys", "starts", "ends"))
+    merged = fold(items, foldrules.Masks(iou_limit, reach), capacity)
+    return merged.withColumnRenamed("id", "mask_id").drop("ys", "starts", "ends")

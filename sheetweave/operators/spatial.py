@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetweave.functions.geometry import Box, Segment, bounds, point_segment_distance
-from sheetweave.scratch import Scratch
 
 KEY = ["drawing_id"]
 
@@ -60,36 +59,3 @@ def segment_cells(df: DataFrame, s: Segment, size: float, reach: Column | float)
     middle = ((F.col("cell_x") + 0.5) * size, (F.col("cell_y") + 0.5) * size)
     near = point_segment_distance(*middle, s) <= reach + size * 0.7072
     return around.where(near).drop("low_x", "low_y")
-
-
-def links_between(new: DataFrame, old: DataFrame, b: Box, size: float, reach, linked: Column,
-                  dense: int = 1024) -> DataFrame:
-    """Links (drawing_id, a, b) between ids of new and old rows for which ``linked`` is true.
-
-    ``linked`` names the columns of the two rows with the prefixes l_ and r_; both
-    boxes are grown by the reach. The links serve to find groups that may be
-    treated apart, for which a coarser grouping is right as well: a cell with more
-    than ``dense`` old rows ties all its ids to the lowest one, at a cost linear
-    in its rows.
-    """
-    cell = ["drawing_id", "cell_x", "cell_y"]
-    names = [c for c in new.columns if c != "drawing_id"] + ["low_x", "low_y"]
-    n, o = (with_cells(df, b, size, reach) for df in (new, old))
-    crowds = Scratch(new.sparkSession).save(
-        o.groupBy(*cell).agg(F.count("*").alias("_n"), F.min("id").alias("_first"))
-        .where(F.col("_n") > dense).drop("_n"))
-    crowded = not crowds.isEmpty()
-    left = n.select(*cell, *(F.col(c).alias(f"l_{c}") for c in names))
-    right = o.select(*cell, *(F.col(c).alias(f"r_{c}") for c in names))
-    if crowded:
-        left = left.join(crowds, cell, "left_anti")
-    pairs = (left.join(right, cell)
-             .where((F.col("l_id") != F.col("r_id"))
-                    & (F.col("cell_x") == F.greatest("l_low_x", "r_low_x"))
-                    & (F.col("cell_y") == F.greatest("l_low_y", "r_low_y")) & linked)
-             .selectExpr("drawing_id", "least(l_id, r_id) a", "greatest(l_id, r_id) b"))
-    if crowded:
-        pairs = pairs.unionByName(
-            o.select(*cell, "id").unionByName(n.select(*cell, "id")).join(crowds, cell)
-            .where("id <> _first").selectExpr("drawing_id", "_first a", "id b"))
-    return pairs.distinct()

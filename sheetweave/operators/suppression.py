@@ -1,127 +1,34 @@
-"""Greedy suppression by rank as rounds of joins.
+"""Greedy suppression: the best box left is taken, and all boxes in conflict with it are dropped.
 
-The sequential rule "take the best box left, drop all boxes in conflict with
-it" has one result, which rounds reach as well: a box without a better rival is
-taken, and its rivals are dropped. Within a cell only the best ``depth`` boxes
-are compared with each other; boxes beyond them wait until the better ones are
-decided, so that a crowded cell never emits all its pairs.
+That is an ordered fold whose groups do not grow: in order of rank a box joins the first kept
+box in conflict with it, or is kept. See tilefold.py for drawings of many boxes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
-from sheetweave.functions.geometry import Box, box
-from sheetweave.operators.spatial import with_cells
-from sheetweave.scratch import Scratch
+from sheetweave.operators.foldrules import Suppressed
+from sheetweave.operators.tilefold import CAPACITY, fold
 
-Conflict = Callable[[Box, Box], Column]
 NODE = ["drawing_id", "id"]
-CELL = ["drawing_id", "cell_x", "cell_y"]
+#: Tells which of some boxes (rows of x1 .. y2) are in conflict with a box; they must overlap.
+Conflict = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _rivals(spread: DataFrame, depth: int) -> DataFrame:
-    best = Window.partitionBy(*CELL).orderBy(F.desc("score"), "id")
-    return spread.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= depth)
-
-
-def _conflicts(listed: DataFrame, conflict: Conflict) -> DataFrame:
-    """(better, worse) pairs in conflict among the listed boxes, each pair once."""
-    names = ["id", "x1", "y1", "x2", "y2", "low_x", "low_y", "_rank"]
-    a = listed.select(*CELL, *(F.col(c).alias(f"a_{c}") for c in names))
-    b = listed.select(*CELL, *(F.col(c).alias(f"b_{c}") for c in names))
-    return (a.join(b, CELL)
-            .where((F.col("a__rank") < F.col("b__rank"))
-                   & (F.col("cell_x") == F.greatest("a_low_x", "b_low_x"))
-                   & (F.col("cell_y") == F.greatest("a_low_y", "b_low_y"))
-                   & conflict(box("a_"), box("b_")))
-            .select("drawing_id", F.col("a_id").alias("better"), F.col("b_id").alias("worse")))
-
-
-def _hit_by(boxes: DataFrame, taken: DataFrame, conflict: Conflict) -> DataFrame:
-    """Spread boxes in conflict with a spread taken one, with the taken one's rank key."""
-    names = ["id", "score", "x1", "y1", "x2", "y2", "low_x", "low_y"]
-    t = taken.select(*CELL, *(F.col(c).alias(f"t_{c}") for c in names))
-    return (boxes.join(t, CELL)
-            .where((F.col("cell_x") == F.greatest("low_x", "t_low_x"))
-                   & (F.col("cell_y") == F.greatest("low_y", "t_low_y"))
-                   & (F.col("id") != F.col("t_id"))
-                   & conflict(box(), box("t_"))))
-
-
-def _decide(pairs: DataFrame, waiting: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame]:
-    """Dropped nodes, and pairs that hang on boxes which have to wait."""
-    dropped = None
-    while not pairs.isEmpty():  # each round drops boxes or is the last
-        better = pairs.selectExpr("drawing_id", "better id").distinct()
-        taken = (better.join(pairs.selectExpr("drawing_id", "worse id"), NODE, "left_anti")
-                 .join(waiting, NODE, "left_anti"))
-        now = scratch.save(pairs.join(taken.withColumnRenamed("id", "better"),
-                                      ["drawing_id", "better"], "left_semi")
-                           .selectExpr("drawing_id", "worse id").distinct())
-        if now.isEmpty():
-            break
-        left = (pairs.join(now.withColumnRenamed("id", "better"),
-                           ["drawing_id", "better"], "left_anti")
-                .join(now.withColumnRenamed("id", "worse"), ["drawing_id", "worse"], "left_anti"))
-        following = scratch.save(left)
-        scratch.forget(pairs)
-        pairs = following
-        dropped = now if dropped is None else dropped.unionByName(now)
-    return dropped, pairs
-
-
-def suppress(boxes: DataFrame, conflict: Conflict, size: float = 64, depth: int = 64) -> DataFrame:
+def suppress(boxes: DataFrame, conflict: Conflict, capacity: int = CAPACITY) -> DataFrame:
     """Boxes that survive, from (drawing_id, id, score, x1, y1, x2, y2).
 
-    Boxes in conflict must overlap. The rank is the score, descending, then the id.
+    The rank is the score, descending, then the id; boxes without a score come last.
     """
-    scratch = Scratch(boxes.sparkSession)
-    names = ["drawing_id", "id", "score", "x1", "y1", "x2", "y2"]
-    boxes = boxes.select(*names)
-    # Of exact copies in conflict with each other the best one decides for all.
-    copy = conflict(box(), box())
-    first = F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("top")
-    piles = (boxes.where(copy).groupBy("drawing_id", "x1", "y1", "x2", "y2").agg(first)
-             .select("drawing_id", "top.id", "top.score", "x1", "y1", "x2", "y2"))
-    open_boxes = scratch.save(piles)
-    kept = boxes.where(~copy)
-    while True:  # each round takes the best box of every cell at least
-        spread = with_cells(open_boxes, box(), size)
-        listed = scratch.save(_rivals(spread, depth))
-        seen = listed.groupBy(*NODE).agg(F.count("*").alias("_seen"))
-        cells = spread.groupBy(*NODE).agg(F.count("*").alias("_cells"))
-        waiting = scratch.save(cells.join(seen, NODE, "left")
-                               .where(F.coalesce("_seen", F.lit(0)) < F.col("_cells"))
-                               .select(*NODE))
-        pairs = scratch.save(_conflicts(listed, conflict))
-        dropped, pairs = _decide(pairs, waiting, scratch)
-        left = open_boxes if dropped is None else open_boxes.join(dropped, NODE, "left_anti")
-        if waiting.isEmpty():
-            return kept.unionByName(left)
-        undecided = waiting.unionByName(pairs.selectExpr("drawing_id", "worse id"))
-        taken = scratch.save(left.join(undecided, NODE, "left_anti"))
-        kept = kept.unionByName(taken)
-        rest = left.join(taken, NODE, "left_anti")
-        hit = _hit_by(with_cells(rest, box(), size), with_cells(taken, box(), size), conflict)
-        following = scratch.save(rest.join(hit.select(*NODE), NODE, "left_anti"))
-        open_boxes = following
+    return fold(boxes, Suppressed(conflict), capacity).select(*NODE, "score", "x1", "y1", "x2", "y2")
 
 
-def absorbed_by(boxes: DataFrame, kept: DataFrame, conflict: Conflict,
-                size: float = 64) -> DataFrame:
-    """(drawing_id, id, seed): each box with the best kept box it is in conflict with."""
-    names = ["drawing_id", "id", "score", "x1", "y1", "x2", "y2"]
-    # Copies of a box have the same seed; they are looked up once.
-    place = ["drawing_id", "x1", "y1", "x2", "y2"]
-    others = boxes.join(kept.select(*NODE), NODE, "left_anti").select(*names)
-    places = others.select(*place).distinct().withColumn("id", F.lit(-1).cast("bigint"))
-    hit = _hit_by(with_cells(places, box(), size),
-                  with_cells(kept.select(*names), box(), size), conflict)
-    best = hit.groupBy(*place).agg(
-        F.max_by("t_id", F.struct("t_score", -F.col("t_id"))).alias("seed"))
-    joined = others.join(best, place).select(*NODE, "seed")
-    return joined.unionByName(kept.select(*NODE, F.col("id").alias("seed")))
+def absorbed_by(boxes: DataFrame, conflict: Conflict, capacity: int = CAPACITY) -> DataFrame:
+    """(drawing_id, id, seed): each box with the best kept box it is in conflict with; a kept one is its own."""
+    dropped = fold(boxes, Suppressed(conflict), capacity, parts=True).withColumnRenamed("owner", "seed")
+    return (boxes.select(*NODE).join(dropped, NODE, "left")
+            .withColumn("seed", F.coalesce("seed", "id")))

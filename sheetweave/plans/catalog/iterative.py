@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sheetweave.functions import geometry as g
 from sheetweave.operators import folds, masks as m, tracks
+from sheetweave.operators.foldrules import iou_above, plain_iou_from
 from sheetweave.operators.suppression import absorbed_by, suppress
 from sheetweave.plans.catalog import sweepsql as sw
 from sheetweave.plans.catalog.registry import query
@@ -25,14 +25,6 @@ def _crowded(texts, band=24):
         f"floor(y1/{band})*14+y2-y1 y2", "text", "score")
 
 
-def text_conflict(a, b):
-    return g.iou(a, b) > 0.35
-
-
-def merge_conflict(a, b):
-    return g.iou_plain(a, b) >= 0.3
-
-
 # Walks the boxes of every drawing by rank and keeps the list of kept ones.
 NMS = """
 WITH RECURSIVE ranked AS (SELECT drawing_id, det_id, score, x1, y1, x2, y2,
@@ -54,7 +46,7 @@ UNION = f"((k.x2-k.x1)*(k.y2-k.y1)+(r.x2-r.x1)*(r.y2-r.y1)-{INTER})"
 SELECT drawing_id, k.id det_id FROM seeds""")
 def _(fx):
     boxes = fx.detections.withColumnRenamed("det_id", "id")
-    return suppress(boxes, text_conflict).selectExpr("drawing_id", "id det_id")
+    return suppress(boxes, iou_above(0.35)).selectExpr("drawing_id", "id det_id")
 
 
 @query("it_nms_merge", NMS.format(hit=f"{INTER} > 0 AND {INTER}/({UNION}+1e-9) >= 0.3") + f""",
@@ -66,8 +58,7 @@ SELECT a.drawing_id, seed, min(a.x1) x1, min(a.y1) y1, max(a.x2) x2, max(a.y2) y
 FROM absorbed a JOIN dets_v d ON d.drawing_id = a.drawing_id AND d.det_id = seed WHERE pick = 1 GROUP BY a.drawing_id, seed""")
 def _(fx):
     boxes = fx.detections.withColumnRenamed("det_id", "id")
-    kept = suppress(boxes, merge_conflict)
-    groups = absorbed_by(boxes, kept, merge_conflict)
+    groups = absorbed_by(boxes, plain_iou_from(0.3))
     return (boxes.join(groups, ["drawing_id", "id"]).groupBy("drawing_id", "seed")
             .agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"),
                  F.max("y2").alias("y2"), F.max("score").alias("score")))
@@ -214,7 +205,34 @@ def _(fx):
         "drawing_id", "text_id", *PLACE, "text", "score")
 
 
-@query("it_merge_masks")
+# Walks the masks of every drawing, best score first, with the list of kept ones. Pixels are kept as
+# one number of 32 bits for each strip of a row of pixels.
+MASKS = f"""
+WITH RECURSIVE pieces AS (SELECT drawing_id, mask_id, y, x_start, x_end, unnest(range(x_start//32, (x_end-1)//32 + 1)) s
+  FROM runs_v WHERE x_end > x_start),
+strips AS (SELECT drawing_id, mask_id, y*65536+s k, bit_or((1::BIGINT << least(x_end-32*s, 32)::INTEGER)
+  - (1::BIGINT << greatest(x_start-32*s, 0)::INTEGER)) b FROM pieces GROUP BY ALL),
+shapes AS (SELECT drawing_id, mask_id, list({{'k': k, 'b': b}} ORDER BY k) px FROM strips GROUP BY ALL),
+boxes AS (SELECT drawing_id, mask_id, min(x_start) x1, min(y) y1, max(x_end) x2, max(y)+1 y2, sum(x_end-x_start)::BIGINT area
+  FROM runs_v WHERE x_end > x_start GROUP BY ALL),
+m AS (SELECT b.*, px, score, row_number() OVER (PARTITION BY drawing_id ORDER BY score DESC, mask_id) rn
+  FROM boxes b JOIN shapes USING (drawing_id, mask_id) JOIN dets_v d ON d.drawing_id = b.drawing_id AND d.det_id = b.mask_id),
+walk(drawing_id, rn, kept) USING KEY (drawing_id) AS (
+ SELECT DISTINCT drawing_id, 0::BIGINT, [{{'id': 0::BIGINT, 'x1': 0::BIGINT, 'y1': 0::BIGINT, 'x2': 0::BIGINT, 'y2': 0::BIGINT,
+  'area': 0::BIGINT, 'score': 0::DOUBLE, 'n': 0::BIGINT, 'px': [{{'k': 0::BIGINT, 'b': 0::BIGINT}}]}}][1:0] FROM m
+ UNION
+ SELECT drawing_id, rn, CASE WHEN hit IS NULL
+   THEN list_append(kept, {{'id': mask_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'area': area, 'score': score, 'n': 1::BIGINT, 'px': px}})
+   ELSE list_transform(kept, lambda k, i: CASE WHEN i <> hit THEN k ELSE {{'id': k.id, 'x1': least(k.x1, x1), 'y1': least(k.y1, y1),
+     'x2': greatest(k.x2, x2), 'y2': greatest(k.y2, y2), 'area': (k.area + area - {sw.shared_pixels('k.px', 'px')})::BIGINT,
+     'score': greatest(k.score, score), 'n': k.n + 1, 'px': {sw.united_pixels('k.px', 'px')}}} END) END
+ FROM (SELECT r.*, w.kept, list_filter(range(1, len(w.kept)+1), lambda i: {sw.masks_join('w.kept[i]', 'r')})[1] hit
+   FROM walk w JOIN m r ON r.drawing_id = w.drawing_id AND r.rn = w.rn + 1) q)
+SELECT drawing_id, o.id mask_id, o.x1 x1, o.y1 y1, o.x2 x2, o.y2 y2, o.area area, o.score score, o.n members
+FROM (SELECT drawing_id, unnest(kept) o FROM walk)"""
+
+
+@query("it_merge_masks", MASKS)
 def _(fx):
     masks = fx.detections.selectExpr("drawing_id", "det_id mask_id", "score")
     runs = fx.runs

@@ -11,12 +11,15 @@ from sheetweave.sources.fixtures import Fixtures, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: The SQL over the drawing tables alone, for tests on other drawings.
+SOURCE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def register(plan: Callable[[Fixtures], DataFrame]):
         QUERIES[name] = lambda spark, folder: plan(Fixtures(spark, folder))
         if sql is not None:
+            SOURCE[name] = sql
             ORACLE[name] = oracle(sql)
         return plan
     return register

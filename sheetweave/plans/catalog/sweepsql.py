@@ -151,3 +151,50 @@ def editor_union(a: str, b: str) -> str:
                      for p in (a, b) for n in (1, 2))
     return (f"{{'id': {a}.id, 'x1': list_min([{ends}]).x, 'y1': list_min([{ends}]).y, 'x2': list_max([{ends}]).x,"
             f" 'y2': list_max([{ends}]).y, 'd': CASE WHEN {a}.d <> 'none' THEN {a}.d ELSE {b}.d END}}")
+
+
+# --- masks -------------------------------------------------------------------
+
+
+def shared_pixels(a: str, b: str) -> str:
+    """Pixels that two lists of strips share."""
+    return (f"coalesce(list_sum(list_transform({a}, lambda p: coalesce(list_sum(list_transform(list_filter({b},"
+            f" lambda q: q.k = p.k), lambda q: bit_count(q.b & p.b))), 0))), 0)")
+
+
+def united_pixels(a: str, b: str) -> str:
+    both = (f"list_transform({a}, lambda p: {{'k': p.k, 'b': p.b | coalesce(list_filter({b}, lambda q: q.k = p.k)[1].b, 0)}})")
+    return f"list_concat({both}, list_filter({b}, lambda q: len(list_filter({a}, lambda p: p.k = q.k)) = 0))"
+
+
+def masks_join(a: str, b: str, iou_limit: float = 0.8, reach: int = 20) -> str:
+    """Whether mask b belongs to the kept mask a."""
+    dx = f"greatest(0, {a}.x1-{b}.x2, {b}.x1-{a}.x2)"
+    dy = f"greatest(0, {a}.y1-{b}.y2, {b}.y1-{a}.y2)"
+    near = f"sqrt({dx}*{dx}+{dy}*{dy})"
+    touch = f"({a}.x1 < {b}.x2 AND {b}.x1 < {a}.x2 AND {a}.y1 < {b}.y2 AND {b}.y1 < {a}.y2)"
+    inter = f"(CASE WHEN {touch} THEN {shared_pixels(f'{a}.px', f'{b}.px')} ELSE 0 END)"
+    iou = f"({inter}/({a}.area+{b}.area-{inter}))"
+
+    def ratio(p, q, least):
+        return f"greatest({p}, {q})/greatest(least({p}, {q}), {least})"
+
+    size = ratio(f"{a}.area", f"{b}.area", 1)
+    stretch = ratio(*(f"(({m}.x2-{m}.x1)/greatest({m}.y2-{m}.y1, 1))" for m in (a, b)), 0.01)
+    ox, oy = (f"(abs(({a}.{c}1+{a}.{c}2)/2-({b}.{c}1+{b}.{c}2)/2))" for c in "xy")
+
+    def aligned(off, side):
+        return f"(1-least({off}/greatest((({a}.{side}2-{a}.{side}1)+({b}.{side}2-{b}.{side}1))/2, 1), 1))"
+
+    best = (f"greatest(CASE WHEN {ox} > 0 THEN {aligned(oy, 'y')} ELSE 1.0 END, CASE WHEN {oy} > 0 THEN {aligned(ox, 'x')} ELSE 1.0 END)")
+    score = f"(CASE WHEN {dx} = 0 OR {dy} = 0 THEN least({best}*1.2, 1.0::DOUBLE) ELSE {best}*0.8 END)"
+    filled = (f"({a}.area+{b}.area)/greatest((greatest({a}.x2, {b}.x2)-least({a}.x1, {b}.x1))"
+              f"*(greatest({a}.y2, {b}.y2)-least({a}.y1, {b}.y1)), 1)")
+    beside = (f"({near} <= {reach} AND (({score} > 0.5 AND {size} < 5 AND {stretch} < 4 AND {filled} > 0.2)"
+              f" OR ({near} < {0.6 * reach} AND {score} > 0.4 AND {size} < 6 AND {filled} > 0.15)"
+              f" OR ({score} > 0.7 AND {near} < {0.8 * reach} AND {size} < 8)))")
+    w = f"greatest(least({b}.x2, {a}.x2+{reach})-greatest({b}.x1, {a}.x1-{reach}), 0)"
+    h = f"greatest(least({b}.y2, {a}.y2+{reach})-greatest({b}.y1, {a}.y1-{reach}), 0)"
+    inside = f"{w}*{h}/greatest(({b}.x2-{b}.x1)*({b}.y2-{b}.y1), 1) > 0.6"
+    return (f"({near} <= {reach} AND CASE WHEN {iou} > {iou_limit} THEN true WHEN {inter} = 0 OR {iou} < 0.1 THEN {beside}"
+            f" ELSE {inside} END)")

@@ -7,8 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from sheetweave.operators import filters, folds, graph, ink
+from sheetweave.operators.foldrules import iou_above
 from sheetweave.operators.suppression import suppress
-from sheetweave.functions import geometry as g
 from sheetweave.scratch import Scratch
 
 
@@ -46,7 +46,7 @@ def clean_texts(found: DataFrame, pages: DataFrame, min_score: float = 0.22, iou
     """From pooled recognised texts (drawing_id, text_id, x1 .. y2, text, score) to text items."""
     items = filters.confident(found, min_score)
     boxes = items.withColumnRenamed("text_id", "id")
-    kept = suppress(boxes, lambda a, b: g.iou(a, b) > iou_limit).selectExpr("drawing_id", "id text_id")
+    kept = suppress(boxes, iou_above(iou_limit)).selectExpr("drawing_id", "id text_id")
     valid = filters.valid_texts(items.join(kept, ["drawing_id", "text_id"], "left_semi"))
     close = folds.merge_close_texts(valid)
     return folds.merge_text_items(filters.plausible_text_boxes(close, pages), pages)

@@ -1,13 +1,19 @@
-"""Order-dependent operators on crowded random drawings, against plain twins or by their properties."""
+"""Order-dependent operators on crowded random drawings, against their SQL, plain twins or properties.
+
+Capacities of a few items cut a drawing into many tiles, so decisions cross them all the time.
+"""
 
 import math
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheetweave.operators import components, folds, masks as m
-from sheetweave.operators.filters import long_enough
+from sheetweave.plans.catalog import iterative
+from sheetweave.plans.catalog.registry import SOURCE
 from tests import twins
 
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -40,14 +46,49 @@ def by_drawing(rows):
     return out
 
 
-def test_merge_segments(lines, partitions):
-    _, df = lines
-    clean = folds.dedup_lines(long_enough(df, 15.0)).orderBy("drawing_id", "line_id").select(
-        "drawing_id", "line_id", *PLACE).collect()
-    want = {(d, i, *s) for d, part in by_drawing(clean).items()
-            for i, s in twins.absorb([(r[0], tuple(r[1:])) for r in part], twins.segments_join, twins.segments_union)}
-    got = {tuple(r) for r in folds.merge_segments(df).select("drawing_id", "line_id", *PLACE).collect()}
-    assert got == want
+LINES = ["drawing_id", "line_id", "line_type", "direction", *PLACE]
+CAPACITIES = pytest.mark.parametrize("capacity", [9, 1000])
+
+
+def by_sql(sql, **tables):
+    con = duckdb.connect()
+    for name, frame in tables.items():
+        con.register(name, frame)
+    cursor = con.execute(sql)
+    return {tuple(r) for r in cursor.fetchall()}, [d[0] for d in cursor.description]
+
+
+@pytest.fixture(scope="module")
+def merged(lines):
+    """Rows of the SQL of the merge, on lines with long runs of parts in a row added."""
+    rows, df = lines
+    chance = random.Random(12)
+    extra = []
+    for d in (0, 3):
+        for track in range(2):
+            places = list(range(0, 600, 30))
+            chance.shuffle(places)
+            extra += [(d, 1000 + 100 * track + n, "solid", "none", x, 50 * track + chance.randrange(9), x + 22,
+                       50 * track + chance.randrange(9)) for n, x in enumerate(places)]
+    frame = pd.DataFrame(rows + extra, columns=LINES)
+    want, names = by_sql(SOURCE["it_merge_segments"], lines_v=frame)
+    return df.unionByName(df.sparkSession.createDataFrame(extra, df.schema)), want, names
+
+
+@CAPACITIES
+def test_merge_segments(merged, capacity):
+    df, want, names = merged
+    assert {tuple(r) for r in folds.merge_segments(df, capacity=capacity).select(*names).collect()} == want
+
+
+@CAPACITIES
+def test_dedup_in_tiles(lines, capacity):
+    """Lines on a tenth of the page lie on heaps that many tiles share."""
+    rows, df = lines
+    small = df.selectExpr("drawing_id", "line_id - 5 line_id", *(f"CAST(floor({c}/3) AS BIGINT) {c}" for c in PLACE))
+    sql = "WITH RECURSIVE l AS (SELECT drawing_id, line_id, x1, y1, x2, y2 FROM lines_v)," + iterative.DEDUP
+    want, _ = by_sql(sql + "SELECT drawing_id, line_id FROM distinct_lines", lines_v=small.toPandas())
+    assert {tuple(r) for r in folds.dedup_lines(small, capacity=capacity).select("drawing_id", "line_id").collect()} == want
 
 
 def gap(a, b):
@@ -67,14 +108,17 @@ def test_dedup_lines(lines, partitions):
             if (d, i) in left:
                 assert not any((d, j) in left for j in near)
             else:
-                assert any((twins.length(segments[j]), -j) > (twins.length(s), -i) for j in near)
+                assert any((length(segments[j]), -j) > (length(s), -i) for j in near)
+
+
+def length(s):
+    return math.hypot(s[2] - s[0], s[3] - s[1])
 
 
 def test_editor_lines(lines):
     rows, df = lines
-    want = {(d, kind, i, *s, direction) for d, part in by_drawing(rows).items() for kind in ("solid", "dashed")
-            for i, s, direction in twins.editor_lines([(r[0], r[3:], r[2]) for r in part if r[1] == kind])}
-    got = folds.merge_editor_lines(df).select("drawing_id", "line_type", "line_id", *PLACE, "direction")
+    want, names = by_sql(SOURCE["it_merge_editor_lines"], lines_v=pd.DataFrame(rows, columns=LINES))
+    got = folds.merge_editor_lines(df, min_length=60.0).select(*names)
     assert {tuple(r) for r in got.collect()} == want
 
 
@@ -135,45 +179,46 @@ def flat(df):
     return {tuple(r) for r in df.select("drawing_id", "text_id", *PLACE, "text", "score").collect()}
 
 
-def test_close_texts(texts):
+@CAPACITIES
+def test_close_texts(texts, capacity):
     rows, df, _ = texts
     want = {(d, i, *b, t, s) for d, part in by_drawing(rows).items()
             for i, b, t, s in twins.close_texts([(r[0], r[1:5], r[5], r[6]) for r in part])}
-    assert flat(folds.merge_close_texts(df)) == want
+    assert flat(folds.merge_close_texts(df, capacity=capacity)) == want
 
 
-def test_rows(texts, partitions):
+@CAPACITIES
+def test_rows(texts, capacity):
     rows, df, pages = texts
     want = {(d, i, *b, t, s) for d, part in by_drawing(rows).items() for i, b, t, s in twins.merge_rows(normal(part), 700)}
-    assert flat(folds.merge_horizontal(df, pages)) == want
+    assert flat(folds.merge_horizontal(df, pages, capacity)) == want
 
 
-def test_blocks(texts):
+@CAPACITIES
+def test_blocks(texts, capacity):
     rows, df, pages = texts
     want = {(d, i, *b, t, s) for d, part in by_drawing(rows).items() for i, b, t, s in twins.merge_blocks(normal(part))}
-    assert flat(folds.merge_vertical(df, pages)) == want
+    assert flat(folds.merge_vertical(df, pages, capacity)) == want
 
 
-def test_masks(spark):
-    rnd, rows, runs, sets = random.Random(3), [], [], {}
+@CAPACITIES
+def test_masks(spark, capacity):
+    rnd, rows, runs = random.Random(3), [], []
     for d in range(3):
         for i in range(24):
             x, y, w, h = rnd.randrange(220), rnd.randrange(160), rnd.randrange(3, 40), rnd.randrange(3, 40)
             rows.append((d, i, rnd.randrange(20) / 20))
-            pixels = set()
             for row in range(y, y + h):
                 a, b = x + rnd.randrange(3), x + w - rnd.randrange(3)
                 if b > a:
                     runs.append((d, i, row, a, b))
-                    pixels |= {(c, row) for c in range(a, b)}
-            sets.setdefault(d, []).append((i, rows[-1][2], pixels))
+    names = ["drawing_id", "mask_id", "y", "x_start", "x_end"]
     masks = spark.createDataFrame(rows, "drawing_id long, mask_id long, score double")
     df = spark.createDataFrame(runs, "drawing_id long, mask_id long, y long, x_start long, x_end long")
-    got = folds.merge_masks(masks, df, m.mask_features(df))
-    have = {(r.drawing_id, r.mask_id, tuple(r.members), r.area, r.x1, r.y1, r.x2, r.y2) for r in got.collect()}
-    want = {(d, k["id"], tuple(k["members"]), len(k["pixels"]), *k["box"])
-            for d, part in sets.items() for k in twins.masks([p for p in part if p[2]])}
-    assert have == want
+    want, order = by_sql(SOURCE["it_merge_masks"], runs_v=pd.DataFrame(runs, columns=names),
+                         dets_v=pd.DataFrame(rows, columns=["drawing_id", "det_id", "score"]))
+    got = folds.merge_masks(masks, df, m.mask_features(df), capacity=capacity).withColumn("members", F.size("members"))
+    assert {tuple(r) for r in got.select(*order).collect()} == want
 
 
 def test_components_in_rounds(spark, monkeypatch):

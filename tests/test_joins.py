@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
-from sheetweave.operators import graph, ordering, spatial, suppression
+from sheetweave.operators import graph, ordering, spatial, suppression, tilefold
+from sheetweave.operators.foldrules import iou_above
 from tests import twins
 
 BOXES = "drawing_id long, id long, score double, x1 long, y1 long, x2 long, y2 long"
@@ -28,22 +29,26 @@ def crowded_boxes(seed):
     return rows
 
 
-@pytest.mark.parametrize("depth", [2, 64])
-def test_suppression(spark, partitions, depth):
+@pytest.mark.parametrize("capacity", [4, 1000])
+def test_suppression(spark, partitions, capacity):
     rows = crowded_boxes(5)
     df = spark.createDataFrame(rows, BOXES)
-    kept = suppression.suppress(df, lambda a, b: g.iou(a, b) > 0.35, depth=depth)
+    kept = suppression.suppress(df, iou_above(0.35), capacity)
     have = {(r.drawing_id, r.id) for r in kept.collect()}
     want = {(d, i) for d in (0, 1, 2) for i in twins.nms([(r[1], r[2], r[3:]) for r in rows if r[0] == d], 0.35)}
     assert have == want
 
 
-def test_links_of_a_crowd(spark):
-    """A crowded cell is tied together at a cost linear in its rows."""
-    rows = [(0, i, 0.0, 1, 1, 2, 2) for i in range(50)] + [(0, 90 + i, 0.0, 500 * i, 900, 500 * i + 5, 905) for i in range(3)]
-    df = spark.createDataFrame(rows, BOXES).drop("score")
-    links = spatial.links_between(df, df, box(), 64, 0, F.lit(True), dense=10)
-    assert {(r.a, r.b) for r in links.collect()} == {(0, i) for i in range(1, 50)}
+@pytest.mark.parametrize("capacity, size", [(1000, 1000), (40, 200)])
+def test_suppression_of_a_long_chain(spark, monkeypatch, capacity, size):
+    """A chain of boxes in which each hits the next: rounds grow with the tiles, not with the boxes."""
+    rounds, run = [], tilefold.run_tiles
+    monkeypatch.setattr(tilefold, "run_tiles", lambda *a: rounds.append(1) or run(*a))
+    rows = [(0, i, float(size - i), 12 * i, 0, 12 * i + 30, 40) for i in range(size)]
+    df = spark.createDataFrame(rows, BOXES)
+    kept = suppression.suppress(df, iou_above(0.35), capacity)
+    assert {r.id for r in kept.collect()} == set(range(0, size, 2))
+    assert len(rounds) <= 2 * size / capacity + 2
 
 
 def test_pair_join_equals_plain_join(spark, partitions):
