@@ -15,8 +15,9 @@ literal words match verbatim only; both limits are tested with them and without
 The benchmark's windows are broadcast if their table is small (see store.py), else both
 sides are shuffled by the window's hash. Matches by hash are checked word by word.
 
-Defined results: null and empty texts, and texts and items shorter than a window, match
-nothing. Every text of an item id is matched; they count as one item, of which the id is
+Defined results: null texts and texts without words match nothing. A text or item shorter than a
+window is one window as a whole: a bare question or answer meets a document that is just that, and no
+longer one. Every text of an item id is matched; they count as one item, of which the id is
 reported. Each text without an item id is an item, with a null ``item_id`` if no other hits.
 Rows that share an id share the verdict, and so
 do rows of null ids. With an empty benchmark every document is clean. Other columns are
@@ -70,9 +71,11 @@ def both_words(frame: DataFrame, *columns: str) -> DataFrame:
 
 
 def windows(frame: DataFrame, key: str) -> DataFrame:
-    """(key, words, raw, at) for each window; positions count from 1."""
+    """(key, words, raw, at) for each window; positions count from 1. A shorter text with words is
+    one window, which only another text of as many words can equal."""
     # The guard is part of the sequence: a filter would work out the words a second time.
-    starts = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)))
+    starts = F.when(F.element_at("words", 1) != "",
+                    F.sequence(F.lit(1), F.greatest(F.size("words") - (WINDOW - 1), F.lit(1))))
     return frame.select(key, "words", "raw", F.explode(starts).alias("at"))
 
 

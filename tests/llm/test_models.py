@@ -263,3 +263,13 @@ def test_passages(spark):
             expected.add(r["doc_id"])
     found = decontamination.contaminated(spark, docs, items).where("contaminated").collect()
     assert {r["doc_id"] for r in found} == expected and expected
+
+
+def test_short_items(spark, make_docs):
+    """An item shorter than a window meets documents that are just that, by words or by template."""
+    items = [(1, "What is the capital of France?"), (2, "Paris"), (3, "?!"), (4, "How many days has Anna to pay 12 dollars")]
+    rows = [(1, "what is the  capital\nof FRANCE"), (2, "What is the capital of France? Paris"), (3, "paris."), (4, "!"),
+            (5, ""), (6, "What is the capital of Spain?"), (7, "Paris is what I think the capital of France may be, he said"),
+            (8, "How many days has Carla to pay 7 dollars"), (9, "the capital of France")]
+    found = verdicts(spark, make_docs, rows, items)
+    assert {k: v[2] for k, v in found.items() if v[0]} == {1: 1, 3: 2, 6: 1, 8: 4}
