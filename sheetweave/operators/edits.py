@@ -1,11 +1,7 @@
-"""Edit logs replayed over tables."""
+"""Single edits over tables; editlog.py tells which edits of a log are in force."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,53 +13,6 @@ from sheetweave.operators.masks import union_masks
 from sheetweave.operators.ordering import with_position
 
 PLACE = ["x1", "y1", "x2", "y2"]
-UNDO_DEPTH = 50
-
-
-def surviving_edits(log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
-    """Edits in force at the end of each log, (drawing_id, seq, op, ...).
-
-    undo takes back the last edit, at most ``depth`` in a row; redo brings back
-    the last one taken back; a new edit forgets those. Only keys and operations are
-    replayed, in order as a stream that holds no more than the edits that can still be
-    undone or redone; the rows themselves are joined, so all their columns stay exact.
-    """
-    key = ["drawing_id", "seq"]
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawing, done, undone, schema = None, deque(), [], None
-        for batch in batches:
-            out, schema = [], pa.schema([batch.schema.field(0), batch.schema.field(1)])
-            for owner, seq, op in zip(*(column.to_pylist() for column in batch.columns)):
-                if owner != drawing:
-                    out += done
-                    drawing, done, undone = owner, deque(), []
-                if op == "undo":
-                    if done:
-                        undone.append(done.pop())
-                    continue
-                if op == "redo":
-                    if not undone:
-                        continue
-                    done.append(undone.pop())
-                else:
-                    undone = []
-                    done.append((owner, seq))
-                if len(done) > depth:
-                    out.append(done.popleft())
-            yield _keys(out, schema)
-        if done:
-            yield _keys(list(done), schema)
-
-    ordered = log.select(*key, "op").repartition("drawing_id").sortWithinPartitions(*key)
-    kept = ordered.mapInArrow(replay, log.select(*key).schema)
-    return log.join(kept, key, "left_semi")
-
-
-def _keys(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else ((), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def without(rows: DataFrame, deleted: DataFrame, id_column: str) -> DataFrame:
@@ -101,10 +50,11 @@ def combine_texts(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     return without(texts.select(*combined.columns), picked, "text_id").unionByName(combined)
 
 
-def combine_lines(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+def combine_lines(lines: DataFrame, chosen: DataFrame, keep_selection: bool = False) -> DataFrame:
     """Selections (drawing_id, selection, line_id) of one type become the line between their furthest ends.
 
-    Selections of one line or of both types are left alone; new lines come last.
+    Selections of one line or of both types are left alone; new lines come last. With ``keep_selection``
+    the new lines alone come back, with the selection as their id.
     """
     group = ["drawing_id", "selection"]
     members = lines.join(chosen, ["drawing_id", "line_id"])
@@ -115,6 +65,9 @@ def combine_lines(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     ends = F.array(F.struct(F.expr("line_id*2 idx"), F.col("x1").alias("px"), F.col("y1").alias("py")),
                    F.struct(F.expr("line_id*2+1 idx"), F.col("x2").alias("px"), F.col("y2").alias("py")))
     furthest = farthest_pair(parts.select(*group, F.explode(ends).alias("e")).select(*group, "e.*"), group)
+    if keep_selection:
+        return furthest.join(valid, group).select(
+            "drawing_id", F.col("selection").alias("line_id"), "line_type", "direction", *PLACE)
     last = lines.groupBy("drawing_id").agg(F.max("line_id").alias("last"))
     placed = with_position(furthest.join(valid, group), ["drawing_id"], ["selection"], "nth")
     new = placed.join(last, "drawing_id").select(

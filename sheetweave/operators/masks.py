@@ -5,8 +5,13 @@ Runs are half-open, and the runs of one mask do not overlap each other.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from sheetweave.operators.spatial import dealt
 
 STRIP = 64
 ROW = ["drawing_id", "y", "strip"]
@@ -54,7 +59,8 @@ def overlaps(left: DataFrame, right: DataFrame, ordered: bool = False) -> DataFr
                                F.col("x_end").alias("a2"), F.col("low").alias("a_low"))
     b = in_strips(right).select(*ROW, F.col("mask_id").alias("b"), F.col("x_start").alias("b1"),
                                 F.col("x_end").alias("b2"), F.col("low").alias("b_low"))
-    pairs = a.join(b, ROW).where((F.col("strip") == F.greatest("a_low", "b_low"))
+    a, b, on = dealt(a, b, ROW)
+    pairs = a.join(b, on).where((F.col("strip") == F.greatest("a_low", "b_low"))
                                  & (F.col("a1") < F.col("b2")) & (F.col("b1") < F.col("a2")))
     if ordered:
         pairs = pairs.where("a < b")
@@ -95,26 +101,51 @@ def union_masks(runs: DataFrame, masks: DataFrame, group: str) -> tuple[DataFram
 def pixel_stats(runs: DataFrame, pixel_rows: DataFrame) -> DataFrame:
     """Grey statistics of the pixels under each mask.
 
-    Pixel rows are (drawing_id, y, grey ARRAY). Each run is summed within its row, so
-    no row per pixel arises; whole numbers make the result independent of the order.
+    Pixel rows are (drawing_id, y, grey ARRAY). The runs over a row of pixels meet it once; sums
+    from its start are made once a row, and a run takes the difference of two of them. Sums of
+    the masks in a batch leave the task, no row per pixel or run. Whole numbers make the result
+    independent of the order. Parts of runs beyond the row have no pixels.
     """
-    values = F.slice("grey", (F.col("x_start") + 1).cast("int"),
-                     (F.col("x_end") - F.col("x_start")).cast("int"))
-    zero = F.lit(0).cast("bigint")
-    total = F.aggregate("v", zero, lambda a, x: a + x)
-    squares = F.aggregate("v", zero, lambda a, x: a + x.cast("bigint") * x)
-    white = F.size(F.filter("v", lambda x: x > 240))
-    sums = (runs.where("x_end > x_start").join(pixel_rows, ["drawing_id", "y"])
-            .select("drawing_id", "mask_id", values.alias("v"))
-            .select("drawing_id", "mask_id", F.size("v").alias("n"), total.alias("s"), squares.alias("q"),
-                    white.alias("white"))
-            .groupBy("drawing_id", "mask_id")
-            .agg(F.sum("n").alias("pixels"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-                 F.sum("white").alias("white")))
+    kinds = runs.select("drawing_id", "mask_id").schema
+    over = (runs.where("x_end > x_start").groupBy("drawing_id", "y")
+            .agg(F.collect_list(F.struct("mask_id", "x_start", "x_end")).alias("runs")))
+    met = over.join(pixel_rows, ["drawing_id", "y"]).select(
+        "drawing_id", F.col("runs.mask_id").alias("mask_id"), F.col("runs.x_start").alias("x_start"),
+        F.col("runs.x_end").alias("x_end"), "grey")
+    fields = [*kinds, *(StructField(c, LongType()) for c in _SUMS)]
+
+    def measure(batches):
+        for batch in batches:
+            yield _run_sums(batch)
+
+    sums = met.mapInArrow(measure, StructType(fields)).groupBy("drawing_id", "mask_id").agg(
+        *(F.sum(c).alias(c) for c in _SUMS))
     spread = F.sqrt((F.col("pixels") * F.col("q") - F.col("s") * F.col("s")).cast("double"))
-    return sums.select("drawing_id", "mask_id", "pixels",
-                       (F.col("white") / F.col("pixels")).alias("white_share"),
-                       (spread / F.col("pixels")).alias("std"))
+    return sums.where("pixels > 0").select(
+        "drawing_id", "mask_id", "pixels", (F.col("white") / F.col("pixels")).alias("white_share"),
+        (spread / F.col("pixels")).alias("std"))
+
+
+_SUMS = ["pixels", "s", "q", "white"]
+
+
+def _run_sums(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Pixels, sum, sum of squares and white pixels of each mask under the rows of a batch."""
+    drawing, masks, starts, ends, grey = batch.columns
+    sizes = grey.value_lengths().fill_null(0).to_numpy()
+    values = grey.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(batch.num_rows), masks.value_lengths().to_numpy())
+    low, high = (first[row] + np.clip(c.flatten().to_numpy(), 0, sizes[row]) for c in (starts, ends))
+    found = [high - low]
+    for what in (values, values * values, values > 240):
+        total = np.concatenate(([0], np.cumsum(what, dtype=np.int64)))
+        found.append(total[high] - total[low])
+    table = pa.table([drawing.take(pa.array(row)), masks.flatten(), *map(pa.array, found)],
+                     names=["drawing_id", "mask_id", *_SUMS])
+    grouped = table.group_by(["drawing_id", "mask_id"]).aggregate([(c, "sum") for c in _SUMS])
+    names = ["drawing_id", "mask_id", *(f"{c}_sum" for c in _SUMS)]
+    return pa.RecordBatch.from_arrays([grouped[c].combine_chunks() for c in names], names=table.column_names)
 
 
 def content_verdicts(masks: DataFrame, runs: DataFrame, pixel_rows: DataFrame,

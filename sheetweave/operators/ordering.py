@@ -7,6 +7,8 @@ per partition and group, are brought into order by a window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ def with_position(df: DataFrame, keys: list[str], order: list[Column | str],
         Window.unboundedPreceding, -1)
     pieces = pieces.select(*keys, "_part", "_low",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = placed.withColumn("_part", F.shiftright("_row", 33)).join(pieces, [*keys, "_part"])
-    return (joined.withColumn(name, F.col("_before") + F.col("_row") - F.col("_low"))
+    pieces = pieces.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, "_part")})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_part")))
+    joined = placed.withColumn("_part", F.shiftright("_row", 33)).join(pieces, same)
+    return (joined.drop(*(f"_k_{c}" for c in (*keys, "_part"))).withColumn(name, F.col("_before") + F.col("_row") - F.col("_low"))
             .drop("_row", "_part", "_low", "_before"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
-from sheetweave.operators import edits as ed
+from sheetweave.operators import editlog, edits as ed
 from sheetweave.plans.catalog.registry import query, r6
 
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -136,7 +136,8 @@ def _(fx):
     return ed.cycle_directions(lines, cycled).select("drawing_id", "line_id", "direction")
 
 
-@query("edit_undo_redo", """
+# Walks the log with the edits that are in force and those that redo could bring back.
+IN_FORCE = """
 WITH RECURSIVE o AS (SELECT drawing_id, seq, op, row_number() OVER (PARTITION BY drawing_id ORDER BY seq) rn FROM edits_v),
 walk AS (SELECT drawing_id, CAST(0 AS BIGINT) rn, CAST([] AS BIGINT[]) applied, 0 depth, CAST([] AS BIGINT[]) undone
   FROM (SELECT DISTINCT drawing_id FROM o) q
@@ -148,10 +149,55 @@ walk AS (SELECT drawing_id, CAST(0 AS BIGINT) rn, CAST([] AS BIGINT[]) applied,
   CASE WHEN op = 'undo' THEN CASE WHEN depth > 0 THEN list_append(undone, applied[-1]) ELSE undone END
    WHEN op = 'redo' THEN undone[:-2] ELSE [] END
  FROM walk w JOIN o ON o.drawing_id = w.drawing_id AND o.rn = w.rn+1),
-final AS (SELECT drawing_id, applied FROM walk QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY rn DESC) = 1)
-SELECT drawing_id, unnest(applied) seq FROM final""")
+final AS (SELECT drawing_id, applied FROM walk QUALIFY row_number() OVER (PARTITION BY drawing_id ORDER BY rn DESC) = 1)"""
+
+
+@query("edit_undo_redo", IN_FORCE + " SELECT drawing_id, unnest(applied) seq FROM final")
+def _(fx):
+    return editlog.surviving_edits(fx.edits).select("drawing_id", "seq")
+
+
+# A log that also creates lines, and names lines that earlier edits have made (ids from 150 on).
+MIXED = """SELECT drawing_id, seq, CASE WHEN op = 'set_direction' THEN 'direction' WHEN op = 'combine' AND seq%3 = 0 THEN 'create'
+  ELSE op END op, {targets} targets,
+  CASE WHEN op = 'set_direction' THEN CASE target_b%6 WHEN 0 THEN 'none' WHEN 1 THEN 'forward' WHEN 2 THEN 'backward'
+    WHEN 3 THEN 'bidirectional' WHEN 4 THEN 'coming_in' ELSE 'going_out' END END val,
+  CASE WHEN target_a%2 = 0 THEN 'solid' ELSE 'dashed' END line_type, target_a x1, target_b y1, target_a+seq%7 x2, target_b+seq%5*9 y2
+FROM {edits}"""
+ENDS = ("list_concat(list_transform(m, lambda l: {'i': l.id*2, 'x': l.x1, 'y': l.y1}),"
+        " list_transform(m, lambda l: {'i': l.id*2+1, 'x': l.x2, 'y': l.y2}))")
+FURTHEST = (f"list_max(flatten(list_transform({ENDS}, lambda p: list_transform(list_filter({ENDS}, lambda q: q.i > p.i), lambda q:"
+            " {'d': (p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y), 'i': -p.i, 'j': -q.i, 'x1': p.x, 'y1': p.y, 'x2': q.x, 'y2': q.y}))))")
+WAYS = "list_distinct(list_filter(list_transform(m, lambda l: l.d), lambda d: d <> 'none'))"
+
+
+@query("edit_replay", IN_FORCE + f""",
+kept AS (SELECT drawing_id, unnest(applied) seq FROM final),
+ops AS (SELECT e.*, row_number() OVER (PARTITION BY drawing_id ORDER BY seq) rn,
+  149 + sum(CASE WHEN op IN ('combine', 'create') THEN 1 ELSE 0 END) OVER (PARTITION BY drawing_id ORDER BY seq)::BIGINT made
+  FROM ({MIXED.format(edits="edits_v", targets="[target_a*2, target_b, target_a]")}) e JOIN kept USING (drawing_id, seq)),
+replay(drawing_id, rn, ls) USING KEY (drawing_id) AS (
+ SELECT drawing_id, 0::BIGINT, list({{'id': line_id, 't': line_type, 'd': direction, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}})
+  FROM lines_v GROUP BY drawing_id
+ UNION
+ SELECT drawing_id, rn, CASE op
+  WHEN 'delete' THEN list_filter(ls, lambda l: NOT list_contains(targets, l.id))
+  WHEN 'direction' THEN list_transform(ls, lambda l: CASE WHEN list_contains(targets, l.id) THEN
+    {{'id': l.id, 't': l.t, 'd': val, 'x1': l.x1, 'y1': l.y1, 'x2': l.x2, 'y2': l.y2}} ELSE l END)
+  WHEN 'create' THEN CASE WHEN sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) >= 5 THEN
+    list_append(ls, {{'id': made, 't': line_type, 'd': 'none', 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE ls END
+  ELSE CASE WHEN len(m) >= 2 AND len(list_distinct(list_transform(m, lambda l: l.t))) = 1 THEN list_append(
+    list_filter(ls, lambda l: NOT list_contains(targets, l.id)),
+    {{'id': made, 't': m[1].t, 'd': CASE len({WAYS}) WHEN 0 THEN 'none' WHEN 1 THEN {WAYS}[1] ELSE 'bidirectional' END,
+      'x1': {FURTHEST}.x1, 'y1': {FURTHEST}.y1, 'x2': {FURTHEST}.x2, 'y2': {FURTHEST}.y2}}) ELSE ls END END
+ FROM (SELECT o.*, r.ls, list_filter(r.ls, lambda l: list_contains(o.targets, l.id)) m
+   FROM replay r JOIN ops o ON o.drawing_id = r.drawing_id AND o.rn = r.rn + 1) q)
+SELECT drawing_id, l.id line_id, l.t line_type, l.d direction, l.x1 x1, l.y1 y1, l.x2 x2, l.y2 y2
+FROM (SELECT drawing_id, unnest(ls) l FROM replay)""")
 def _(fx):
-    return ed.surviving_edits(fx.edits).select("drawing_id", "seq")
+    log = fx.spark.sql(MIXED.format(edits="{e}", targets="array(target_a*2, target_b, target_a)"), e=fx.edits)
+    drawn = log.withColumnRenamed("val", "value").join(fx.lines.select("drawing_id").distinct(), "drawing_id", "left_semi")
+    return editlog.replay_lines(fx.lines, drawn)
 
 
 @query("edit_renumber", """

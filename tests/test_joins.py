@@ -51,16 +51,28 @@ def test_suppression_of_a_long_chain(spark, monkeypatch, capacity, size):
     assert len(rounds) <= 2 * size / capacity + 2
 
 
-def test_pair_join_equals_plain_join(spark, partitions):
-    rows = crowded_boxes(6)
+@pytest.mark.parametrize("block", [5, 10_000])
+def test_pair_join_equals_plain_join(spark, partitions, block):
+    """Boxes from points to the whole page, and cells of more rows than a block."""
+    rows = crowded_boxes(6) + [(1, 900 + i, 0.5, -50 * i, -9, 400 * i, 300) for i in range(4)] + [(2, 950, 0.1, 60, 60, 60, 60)]
     a = spark.createDataFrame(rows, BOXES).selectExpr("drawing_id", "id a", "x1 a_x1", "y1 a_y1", "x2 a_x2", "y2 a_y2")
     b = spark.createDataFrame(rows, BOXES).selectExpr("drawing_id", "id b", "x1 b_x1", "y1 b_y1", "x2 b_x2", "y2 b_y2")
     near = g.box_gap(box("a_"), box("b_")) <= 15
-    grid = spatial.pair_join(a, b, box("a_"), box("b_"), 20, 15).where(near).select("drawing_id", "a", "b")
+    grid = spatial.pair_join(a, b, box("a_"), box("b_"), 20, 15, block=block).where(near).select("drawing_id", "a", "b")
     plain = a.join(b, "drawing_id").where(near).select("drawing_id", "a", "b")
     assert sorted(map(tuple, grid.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_page_size_boxes_take_few_cells(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(spatial, "dealt", lambda a, b, on, block: seen.extend((a, b)) or (a, b, on))
+    a = spark.createDataFrame([(0, i, i, i, i + 9, i + 9) for i in range(50)] + [(0, 90, 0, 0, 7000, 5000)],
+                              "drawing_id long, a long, a_x1 long, a_y1 long, a_x2 long, a_y2 long")
+    b = a.selectExpr("drawing_id", "a b", *(f"a_{c} b_{c}" for c in ("x1", "y1", "x2", "y2")))
+    assert spatial.pair_join(a, b, box("a_"), box("b_"), 20).where("a = 90 OR b = 90").count() == 101
+    assert all(side.count() <= 4 * 2 * 51 for side in seen)
+
+
 def test_nearest_symbol_of_copies(spark):
     symbols = spark.createDataFrame([(0, i, 10, 10, 20, 20) for i in range(40)] + [(0, 50, 200, 10, 210, 20)],
                                     "drawing_id long, symbol_id long, x1 long, y1 long, x2 long, y2 long")

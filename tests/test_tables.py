@@ -3,9 +3,11 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from sheetweave.operators import graph, clusters, edits, ink, prompts
+from sheetweave.operators import graph, clusters, editlog, ink, prompts
 from sheetweave.sources import readers, sinks
 from sheetweave.streaming import ingest
 
@@ -73,7 +75,7 @@ def test_edits_keep_their_columns(spark):
     big = 2**53 + 1
     log = spark.createDataFrame([(1, 0, "set", big), (1, 1, "set", None), (1, 2, "undo", None), (1, 3, "set", big + 2)],
                                 "drawing_id long, seq long, op string, value long")
-    assert sorted(map(tuple, edits.surviving_edits(log).collect())) == [(1, 0, "set", big), (1, 3, "set", big + 2)]
+    assert sorted(map(tuple, editlog.surviving_edits(log).collect())) == [(1, 0, "set", big), (1, 3, "set", big + 2)]
 
 
 def test_erase_long_runs(spark):
@@ -88,13 +90,15 @@ def test_erase_long_runs(spark):
     assert sorted(have) == sorted(want)
 
 
-def test_undo_redo(spark, partitions):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_undo_redo(spark, partitions, block):
+    """Logs cut into blocks, against one pass over the whole; drawing 2 has no id."""
     rnd = random.Random(9)
-    log = [(d, i, rnd.choice(["set", "set", "undo", "undo", "redo"])) for d in range(3) for i in range(200)]
-    have = {(r.drawing_id, r.seq) for r in edits.surviving_edits(
-        spark.createDataFrame(log, "drawing_id long, seq long, op string"), depth=4).collect()}
+    log = [(None if d == 2 else d, i, rnd.choice(["set", "set", "undo", "undo", "redo", None])) for d in range(3) for i in range(200)]
+    have = {(r.drawing_id, r.seq) for r in editlog.surviving_edits(
+        spark.createDataFrame(log, "drawing_id long, seq long, op string"), 4, block).collect()}
     want = set()
-    for d in range(3):
+    for d in (0, 1, None):
         applied, depth, undone = [], 0, []
         for _, seq, op in (e for e in log if e[0] == d):
             if op == "undo":
