@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sheetweave.operators import filters as f
@@ -9,13 +11,18 @@ from sheetweave.operators import folds, graph, masks as m
 from sheetweave.plans import digitize
 from sheetweave.plans.catalog.filters import PATTERNS, labelled
 from sheetweave.plans.catalog.joins import ASSIGNED, HITS, own_chains
-from sheetweave.plans.catalog.iterative import CHAINS
-from sheetweave.plans.catalog.registry import query, r6
+from sheetweave.plans.catalog.iterative import CHAINS, TEXT_ITEM
+from sheetweave.plans.catalog import sweepsql as sw
+from sheetweave.plans.catalog.registry import SOURCE, query, r6
 from sheetweave.scratch import Scratch
 from sheetweave.sources import readers, sinks
 from sheetweave.streaming import ingest
 
 
+COUNTERS = ["total_symbols", "total_connections", "full_connections", "total_text_detections", "total_lines",
+            "lines_with_direction", "skipped_no_partial_connection", "skipped_self_loops"]
+
+
 def _headers(fx):
     return fx.drawings.select("drawing_id", F.expr("concat('images/', drawing_id, '.png')").alias("image_path"),
                               F.create_map(F.lit("detector"), F.lit("boxes")).alias("params"))
@@ -319,23 +326,165 @@ links AS (SELECT drawing_id, chain_id, k, CASE WHEN direction = 'backward' THEN
   CASE WHEN direction = 'backward' THEN 'forward' ELSE direction END direction FROM steps WHERE nxt IS NOT NULL),
 ranked AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY drawing_id, least(source, target),
   greatest(source, target) ORDER BY chain_id, k) = 1)
-SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY chain_id, k) - 1 link_id, source, target,
+"""
+
+
+LINKS = """SELECT drawing_id, row_number() OVER (PARTITION BY drawing_id ORDER BY chain_id, k) - 1 link_id, source, target,
  kind "type", direction FROM ranked"""
 
 
-@query("it_assemble_graph", _walked(50))
+@query("it_assemble_graph", _walked(50) + LINKS)
 def _(fx):
     header = fx.drawings.selectExpr("drawing_id", "5.12D scale", "CAST(NULL AS BIGINT) resized_width")
     whole = digitize.assemble(fx.symbols, fx.texts, fx.lines, header)
     return whole.links.select("drawing_id", "link_id", "source", "target", "type", "direction")
 
 
-@query("it_clean_texts")
+def scoped(sql: str, **tables: str) -> str:
+    """A statement whose fixture views are the given tables instead."""
+    body = sql.strip().removeprefix("WITH RECURSIVE ").removeprefix("WITH ")
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS (SELECT * FROM {table})" for name, table in tables.items()) + (
+        ",\n" if body != sql.strip() else "\n") + body
+
+
+def _item(raw: str, width: str, pages: str) -> str:
+    """A table of texts as the walks want it."""
+    return (f"SELECT t.drawing_id, text_id, x1, y1, x2, y2, {raw} t, \"text\" raw, score, {width} w FROM {{}} t"
+            f" JOIN {pages} d ON t.drawing_id = d.drawing_id")
+
+
+NORMAL = "regexp_replace(trim(\"text\"), '\\s+', ' ', 'g')"
+
+
+def cleaned_texts(source: str, pages: str, last: str) -> str:
+    """CTEs from pooled texts to the table ``last``: suppression, validity, rows and blocks."""
+    kept = scoped(SOURCE["it_nms_text"], dets_v="(SELECT *, text_id det_id FROM confident)")
+    item = _item(NORMAL, "width", pages)
+    rows = sw.walk("rowed", "start", "drawing_id", sw.TEXT_FIELDS, "y1, x1, text_id", sw.rows_join, sw.rows_union, resort=sw.READING)
+    blocks = sw.walk("blocked", "rowed", "drawing_id", "'id': o.id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 't': o.t, 's': o.s",
+                     "o.y1, o.x1, o.id", sw.blocks_join, sw.blocks_union, resort=sw.READING)
+    close = sw.walk("closed", "start", "drawing_id", sw.TEXT_FIELDS.replace("'t': t", "'t': raw"), "y1, x1, text_id",
+                    sw.close_join, sw.close_union, passes=False)
+    return f"""
+confident AS (SELECT * FROM {source} WHERE score >= 0.22),
+kept_texts AS ({kept}),
+valid_texts AS ({scoped(SOURCE["flt_text_valid"], texts_v="confident")}),
+valid AS (SELECT c.* FROM confident c JOIN valid_texts USING (drawing_id, text_id)
+  JOIN kept_texts k ON k.drawing_id = c.drawing_id AND k.det_id = c.text_id),
+near_texts AS (WITH RECURSIVE start AS ({item.format("valid")}), {close} SELECT {TEXT_ITEM} FROM closed),
+plausible AS (SELECT t.* FROM near_texts t JOIN {pages} d ON t.drawing_id = d.drawing_id
+  WHERE NOT ((x2-x1 < 28 AND y2-y1 < 14) OR (x2-x1)/greatest(1, y2-y1) > 20 OR (y2-y1)/greatest(1, x2-x1) > 20
+  OR (x2-x1)*(y2-y1) > 0.02*width*height OR score < 0.25)),
+{last} AS (SELECT * FROM (WITH RECURSIVE start AS ({item.format("plausible")}), {rows}, {blocks} SELECT {TEXT_ITEM} FROM blocked) q
+  WHERE NOT (trim("text") = '' OR (length(trim("text")) = 1 AND NOT regexp_matches(trim("text"), '[A-Za-z0-9]'))
+  OR ((x2-x1)*(y2-y1) < 120 AND score < 0.5)))"""
+
+
+@query("it_clean_texts", "WITH RECURSIVE " + cleaned_texts("texts_v", "drawings_v", "clean").strip() + """
+SELECT drawing_id, text_id, x1, y1, x2, y2, "text", score FROM clean""")
 def _(fx):
     return digitize.clean_texts(fx.texts, fx.drawings).select(
         "drawing_id", "text_id", "x1", "y1", "x2", "y2", "text", "score")
 
 
-@query("it_clean_lines")
+SOLID = "solid AS (" + SOURCE["flt_solid"] + """),
+solid_lines AS (SELECT l.* FROM lines_v l JOIN solid USING (drawing_id, line_id))"""
+
+
+@query("it_clean_lines", "WITH RECURSIVE " + SOLID + "," + "merged_lines AS (" + scoped(
+    SOURCE["it_merge_segments"], lines_v="solid_lines") + """)
+SELECT * FROM merged_lines""")
 def _(fx):
     return digitize.clean_lines(fx.lines, fx.ink, fx.drawings)
+
+
+# The fixtures as an image of half the size of the page: texts found at two scales of it, on tiles.
+FOUND = """SELECT drawing_id, text_id*2+k text_id, CASE k WHEN 0 THEN 0.5D0 ELSE 0.75D0 END scale, 100 x0, 50 y0,
+  CAST(floor(x1*(1+k*0.5D0)) AS BIGINT)-100 x1, CAST(floor(y1*(1+k*0.5D0)) AS BIGINT)-50 y1,
+  CAST(floor(x2*(1+k*0.5D0)) AS BIGINT)-100 x2, CAST(floor(y2*(1+k*0.5D0)) AS BIGINT)-50 y2, "text", score
+FROM {texts}"""
+CLOSER = """SELECT drawing_id, text_id, CAST(floor(x1/8) AS BIGINT)*6 x1, CAST(floor(y1/24) AS BIGINT)*14 y1,
+  CAST(floor(x1/8) AS BIGINT)*6+x2-x1 x2, CAST(floor(y1/24) AS BIGINT)*14+y2-y1 y2, "text", score FROM {texts}"""
+TWICE = "x1*2 x1, y1*2 y1, x2*2 x2, y2*2 y2"
+SEARCHED = """
+found AS (""" + FOUND.replace("D0", "").format(texts="(SELECT *, unnest([0::BIGINT, 1]) k FROM (" + CLOSER.format(
+    texts="texts_v") + "))") + f"""),
+pages AS (SELECT drawing_id, width*2 width, height*2 height FROM drawings_v),
+placed AS (SELECT f.drawing_id, text_id, "text", score, {", ".join(
+    f"greatest(0, least({s}-1, CAST(round_even(({c}+{o})/scale, 0) AS BIGINT))) {c}"
+    for c, s, o in (("x1", "width", "x0"), ("y1", "height", "y0"), ("x2", "width", "x0"), ("y2", "height", "y0")))}
+  FROM found f JOIN pages p ON p.drawing_id = f.drawing_id WHERE score >= 0.22),
+pooled AS (SELECT * FROM placed WHERE x2-x1 >= 3 AND y2-y1 >= 3),"""
+AREAS = f"""
+erased_texts AS (SELECT t.drawing_id, {", ".join(
+    f"greatest(0, least(CAST(round_even(({c}{o}2)*0.5, 0) AS BIGINT), {s}-1)) {c}"
+    for c, s, o in (("x1", "width", "-"), ("y1", "height", "-"), ("x2", "width", "+"), ("y2", "height", "+")))}
+  FROM clean t JOIN drawings_v d ON d.drawing_id = t.drawing_id),
+symbol_areas AS (SELECT drawing_id, x1-4 x1, y1-4 y1, x2+5 x2, y2+5 y2 FROM symbols_v WHERE symbol_id%5 = 0 AND (x2-x1)*(y2-y1) >= 600
+  AND greatest(x2-x1, y2-y1) <= 260 AND greatest(x2-x1, y2-y1)/(least(x2-x1, y2-y1)+1e-6) <= 2.8),
+shades AS (SELECT * FROM erased_texts UNION ALL SELECT * FROM symbol_areas),
+left_ink AS (SELECT drawing_id, x_start px, y py, 1 hit FROM ({SOURCE["flt_notes_frame"]}) i WHERE NOT EXISTS
+  (SELECT 1 FROM shades s WHERE s.drawing_id = i.drawing_id AND x_start BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2)),
+solid AS ({scoped(SOURCE["flt_solid"], samples_v="left_ink")}),
+page_lines AS (SELECT l.drawing_id, line_id, {TWICE} FROM lines_v l JOIN solid USING (drawing_id, line_id)),
+merged_lines AS ({scoped(SOURCE["it_merge_segments"], lines_v="page_lines")}),
+graph_lines AS (SELECT *, 'solid' line_type, CASE line_id%4 WHEN 1 THEN 'forward' WHEN 2 THEN 'backward' ELSE 'none' END direction
+  FROM merged_lines),
+graph_symbols AS (SELECT drawing_id, symbol_id, category, {TWICE} FROM symbols_v),
+graph AS ({scoped(_walked(50), lines_v="graph_lines", symbols_v="graph_symbols")}
+ SELECT drawing_id, 'link' what, *, '' k FROM ({LINKS.replace("SELECT drawing_id, row", "SELECT drawing_id d_, row")}) q JOIN
+   (SELECT DISTINCT drawing_id FROM mem) m ON m.drawing_id = q.d_),
+captions AS ({scoped("WITH " + ASSIGNED, texts_v="clean", symbols_v="graph_symbols")}
+ SELECT drawing_id, symbol_id, string_agg("text", ' | ' ORDER BY dist, text_id) captions FROM assigned GROUP BY drawing_id, symbol_id),
+alone AS ({scoped(_walked(50), lines_v="graph_lines", symbols_v="graph_symbols")}
+ SELECT drawing_id, count(*) n FROM (SELECT m.drawing_id, m.chain_id FROM (SELECT DISTINCT drawing_id, chain_id FROM mem) m
+   LEFT JOIN hits h ON h.drawing_id = m.drawing_id AND h.chain_id = m.chain_id GROUP BY m.drawing_id, m.chain_id
+   HAVING count(symbol_id) < 2) GROUP BY drawing_id),
+counters AS (SELECT drawing_id, (SELECT count(*) FROM graph_symbols s WHERE s.drawing_id = d.drawing_id) symbols,
+  (SELECT count(*) FROM graph s WHERE s.drawing_id = d.drawing_id) links, (SELECT count(*) FROM clean s WHERE s.drawing_id = d.drawing_id) texts,
+  (SELECT count(*) FROM graph_lines s WHERE s.drawing_id = d.drawing_id) lines,
+  (SELECT count(*) FROM graph_lines s WHERE s.drawing_id = d.drawing_id AND direction <> 'none') directed,
+  coalesce((SELECT n FROM alone s WHERE s.drawing_id = d.drawing_id), 0) alone FROM drawings_v d)"""
+
+
+@query("it_digitize", "WITH RECURSIVE " + SEARCHED.strip() + cleaned_texts("pooled", "pages", "clean") + "," + AREAS + """
+SELECT drawing_id, 'full node' entry, symbol_id id, concat_ws('/', category, x1, y1, x2, y2, coalesce(captions, '')) shown
+ FROM graph_symbols LEFT JOIN captions USING (drawing_id, symbol_id)
+UNION ALL SELECT drawing_id, 'compact node', symbol_id, concat_ws('/', category, coalesce(captions, ''))
+ FROM graph_symbols LEFT JOIN captions USING (drawing_id, symbol_id)
+UNION ALL SELECT drawing_id, 'full link', link_id, concat_ws('/', source, target, "type", direction) FROM graph
+UNION ALL SELECT drawing_id, 'compact link', link_id, concat_ws('/', source, target, "type") FROM graph
+UNION ALL SELECT drawing_id, 'counters', 0, concat_ws('/', symbols, links, links, texts, lines, directed, alone, 0) FROM counters""")
+def _(fx):
+    closer = fx.spark.sql(CLOSER.replace('"text"', "text").format(texts="{t}"), t=fx.texts)
+    twice = closer.withColumn("k", F.explode(F.expr("array(0L, 1L)")))
+    found = fx.spark.sql(FOUND.replace('"text"', "text").replace("D0", "D").format(texts="{t}"), t=twice)
+    pages = fx.drawings.selectExpr("drawing_id", "width*2 width", "height*2 height")
+    caps = fx.drawings.selectExpr("drawing_id", "0.5D cap_scale", "1.0D scale")
+    symbols = fx.symbols.selectExpr("drawing_id", "symbol_id", "category", *TWICE.split(", "))
+    frames = fx.symbols.selectExpr("drawing_id", "symbol_id contour_id", "x1 x", "y1 y", "(x2-x1)*12 w", "(y2-y1)*10 h", "4+symbol_id%9 vertices")
+    components = fx.symbols.where("symbol_id % 5 = 0").selectExpr("drawing_id", "x1 x", "y1 y", "x2-x1 w", "y2-y1 h")
+    header = fx.drawings.selectExpr("drawing_id", "CAST(NULL AS DOUBLE) scale", "CAST(NULL AS BIGINT) resized_width")
+    directions = fx.lines.where("line_id % 4 IN (1, 2)").selectExpr(
+        "drawing_id", "line_id", "0 seq", "IF(line_id % 4 = 1, 'forward', 'backward') value")
+    whole = digitize.digitize(found, fx.lines, fx.ink, symbols, header, pages, fx.drawings, caps, frames, components, directions)
+    full, compact = digitize.documents(whole)
+    kind = """nodes ARRAY<STRUCT<id: BIGINT, category: STRING, bbox: ARRAY<BIGINT>, captions: ARRAY<STRING>>>,
+        links ARRAY<STRUCT<id: BIGINT, source: BIGINT, target: BIGINT, type: STRING, direction: STRING, `from`: BIGINT, `to`: BIGINT>>,
+        metadata STRUCT<total_symbols: BIGINT, total_connections: BIGINT, full_connections: BIGINT, total_text_detections: BIGINT,
+        total_lines: BIGINT, lines_with_direction: BIGINT, skipped_no_partial_connection: BIGINT, skipped_self_loops: BIGINT>"""
+
+    def entries(docs, name, of, id_, *shown):
+        rows = docs.select("drawing_id", F.posexplode(F.from_json("value", kind)[of]).alias("n", "e"))
+        return rows.select("drawing_id", F.lit(name).alias("entry"), id_.cast("bigint").alias("id"), F.concat_ws("/", *shown).alias("shown"))
+
+    e, captions = F.col("e"), F.array_join("e.captions", " | ")
+    counters = F.from_json("value", kind)["metadata"]
+    parts = [entries(full, "full node", "nodes", e["id"], "e.category", F.concat_ws("/", F.col("e.bbox").cast("array<string>")), captions),
+             entries(compact, "compact node", "nodes", e["id"], "e.category", captions),
+             entries(full, "full link", "links", e["id"], "e.source", "e.target", "e.type", "e.direction"),
+             entries(compact, "compact link", "links", F.col("n"), "e.from", "e.to", "e.type"),
+             full.where("part = 0").select("drawing_id", F.lit("counters").alias("entry"), F.lit(0).cast("bigint").alias("id"),
+                                           F.concat_ws("/", F.array(*(
+                                               counters[c].cast("string") for c in COUNTERS))).alias("shown"))]
+    return reduce(lambda a, b: a.unionByName(b), parts)
