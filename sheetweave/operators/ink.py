@@ -2,69 +2,173 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from sheetweave.functions import geometry as g
-from sheetweave.functions.geometry import box
-from sheetweave.operators.masks import ROW, STRIP, in_strips
+from sheetweave.operators.masks import ROW, in_strips
 
 LINE = ["drawing_id", "line_id"]
+PLACE = ["x1", "y1", "x2", "y2"]
+#: Side of the squares by which ink meets lines, and the shares into which the lines of a square are dealt.
+TILE, SHARES = 256, 4
 
 
-def _step(start: str, stop: str, i: Column, count: Column) -> Column:
-    """Value i of ``count`` evenly spaced ones, the last one being the stop itself."""
-    value = F.col(start) + i * ((F.col(stop) - F.col(start)) / (count - 1))
-    return F.when(i == count - 1, F.col(stop).cast("double")).otherwise(value)
+@dataclass(frozen=True)
+class Sampling:
+    """Evenly spaced points on lines: ``count`` of them, or one for each ``step`` pixels, and for each the
+    points up to ``half`` whole steps along the normal, from the rounded-down point if ``whole``."""
 
+    count: int | None = 80
+    step: int = 1
+    half: int = 0
+    whole: bool = False
 
-def sample_lines(lines: DataFrame, count: Column) -> DataFrame:
-    """Evenly spaced points: adds i, sx and sy (not rounded)."""
-    n = count.cast("bigint")
-    rows = lines.select(*LINE, "x1", "y1", "x2", "y2", n.alias("n"),
-                        F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("i"))
-    return rows.withColumns({"sx": _step("x1", "x2", F.col("i"), F.col("n")),
-                             "sy": _step("y1", "y2", F.col("i"), F.col("n"))})
+    @property
+    def across(self) -> int:
+        return 2 * self.half + 1
 
+    def counts(self, lines: np.ndarray) -> np.ndarray:
+        if self.count:
+            return np.full(len(lines), self.count)
+        return np.maximum(12, np.floor(np.maximum(1, np.floor(_lengths(lines))) / self.step)).astype(np.int64)
 
-def _across(samples: DataFrame, half: int, base_x: Column, base_y: Column, eps: float) -> DataFrame:
-    """Points at whole offsets along the normal of the line, rounded half to even."""
-    s = box()
-    norm = g.segment_length(s) + eps
-    nx, ny = (s.y1 - s.y2) / norm, (s.x2 - s.x1) / norm
-    return (samples.withColumn("offset", F.explode(F.sequence(F.lit(-half), F.lit(half))))
-            .withColumns({"px": F.bround(base_x + F.col("offset") * nx).cast("bigint"),
-                          "py": F.bround(base_y + F.col("offset") * ny).cast("bigint")}))
+    def points(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of the line, place among its points (samples in order, each from -half to half), x and y."""
+        n = self.counts(lines)
+        row = np.repeat(np.arange(len(lines)), n)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        last = i == n[row] - 1
+        x1, y1, x2, y2 = lines.T
+        sx, sy = (np.where(last, b[row], a[row] + i * ((b - a) / (n - 1))[row]) for a, b in ((x1, x2), (y1, y2)))
+        if not self.half:
+            return row, i, np.trunc(sx).astype(np.int64), np.trunc(sy).astype(np.int64)
+        if self.whole:
+            sx, sy = np.trunc(sx), np.trunc(sy)
+        norm = _lengths(lines) + 1e-6
+        offset = np.arange(-self.half, self.half + 1)
+        px, py = (np.rint(s[:, None] + offset * d[row][:, None]).astype(np.int64)
+                  for s, d in ((sx, (y1 - y2) / norm), (sy, (x2 - x1) / norm)))
+        place = i[:, None] * self.across + np.arange(self.across)
+        return np.repeat(row, self.across), place.ravel(), px.ravel(), py.ravel()
 
 
-def look_up(points: DataFrame, ink: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds inside (on the page) and hit (on ink); a point on two runs comes twice.
+def _lengths(lines: np.ndarray) -> np.ndarray:
+    x, y = lines[:, 2] - lines[:, 0], lines[:, 3] - lines[:, 1]
+    return np.sqrt((x * x + y * y).astype(np.float64))
+
+
+def _ints(*columns: pa.Array) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns], 1)
+
+
+def _inside(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (x >= 0) & (x < size[:, 0]) & (y >= 0) & (y < size[:, 1])
 
-    Points are brought together per line here, so that the aggregations by line
-    that follow need no further shuffle.
-    """
-    runs = in_strips(ink).select(*ROW, "x_start", "x_end")
-    placed = points.join(pages.select("drawing_id", "width", "height"), "drawing_id").withColumns({
-        "strip": F.floor(F.col("px") / STRIP),
-        "inside": (F.col("px") >= 0) & (F.col("px") < F.col("width"))
-                  & (F.col("py") >= 0) & (F.col("py") < F.col("height"))})
-    on_run = ((F.col("p.drawing_id") == F.col("r.drawing_id")) & (F.col("p.py") == F.col("r.y"))
-              & (F.col("p.strip") == F.col("r.strip"))
-              & (F.col("p.px") >= F.col("r.x_start")) & (F.col("p.px") < F.col("r.x_end")))
-    joined = placed.alias("p").join(runs.alias("r"), on_run, "left")
-    hit = F.col("inside") & F.col("r.x_start").isNotNull()
-    return (joined.select("p.*", hit.alias("hit")).drop("strip", "width", "height")
-            .repartition(*LINE))
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
-def _as_text(flag: Column) -> Column:
-    """Flags of the samples in order as text of 0 and 1."""
-    ordered = F.sort_array(F.collect_list(F.struct("i", flag.cast("int").cast("string").alias("flag"))))
-    return F.array_join(ordered["flag"], "")
 
+def ink_tiles(ink: DataFrame) -> DataFrame:
+    """(drawing_id, tx, ty, runs): the runs of each square of ``TILE`` pixels, cut at its edges."""
+    low, high = F.floor(F.col("x_start") / TILE), F.floor((F.col("x_end") - 1) / TILE)
+    cut = ink.where("x_end > x_start").withColumn("tx", F.explode(F.sequence(low, high)))
+    run = F.struct((F.pmod("y", F.lit(TILE))).cast("int").alias("y"),
+                   F.greatest(F.col("x_start") - F.col("tx") * TILE, F.lit(0)).cast("int").alias("a"),
+                   F.least(F.col("x_end") - F.col("tx") * TILE, F.lit(TILE)).cast("int").alias("b"))
+    # A square has so many different runs at most.
+    return (cut.groupBy("drawing_id", "tx", F.floor(F.col("y") / TILE).alias("ty"))
+            .agg(F.collect_list(run).alias("runs")).select("drawing_id", "tx", "ty", "runs.y", "runs.a", "runs.b"))
 
-def _flips(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("(?<=0)1|(?<=1)0")).cast("bigint")
+
+def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Sampling) -> DataFrame:
+    """Lines on a page, (drawing_id, line_id, x1 .. y2, width, height, hits), with the places of the points on ink.
+
+    A line meets the few squares that its points lie in, not a row of ink per point. A square is
+    made into a bitmap once for all its lines.
+    """
+    placed = lines.select(*LINE, *PLACE).join(pages.select("drawing_id", "width", "height"), "drawing_id")
+    drawing = lines.select("drawing_id").schema["drawing_id"]
+    whole = StructType([drawing, *(StructField(c, LongType()) for c in ("tx", "ty", "line_id", *PLACE, "width", "height"))])
+
+    def spread(batches):
+        for batch in batches:
+            numbers = _ints(*batch.columns[1:])
+            row, _, x, y = sampling.points(numbers[:, 1:5])
+            there = _inside(x, y, numbers[row, 5:7])
+            met = np.unique(np.stack((row, x // TILE, y // TILE), 1)[there], axis=0)
+            rows = numbers[met[:, 0]]
+            columns = [batch.column(0).take(pa.array(met[:, 0])), pa.array(met[:, 1]), pa.array(met[:, 2]),
+                       *(pa.array(rows[:, c]) for c in range(7))]
+            yield pa.RecordBatch.from_arrays(columns, names=whole.names)
+
+    square = ["drawing_id", "tx", "ty"]
+    pieces = (placed.select("drawing_id", "line_id", *PLACE, "width", "height").mapInArrow(spread, whole)
+              .groupBy(*square, F.pmod(F.xxhash64("line_id"), F.lit(SHARES)).alias("_share"))
+              .agg(F.collect_list(F.struct("line_id", *PLACE, "width", "height")).alias("l"))
+              .select(*square, *(F.col(f"l.{c}").alias(c) for c in ("line_id", *PLACE, "width", "height"))))
+    met = pieces.join(ink_tiles(ink), square)
+    found = StructType([drawing, StructField("line_id", LongType()), StructField("hits", ArrayType(IntegerType()))])
+
+    def look(batches):
+        for batch in batches:
+            names = batch.schema.names
+            for n in range(batch.num_rows):
+                part = {c: batch.column(names.index(c)).slice(n, 1) for c in names}
+                numbers = _ints(*(part[c].flatten() for c in ("line_id", *PLACE, "width", "height")))
+                row, place, x, y = sampling.points(numbers[:, 1:5])
+                tx, ty = part["tx"][0].as_py() * TILE, part["ty"][0].as_py() * TILE
+                here = np.flatnonzero((x >= tx) & (x < tx + TILE) & (y >= ty) & (y < ty + TILE) & _inside(x, y, numbers[row, 5:7]))
+                edges = np.zeros((TILE, TILE + 1), np.int32)
+                ys, a, b = (part[c].flatten().to_numpy() for c in ("y", "a", "b"))
+                np.add.at(edges, (ys, a), 1)
+                np.add.at(edges, (ys, b), -1)
+                hit = here[np.cumsum(edges, axis=1)[y[here] - ty, x[here] - tx] > 0]
+                sizes = np.bincount(row[hit], minlength=len(numbers))
+                some = np.flatnonzero(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part["drawing_id"][0].as_py()] * len(some), batch.column(0).type),
+                     pa.array(numbers[some, 0]), _lists(place[hit], sizes[some])], names=found.names)
+
+    hits = (met.mapInArrow(look, found).groupBy(*LINE).agg(F.flatten(F.collect_list("hits")).alias("hits")))
+    return placed.join(hits, LINE, "left").select(*LINE, *PLACE, "width", "height", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
+
+
+def _measured(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Sampling,
+              measure: Callable[[np.ndarray, np.ndarray], tuple], schema: dict) -> DataFrame:
+    """Values of ``measure`` for each line, from (samples, across) flags on the page and on ink."""
+    fields = [lines.schema["drawing_id"], lines.schema["line_id"], *(StructField(c, t) for c, t in schema.items())]
+
+    def run(batches):
+        for batch in batches:
+            numbers = _ints(*batch.columns[2:8])
+            row, _, x, y = sampling.points(numbers[:, :4])
+            inside = _inside(x, y, numbers[row, 4:6])
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+            hit = np.zeros(len(row), bool)
+            sizes = batch.column(8).value_lengths().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            hit[np.append(0, ends)[owner] + batch.column(8).flatten().to_numpy()] = True
+            shape = (-1, sampling.across)
+            found = [measure(i.reshape(shape), h.reshape(shape)) for i, h in zip(np.split(inside, ends[:-1]), np.split(hit, ends[:-1]))] \
+                if batch.num_rows else []
+            columns = zip(*found) if found else ([] for _ in schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(list(c), to_arrow_type(t)) for c, t in zip(columns, schema.values()))],
+                names=["drawing_id", "line_id", *schema])
+
+    return probed(lines, ink, pages, sampling).mapInArrow(run, StructType(fields))
+
+
+def _flips(flags: np.ndarray) -> int:
+    return int(np.count_nonzero(flags[1:] != flags[:-1]))
 
 
 def solid_stats(lines: DataFrame, ink: DataFrame, pages: DataFrame, count: int = 80) -> DataFrame:
@@ -72,21 +176,15 @@ def solid_stats(lines: DataFrame, ink: DataFrame, pages: DataFrame, count: int =
 
     Lines with fewer than ten samples on the page get 0, 999 and 999.
     """
-    points = sample_lines(lines, F.lit(count)).withColumns(
-        {"px": F.col("sx").cast("bigint"), "py": F.col("sy").cast("bigint")})
-    # The samples of a line are few by definition, so arrays of them are small.
-    hits = (look_up(points.select(*LINE, "i", "px", "py"), ink, pages)
-            .groupBy(*LINE, "i").agg(F.max("inside").alias("inside"), F.max("hit").alias("hit")))
-    text = hits.groupBy(*LINE).agg(
-        _as_text(F.when(F.col("inside"), F.col("hit"))).alias("flags"))
-    n = F.length("flags")
-    gaps = F.transform(F.split("flags", "1"), lambda z: F.length(z))
-    few = n < 10
-    return text.select(
-        *LINE,
-        F.when(few, F.lit(0.0)).otherwise(F.regexp_count("flags", F.lit("1")) / n).alias("density"),
-        F.when(few, F.lit(999)).otherwise(F.array_max(gaps)).cast("bigint").alias("max_gap"),
-        F.when(few, F.lit(999)).otherwise(_flips(F.col("flags"))).cast("bigint").alias("transitions"))
+    def measure(inside, hit):
+        flags = hit[inside]
+        if len(flags) < 10:
+            return 0.0, 999, 999
+        marks = np.flatnonzero(np.concatenate(([True], flags, [True])))
+        return float(flags.mean()), int(np.diff(marks).max() - 1), _flips(flags)
+
+    kinds = {"density": DoubleType(), "max_gap": LongType(), "transitions": LongType()}
+    return _measured(lines, ink, pages, Sampling(count), measure, kinds)
 
 
 def solid_lines(lines: DataFrame, ink: DataFrame, pages: DataFrame, min_density: float = 0.68,
@@ -101,28 +199,19 @@ def solid_lines(lines: DataFrame, ink: DataFrame, pages: DataFrame, min_density:
 def band_scores(lines: DataFrame, ink: DataFrame, pages: DataFrame, half: int = 2,
                 count: int = 80) -> DataFrame:
     """Share of ink in a band around the line, and flips along its middle."""
-    points = _across(sample_lines(lines, F.lit(count)), half, F.col("sx"), F.col("sy"), 1e-6)
-    hits = (look_up(points.select(*LINE, "i", "offset", "px", "py"), ink, pages)
-            .groupBy(*LINE, "i", "offset")
-            .agg(F.max("inside").alias("inside"), F.max("hit").alias("hit")))
-    rows = hits.groupBy(*LINE).agg(
-        F.count_if("hit").alias("hits"), F.count_if("inside").alias("total"),
-        _as_text(F.when(F.col("offset") == 0, F.col("hit"))).alias("flags"))
-    return rows.select(*LINE, (F.col("hits") / F.greatest("total", F.lit(1))).alias("fill"),
-                       _flips(F.col("flags")).alias("transitions"))
+    def measure(inside, hit):
+        return float(hit.sum() / max(inside.sum(), 1)), _flips(hit[:, half])
+
+    return _measured(lines, ink, pages, Sampling(count, half=half), measure, {"fill": DoubleType(), "transitions": LongType()})
 
 
 def sample_hits(lines: DataFrame, ink: DataFrame, pages: DataFrame, step: int = 1,
                 half: int = 2) -> DataFrame:
     """One flag per sample: ink on any of the points across the line, as text of 0 and 1."""
-    length = F.greatest(F.lit(1), F.floor(g.segment_length(box())))
-    count = F.greatest(F.lit(12), F.floor(length / step))
-    points = sample_lines(lines, count)
-    whole = (F.col("sx").cast("bigint"), F.col("sy").cast("bigint"))
-    spread = _across(points, half, *whole, 1e-6)
-    hits = (look_up(spread.select(*LINE, "i", "px", "py"), ink, pages)
-            .groupBy(*LINE, "i").agg(F.max("hit").alias("hit")))
-    return hits.groupBy(*LINE).agg(_as_text(F.col("hit")).alias("hits"))
+    def measure(inside, hit):
+        return ((hit.any(axis=1) + np.uint8(48)).astype(np.uint8).tobytes().decode(),)
+
+    return _measured(lines, ink, pages, Sampling(None, step, half, whole=True), measure, {"hits": StringType()})
 
 
 def erase(ink: DataFrame, boxes: DataFrame, pad: int = 0) -> DataFrame:
