@@ -133,6 +133,21 @@ def _(fx):
     return cl.elbow(cl.inertias(rows, "embedding", ks, restarts=3))
 
 
+@query("clu_by_sensitivity")
+def _(fx):
+    return cl.cluster(_unit(fx), "embedding", "low").select("vec_id", "cluster_id")
+
+
+@query("clu_elbow_of_costs", """
+WITH c AS (SELECT drawing_id k, (10000.0/(drawing_id+1) + (drawing_id*7919)%101)::DOUBLE inertia FROM (SELECT DISTINCT drawing_id FROM symbols_v) q),
+b AS (SELECT k, lead(inertia, 2) OVER (ORDER BY k) - 2*lead(inertia) OVER (ORDER BY k) + inertia bend FROM c)
+SELECT CASE WHEN count(*) >= 3 THEN arg_max(k, {'b': coalesce(bend, -1e300), 'k': -k}) + 2 ELSE max(k) END k FROM b""")
+def _(fx):
+    costs = fx.symbols.select("drawing_id").distinct().selectExpr(
+        "drawing_id k", "CAST(10000.0D/(drawing_id+1) + (drawing_id*7919)%101 AS DOUBLE) inertia")
+    return cl.elbow(costs)
+
+
 @query("clu_density")
 def _(fx):
     flat = cl.pca2d(_unit(fx), "embedding").select("vec_id", "px", "py")

@@ -3,8 +3,8 @@
 import json
 import random
 
+import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
 from sheetweave.operators import graph, clusters, editlog, ink, prompts
@@ -149,11 +149,32 @@ def test_kmeans_and_elbow(spark):
     rows = spark.range(60).selectExpr("id", "array(CAST(id%3*10 + id/100 AS FLOAT), CAST(id%3 AS FLOAT)) e")
     found = clusters.kmeans(rows, "e", 3, restarts=2).groupBy("cluster_id").count().collect()
     assert sorted(r["count"] for r in found) == [20, 20, 20]
+    assert clusters.cluster(rows, "e", "low").groupBy("cluster_id").count().count() >= 3
     costs = spark.createDataFrame([(2, 100.0), (3, 40.0), (4, 30.0), (5, 25.0)], "k long, inertia double")
     assert clusters.elbow(costs).first().k == 4
     assert clusters.largest_k(30) == 10 and clusters.density_parameters(1000) == (20, 10)
 
 
+def test_many_models(spark, partitions):
+    """Costs and assignments of all models against numpy; rows without a vector have no cluster."""
+    chance = np.random.default_rng(6)
+    x = chance.normal(size=(200, 4)) + 6 * np.eye(4)[chance.integers(0, 4, 200)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, e array<double>").repartition(5)
+    runs = [(k, s) for k in (1, 3, 4, 7) for s in (1, 2)]
+    models, costs = clusters.fit_many(rows, "e", runs, passes=60)
+    for n, (k, _) in enumerate(runs):
+        centres = models.of(n)
+        far = ((x[:, None] - centres) ** 2).sum(axis=2)
+        assert len(centres) == k and costs[n] == pytest.approx(far.min(axis=1).sum())
+        means = np.array([x[far.argmin(axis=1) == j].mean(axis=0) for j in range(k)])
+        assert np.allclose(means, centres, atol=1e-3)
+    found = {r.id: r.cluster_id for r in clusters.kmeans(rows, "e", 4, restarts=3).collect()}
+    assert found.pop(900) is None and len(set(found.values())) == 4
+    own = np.array([found[i] for i in range(200)])
+    means = np.array([x[own == j].mean(axis=0) for j in range(4)])
+    assert (((x[:, None] - means) ** 2).sum(axis=2).argmin(axis=1) == own).all()
+
+
 def test_negative_points_are_free(spark):
     symbols = spark.createDataFrame([(0, i, 30 * i, 30, 30 * i + 20, 50) for i in range(5)] + [(1, 0, 0, 0, 40, 40)],
                                     "drawing_id long, symbol_id long, x1 long, y1 long, x2 long, y2 long")
