@@ -230,19 +230,20 @@ SELECT s.drawing_id, CASE WHEN s.drawing_id%10 < 9 THEN 'train' ELSE 'val' END s
 FROM symbols_v s JOIN drawings_v d ON s.drawing_id = d.drawing_id GROUP BY s.drawing_id""")
 def _(fx):
     splits = fx.drawings.selectExpr("drawing_id", "IF(drawing_id%10 < 9, 'train', 'val') split")
-    return sinks.label_files(fx.symbols.withColumnRenamed("symbol_id", "ann_id"), fx.drawings, splits)
+    path = f"{Scratch(fx.spark).base}/labels"
+    sinks.write_labels(sinks.label_files(fx.symbols.withColumnRenamed("symbol_id", "ann_id"), fx.drawings, splits), path)
+    files = fx.spark.read.text(f"{path}/labels", wholetext=True)
+    return files.selectExpr("CAST(drawing_id AS BIGINT) drawing_id", "split", "CAST(part AS BIGINT) part", "rtrim('\n', value) value")
 
 
-@query("sink_llm_json", "WITH " + ASSIGNED + """
-SELECT s.drawing_id, s.symbol_id id, s.category, coalesce(string_agg("text", ' | ' ORDER BY dist, text_id), '') captions
-FROM symbols_v s LEFT JOIN assigned a ON a.drawing_id = s.drawing_id AND a.symbol_id = s.symbol_id
-GROUP BY s.drawing_id, s.symbol_id, s.category""")
+@query("src_run_header", """
+SELECT drawing_id, concat('images/', drawing_id, '.png') image_path, count(*) num_masks, 'boxes' detector
+FROM dets_v GROUP BY drawing_id""")
 def _(fx):
-    nodes = graph.build_nodes(fx.symbols.drop("score"), graph.assign_texts(fx.texts, fx.symbols))
-    docs = sinks.compact_graph(nodes)
-    kind = "nodes ARRAY<STRUCT<id: BIGINT, category: STRING, captions: ARRAY<STRING>>>"
-    return (docs.select("drawing_id", F.explode(F.from_json("value", kind)["nodes"]).alias("n"))
-            .select("drawing_id", "n.id", "n.category", F.array_join("n.captions", " | ").alias("captions")))
+    rows = fx.detections.withColumn("area", F.expr("(x2-x1)*(y2-y1)"))
+    runs = readers.parse_runs(_through_files(fx, sinks.results(rows, _headers(fx))))
+    return runs.select("drawing_id", "image_path", F.col("num_masks").cast("bigint").alias("num_masks"),
+                       F.expr("params['detector']").alias("detector"))
 
 
 OWN_CHAINS = ("WITH " + HITS.format(chain="line_id", pos="0", reach=50) + """,
@@ -256,23 +257,73 @@ first AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY drawing_id
 """)
 
 
-@query("sink_full_json", OWN_CHAINS + """
-SELECT s.drawing_id, (SELECT count(*) FROM symbols_v q WHERE q.drawing_id = s.drawing_id) nodes,
- count(*) links, sum(source)::BIGINT sources, sum(target)::BIGINT targets,
- (SELECT count(*) FROM texts_v q WHERE q.drawing_id = s.drawing_id) texts FROM first s GROUP BY s.drawing_id""")
-def _(fx):
+NODES = """SELECT s.drawing_id, s.symbol_id, s.category, coalesce(string_agg("text", ' | ' ORDER BY dist, text_id), '') captions
+FROM symbols_v s LEFT JOIN assigned a ON a.drawing_id = s.drawing_id AND a.symbol_id = s.symbol_id
+GROUP BY s.drawing_id, s.symbol_id, s.category"""
+NUMBERED = "SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY chain_id, k) - 1 n FROM first"
+COMPACT = OWN_CHAINS + "," + ASSIGNED + f"""
+SELECT drawing_id, 'node' entry, symbol_id id, category || ': ' || captions shown FROM ({NODES})
+UNION ALL SELECT drawing_id, 'link', n, concat_ws(' ', source, target, kind, CASE WHEN direction = 'bidirectional' THEN 'both' END)
+ FROM ({NUMBERED})"""
+
+
+def _graph_of_own_chains(fx):
     members = own_chains(fx)
     hits = graph.chain_hits(members, fx.symbols, 50.0)
     links = graph.dedup_pairs(graph.link_hits(hits, members, 50.0))
-    nodes = graph.build_nodes(fx.symbols, graph.assign_texts(fx.texts, fx.symbols))
-    counters = graph.metadata(nodes, links, fx.texts, fx.lines, hits, members, fx.drawings)
-    d = F.from_json("value", """nodes ARRAY<STRUCT<id: BIGINT>>, links ARRAY<STRUCT<source: BIGINT, target: BIGINT>>,
-        metadata STRUCT<total_text_detections: BIGINT>""")
-    total = (lambda name: F.aggregate(d["links"][name], F.lit(0).cast("bigint"), lambda s, x: s + x))
-    return sinks.full_graph(nodes, links, counters).select(
-        "drawing_id", F.size(d["nodes"]).cast("bigint").alias("nodes"), F.size(d["links"]).cast("bigint").alias("links"),
-        total("source").alias("sources"), total("target").alias("targets"),
-        d["metadata"]["total_text_detections"].alias("texts"))
+    nodes = graph.build_nodes(fx.symbols.drop("score"), graph.assign_texts(fx.texts, fx.symbols))
+    return nodes, links, graph.metadata(nodes, links, fx.texts, fx.lines, hits, members, fx.drawings)
+
+
+def _compact_entries(docs):
+    kind = """nodes ARRAY<STRUCT<id: BIGINT, category: STRING, captions: ARRAY<STRING>>>,
+        links ARRAY<STRUCT<`from`: BIGINT, `to`: BIGINT, type: STRING, bidirectional: BOOLEAN>>"""
+    d = F.from_json("value", kind)
+    nodes = docs.select("drawing_id", F.explode(d["nodes"]).alias("n")).select(
+        "drawing_id", F.lit("node").alias("entry"), F.col("n.id").alias("id"),
+        F.concat("n.category", F.lit(": "), F.array_join("n.captions", " | ")).alias("shown"))
+    links = docs.select("drawing_id", F.posexplode(d["links"]).alias("n", "e")).select(
+        "drawing_id", F.lit("link").alias("entry"), F.col("n").cast("bigint").alias("id"),
+        F.concat_ws(" ", "e.from", "e.to", "e.type", F.when(F.col("e.bidirectional"), "both")).alias("shown"))
+    return nodes.unionByName(links)
+
+
+@query("sink_llm_json", COMPACT)
+def _(fx):
+    nodes, links, _ = _graph_of_own_chains(fx)
+    return _compact_entries(sinks.compact_graph(nodes, links))
+
+
+@query("sink_packed", COMPACT)
+def _(fx):
+    nodes, links, _ = _graph_of_own_chains(fx)
+    path = f"{Scratch(fx.spark).base}/packed"
+    sinks.write_packed(sinks.compact_graph(nodes, links), path, 8)
+    return _compact_entries(sinks.read_packed(fx.spark, path, buckets=8))
+
+
+@query("sink_full_json", OWN_CHAINS + "," + ASSIGNED + f"""
+SELECT drawing_id, 'node' entry, symbol_id id, concat_ws('/', category, x1, y1, x2, y2, captions) shown FROM ({NODES}) JOIN (
+ SELECT drawing_id, symbol_id, x1, y1, x2, y2 FROM symbols_v) q USING (drawing_id, symbol_id)
+UNION ALL SELECT f.drawing_id, 'link', n, concat_ws('/', source, target, kind, CASE WHEN f.direction = 'backward' THEN 'forward'
+ ELSE f.direction END, f.direction, l.x1, l.y1, l.x2, l.y2)
+ FROM ({NUMBERED}) f JOIN lines_v l ON l.drawing_id = f.drawing_id AND l.line_id = f.chain_id
+UNION ALL SELECT drawing_id, 'texts', 0, count(*)::VARCHAR FROM texts_v GROUP BY drawing_id""")
+def _(fx):
+    kind = """nodes ARRAY<STRUCT<id: BIGINT, category: STRING, bbox: ARRAY<BIGINT>, captions: ARRAY<STRING>>>,
+        links ARRAY<STRUCT<id: BIGINT, source: BIGINT, target: BIGINT, type: STRING, direction: STRING, line: ARRAY<BIGINT>,
+        connection_quality: STRUCT<direction_used: STRING>>>, metadata STRUCT<total_text_detections: BIGINT>"""
+    docs = sinks.full_graph(*_graph_of_own_chains(fx)).select("drawing_id", F.from_json("value", kind).alias("d"))
+    joined = (lambda c: F.concat_ws("/", F.col(c).cast("array<string>")))
+    nodes = docs.select("drawing_id", F.explode("d.nodes").alias("e")).select(
+        "drawing_id", F.lit("node").alias("entry"), "e.id",
+        F.concat_ws("/", "e.category", joined("e.bbox"), F.array_join("e.captions", " | ")).alias("shown"))
+    links = docs.select("drawing_id", F.explode("d.links").alias("e")).select(
+        "drawing_id", F.lit("link").alias("entry"), "e.id", F.concat_ws(
+            "/", "e.source", "e.target", "e.type", "e.direction", "e.connection_quality.direction_used", joined("e.line")).alias("shown"))
+    texts = docs.where("d.metadata.total_text_detections > 0").selectExpr(
+        "drawing_id", "'texts' entry", "0L id", "CAST(d.metadata.total_text_detections AS STRING) shown")
+    return nodes.unionByName(links).unionByName(texts)
 
 
 @query("src_skip_done", """
@@ -287,7 +338,9 @@ def _(fx):
 
     ingest.run_missing(fx.symbols.where("drawing_id % 2 = 0"), stage, path, "first")
     ingest.run_missing(fx.symbols, stage, path, "second")
-    return fx.spark.read.parquet(path).select("drawing_id", "run", "n")
+    # A third run that dies after its results and before its manifest: nobody sees them.
+    stage(fx.symbols).write.parquet(f"{path}/run=died")
+    return ingest.results(fx.spark, path).select("drawing_id", "run", "n")
 
 
 @query("src_skip_done_stream", """
@@ -301,7 +354,7 @@ def _(fx):
 
     stream = ingest.stream_documents(fx.spark, f"{base}/incoming")
     ingest.follow(stream, stage, f"{base}/lines", f"{base}/progress").awaitTermination()
-    return fx.spark.read.parquet(f"{base}/lines").select("drawing_id", "line_type", "n")
+    return ingest.results(fx.spark, f"{base}/lines").select("drawing_id", "line_type", "n")
 
 
 def _walked(reach):

@@ -8,7 +8,7 @@ assembles a huge one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
@@ -26,6 +26,34 @@ def write_documents(docs: DataFrame, path: str) -> None:
      .partitionBy(*KEY).text(path))
 
 
+#: Files of a packed store of documents.
+BUCKETS = 64
+
+
+def _bucket(drawing: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(drawing.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_packed(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Documents (drawing_id, part, value) in a bounded number of files, whatever the number of drawings.
+
+    A drawing's place follows from the hash of its id, and files are sorted by it; their column
+    statistics are the index. Written again, all is replaced.
+    """
+    (docs.select("drawing_id", "part", "value", _bucket(F.col("drawing_id"), buckets).alias("bucket"))
+     .repartition(buckets, "bucket").sortWithinPartitions("bucket", *KEY)
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/of={buckets}"))
+
+
+def read_packed(spark: SparkSession, path: str, drawing=None, buckets: int = BUCKETS) -> DataFrame:
+    """All documents of a packed store, or those of one drawing: its bucket is read alone, and of
+    that only the row groups whose range of ids has the drawing."""
+    docs = spark.read.parquet(f"{path}/of={buckets}")
+    if drawing is not None:
+        docs = docs.where((F.col("bucket") == _bucket(F.lit(drawing), buckets)) & (F.col("drawing_id") == F.lit(drawing)))
+    return docs.select("drawing_id", "part", "value")
+
+
 def bbox_array(b=None) -> Column:
     return F.array(*(b or box()))
 

@@ -197,6 +197,32 @@ def test_runs_are_repeatable(spark, tmp_path):
     assert sorted(r.drawing_id for r in spark.read.parquet(path).collect()) == list(range(10))
 
 
+def test_results_of_a_run_that_died(spark, tmp_path):
+    """Results that no manifest names are not seen, whoever does the drawings next; compaction keeps all."""
+    path = str(tmp_path / "out")
+    drawings = spark.createDataFrame([(i,) for i in (1, 2, 3, None)], "drawing_id long")
+    stage = (lambda rows: rows.withColumn("done", F.lit(True)))
+    stage(drawings).write.parquet(f"{path}/run=died")
+    for run in ("b", "c"):
+        ingest.run_missing(drawings, stage, path, run)
+    ingest.compact(spark, path)
+    ingest.run_missing(drawings.union(spark.createDataFrame([(9,)], "drawing_id long")), stage, path, "d")
+    rows = ingest.results(spark, path).collect()
+    assert sorted(((r.drawing_id, r.run) for r in rows), key=repr) == [(1, "b"), (2, "b"), (3, "b"), (9, "d"), (None, "b")]
+
+
+def test_packed_documents(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    docs = spark.createDataFrame([(f"sheet {i}", p, f'{{"n": {i}}}') for i in range(300) for p in range(2)],
+                                 "drawing_id string, part long, value string").repartition(7)
+    sinks.write_packed(docs, path, 4)
+    assert len(list((tmp_path / "docs").rglob("*.parquet"))) == 4
+    assert sorted(map(tuple, sinks.read_packed(spark, path, buckets=4).collect())) == sorted(map(tuple, docs.collect()))
+    one = sinks.read_packed(spark, path, "sheet 17", 4)
+    assert sorted(map(tuple, one.collect())) == [("sheet 17", p, '{"n": 17}') for p in range(2)]
+    assert len(one.inputFiles()) == 4 and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+
+
 def test_drawings_without_results_are_done(spark, tmp_path):
     path = str(tmp_path / "out")
     drawings = spark.range(6).withColumnRenamed("id", "drawing_id")
