@@ -3,9 +3,9 @@
 Documents are dealt to tasks by ranges of their id and encoded in id order, each followed
 by an end id. A task cuts its ids into shards of about ``SHARD`` ids, at documents. Each
 shard is compressed by itself: again and again the most frequent pairs of neighbours are
-replaced by nonterminals, as long as a pair occurs ``LEAST`` times or more. The pairs of
+replaced by nonterminals, until no pair is left that saves more than its rule costs. The pairs of
 one round have no symbol that is the left of one and the right of another, so no two
-occurrences overlap.
+occurrences overlap; of a run of equal symbols every other pair is replaced.
 
 File format: Parquet rows (part, shard, doc_ids, lengths, rules, expansions, width,
 symbols). ``rules`` has two unsigned 32-bit symbols for each nonterminal, ``expansions`` how many
@@ -30,8 +30,10 @@ from sheetweave.llm.bpe import encoder, tokenizer_path
 from sheetweave.llm.store import Store, id_text, partitions
 from sheetweave.llm.texts import map_rows
 
-#: Ids of a shard, rounds at most and pairs a round, and occurrences that a pair needs.
-SHARD, ROUNDS, PAIRS, LEAST = 1 << 20, 4, 4096, 16
+#: Ids of a shard, and pairs that a round replaces; what it leaves is for the next ones.
+SHARD, PAIRS = 1 << 20, 16384
+#: Occurrences from which a pair saves (4 bytes each) more than its rule costs (two symbols and a length).
+LEAST = 4
 #: Words that a worker keeps encoded, in each of two generations.
 CACHED_WORDS = 400_000
 FORMAT = ("part int, shard int, doc_ids array<long>, lengths array<int>, first long, rules binary, "
@@ -40,16 +42,21 @@ FORMAT = ("part int, shard int, doc_ids array<long>, lengths array<int>, first l
 
 def chosen_pairs(sequence: np.ndarray) -> np.ndarray:
     """The most frequent pairs that can be replaced together, as left << 32 | right."""
+    if len(sequence) < 2:
+        return np.zeros(0, np.uint64)
     pairs = sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:]
     pairs.sort()
     starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
     counts = np.diff(np.append(starts, len(pairs)))
+    distinct = pairs[starts]
+    # Pairs of equal symbols overlap each other: about half of them can be replaced.
+    counts = np.where(distinct >> np.uint64(32) == distinct & np.uint64(0xFFFFFFFF), (counts + 1) // 2, counts)
     often = np.flatnonzero(counts >= LEAST)
     best = often[np.argsort(-counts[often], kind="stable")[:PAIRS]]
     lefts, rights, taken = set(), set(), []
-    for pair in pairs[starts[best]].tolist():
+    for pair in distinct[best].tolist():
         left, right = pair >> 32, pair & 0xFFFFFFFF
-        if left != right and left not in rights and right not in lefts:
+        if left not in rights and right not in lefts and (left != right or left not in lefts):
             lefts.add(left)
             rights.add(right)
             taken.append(pair)
@@ -59,11 +66,7 @@ def chosen_pairs(sequence: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (k, 2), expansion lengths (k), and the compressed sequence."""
     sequence, rules, sizes = ids.astype(np.uint32), [], np.ones(first, np.int64)
-    lookup_left = np.zeros(first + ROUNDS * PAIRS + 1, np.bool_)
-    lookup_right = lookup_left.copy()
-    for _ in range(ROUNDS):
-        if len(sequence) < 2 * LEAST:
-            break
+    while len(sequence) >= 2 * LEAST:
         pairs = chosen_pairs(sequence)
         if not len(pairs):
             break
@@ -71,13 +74,19 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         order = np.argsort(pairs)
         ranked = pairs[order]
-        lookup_left[:], lookup_right[:] = False, False
-        lookup_left[left], lookup_right[right] = True, True
-        at = np.flatnonzero(lookup_left[sequence[:-1]] & lookup_right[sequence[1:]])
+        is_left, is_right = np.zeros(base, np.bool_), np.zeros(base, np.bool_)
+        is_left[left], is_right[right] = True, True
+        at = np.flatnonzero(is_left[sequence[:-1]] & is_right[sequence[1:]])
         seen = sequence[at].astype(np.uint64) << np.uint64(32) | sequence[at + 1]
         place = np.minimum(np.searchsorted(ranked, seen), len(ranked) - 1)
         hit = ranked[place] == seen
         at, number = at[hit], order[place[hit]]
+        # Only pairs of equal symbols follow each other: every other one of such a run is replaced.
+        run = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), np.arange(len(at)), 0))
+        other = (np.arange(len(at)) - run) % 2 == 0
+        at, number = at[other], number[other]
+        if len(at) <= 3 * len(np.unique(number)):
+            break
         sequence[at] = (base + number).astype(np.uint32)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
@@ -108,12 +117,20 @@ class Shard:
     def _expanded(self, sequence: np.ndarray) -> np.ndarray:
         """Ids of a run of symbols, copied from a table with the ids of every rule."""
         if self._flat is None:
-            whole: list[np.ndarray] = []
-            part = lambda s: whole[s - self.first] if s >= self.first else np.array([s], np.uint32)
-            for left, right in self.rules.tolist():
-                whole.append(np.concatenate((part(left), part(right))))
-            self._flat = np.concatenate([np.arange(self.first, dtype=np.uint32), *whole])
             self._at = np.concatenate((np.arange(self.first), self.first + np.cumsum(self.sizes) - self.sizes))
+            self._flat = np.arange(self.first + int(self.sizes.sum()), dtype=np.uint32)
+            # Rules refer to earlier ones: those that refer to what is filled already are filled at once.
+            latest = np.maximum.accumulate(self.rules.max(axis=1, initial=0).astype(np.int64))
+            done = 0
+            while done < len(self.rules):
+                ready = int(np.searchsorted(latest, self.first + done, "left"))
+                start = int(self._at[self.first + done])
+                part = self._copied(self.rules[done:ready].ravel())
+                self._flat[start:start + len(part)] = part
+                done = ready
+        return self._copied(sequence)
+
+    def _copied(self, sequence: np.ndarray) -> np.ndarray:
         held = self._held(sequence)
         ends = np.cumsum(held)
         shift = self._at[sequence] - (ends - held)

@@ -110,3 +110,17 @@ def test_ties_and_unknowns():
     for _ in range(2000):
         text = "".join(chance.choice("aab xy▁") for _ in range(chance.randint(0, 14)))
         assert counter.count(text) == len(library.encode(text).ids), text
+
+
+@pytest.mark.parametrize("ids, most", [
+    (np.full(100_000, 7), 40), (np.tile(np.arange(64), 4000), 40), (np.array([5] * 7), 7), (np.array([], int), 0),
+    (np.tile([1, 1, 2], 5000), 40), (np.random.default_rng(3).integers(0, 99, 5000), 5000)])
+def test_grammars(ids, most):
+    """No pair that pays is left, whatever its period; rules and slices give the ids back."""
+    rules, sizes, symbols = token_files.compress(ids, 100)
+    shard = token_files.Shard(100, rules.tobytes(), sizes.tobytes(), 4, symbols.astype("<u4").tobytes())
+    assert (shard.ids() == ids).all() and len(symbols) <= most
+    assert not len(token_files.chosen_pairs(symbols)) or len(symbols) < 2 * token_files.LEAST
+    for start, end in ((0, 0), (3, 90), (len(ids) // 2, len(ids))):
+        fresh = token_files.Shard(100, rules.tobytes(), sizes.tobytes(), 4, symbols.astype("<u4").tobytes())
+        assert (fresh.read_slice(start, min(end, len(ids))) == ids[start:min(end, len(ids))]).all()
