@@ -38,7 +38,9 @@ class DigestIndex:
     """Digests of all texts taken so far, in a table with runs appended batch by batch.
 
     Texts of earlier batches win over those of later ones; within a batch the largest
-    id wins. The location is given by the caller, or new below the scratch root.
+    id wins. The location is given by the caller, or new below the scratch root. A location that
+    has an index is opened again, by whatever session: the number of buckets is part of its
+    folder's name, and the files say to which bucket they belong.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, name: str | None = None,
@@ -46,7 +48,22 @@ class DigestIndex:
         self.spark = spark
         self.path = path or f"{scratch_root(spark)}/sheetweave/digests-{uuid.uuid4().hex}"
         self.name = name or f"digests_{uuid.uuid4().hex}"
-        self.buckets = buckets or partitions(spark)
+        found = self._folders()
+        self.buckets = int(found[0].rsplit("-", 1)[1]) if found else buckets or partitions(spark)
+        if found and not self.exists():
+            fields = ", ".join(SCHEMA.split(", "))
+            spark.sql(f"CREATE TABLE {self.name} ({fields}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
+                      f"INTO {self.buckets} BUCKETS LOCATION '{self.folder}'")
+
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/digests-of-{self.buckets}"
+
+    def _folders(self) -> list[str]:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+        return [n for n in names if n.startswith("digests-of-")]
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
@@ -61,20 +78,19 @@ class DigestIndex:
             new = new.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
         (new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
          .bucketBy(self.buckets, "digest").sortBy("digest")
-         .option("path", self.path).saveAsTable(self.name))
+         .option("path", self.folder).saveAsTable(self.name))
 
     def drop(self) -> None:
+        """Takes the index out of this session's catalogue; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def batches(rows: DataFrame, parts: int) -> list[DataFrame]:
-    """Splits rows into id ranges, the largest ids first; null ids come last."""
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
-        return [rows]
-    step = (high - low) // parts + 1
-    number = F.coalesce(F.floor((F.col("doc_id") - low) / step), F.lit(-1))
-    return [rows.where(number == k if k else number <= 0) for k in range(parts - 1, -1, -1)]
+    """Splits rows into about equal ranges of ids, the largest ids first; null ids come last."""
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 1000)).first()[0] if parts > 1 else None
+    cuts = sorted(set(cuts or []))
+    number = sum((F.coalesce((F.col("doc_id") > F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    return [rows.where(number == k) for k in range(len(cuts), -1, -1)]
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, parts: int = 2) -> DataFrame:

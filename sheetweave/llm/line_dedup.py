@@ -1,11 +1,12 @@
 """Removal of lines that many documents repeat, with levelled sorted runs of line hashes.
 
-A run is a Parquet table sorted by line hash, with the number of documents that hold
-the line and the largest of their ids. A batch is reduced to one row per line hash,
-merge-anti-joined with the runs to find new lines, and written as a run of level 0:
-its new lines, and counts to add for those known. When a level has ``fanout`` runs,
-they are merged into one run of the next level, adding counts. Counting happens before
-the shuffle, so a line found everywhere costs one row per task.
+A run is a Parquet table bucketed and sorted by line hash. A batch is reduced to one row per line
+hash and merge-anti-joined with the runs, which are not moved for that. What is left is new: it goes
+into the batch's run with its largest id. Lines that the runs know add a count and no id. Batches
+come by falling ids, so the id that a line came with first is the largest of all. When a level has
+``fanout`` runs, they are merged into one run of the next level; at the end all runs are merged
+into the top one, from which the common lines are read. Counting happens before the shuffle, so a line found
+everywhere costs one row per task.
 
 Defined results: null and empty text are one empty line. Keys shorter than
 ``min_chars`` code points are never dropped. Repeated rows of one id count as one
@@ -15,11 +16,18 @@ line that is dropped elsewhere. A line hash is the first 16 bytes of SHA-256.
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sheetweave.llm.exact_dedup import batches, digest
-from sheetweave.llm.store import Store, id_text, partitions
+from sheetweave.llm.store import Store, id_text
+from sheetweave.llm.texts import map_rows
 
+#: Runs of a level that are merged into one, and bytes of line hashes of a batch.
+FANOUT, BATCH_BYTES = 4, 64 << 30
+_LOWER = {c: c + 32 for c in range(65, 91)}
 #: White space that a key loses at both ends; fixed by the contract.
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -38,64 +46,85 @@ def line_hash(key, min_chars: int) -> F.Column:
 
 
 class LineRuns:
-    """Levelled runs of (h, n_docs, last_id); counts of one hash add up over the runs."""
+    """Levelled runs of (h, n_docs, last_id, fresh). ``fresh`` rows are those of the batch that a line came
+    with first; a line has one, and only that has an id."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.store = spark, fanout, Store(spark)
         self.levels: list[list[DataFrame]] = [[]]
-        self.new_lines: list[int] = []
-
-    def runs(self) -> DataFrame | None:
-        frames = [run for level in self.levels for run in level]
-        out = None
-        for run in frames:
-            out = run if out is None else out.unionByName(run)
-        return out
-
-    def merged(self, frame: DataFrame) -> DataFrame:
-        return frame.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"),
-                                      F.max("fresh").alias("fresh"))
 
-    def write(self, frame: DataFrame) -> DataFrame:
-        return self.store.save(frame.repartition(partitions(self.spark), "h").sortWithinPartitions("h"))
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
 
     def add(self, lines: DataFrame) -> None:
-        """Takes a batch of (doc_id, h), one row or more per document and line. No document
-        may come in two batches."""
+        """Takes a batch of (doc_id, h), one row or more per document and line. No document may come in two
+        batches, and no larger id after a smaller one."""
         counted = (lines.distinct().groupBy("h")
                    .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_id")))
-        known = self.runs()
-        if known is None:
-            run = counted.withColumn("fresh", F.lit(True))
+        if self.runs():
+            counted = self.store.bucketed(counted, "h")
+            new = counted
+            for run in self.runs():
+                new = new.hint("merge").join(run.where("fresh").select("h"), "h", "left_anti")
+            new = self.store.bucketed(new, "h")
+            known = counted.hint("merge").join(new.select("h"), "h", "left_anti")
+            run = new.withColumn("fresh", F.lit(True)).unionByName(known.select(
+                "h", "n_docs", F.lit(None).cast("long").alias("last_id"), F.lit(False).alias("fresh")))
+            self.levels[0].append(self.store.bucketed(run, "h", deal=True))
+            self.store.drop(new, counted)
         else:
-            counted = self.store.save(counted)
-            unseen = counted.hint("merge").join(known.select("h"), "h", "left_anti").withColumn("fresh", F.lit(True))
-            seen = counted.hint("merge").join(known.select("h"), "h", "left_semi").withColumn("fresh", F.lit(False))
-            run = unseen.unionByName(seen)
-        self.levels[0].append(self.write(run))
+            self.levels[0].append(self.store.bucketed(counted.withColumn("fresh", F.lit(True)), "h"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
             level += 1
 
     def compact(self, level: int) -> None:
+        """Merges the runs of a level into one of the next."""
         if level + 1 == len(self.levels):
             self.levels.append([])
         old, self.levels[level] = self.levels[level], []
-        union = old[0]
-        for run in old[1:]:
-            union = union.unionByName(run)
-        self.levels[level + 1].append(self.write(self.merged(union)))
-        for run in old:
-            self.store.forget(run)
-
-    def totals(self) -> DataFrame:
-        return self.merged(self.runs())
+        merged = reduce(DataFrame.unionByName, map(self.store.plain, old)).groupBy("h").agg(
+            F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"), F.max("fresh").alias("fresh"))
+        self.levels[level + 1].append(self.store.bucketed(merged, "h"))
+        self.store.drop(*old)
+
+    def top(self) -> DataFrame:
+        """One run of all lines: what the levels hold is merged upwards."""
+        for level in range(len(self.levels)):
+            if level + 1 < len(self.levels) and self.levels[level]:
+                self.levels[level + 1] += self.levels[level]
+                self.levels[level] = []
+        if len(self.levels[-1]) > 1:
+            self.compact(len(self.levels) - 1)
+        return self.levels[-1][0]
+
+    def end(self) -> None:
+        self.store.drop(*self.runs())
+
+
+def without(text: str, drops: list[bytes] | None, min_chars: int) -> tuple[int, int, str]:
+    """Number of lines, of those dropped, and the text that is left."""
+    lines = text.split("\n")
+    if not drops:
+        return len(lines), 0, text
+    gone = set(drops)
+
+    def stays(line: str) -> bool:
+        key = line.strip(STRIP)
+        if len(key) < min_chars:
+            return True
+        key = key.lower() if key.isascii() else key.translate(_LOWER)
+        return hashlib.sha256(key.encode()).digest()[:16] not in gone
+
+    kept = [line for line in lines if stays(line)]
+    return len(lines), len(lines) - len(kept), "\n".join(kept)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
-               parts: int = 2) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text for each row of ``docs``."""
+               parts: int | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text for each row of ``docs``. There are ``parts`` batches, one more
+    than the fan-out unless given, and more for tables of many lines."""
     texts = id_text(docs)
     store = Store(spark)
     lines = store.save(
@@ -104,21 +133,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, min_chars: int = 20, min_do
         .where(F.char_length("key") >= min_chars)  # not by the hash, which a filter would work out twice
         .select("doc_id", line_hash(F.col("key"), min_chars).alias("h")).distinct())
     runs = LineRuns(spark)
-    for batch in batches(lines, parts):
+    for batch in batches(lines, parts or max(FANOUT + 1, store.bytes_of(lines) // BATCH_BYTES)):
         runs.add(batch)
-    common = store.save(runs.totals().where(F.col("n_docs") >= min_docs).select("h", "last_id"))
+    common = store.save(runs.top().where(F.col("n_docs") >= min_docs).select("h", "last_id"))
+    runs.end()
     drops = store.save(
         store.attach(lines, common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
         .groupBy("doc_id").agg(F.collect_list("h").alias("drops")).withColumnRenamed("doc_id", "_id"))
-    joined = store.attach(texts, drops, texts["doc_id"].eqNullSafe(drops["_id"]), "left")
-    split = F.split("text", "\n", -1)
-    none = F.array().cast("array<binary>")
-    kept = F.when(F.col("drops").isNull(), split).otherwise(
-        F.filter(split, lambda x: ~F.coalesce(
-            F.array_contains(F.coalesce(F.col("drops"), none), line_hash(line_key(x), min_chars)), F.lit(False))))
-    return joined.select("doc_id", F.size(split).cast("long").alias("n_lines"), kept.alias("kept")).select(
-        "doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
-        F.array_join("kept", "\n").alias("kept_text"))
+    joined = store.attach(texts, drops, texts["doc_id"].eqNullSafe(drops["_id"]), "left").select("doc_id", "text", "drops")
+
+    def work(rows):
+        for doc_id, text, dropped in rows:
+            yield doc_id, *without(text, dropped, min_chars)
+
+    return map_rows(joined, work, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,6 +36,13 @@ def test_index_takes_batches(spark):
     assert sorted((r["digest"][0], r["keep_id"], r["seen"]) for r in index.read().collect()) == [
         (1, 2, 2), (2, 3, 1), (3, 5, 1)]
     index.drop()
+    # Another session that knows the path alone goes on where this one stopped.
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.name != index.name and again.buckets == 3
+    again.add(rows((99, 3), (98, 4)))
+    assert sorted((r["digest"][0], r["keep_id"], r["seen"]) for r in again.read().collect()) == [
+        (1, 2, 2), (2, 3, 1), (3, 5, 1), (4, 98, 1)]
+    again.drop()
 
 
 def test_lines(spark, make_docs, corpus):
@@ -44,12 +51,37 @@ def test_lines(spark, make_docs, corpus):
 
 
 def test_line_runs_compact(spark):
+    """Every line is new once, in the batch with its largest id; merged runs say the same as all batches."""
     runs = line_dedup.LineRuns(spark, fanout=2)
-    for start in range(5):
-        runs.add(spark.createDataFrame([(10 * start + k, bytes([k % 3])) for k in range(6)], "doc_id long, h binary"))
-    assert sorted((r["h"][0], r["n_docs"], r["last_id"]) for r in runs.totals().collect()) == [
-        (0, 10, 43), (1, 10, 44), (2, 10, 45)]
+    for start in range(4, -1, -1):
+        runs.add(spark.createDataFrame([(10 * start + k, bytes([k % (6 - start)])) for k in range(6)], "doc_id long, h binary"))
+        fresh = [bytes(r["h"]) for run in runs.runs() for r in run.where("fresh").collect()]
+        assert sorted(fresh) == [bytes([k]) for k in range(6 - start)]
+        assert all(r["last_id"] is None for run in runs.runs() for r in run.where("NOT fresh").collect())
     assert [len(level) for level in runs.levels] == [1, 0, 1]
+    ids = {k: [10 * s + j for s in range(5) for j in range(6) if j % (6 - s) == k] for k in range(6)}
+    assert sorted((r["h"][0], r["n_docs"], r["last_id"]) for r in runs.top().collect()) == [
+        (k, len(v), max(v)) for k, v in ids.items()]
+    before = {t.name for t in spark.catalog.listTables()}
+    runs.end()
+    assert len(before - {t.name for t in spark.catalog.listTables()}) == 1
+
+
+def test_ids_from_end_to_end_of_a_long(spark, make_docs):
+    line = "a line of more than twenty letters"
+    rows = [(6 * 10**18, line), (-6 * 10**18, line), (0, f"{line}\nx"), (None, line), (1, "y"), (2, "y")]
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark, make_docs(rows)).collect()}
+    assert found == {6 * 10**18: 0, -6 * 10**18: 1, 0: 1, None: 1, 1: 0, 2: 0}
+    kept = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(spark, make_docs(rows), 4).collect()}
+    assert kept == {6 * 10**18: 6 * 10**18, -6 * 10**18: 6 * 10**18, 0: 0, None: 6 * 10**18, 1: 2, 2: 2}
+
+
+def test_long_documents_of_common_lines(spark, make_docs):
+    """A document of 60,000 lines that all are common elsewhere is done in one pass over them."""
+    lines = [f"the common line with number {k}" for k in range(60_000)]
+    rows = [(k, "\n".join(lines)) for k in range(3)]
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark, make_docs(rows)).collect()}
+    assert found == {0: 60_000, 1: 60_000, 2: 0}
 
 
 def test_substrings(spark, make_docs, corpus):
