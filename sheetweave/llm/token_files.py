@@ -34,67 +34,88 @@ from sheetweave.llm.texts import map_rows
 SHARD, PAIRS = 1 << 20, 16384
 #: Occurrences from which a pair saves (4 bytes each) more than its rule costs (two symbols and a length).
 LEAST = 4
+#: Cells of the table of pairs that are looked up, beyond which they are searched.
+TABLE = 1 << 23
 #: Words that a worker keeps encoded, in each of two generations.
 CACHED_WORDS = 400_000
 FORMAT = ("part int, shard int, doc_ids array<long>, lengths array<int>, first long, rules binary, "
           "expansions binary, width int, symbols binary")
 
 
-def chosen_pairs(sequence: np.ndarray) -> np.ndarray:
-    """The most frequent pairs that can be replaced together, as left << 32 | right."""
-    if len(sequence) < 2:
-        return np.zeros(0, np.uint64)
-    pairs = sequence[:-1].astype(np.uint64) << np.uint64(32) | sequence[1:]
+def chosen_pairs(sequence: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right symbols of the most frequent pairs that can be replaced together."""
+    bits = 16 if symbols <= 1 << 16 else 32  # short codes are sorted four times as fast
+    kind = np.uint32 if bits == 16 else np.uint64
+    pairs = sequence[:-1].astype(kind) << kind(bits)
+    pairs |= sequence[1:].astype(kind)
     pairs.sort()
-    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(pairs)))
-    distinct = pairs[starts]
+    distinct = pairs[starts].astype(np.uint64)
+    left, right = (distinct >> np.uint64(bits)).astype(np.int64), (distinct & np.uint64((1 << bits) - 1)).astype(np.int64)
     # Pairs of equal symbols overlap each other: about half of them can be replaced.
-    counts = np.where(distinct >> np.uint64(32) == distinct & np.uint64(0xFFFFFFFF), (counts + 1) // 2, counts)
+    counts = np.where(left == right, (counts + 1) // 2, counts)
     often = np.flatnonzero(counts >= LEAST)
     best = often[np.argsort(-counts[often], kind="stable")[:PAIRS]]
     lefts, rights, taken = set(), set(), []
-    for pair in distinct[best].tolist():
-        left, right = pair >> 32, pair & 0xFFFFFFFF
-        if left not in rights and right not in lefts and (left != right or left not in lefts):
-            lefts.add(left)
-            rights.add(right)
-            taken.append(pair)
-    return np.array(taken, np.uint64)
+    for place, a, b in zip(best.tolist(), left[best].tolist(), right[best].tolist()):
+        if a not in rights and b not in lefts and (a != b or a not in lefts):
+            lefts.add(a)
+            rights.add(b)
+            taken.append(place)
+    return left[taken], right[taken]
+
+
+def matches(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs in a sequence, and which pair each is."""
+    number, sides = {}, []
+    for name, side in (("l", left), ("r", right)):
+        number[name] = np.full(symbols, -1, np.int32)
+        there = np.unique(side)
+        number[name][there] = np.arange(len(there))
+        sides.append(len(there))
+    a, b = number["l"][sequence[:-1]], number["r"][sequence[1:]]
+    at = np.flatnonzero((a >= 0) & (b >= 0))
+    codes = a[at].astype(np.int64) * sides[1] + b[at]
+    own = number["l"][left].astype(np.int64) * sides[1] + number["r"][right]
+    if sides[0] * sides[1] <= TABLE:
+        table = np.zeros(sides[0] * sides[1], np.int32)
+        table[own] = np.arange(1, len(own) + 1)
+        found = table[codes] - 1
+    else:
+        order = np.argsort(own)
+        place = np.minimum(np.searchsorted(own[order], codes), len(own) - 1)
+        found = np.where(own[order][place] == codes, order[place], -1)
+    return at[found >= 0], found[found >= 0]
 
 
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (k, 2), expansion lengths (k), and the compressed sequence."""
-    sequence, rules, sizes = ids.astype(np.uint32), [], np.ones(first, np.int64)
+    present = np.zeros(first, np.bool_)
+    present[ids] = True
+    named = np.flatnonzero(present)  # symbols are numbered closely while pairs are replaced
+    sequence = (np.cumsum(present, dtype=np.uint32) - np.uint32(1))[ids]
+    rules, sizes = [], np.ones(len(named), np.int64)
     while len(sequence) >= 2 * LEAST:
-        pairs = chosen_pairs(sequence)
-        if not len(pairs):
+        left, right = chosen_pairs(sequence, len(sizes))
+        if not len(left):
             break
-        base = len(sizes)
-        left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        order = np.argsort(pairs)
-        ranked = pairs[order]
-        is_left, is_right = np.zeros(base, np.bool_), np.zeros(base, np.bool_)
-        is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[sequence[:-1]] & is_right[sequence[1:]])
-        seen = sequence[at].astype(np.uint64) << np.uint64(32) | sequence[at + 1]
-        place = np.minimum(np.searchsorted(ranked, seen), len(ranked) - 1)
-        hit = ranked[place] == seen
-        at, number = at[hit], order[place[hit]]
+        at, number = matches(sequence, left, right, len(sizes))
         # Only pairs of equal symbols follow each other: every other one of such a run is replaced.
         run = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), np.arange(len(at)), 0))
         other = (np.arange(len(at)) - run) % 2 == 0
         at, number = at[other], number[other]
-        if len(at) <= 3 * len(np.unique(number)):
+        if len(at) <= 3 * len(left):
             break
-        sequence[at] = (base + number).astype(np.uint32)
+        sequence[at] = (len(sizes) + number).astype(np.uint32)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
         sequence = sequence[keep]
         rules.append(np.stack((left, right), 1))
         sizes = np.concatenate((sizes, sizes[left] + sizes[right]))
-    table = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
-    return table, sizes[first:].astype(np.uint32), sequence
+    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    name = np.concatenate((named, first + np.arange(len(table)))).astype(np.uint32)
+    return name[table], sizes[len(named):].astype(np.uint32), name[sequence]
 
 
 class Shard:
