@@ -2,10 +2,10 @@
 
 Documents are dealt to tasks by ranges of their id and encoded in id order, each followed
 by an end id. A task cuts its ids into shards of about ``SHARD`` ids, at documents. Each
-shard is compressed by itself: again and again the most frequent pairs of neighbours are
-replaced by nonterminals, until no pair is left that saves more than its rule costs. The pairs of
-one round have no symbol that is the left of one and the right of another, so no two
-occurrences overlap; of a run of equal symbols every other pair is replaced.
+shard is compressed by itself: again and again frequent pairs of neighbours are
+replaced by nonterminals, until a round over all pairs that pay saves next to nothing. A round replaces
+many pairs at once; none has a symbol that is the left of one and the right of another, so no two
+occurrences overlap. Of a run of equal symbols every other pair is replaced.
 
 File format: Parquet rows (part, shard, doc_ids, lengths, rules, expansions, width,
 symbols). ``rules`` has two unsigned 32-bit symbols for each nonterminal, ``expansions`` how many
@@ -30,10 +30,12 @@ from sheetweave.llm.bpe import encoder, tokenizer_path
 from sheetweave.llm.store import Store, id_text, partitions
 from sheetweave.llm.texts import map_rows
 
-#: Ids of a shard, and pairs that a round replaces; what it leaves is for the next ones.
-SHARD, PAIRS = 1 << 20, 16384
+#: Ids of a shard.
+SHARD = 1 << 20
 #: Occurrences from which a pair saves (4 bytes each) more than its rule costs (two symbols and a length).
 LEAST = 4
+#: Share of the sequence that a round has to save net of its rules, else it was the last.
+WORTH = 0.005
 #: Cells of the table of pairs that are looked up, beyond which they are searched.
 TABLE = 1 << 23
 #: Words that a worker keeps encoded, in each of two generations.
@@ -42,27 +44,31 @@ FORMAT = ("part int, shard int, doc_ids array<long>, lengths array<int>, first l
           "expansions binary, width int, symbols binary")
 
 
-def chosen_pairs(sequence: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """Left and right symbols of the most frequent pairs that can be replaced together."""
+def chosen_pairs(sequence: np.ndarray, symbols: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Left and right symbols of pairs that pay and can be replaced together."""
     bits = 16 if symbols <= 1 << 16 else 32  # short codes are sorted four times as fast
     kind = np.uint32 if bits == 16 else np.uint64
     pairs = sequence[:-1].astype(kind) << kind(bits)
     pairs |= sequence[1:].astype(kind)
     pairs.sort()
-    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    if not len(pairs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
     counts = np.diff(np.append(starts, len(pairs)))
-    distinct = pairs[starts].astype(np.uint64)
-    left, right = (distinct >> np.uint64(bits)).astype(np.int64), (distinct & np.uint64((1 << bits) - 1)).astype(np.int64)
-    # Pairs of equal symbols overlap each other: about half of them can be replaced.
-    counts = np.where(left == right, (counts + 1) // 2, counts)
     often = np.flatnonzero(counts >= LEAST)
-    best = often[np.argsort(-counts[often], kind="stable")[:PAIRS]]
-    lefts, rights, taken = set(), set(), []
-    for place, a, b in zip(best.tolist(), left[best].tolist(), right[best].tolist()):
-        if a not in rights and b not in lefts and (a != b or a not in lefts):
-            lefts.add(a)
-            rights.add(b)
-            taken.append(place)
+    counts, codes = counts[often], pairs[starts[often]].astype(np.uint64)
+    left, right = (codes >> np.uint64(bits)).astype(np.int64), (codes & np.uint64((1 << bits) - 1)).astype(np.int64)
+    equal = left == right
+    counts = np.where(equal, (counts + 1) // 2, counts)  # such pairs overlap each other
+    # A symbol is used where it saves most in this round: as a left one, a right one, or with itself. Of two
+    # about equal uses the turn decides, so symbols in a ring do not all want the same.
+    weight = [np.bincount(side[use], counts[use], symbols) for side, use in ((left, ~equal), (right, ~equal), (left, equal))]
+    drawn = (np.arange(symbols, dtype=np.uint32) * np.uint32(2654435761) + np.uint32(turn * 40503)) * np.uint32(2246822519)
+    lean = 0.8 + 0.4 * (drawn >> np.uint32(16)) / 65536
+    use = np.where(weight[2] > np.maximum(weight[0], weight[1]), 2, weight[0] < weight[1] * lean)
+    taken = (counts >= LEAST) & np.where(equal, use[left] == 2, (use[left] == 0) & (use[right] == 1))
+    if not taken.any() and (counts >= LEAST).any():
+        taken[np.argmax(counts)] = True
     return left[taken], right[taken]
 
 
@@ -97,7 +103,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
     sequence = (np.cumsum(present, dtype=np.uint32) - np.uint32(1))[ids]
     rules, sizes = [], np.ones(len(named), np.int64)
     while len(sequence) >= 2 * LEAST:
-        left, right = chosen_pairs(sequence, len(sizes))
+        left, right = chosen_pairs(sequence, len(sizes), len(rules))
         if not len(left):
             break
         at, number = matches(sequence, left, right, len(sizes))
@@ -105,7 +111,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         run = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), np.arange(len(at)), 0))
         other = (np.arange(len(at)) - run) % 2 == 0
         at, number = at[other], number[other]
-        if len(at) <= 3 * len(left):
+        if len(at) - 3 * len(left) < len(sequence) * WORTH:
             break
         sequence[at] = (len(sizes) + number).astype(np.uint32)
         keep = np.ones(len(sequence), bool)
