@@ -35,7 +35,7 @@ SHARD = 1 << 20
 #: Occurrences from which a pair saves (4 bytes each) more than its rule costs (two symbols and a length).
 LEAST = 4
 #: Share of the sequence that a round has to save net of its rules, else it was the last.
-WORTH = 0.005
+WORTH = 0.01
 #: Cells of the table of pairs that are looked up, beyond which they are searched.
 TABLE = 1 << 23
 #: Words that a worker keeps encoded, in each of two generations.
