@@ -10,6 +10,7 @@ from sheetweave.functions import textrules
 from sheetweave.functions.geometry import box
 from sheetweave.operators.ordering import with_position, with_successor, with_sum_before
 from sheetweave.operators.spatial import pair_join, point_cells, segment_cells, with_cells
+from sheetweave.scratch import Scratch
 
 CELL = ["drawing_id", "cell_x", "cell_y"]
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -118,16 +119,25 @@ def nearest_texts(texts: DataFrame, symbols: DataFrame, max_distance: float = 10
 def caption_pages(assigned: DataFrame, page_size: int = CAPTION_PAGE) -> DataFrame:
     """Captions of a symbol by distance, as arrays of at most ``page_size`` texts.
 
-    A symbol with more texts has further pages, so no array grows without bound.
+    A symbol with more texts has further pages, so no array grows without bound. Places are
+    worked out for the texts of such symbols alone; the others need no sort but that of their array.
     """
-    ranked = with_position(assigned, ["drawing_id", "symbol_id"], ["distance", "text_id"], "rank")
-    detail = F.struct("rank", "text", "distance", F.struct(*PLACE).alias("bbox"),
-                      F.col("score").alias("confidence"))
-    rows = (ranked.groupBy("drawing_id", "symbol_id", F.floor(F.col("rank") / page_size).alias("page"))
-            .agg(F.sort_array(F.collect_list(detail)).alias("nearby")))
-    return rows.select("drawing_id", "symbol_id", "page",
-                       F.col("nearby.text").alias("captions"),
-                       F.transform("nearby", lambda d: d.dropFields("rank")).alias("nearby"))
+    scratch = Scratch(assigned.sparkSession)
+    key = ["drawing_id", "symbol_id"]
+    assigned = scratch.save(assigned)
+    large = scratch.save(assigned.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > page_size).select(*key))
+    if large.isEmpty():
+        paged = assigned.withColumn("page", F.lit(0).cast("bigint"))
+    else:
+        ranked = with_position(assigned.join(large, key, "left_semi"), key, ["distance", "text_id"], "_rank")
+        paged = assigned.join(large, key, "left_anti").withColumn("page", F.lit(0).cast("bigint")).unionByName(
+            ranked.withColumn("page", F.floor(F.col("_rank") / page_size)).drop("_rank"))
+    detail = F.struct("distance", "text_id", "text", F.struct(*PLACE).alias("bbox"), F.col("score").alias("confidence"))
+    rows = paged.groupBy(*key, "page").agg(F.sort_array(F.collect_list(detail)).alias("nearby"))
+    return rows.select(*key, "page", F.col("nearby.text").alias("captions"),
+                       F.transform("nearby", lambda d: F.struct(
+                           d["text"].alias("text"), d["distance"].alias("distance"), d["bbox"].alias("bbox"),
+                           d["confidence"].alias("confidence"))).alias("nearby"))
 
 
 def build_nodes(symbols: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -383,7 +393,11 @@ def metadata(nodes: DataFrame, links: DataFrame, texts: DataFrame, lines: DataFr
                      .select("drawing_id", "chain_id"))
     lonely = chains.select("drawing_id", "chain_id").join(
         joined_chains, ["drawing_id", "chain_id"], "left_anti")
+    # Steps along a chain from a symbol to itself; hits are one row per chain and symbol, so two rows of one
+    # symbol on a chain are such a step.
+    loops = hits.groupBy("drawing_id", "chain_id", "symbol_id").count().where("count > 1")
     parts = [
+        counted(loops, skipped_self_loops=F.sum(F.col("count") - 1)),
         counted(nodes.where("page = 0"), total_symbols=everything),
         counted(links, total_connections=everything, full_connections=everything),
         counted(texts, total_text_detections=everything),
@@ -394,5 +408,4 @@ def metadata(nodes: DataFrame, links: DataFrame, texts: DataFrame, lines: DataFr
     out = drawings.select("drawing_id").distinct()
     for part in parts:
         out = out.join(part, "drawing_id", "left")
-    # A symbol occurs once on a chain, so a step never returns to itself.
-    return out.na.fill(0).withColumn("skipped_self_loops", F.lit(0).cast("bigint"))
+    return out.na.fill(0)

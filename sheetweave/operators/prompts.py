@@ -144,19 +144,19 @@ def count_on_masks(points: DataFrame, runs: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("points"), F.count("hit").alias("on_mask")))
 
 
-def _shuffled(drawings: DataFrame, seed: int) -> DataFrame:
+def _keyed(drawings: DataFrame, seed: int) -> DataFrame:
     key = F.md5(F.concat_ws("-", F.col("drawing_id").cast("string"), F.lit(seed)))
-    return with_position(drawings.select("drawing_id").distinct().withColumn("_key", key), [],
-                         ["_key", "drawing_id"], "place").drop("_key")
+    return drawings.select("drawing_id").distinct().withColumn("_key", key)
 
 
 def split(drawings: DataFrame, ratio: float = 0.9, seed: int = 42) -> DataFrame:
     """Whole drawings into train and val: the first int(n * ratio) in seeded order."""
     cut = drawings.agg((F.count_distinct("drawing_id") * ratio).cast("bigint")).scalar()
-    return _shuffled(drawings, seed).select(
+    placed = with_position(_keyed(drawings, seed), [], ["_key", "drawing_id"], "place")
+    return placed.select(
         "drawing_id", F.when(F.col("place") < cut, "train").otherwise("val").alias("split"))
 
 
 def sample(drawings: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """At most ``size`` drawings, the first ones in seeded order."""
-    return _shuffled(drawings, seed).where(F.col("place") < size).select("drawing_id")
+    """At most ``size`` drawings, the first ones in seeded order; each task passes on no more than these."""
+    return _keyed(drawings, seed).orderBy("_key", "drawing_id").limit(size).select("drawing_id")
