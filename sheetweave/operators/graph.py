@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -303,15 +305,31 @@ def chain_hits(members: DataFrame, symbols: DataFrame, max_distance: float) -> D
             .where(F.col("distance").isNotNull()))
 
 
-def path_positions(members: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """Position of a point per chain: start of the closest member plus t times its length."""
-    offset = member_offsets(members, keys)
+def path_positions(members: DataFrame, points: DataFrame, keys: list[str], size: float = 64) -> DataFrame:
+    """Position of a point per chain: start of the closest member plus t times its length.
+
+    A round looks at the members that come within a cell's side of the point's cell. A point whose closest
+    one is no further than that side is served; the others wait for cells four times as large.
+    """
+    scratch = Scratch(members.sparkSession)
+    offset = scratch.save(member_offsets(members, keys))
+    waiting = scratch.save(points.select(*keys, "px", "py").distinct().join(offset.select(*keys).distinct(), keys, "left_semi"))
+    found, cell = [], [*keys, "cell_x", "cell_y"]
     distance = g.point_segment_distance(F.col("px"), F.col("py"), box())
-    t = g.segment_parameter(F.col("px"), F.col("py"), box())
-    pos = F.col("start") + t * g.segment_length(box())
-    best = F.min_by(F.struct("member_pos", pos.alias("pos")), F.struct(distance, "member_pos"))
-    return (offset.join(points, keys).groupBy(*keys, "px", "py").agg(best.alias("best"))
-            .select(*keys, "px", "py", "best.*"))
+    pos = F.col("start") + g.segment_parameter(F.col("px"), F.col("py"), box()) * g.segment_length(box())
+    while not waiting.isEmpty():  # sides grow beyond any distance
+        asked = offset.join(waiting.select(*keys).distinct(), keys, "left_semi")
+        pieces = segment_cells(asked.select(*keys, "member_pos", "start", *PLACE), box(), size, size)
+        met = (point_cells(waiting, F.col("px"), F.col("py"), size).join(pieces, cell)
+               .withColumn("_d", distance).where(F.col("_d") <= size))
+        best = F.min_by(F.struct("member_pos", pos.alias("pos")), F.struct("_d", "member_pos"))
+        served = scratch.save(met.groupBy(*keys, "px", "py").agg(best.alias("best")).select(*keys, "px", "py", "best.*"))
+        found.append(served)
+        waiting = scratch.save(waiting.join(served, [*keys, "px", "py"], "left_anti"))
+        size *= 4
+    if not found:
+        return offset.join(points.select(*keys, "px", "py"), keys).select(*keys, "px", "py", "member_pos", F.col("start").alias("pos"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def member_offsets(members: DataFrame, keys: list[str]) -> DataFrame:

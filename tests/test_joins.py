@@ -1,5 +1,6 @@
 """Suppression, spatial joins and positions on skewed data."""
 
+import math
 import random
 
 import pytest
@@ -86,6 +87,33 @@ def test_nearest_symbol_of_copies(spark):
     assert {r.symbol_id: r.text_id for r in graph.nearest_texts(texts, symbols, top=1).collect()} == {i: 0 for i in range(40)}
 
 
+def test_path_positions(spark):
+    """Points near and very far, ties of members, chains without points and points without chains."""
+    rnd = random.Random(11)
+    members = [(d, c, m, *(rnd.randrange(300) for _ in range(4))) for d in range(2) for c in range(3) for m in range(12)]
+    members += [(0, 0, 12, *members[0][3:])]
+    points = [(d, c, rnd.choice([rnd.randrange(300), rnd.randrange(-9000, 9000)]) / 2, rnd.randrange(300) / 2)
+              for d in range(2) for c in range(4) for _ in range(12)]
+    got = graph.path_positions(
+        spark.createDataFrame(members, "drawing_id long, chain_id long, member_pos long, x1 long, y1 long, x2 long, y2 long"),
+        spark.createDataFrame(points, "drawing_id long, chain_id long, px double, py double"), ["drawing_id", "chain_id"], 16)
+    want = {}
+    for d, c, px, py in points:
+        start, best = 0.0, None
+        for _, _, m, x1, y1, x2, y2 in sorted(r for r in members if r[:2] == (d, c)):
+            length = math.hypot(x2 - x1, y2 - y1)
+            t = max(0.0, min(1.0, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / length ** 2)) if length else 0.0
+            off = math.hypot(px - x1 - t * (x2 - x1), py - y1 - t * (y2 - y1))
+            if best is None or off < best[0] - 1e-9:
+                best = off, m, start + t * length
+            start += length
+        if best:
+            want[d, c, px, py] = best[1:]
+    have = {(r.drawing_id, r.chain_id, r.px, r.py): (r.member_pos, r.pos) for r in got.collect()}
+    assert have.keys() == want.keys()
+    assert all(have[k][0] == want[k][0] and abs(have[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
 def test_positions_over_partitions(spark, partitions):
     rows = [(0 if i % 3 else 1, (i * 37) % 101, i) for i in range(500)]
     df = spark.createDataFrame(rows, "drawing_id long, value long, id long").repartition(7)
