@@ -13,11 +13,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from sheetweave.operators.masks import ROW, in_strips
+from sheetweave.operators.spatial import dealt
+from sheetweave.scratch import Scratch
 
 LINE = ["drawing_id", "line_id"]
 PLACE = ["x1", "y1", "x2", "y2"]
-#: Side of the squares by which ink meets lines, and the shares into which the lines of a square are dealt.
-TILE, SHARES = 256, 4
+#: Side of the squares by which ink meets lines, and lines of a square that stay together.
+TILE, SHARE = 256, 8192
 
 
 @dataclass(frozen=True)
@@ -110,11 +112,12 @@ def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samplin
             yield pa.RecordBatch.from_arrays(columns, names=whole.names)
 
     square = ["drawing_id", "tx", "ty"]
-    pieces = (placed.select("drawing_id", "line_id", *PLACE, "width", "height").mapInArrow(spread, whole)
-              .groupBy(*square, F.pmod(F.xxhash64("line_id"), F.lit(SHARES)).alias("_share"))
-              .agg(F.collect_list(F.struct("line_id", *PLACE, "width", "height")).alias("l"))
-              .select(*square, *(F.col(f"l.{c}").alias(c) for c in ("line_id", *PLACE, "width", "height"))))
-    met = pieces.join(ink_tiles(ink), square)
+    scratch = Scratch(lines.sparkSession)
+    crossed = scratch.save(placed.select("drawing_id", "line_id", *PLACE, "width", "height").mapInArrow(spread, whole))
+    crossed, squares, on = dealt(crossed, scratch.save(ink_tiles(ink)), square, SHARE)
+    pieces = (crossed.groupBy(*on).agg(F.collect_list(F.struct("line_id", *PLACE, "width", "height")).alias("l"))
+              .select(*on, *(F.col(f"l.{c}").alias(c) for c in ("line_id", *PLACE, "width", "height"))))
+    met = pieces.join(squares, on)
     found = StructType([drawing, StructField("line_id", LongType()), StructField("hits", ArrayType(IntegerType()))])
 
     def look(batches):
@@ -126,11 +129,10 @@ def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samplin
                 row, place, x, y = sampling.points(numbers[:, 1:5])
                 tx, ty = part["tx"][0].as_py() * TILE, part["ty"][0].as_py() * TILE
                 here = np.flatnonzero((x >= tx) & (x < tx + TILE) & (y >= ty) & (y < ty + TILE) & _inside(x, y, numbers[row, 5:7]))
-                edges = np.zeros((TILE, TILE + 1), np.int32)
-                ys, a, b = (part[c].flatten().to_numpy() for c in ("y", "a", "b"))
-                np.add.at(edges, (ys, a), 1)
-                np.add.at(edges, (ys, b), -1)
-                hit = here[np.cumsum(edges, axis=1)[y[here] - ty, x[here] - tx] > 0]
+                ys, a, b = (part[c].flatten().to_numpy().astype(np.int64) for c in ("y", "a", "b"))
+                size = TILE * (TILE + 1)
+                edges = (np.bincount(ys * (TILE + 1) + a, minlength=size) - np.bincount(ys * (TILE + 1) + b, minlength=size))
+                hit = here[np.cumsum(edges)[(y[here] - ty) * (TILE + 1) + x[here] - tx] > 0]  # a row ends with none open
                 sizes = np.bincount(row[hit], minlength=len(numbers))
                 some = np.flatnonzero(sizes)
                 yield pa.RecordBatch.from_arrays(

@@ -45,7 +45,9 @@ def pair_join(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box,
     cell holds boxes of which most overlap. Such cells are dealt out, see ``dealt``.
     """
     keys = keys or KEY
-    sides = [_levelled(left, left_box, size, reach, "_a"), _levelled(right, right_box, size, 0, "_b")]
+    scratch = Scratch(left.sparkSession)
+    sides = [scratch.save(_levelled(left, left_box, size, reach, "_a")),
+             scratch.save(_levelled(right, right_box, size, 0, "_b"))]
     # Grids double in size, so there are few of them whatever the table.
     found = sides[0].select("_al").distinct().withColumn("_side", F.lit(0)).unionByName(
         sides[1].select(F.col("_bl").alias("_al"), F.lit(1).alias("_side")).distinct()).collect()
