@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetweave.operators.joining import large
 from sheetweave.scratch import Scratch
 
 ID_SPAN = 65_536
@@ -54,7 +55,7 @@ def _contract_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
 def _small_star(links: DataFrame) -> DataFrame:
     """Ties all lower neighbours of a node to the lowest of them."""
     low = links.groupBy("drawing_id", "hi").agg(F.min("lo").alias("low"))
-    moved = (links.join(low, ["drawing_id", "hi"]).where("lo > low")
+    moved = (links.join(large(low), ["drawing_id", "hi"]).where("lo > low")
              .selectExpr("drawing_id", "lo hi", "low lo"))
     return low.selectExpr("drawing_id", "hi", "low lo").unionByName(moved).distinct()
 
@@ -64,14 +65,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.selectExpr("drawing_id", "hi u", "lo v").unionByName(
         links.selectExpr("drawing_id", "lo u", "hi v"))
     low = both.groupBy("drawing_id", "u").agg(F.min("v").alias("low"))
-    return (links.selectExpr("drawing_id", "lo u", "hi v").join(low, ["drawing_id", "u"])
+    return (links.selectExpr("drawing_id", "lo u", "hi v").join(large(low), ["drawing_id", "u"])
             .selectExpr("drawing_id", "v hi", "least(u, low) lo").distinct())
 
 
 def _is_settled(links: DataFrame) -> bool:
     """Every node hangs on one lower node which hangs on none."""
     twice = links.groupBy("drawing_id", "hi").count().where("count > 1").select("drawing_id")
-    inner = links.join(links.selectExpr("drawing_id", "lo hi"), ["drawing_id", "hi"],
+    inner = links.join(large(links.selectExpr("drawing_id", "lo hi")), ["drawing_id", "hi"],
                        "left_semi").select("drawing_id")
     return twice.unionByName(inner).isEmpty()
 

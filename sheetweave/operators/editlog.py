@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sheetweave.operators.joining import large
 from sheetweave.operators.ordering import with_position
 from sheetweave.scratch import Scratch
 
@@ -129,7 +130,7 @@ def surviving_edits(log: DataFrame, depth: int = UNDO_DEPTH, block: int = BLOCK)
     open_ = gone.where("NOT (state = 'fixed' AND kind = 2)")
     ends = open_.groupBy("drawing_id").applyInPandas(chain, f"drawing_id {drawing}, seq {seq}")
     kept = scratch.save(own.unionByName(ends)).withColumnsRenamed({"drawing_id": "_d", "seq": "_s"})
-    return log.join(kept, log["drawing_id"].eqNullSafe(kept["_d"]) & (log["seq"] == kept["_s"]), "left_semi").where(
+    return log.join(large(kept), log["drawing_id"].eqNullSafe(kept["_d"]) & (log["seq"] == kept["_s"]), "left_semi").where(
         "NOT coalesce(op, '') IN ('undo', 'redo')")
 
 
@@ -150,7 +151,7 @@ def replay_lines(lines: DataFrame, log: DataFrame) -> DataFrame:
     makers = with_position(edits.where("op IN ('combine', 'create')").select("drawing_id", "seq"), ["drawing_id"], ["seq"], "_n")
     made = scratch.save(makers.join(last, "drawing_id", "left")
                         .selectExpr("drawing_id", "seq", "coalesce(_last, -1) + 1 + _n made"))
-    named = edits.join(made, ["drawing_id", "seq"], "left")
+    named = edits.join(large(made), ["drawing_id", "seq"], "left")
     drawn = (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= 5)
     created = named.where((F.col("op") == "create") & drawn).select(
         "drawing_id", F.col("made").alias("line_id"), "line_type", F.coalesce("value", F.lit("none")).alias("direction"),
@@ -163,15 +164,15 @@ def replay_lines(lines: DataFrame, log: DataFrame) -> DataFrame:
     ends = None
     while True:  # each round is right for edits that hang on one more edit
         alive = kinds if ends is None else kinds.unionByName(ends["products"])
-        there = takers.join(alive, ["drawing_id", "line_id"]).where("born IS NULL OR born < seq")
+        there = takers.join(large(alive), ["drawing_id", "line_id"]).where("born IS NULL OR born < seq")
         if ends is not None:
-            there = (there.join(ends["taken"], ["drawing_id", "line_id"], "left")
+            there = (there.join(large(ends["taken"]), ["drawing_id", "line_id"], "left")
                      .where("taken IS NULL OR taken >= seq"))
         valid = (there.groupBy("drawing_id", "seq", "op", "made")
                  .agg(F.count("*").alias("n"), F.min("line_type").alias("line_type"), F.max("line_type").alias("other"))
                  .where("op = 'delete' OR (n >= 2 AND line_type = other)"))
         products = scratch.save(valid.where("op = 'combine'").selectExpr("drawing_id", "made line_id", "line_type", "seq born"))
-        doing = there.join(valid.select("drawing_id", "seq"), ["drawing_id", "seq"], "left_semi")
+        doing = there.join(large(valid.select("drawing_id", "seq")), ["drawing_id", "seq"], "left_semi")
         taken = scratch.save(doing.groupBy("drawing_id", "line_id").agg(F.min("seq").alias("taken")))
         now = {"products": products, "taken": taken}
         if ends is not None and all(now[k].exceptAll(ends[k]).isEmpty() and ends[k].exceptAll(now[k]).isEmpty() for k in now):
@@ -185,25 +186,25 @@ def _built(scratch: Scratch, first: DataFrame, takers: DataFrame, ends: dict, ed
     key = ["drawing_id", "line_id"]
     turns = scratch.save(edits.where("op = 'direction'").select(
         "drawing_id", "seq", "value", F.explode("targets").alias("line_id")))
-    members = scratch.save(takers.where("op = 'combine'").join(ends["taken"], key).where("taken = seq")
+    members = scratch.save(takers.where("op = 'combine'").join(large(ends["taken"]), key).where("taken = seq")
                            .select("drawing_id", "seq", "made", "line_id"))
 
     def turned(rows: DataFrame) -> DataFrame:
         """Each line with the last direction set while it was there."""
-        held = (turns.join(rows.select(*key, "born"), key).join(ends["taken"], key, "left")
+        held = (turns.join(large(rows.select(*key, "born")), key).join(large(ends["taken"]), key, "left")
                 .where("(born IS NULL OR born < seq) AND (taken IS NULL OR taken > seq)")
                 .groupBy(*key).agg(F.max_by("value", "seq").alias("_value")))
-        return (rows.join(held, key, "left").withColumn("direction", F.coalesce("_value", "direction")).drop("_value"))
+        return (rows.join(large(held), key, "left").withColumn("direction", F.coalesce("_value", "direction")).drop("_value"))
 
     ready = scratch.save(turned(first))
     while True:  # as many rounds as products are made of products
-        left = members.join(ready.selectExpr("drawing_id", "line_id made"), ["drawing_id", "made"], "left_anti")
-        waiting = left.join(ready.select(*key), key, "left_anti").select("drawing_id", "made")
-        next_ = scratch.save(left.join(waiting, ["drawing_id", "made"], "left_anti"))
+        left = members.join(large(ready.selectExpr("drawing_id", "line_id made")), ["drawing_id", "made"], "left_anti")
+        waiting = left.join(large(ready.select(*key)), key, "left_anti").select("drawing_id", "made")
+        next_ = scratch.save(left.join(large(waiting), ["drawing_id", "made"], "left_anti"))
         if next_.isEmpty():
             break
         chosen = next_.selectExpr("drawing_id", "made selection", "line_id")
         whole = combine(ready.drop("born"), chosen, keep_selection=True)
-        products = turned(whole.join(ends["products"].select(*key, "born"), key))
+        products = turned(whole.join(large(ends["products"].select(*key, "born")), key))
         ready = scratch.save(ready.unionByName(products.select(*ready.columns)))
-    return ready.join(ends["taken"], key, "left_anti").drop("born")
+    return ready.join(large(ends["taken"]), key, "left_anti").drop("born")

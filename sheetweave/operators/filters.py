@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheetweave.functions import geometry as g
 from sheetweave.functions import textrules
 from sheetweave.functions.geometry import box
+from sheetweave.operators.joining import large
 from sheetweave.operators.spatial import with_cells, segment_cells
 
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -64,10 +65,10 @@ def uncovered_lines(lines: DataFrame, texts: DataFrame, symbols: DataFrame, pad:
     spread = with_cells(covers, box("b_"), 128, pad).drop("low_x", "low_y")
     pieces = segment_cells(lines.select("drawing_id", "line_id", *PLACE), box(), 128, 0.0)
     # A pair may meet in several cells; for the anti join that is all the same.
-    covered = (pieces.join(spread, ["drawing_id", "cell_x", "cell_y"])
+    covered = (pieces.join(large(spread), ["drawing_id", "cell_x", "cell_y"])
                .where(g.boxes_touch(g.bounds(box()), g.grow(box("b_"), pad)))
                .where(g.cover_share(box(), g.grow(box("b_"), pad)) >= F.col("limit")))
-    return lines.join(covered.select("drawing_id", "line_id"), ["drawing_id", "line_id"], "left_anti")
+    return lines.join(large(covered.select("drawing_id", "line_id")), ["drawing_id", "line_id"], "left_anti")
 
 
 def component_segments(components: DataFrame, orientation: Column, min_length: int = 12,
@@ -127,11 +128,11 @@ def compact_blobs(components: DataFrame, runs: DataFrame, min_area: int = 1200,
     right = F.greatest(F.lit(0), F.col("x_end") - F.greatest(F.col("x_start"), F.col("x2") - band))
     zero = F.lit(0)
     key = ["drawing_id", "mask_id"]
-    edges = (runs.join(chosen.select(*key, *PLACE), key).groupBy(*key).agg(
+    edges = (runs.join(large(chosen.select(*key, *PLACE)), key).groupBy(*key).agg(
         F.greatest(F.sum(F.when(F.col("y") < F.col("y1") + band, length).otherwise(zero)),
                    F.sum(F.when(F.col("y") >= F.col("y2") - band, length).otherwise(zero)),
                    F.sum(left), F.sum(right)).alias("touch")))
-    return (chosen.join(edges, key)
+    return (chosen.join(large(edges), key)
             .where(F.col("touch") / F.greatest(F.lit(1), F.col("area")) <= max_touch))
 
 

@@ -20,6 +20,7 @@ from sheetweave.functions import textrules
 from sheetweave.operators import foldrules, graph
 from sheetweave.operators.components import connected_components
 from sheetweave.operators.filters import long_enough, without_junk
+from sheetweave.operators.joining import large
 from sheetweave.operators.tilefold import CAPACITY, fold
 from sheetweave.scratch import Scratch
 
@@ -35,7 +36,7 @@ def fold_components(items: DataFrame, labels: DataFrame, fold: Callable[[pd.Data
     Many small components share one call into Python. Labels are a written table.
     """
     spark = items.sparkSession
-    rows = items.join(labels, [c for c in labels.columns if c != "component"])
+    rows = items.join(large(labels), [c for c in labels.columns if c != "component"])
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bins = max(parts, math.ceil(labels.count() / ROWS_PER_TASK))
     drawing_type = rows.schema["drawing_id"].dataType.simpleString()
@@ -66,7 +67,7 @@ def _renamed(df: DataFrame, id_column: str) -> DataFrame:
 def dedup_lines(lines: DataFrame, distance: float = 25.0, capacity: int = CAPACITY) -> DataFrame:
     """Of lines with both ends near each other the longer one, in order of their ids."""
     kept = fold(_renamed(lines, "line_id").select(*NODE, *PLACE), foldrules.NearCopies(distance), capacity)
-    return lines.join(kept.selectExpr("drawing_id", "id line_id"), ["drawing_id", "line_id"], "left_semi")
+    return lines.join(large(kept.selectExpr("drawing_id", "id line_id")), ["drawing_id", "line_id"], "left_semi")
 
 
 def merge_segments(lines: DataFrame, min_length: float = 15.0, dedup_distance: float = 25.0,
@@ -105,7 +106,7 @@ def merge_editor_lines(lines: DataFrame, distance: float = 15.0, angle: float =
         lines.select(*columns), labels, join,
         "line_id bigint, line_type string, direction string, "
         "x1 bigint, y1 bigint, x2 bigint, y2 bigint").drop("component")
-    return lines.select(*columns).join(labels, key, "left_anti").unionByName(joined)
+    return lines.select(*columns).join(large(labels), key, "left_anti").unionByName(joined)
 
 
 def chain_lines(lines: DataFrame, max_line_distance: float = 50.0) -> DataFrame:
@@ -126,16 +127,16 @@ def chain_lines(lines: DataFrame, max_line_distance: float = 50.0) -> DataFrame:
     walked = fold_components(
         lines.select(*key, *PLACE), labels, walk,
         "chain_id bigint, member_pos bigint, line_id bigint")
-    single = (lines.select(*key).join(labels, key, "left_anti")
+    single = (lines.select(*key).join(large(labels), key, "left_anti")
               .selectExpr("drawing_id", "line_id chain_id", "0L member_pos", "line_id"))
     members = scratch.save(walked.drop("component").unionByName(single))
-    return graph.member_offsets(members.join(lines, key), ["drawing_id", "chain_id"])
+    return graph.member_offsets(members.join(large(lines), key), ["drawing_id", "chain_id"])
 
 
 def line_networks(lines: DataFrame, max_line_distance: float = 50.0) -> DataFrame:
     """Lines with their network: same-type lines tied together by near endpoints."""
     labels = connected_components(graph.endpoint_links(lines, max_line_distance * 0.5))
-    return (lines.join(labels.withColumnRenamed("node", "line_id"), ["drawing_id", "line_id"], "left")
+    return (lines.join(large(labels.withColumnRenamed("node", "line_id")), ["drawing_id", "line_id"], "left")
             .withColumn("network", F.coalesce("component", "line_id")).drop("component"))
 
 
@@ -191,7 +192,7 @@ def merge_masks(masks: DataFrame, runs: DataFrame, features: DataFrame, iou_limi
     pixels = runs.where("x_end > x_start").groupBy(*key).agg(
         F.collect_list(F.struct("y", "x_start", "x_end")).alias("runs")).select(
         *key, F.col("runs.y").alias("ys"), F.col("runs.x_start").alias("starts"), F.col("runs.x_end").alias("ends"))
-    items = (_renamed(masks.join(features, key).join(pixels, key), "mask_id")
+    items = (_renamed(masks.join(large(features), key).join(large(pixels), key), "mask_id")
              .select(*NODE, *PLACE, "area", "score", F.array("id").alias("members"), "ys", "starts", "ends"))
     merged = fold(items, foldrules.Masks(iou_limit, reach), capacity)
     return merged.withColumnRenamed("id", "mask_id").drop("ys", "starts", "ends")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sheetweave.functions import geometry as g
 from sheetweave.functions import textrules
 from sheetweave.functions.geometry import box
+from sheetweave.operators.joining import large
 from sheetweave.operators.ordering import with_position, with_successor, with_sum_before
 from sheetweave.operators.spatial import pair_join, point_cells, segment_cells, with_cells
 from sheetweave.scratch import Scratch
@@ -26,7 +27,7 @@ def override_boxes(symbols: DataFrame, detections: DataFrame) -> DataFrame:
     """Symbol boxes replaced by those of the detection with the same mask id."""
     known = detections.select("drawing_id", F.col("det_id").alias("mask_id"),
                               *(F.col(c).alias(f"d_{c}") for c in PLACE))
-    joined = symbols.join(known, ["drawing_id", "mask_id"], "left")
+    joined = symbols.join(large(known), ["drawing_id", "mask_id"], "left")
     return (joined.withColumns({c: F.coalesce(f"d_{c}", c) for c in PLACE})
             .drop(*(f"d_{c}" for c in PLACE)))
 
@@ -77,7 +78,7 @@ def _near_centers(centers: DataFrame, texts: DataFrame, reach: float) -> DataFra
     boxes = texts.select("drawing_id", *(F.col(c).alias(f"t_{c}") for c in PLACE)).distinct()
     placed = point_cells(centers, F.col("cx"), F.col("cy"), reach)
     spread = with_cells(boxes, box("t_"), reach, reach).drop("low_x", "low_y")
-    return (spread.join(placed, CELL).drop("cell_x", "cell_y")
+    return (spread.join(large(placed), CELL).drop("cell_x", "cell_y")
             .withColumn("distance", g.point_box_distance(F.col("cx"), F.col("cy"), box("t_")))
             .where(F.col("distance") <= reach))
 
@@ -95,7 +96,7 @@ def assign_texts(texts: DataFrame, symbols: DataFrame, max_distance: float = 100
     near = (_near_centers(owner, texts, max_distance)
             .groupBy("drawing_id", *named)
             .agg(F.min(F.struct("distance", "symbol_id")).alias("best")))
-    return (texts.join(near, ["drawing_id", *PLACE])
+    return (texts.join(large(near), ["drawing_id", *PLACE])
             .select(*texts.columns, "best.symbol_id", "best.distance"))
 
 
@@ -111,11 +112,11 @@ def nearest_texts(texts: DataFrame, symbols: DataFrame, max_distance: float = 10
     near = _near_centers(centers, few, max_distance).select(
         "drawing_id", "cx", "cy", "distance", *(F.col(f"t_{c}").alias(c) for c in PLACE))
     by_distance = Window.partitionBy("drawing_id", "cx", "cy").orderBy("distance", "text_id")
-    ranked = (near.join(few.select("drawing_id", *PLACE, "text_id", "text"), ["drawing_id", *PLACE])
+    ranked = (near.join(large(few.select("drawing_id", *PLACE, "text_id", "text")), ["drawing_id", *PLACE])
               .withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= top)
               .select("drawing_id", "cx", "cy", "text_id", "text", "distance", "rank"))
     centered = symbols.select("drawing_id", "symbol_id", cx.alias("cx"), cy.alias("cy"))
-    return centered.join(ranked, ["drawing_id", "cx", "cy"]).drop("cx", "cy")
+    return centered.join(large(ranked), ["drawing_id", "cx", "cy"]).drop("cx", "cy")
 
 
 def caption_pages(assigned: DataFrame, page_size: int = CAPTION_PAGE) -> DataFrame:
@@ -144,7 +145,7 @@ def caption_pages(assigned: DataFrame, page_size: int = CAPTION_PAGE) -> DataFra
 
 def build_nodes(symbols: DataFrame, assigned: DataFrame) -> DataFrame:
     """One row per symbol (and per further caption page): the nodes of the graph."""
-    joined = symbols.join(caption_pages(assigned), ["drawing_id", "symbol_id"], "left")
+    joined = symbols.join(large(caption_pages(assigned)), ["drawing_id", "symbol_id"], "left")
     optional = {name: F.lit(None).cast(kind) for name, kind in (
         ("area", "bigint"), ("confidence", "double"), ("cluster_id", "bigint"), ("mask_id", "bigint"))
         if name not in symbols.columns}
@@ -177,7 +178,7 @@ def endpoint_symbols(lines: DataFrame, symbols: DataFrame, max_distance: float)
     placed = point_cells(points, F.col("px"), F.col("py"), max_distance)
     spread = with_cells(symbols.select("drawing_id", "symbol_id", *PLACE), box(),
                         max_distance, max_distance).drop("low_x", "low_y")
-    return (placed.join(spread, CELL)
+    return (placed.join(large(spread), CELL)
             .withColumn("distance", g.point_box_distance(F.col("px"), F.col("py"), box()))
             .where(F.col("distance") <= max_distance)
             .select("drawing_id", "px", "py", "symbol_id", "distance"))
@@ -193,8 +194,8 @@ def connect_ends(lines: DataFrame, symbols: DataFrame, max_distance: float = 50.
                            F.col("best.symbol_id").alias(end),
                            F.col("best.distance").alias(f"{end}_distance"))
 
-    joined = (lines.join(at("source", "x1", "y1"), ["drawing_id", "x1", "y1"], "left")
-              .join(at("target", "x2", "y2"), ["drawing_id", "x2", "y2"], "left"))
+    joined = (lines.join(large(at("source", "x1", "y1")), ["drawing_id", "x1", "y1"], "left")
+              .join(large(at("target", "x2", "y2")), ["drawing_id", "x2", "y2"], "left"))
     has_source, has_target = F.col("source").isNotNull(), F.col("target").isNotNull()
     valid = (F.when(F.col("direction") == "none", has_source & has_target)
              .when(F.col("direction") == "forward", has_source)
@@ -222,7 +223,7 @@ def symbols_at_ends(lines: DataFrame, symbols: DataFrame, max_distance: float =
     few = hits.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= top).drop("_n")
     per_line = Window.partitionBy("drawing_id", "line_id").orderBy(
         "distance", "symbol_id", F.desc("endpoint"))
-    return (line_endpoints(lines).join(few, ["drawing_id", "px", "py"])
+    return (line_endpoints(lines).join(large(few), ["drawing_id", "px", "py"])
             .withColumn("rank", F.row_number().over(per_line)).where(F.col("rank") <= top)
             .select("drawing_id", "line_id", "symbol_id", "endpoint", "distance", "rank"))
 
@@ -258,7 +259,7 @@ def endpoint_links(lines: DataFrame, distance: float) -> DataFrame:
     at = line_endpoints(lines)
     first = (at.groupBy("drawing_id", "line_type", "px", "py")
              .agg(F.min("line_id").alias("first_line")))
-    here = at.join(first, ["drawing_id", "line_type", "px", "py"]).selectExpr(
+    here = at.join(large(first), ["drawing_id", "line_type", "px", "py"]).selectExpr(
         "drawing_id", "line_id a", "first_line b")
     across = _near_points(first, distance).selectExpr("drawing_id", "a_first_line a", "b_first_line b")
     return here.unionByName(across).where("a <> b").distinct()
@@ -292,7 +293,7 @@ def chain_hits(members: DataFrame, symbols: DataFrame, max_distance: float) -> D
                       g.point_box_distance(F.col("x2"), F.col("y2"), b))
     t = g.segment_parameter(F.col("cx"), F.col("cy"), box())
     # A pair may meet in several cells; minima do not mind.
-    pairs = (pieces.join(around, CELL)
+    pairs = (pieces.join(large(around), CELL)
              .withColumn("center_distance", to_center)
              .where(F.col("center_distance") <= reach)
              .withColumn("distance", F.least("center_distance", to_ends))
@@ -313,22 +314,22 @@ def path_positions(members: DataFrame, points: DataFrame, keys: list[str], size:
     """
     scratch = Scratch(members.sparkSession)
     offset = scratch.save(member_offsets(members, keys))
-    waiting = scratch.save(points.select(*keys, "px", "py").distinct().join(offset.select(*keys).distinct(), keys, "left_semi"))
+    waiting = scratch.save(points.select(*keys, "px", "py").distinct().join(large(offset.select(*keys).distinct()), keys, "left_semi"))
     found, cell = [], [*keys, "cell_x", "cell_y"]
     distance = g.point_segment_distance(F.col("px"), F.col("py"), box())
     pos = F.col("start") + g.segment_parameter(F.col("px"), F.col("py"), box()) * g.segment_length(box())
     while not waiting.isEmpty():  # sides grow beyond any distance
-        asked = offset.join(waiting.select(*keys).distinct(), keys, "left_semi")
+        asked = offset.join(large(waiting.select(*keys).distinct()), keys, "left_semi")
         pieces = segment_cells(asked.select(*keys, "member_pos", "start", *PLACE), box(), size, size)
-        met = (point_cells(waiting, F.col("px"), F.col("py"), size).join(pieces, cell)
+        met = (point_cells(waiting, F.col("px"), F.col("py"), size).join(large(pieces), cell)
                .withColumn("_d", distance).where(F.col("_d") <= size))
         best = F.min_by(F.struct("member_pos", pos.alias("pos")), F.struct("_d", "member_pos"))
         served = scratch.save(met.groupBy(*keys, "px", "py").agg(best.alias("best")).select(*keys, "px", "py", "best.*"))
         found.append(served)
-        waiting = scratch.save(waiting.join(served, [*keys, "px", "py"], "left_anti"))
+        waiting = scratch.save(waiting.join(large(served), [*keys, "px", "py"], "left_anti"))
         size *= 4
     if not found:
-        return offset.join(points.select(*keys, "px", "py"), keys).select(*keys, "px", "py", "member_pos", F.col("start").alias("pos"))
+        return offset.join(large(points.select(*keys, "px", "py")), keys).select(*keys, "px", "py", "member_pos", F.col("start").alias("pos"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -366,7 +367,7 @@ def link_hits(hits: DataFrame, members: DataFrame, max_distance: float) -> DataF
                            ["pos", "first_member", "symbol_id"], "k")
     steps = with_successor(placed, ["drawing_id", "chain_id"], "k", ["symbol_id", "distance"])
     joined = (steps.where("symbol_id <> next_symbol_id")
-              .join(chain_summary(members), ["drawing_id", "chain_id"]))
+              .join(large(chain_summary(members)), ["drawing_id", "chain_id"]))
     backward = F.col("direction") == "backward"
     return joined.select(
         "drawing_id", "chain_id", "k",
@@ -410,7 +411,7 @@ def metadata(nodes: DataFrame, links: DataFrame, texts: DataFrame, lines: DataFr
     joined_chains = (hits.groupBy("drawing_id", "chain_id").count().where("count >= 2")
                      .select("drawing_id", "chain_id"))
     lonely = chains.select("drawing_id", "chain_id").join(
-        joined_chains, ["drawing_id", "chain_id"], "left_anti")
+        large(joined_chains), ["drawing_id", "chain_id"], "left_anti")
     # Steps along a chain from a symbol to itself; hits are one row per chain and symbol, so two rows of one
     # symbol on a chain are such a step.
     loops = hits.groupBy("drawing_id", "chain_id", "symbol_id").count().where("count > 1")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from sheetweave.operators.joining import large
 from sheetweave.operators.masks import ROW, in_strips
 from sheetweave.operators.spatial import dealt
 from sheetweave.scratch import Scratch
@@ -117,7 +118,7 @@ def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samplin
     crossed, squares, on = dealt(crossed, scratch.save(ink_tiles(ink)), square, SHARE)
     pieces = (crossed.groupBy(*on).agg(F.collect_list(F.struct("line_id", *PLACE, "width", "height")).alias("l"))
               .select(*on, *(F.col(f"l.{c}").alias(c) for c in ("line_id", *PLACE, "width", "height"))))
-    met = pieces.join(squares, on)
+    met = pieces.join(large(squares), on)
     found = StructType([drawing, StructField("line_id", LongType()), StructField("hits", ArrayType(IntegerType()))])
 
     def look(batches):
@@ -140,7 +141,7 @@ def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samplin
                      pa.array(numbers[some, 0]), _lists(place[hit], sizes[some])], names=found.names)
 
     hits = (met.mapInArrow(look, found).groupBy(*LINE).agg(F.flatten(F.collect_list("hits")).alias("hits")))
-    return placed.join(hits, LINE, "left").select(*LINE, *PLACE, "width", "height", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
+    return placed.join(large(hits), LINE, "left").select(*LINE, *PLACE, "width", "height", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
 
 
 def _measured(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Sampling,
@@ -195,7 +196,7 @@ def solid_lines(lines: DataFrame, ink: DataFrame, pages: DataFrame, min_density:
     good = solid_stats(lines, ink, pages).where(
         (F.col("density") >= min_density) & (F.col("max_gap") <= max_gap)
         & (F.col("transitions") <= max_transitions))
-    return lines.join(good.select(*LINE), LINE, "left_semi")
+    return lines.join(large(good.select(*LINE)), LINE, "left_semi")
 
 
 def band_scores(lines: DataFrame, ink: DataFrame, pages: DataFrame, half: int = 2,
@@ -229,7 +230,7 @@ def erase(ink: DataFrame, boxes: DataFrame, pad: int = 0) -> DataFrame:
     shade = in_strips(covers).selectExpr(*ROW, "x_start c1", "x_end c2")
     run = ["drawing_id", "y", "x_start", "x_end"]
     ink = ink.select(*run).where("x_end > x_start").distinct()
-    over = (in_strips(ink).join(shade, ROW).where("c1 < x_end AND x_start < c2")
+    over = (in_strips(ink).join(large(shade), ROW).where("c1 < x_end AND x_start < c2")
             .groupBy(*run, "c1").agg(F.max("c2").alias("c2"))
             .groupBy(*run).agg(F.sort_array(F.collect_list(F.struct("c1", "c2"))).alias("covers")))
     cut = F.expr("""
@@ -241,7 +242,7 @@ def erase(ink: DataFrame, boxes: DataFrame, pad: int = 0) -> DataFrame:
           s -> IF(s.at < x_end, array_append(s.left, named_struct('a', s.at, 'b', x_end)), s.left))""")
     pieces = over.withColumn("piece", F.explode(cut)).selectExpr(
         "drawing_id", "y", "piece.a x_start", "piece.b x_end")
-    return ink.join(over.select(*run), run, "left_anti").unionByName(pieces)
+    return ink.join(large(over.select(*run)), run, "left_anti").unionByName(pieces)
 
 
 def keep_area(ink: DataFrame, pages: DataFrame, frames: DataFrame, keep_ratio: float = 0.78) -> DataFrame:
@@ -253,7 +254,7 @@ def keep_area(ink: DataFrame, pages: DataFrame, frames: DataFrame, keep_ratio: f
         "drawing_id", F.coalesce("x1", F.lit(0)).alias("f1"), F.coalesce("y1", F.lit(0)).alias("g1"),
         F.least((F.col("width") * keep_ratio).cast("bigint"), F.coalesce("x2", "width")).alias("f2"),
         F.coalesce("y2", "height").alias("g2"))
-    return (ink.join(area, "drawing_id").where("y >= g1 AND y < g2")
+    return (ink.join(large(area), "drawing_id").where("y >= g1 AND y < g2")
             .selectExpr("drawing_id", "y", "greatest(x_start, f1) x_start", "least(x_end, f2) x_end")
             .where("x_end > x_start"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from sheetweave.operators.joining import large
 from sheetweave.operators.spatial import dealt
 
 STRIP = 64
@@ -42,7 +43,7 @@ def mask_features(runs: DataFrame, keys: tuple[str, ...] = ("drawing_id", "mask_
 def features_of_all(masks: DataFrame, runs: DataFrame) -> DataFrame:
     """The same for every listed mask; an empty one has zeros."""
     zero = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("x1", "y1", "x2", "y2", "area")}
-    return masks.join(mask_features(runs), ["drawing_id", "mask_id"], "left").withColumns(zero)
+    return masks.join(large(mask_features(runs)), ["drawing_id", "mask_id"], "left").withColumns(zero)
 
 
 def in_strips(runs: DataFrame, width: int = STRIP) -> DataFrame:
@@ -60,7 +61,7 @@ def overlaps(left: DataFrame, right: DataFrame, ordered: bool = False) -> DataFr
     b = in_strips(right).select(*ROW, F.col("mask_id").alias("b"), F.col("x_start").alias("b1"),
                                 F.col("x_end").alias("b2"), F.col("low").alias("b_low"))
     a, b, on = dealt(a, b, ROW)
-    pairs = a.join(b, on).where((F.col("strip") == F.greatest("a_low", "b_low"))
+    pairs = a.join(large(b), on).where((F.col("strip") == F.greatest("a_low", "b_low"))
                                  & (F.col("a1") < F.col("b2")) & (F.col("b1") < F.col("a2")))
     if ordered:
         pairs = pairs.where("a < b")
@@ -90,12 +91,12 @@ def union_masks(runs: DataFrame, masks: DataFrame, group: str) -> tuple[DataFram
 
     Masks are (drawing_id, mask_id, score, group).
     """
-    tagged = runs.join(masks.select("drawing_id", "mask_id", group), ["drawing_id", "mask_id"])
+    tagged = runs.join(large(masks.select("drawing_id", "mask_id", group)), ["drawing_id", "mask_id"])
     merged = union_runs(tagged, group)
     scores = masks.groupBy("drawing_id", group).agg(
         F.avg("score").alias("mean_score"), F.max("score").alias("best_score"),
         F.count("*").alias("members"))
-    return merged, mask_features(merged, ("drawing_id", group)).join(scores, ["drawing_id", group])
+    return merged, mask_features(merged, ("drawing_id", group)).join(large(scores), ["drawing_id", group])
 
 
 def pixel_stats(runs: DataFrame, pixel_rows: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def pixel_stats(runs: DataFrame, pixel_rows: DataFrame) -> DataFrame:
     kinds = runs.select("drawing_id", "mask_id").schema
     over = (runs.where("x_end > x_start").groupBy("drawing_id", "y")
             .agg(F.collect_list(F.struct("mask_id", "x_start", "x_end")).alias("runs")))
-    met = over.join(pixel_rows, ["drawing_id", "y"]).select(
+    met = over.join(large(pixel_rows), ["drawing_id", "y"]).select(
         "drawing_id", F.col("runs.mask_id").alias("mask_id"), F.col("runs.x_start").alias("x_start"),
         F.col("runs.x_end").alias("x_end"), "grey")
     fields = [*kinds, *(StructField(c, LongType()) for c in _SUMS)]
@@ -154,8 +155,8 @@ def content_verdicts(masks: DataFrame, runs: DataFrame, pixel_rows: DataFrame,
     """Each mask with the first reason to drop it, null for those to keep."""
     key = ["drawing_id", "mask_id"]
     shape = mask_features(runs).withColumns({"w": F.expr("x2 - x1"), "h": F.expr("y2 - y1")})
-    joined = masks.select(*key).join(pixel_stats(runs, pixel_rows), key, "left").join(
-        shape.select(*key, "w", "h", "area"), key, "left")
+    joined = masks.select(*key).join(large(pixel_stats(runs, pixel_rows)), key, "left").join(
+        large(shape.select(*key, "w", "h", "area")), key, "left")
     elongation = F.greatest("w", "h") / F.greatest(F.least("w", "h"), F.lit(1))
     fill = F.col("area") / F.greatest(F.col("w") * F.col("h"), F.lit(1))
     reason = (F.when(F.coalesce("pixels", F.lit(0)) == 0, "empty")
@@ -177,7 +178,7 @@ def evaluate(pred: DataFrame, truth: DataFrame, batches: DataFrame) -> DataFrame
         "drawing_id", F.col("a").alias("mask_id"), "pixels")
     p = mask_features(pred).select(*key, F.col("area").alias("p"))
     t = mask_features(truth).select(*key, F.col("area").alias("t"))
-    measured = (batches.join(p, key, "left").join(t, key, "left").join(same, key, "left")
+    measured = (batches.join(large(p), key, "left").join(large(t), key, "left").join(large(same), key, "left")
                 .na.fill(0, ["p", "t", "pixels"]))
     iou = F.col("pixels") / (F.col("p") + F.col("t") - F.col("pixels") + 1e-6)
     dice = 1 - (2 * F.col("pixels") + 1) / (F.col("p") + F.col("t") + 1)

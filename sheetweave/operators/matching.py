@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
+from sheetweave.operators.joining import large
 from sheetweave.operators.spatial import pair_join, point_cells, segment_cells, with_cells
 
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -93,7 +94,7 @@ def topmost_box(points: DataFrame, boxes: DataFrame, id_column: str, size: float
     """Highest id among the boxes that hold a point, edges included."""
     spread = with_cells(boxes.select("drawing_id", F.col(id_column).alias("picked"), *PLACE), box(), size)
     placed = point_cells(points, F.col("px"), F.col("py"), size)
-    return (placed.join(spread, CELL)
+    return (placed.join(large(spread), CELL)
             .where(F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2")))
             .groupBy("drawing_id", "point_id").agg(F.max("picked").alias("picked")))
 
@@ -104,7 +105,7 @@ def topmost_mask(points: DataFrame, runs: DataFrame) -> DataFrame:
         "drawing_id", "mask_id", "y", "x_start", "x_end",
         F.explode(F.expr("sequence(floor(x_start/64), floor((x_end-1)/64))")).alias("strip"))
     placed = points.selectExpr("drawing_id", "point_id", "px", "py y", "floor(px/64) strip")
-    return (placed.join(strips, ["drawing_id", "y", "strip"])
+    return (placed.join(large(strips), ["drawing_id", "y", "strip"])
             .where("px >= x_start AND px < x_end")
             .groupBy("drawing_id", "point_id").agg(F.max("mask_id").alias("picked")))
 
@@ -118,7 +119,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, closer_than: float = 5.0,
     placed = point_cells(points, F.col("px"), F.col("py"), size)
     rank = F.when(F.col("line_type") == "solid", 0).otherwise(1)
     order = F.struct("distance", rank, "line_id")
-    return (placed.join(pieces, CELL)
+    return (placed.join(large(pieces), CELL)
             .withColumn("distance", g.point_segment_distance(F.col("px"), F.col("py"), box()))
             .where(F.col("distance") < closer_than)
             .groupBy("drawing_id", "point_id")
@@ -142,9 +143,9 @@ def reload_labels(symbols: DataFrame, saved: DataFrame) -> DataFrame:
         "category", F.coalesce("category", F.lit("unknown")))
     of_mask = known.groupBy("drawing_id", "mask_id").agg(F.max_by("cluster_id", "pos").alias("cluster_id"))
     names = known.groupBy("drawing_id", "cluster_id").agg(F.max_by("category", "pos").alias("category"))
-    return (symbols.join(of_mask, ["drawing_id", "mask_id"], "left")
+    return (symbols.join(large(of_mask), ["drawing_id", "mask_id"], "left")
             .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0).cast("bigint")))
-            .join(names, ["drawing_id", "cluster_id"], "left")
+            .join(large(names), ["drawing_id", "cluster_id"], "left")
             .withColumn("category", F.coalesce("category", F.lit("unlabeled"))))
 
 

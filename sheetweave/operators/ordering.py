@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetweave.operators.joining import large
 from sheetweave.scratch import Scratch
 
 BLOCK = 65_536
@@ -41,7 +42,7 @@ def with_successor(df: DataFrame, keys: list[str], position: str, columns: list[
     """Joins each row with the one at the next position of its group."""
     following = df.select(*keys, (F.col(position) - 1).alias(position),
                           *(F.col(c).alias(prefix + c) for c in columns))
-    return df.join(following, [*keys, position], how)
+    return df.join(large(following), [*keys, position], how)
 
 
 def with_sum_before(df: DataFrame, keys: list[str], position: str, value: str,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
+from sheetweave.operators.joining import large
 from sheetweave.operators.masks import in_strips, STRIP
 from sheetweave.operators.ordering import with_position
 
@@ -85,7 +86,7 @@ def on_masks(points: DataFrame, runs: DataFrame) -> DataFrame:
     """Points (drawing_id, px, py whole) that lie on a pixel of any mask."""
     strips = in_strips(runs).selectExpr("drawing_id", "y py", "strip", "x_start", "x_end")
     return (points.withColumn("strip", F.floor(F.col("px") / STRIP))
-            .join(strips, ["drawing_id", "py", "strip"])
+            .join(large(strips), ["drawing_id", "py", "strip"])
             .where("px >= x_start AND px < x_end").select(points.columns).distinct())
 
 
@@ -100,7 +101,7 @@ def negative_points(symbols: DataFrame, pages: DataFrame, runs: DataFrame, count
     key = ["drawing_id", "symbol_id"]
     cx, cy = g.center(box())
     size = F.greatest(g.width(box()), g.height(box()))
-    page = symbols.join(pages.select("drawing_id", "width", "height"), "drawing_id").select(
+    page = symbols.join(large(pages.select("drawing_id", "width", "height")), "drawing_id").select(
         *key, "width", "height", cx.alias("cx"), cy.alias("cy"), size.alias("size"))
     far = F.col("size") * (1.2 + 2.8 * chance(*key, "i", F.lit("d"), seed=seed))
     turn = 2 * F.pi() * chance(*key, "i", F.lit("a"), seed=seed)
@@ -109,11 +110,11 @@ def negative_points(symbols: DataFrame, pages: DataFrame, runs: DataFrame, count
              .where("x >= 0 AND x < width AND y >= 0 AND y < height")
              .select(*key, "i", F.col("x").cast("bigint").alias("px"), F.col("y").cast("bigint").alias("py")))
     spots = tried.select("drawing_id", "px", "py").distinct()
-    free = tried.join(on_masks(spots, runs), ["drawing_id", "px", "py"], "left_anti")
+    free = tried.join(large(on_masks(spots, runs)), ["drawing_id", "px", "py"], "left_anti")
     per_symbol = Window.partitionBy(*key).orderBy("i")
     first = free.withColumn("place", F.row_number().over(per_symbol) - 1).where(F.col("place") < count)
     enough = first.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= count)
-    good = first.join(enough.select(*key), key, "left_semi").select(
+    good = first.join(large(enough.select(*key)), key, "left_semi").select(
         *key, "place", F.col("px").cast("double").alias("x"), F.col("py").cast("double").alias("y"))
 
     # Shares of the page's width and height, in the order they are tried.
@@ -125,12 +126,12 @@ def negative_points(symbols: DataFrame, pages: DataFrame, runs: DataFrame, count
         "drawing_id", "i", "e.x", "e.y", F.col("e.x").cast("bigint").alias("px"), F.col("e.y").cast("bigint").alias("py"))
     taken = on_masks(rim.select("drawing_id", "px", "py"), runs)
     per_page = Window.partitionBy("drawing_id").orderBy("i")
-    spare = (rim.join(taken, ["drawing_id", "px", "py"], "left_anti")
+    spare = (rim.join(large(taken), ["drawing_id", "px", "py"], "left_anti")
              .withColumn("place", F.row_number().over(per_page) - 1).where(F.col("place") < count)
              .select("drawing_id", "place", "x", "y"))
-    lacking = (page.join(enough.select(*key), key, "left_anti").withColumn("place", _numbers(count))
+    lacking = (page.join(large(enough.select(*key)), key, "left_anti").withColumn("place", _numbers(count))
                .withColumn("place", F.col("place").cast("int")))
-    filled = lacking.join(spare, ["drawing_id", "place"], "left").select(
+    filled = lacking.join(large(spare), ["drawing_id", "place"], "left").select(
         *key, "place", F.coalesce("x", F.floor(F.col("width") / 4).cast("double")).alias("x"),
         F.coalesce("y", F.floor(F.col("height") / 4).cast("double")).alias("y"))
     return good.unionByName(filled)
@@ -140,7 +141,7 @@ def count_on_masks(points: DataFrame, runs: DataFrame) -> DataFrame:
     """Points and those of them on a mask, per drawing."""
     whole = points.select("drawing_id", F.col("x").cast("bigint").alias("px"), F.col("y").cast("bigint").alias("py"))
     hit = on_masks(whole.distinct(), runs).withColumn("hit", F.lit(True))
-    return (whole.join(hit, ["drawing_id", "px", "py"], "left").groupBy("drawing_id")
+    return (whole.join(large(hit), ["drawing_id", "px", "py"], "left").groupBy("drawing_id")
             .agg(F.count("*").alias("points"), F.count("hit").alias("on_mask")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetweave.functions.geometry import Box, Segment, bounds, point_segment_distance
+from sheetweave.operators.joining import large
 from sheetweave.scratch import Scratch
 
 KEY = ["drawing_id"]
@@ -64,7 +65,7 @@ def pair_join(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box,
         spread.append(placed.withColumn("cell_y", F.explode(F.sequence(f"{p}y1", F.greatest(f"{p}y1", f"{p}y2"))))
                       .drop(f"{p}x2", f"{p}y2"))
     a, b, on = dealt(*spread, [*keys, "_grid", "cell_x", "cell_y"], block)
-    return (a.join(b, on)
+    return (a.join(large(b), on)
             .where((F.col("_grid") == F.greatest("_al", "_bl")) & (F.col("cell_x") == F.greatest("_ax1", "_bx1"))
                    & (F.col("cell_y") == F.greatest("_ay1", "_by1")))
             .drop(*on[len(keys):], "_al", "_bl", "_ax1", "_bx1", "_ay1", "_by1"))

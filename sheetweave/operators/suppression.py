@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from sheetweave.operators.foldrules import Suppressed
+from sheetweave.operators.joining import large
 from sheetweave.operators.tilefold import CAPACITY, fold
 
 NODE = ["drawing_id", "id"]
@@ -30,5 +31,5 @@ def suppress(boxes: DataFrame, conflict: Conflict, capacity: int = CAPACITY) ->
 def absorbed_by(boxes: DataFrame, conflict: Conflict, capacity: int = CAPACITY) -> DataFrame:
     """(drawing_id, id, seed): each box with the best kept box it is in conflict with; a kept one is its own."""
     dropped = fold(boxes, Suppressed(conflict), capacity, parts=True).withColumnRenamed("owner", "seed")
-    return (boxes.select(*NODE).join(dropped, NODE, "left")
+    return (boxes.select(*NODE).join(large(dropped), NODE, "left")
             .withColumn("seed", F.coalesce("seed", "id")))

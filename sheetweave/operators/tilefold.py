@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sheetweave.operators.joining import large
 from sheetweave.scratch import Scratch
 
 CAPACITY = 16384
@@ -267,9 +268,9 @@ def with_tiles(items: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, b
               .withColumns({"_qx": F.expr("shiftright(_px, _level)"), "_qy": F.expr("shiftright(_py, _level)")}))
     cell = ["drawing_id", "_level", "_qx", "_qy"]
     fits = levels.groupBy(*cell).agg(F.sum("_n").alias("_sum")).where(F.col("_sum") <= capacity).select(*cell)
-    leaf = (levels.join(fits, cell).groupBy("drawing_id", "_px", "_py").agg(F.max("_level").alias("_level")))
+    leaf = (levels.join(large(fits), cell).groupBy("drawing_id", "_px", "_py").agg(F.max("_level").alias("_level")))
     name = F.expr("concat_ws(':', coalesce(_level, 0), shiftright(_px, coalesce(_level, 0)), shiftright(_py, coalesce(_level, 0)))")
-    return (placed.join(big, "drawing_id", "left").join(leaf, ["drawing_id", "_px", "_py"], "left")
+    return (placed.join(big, "drawing_id", "left").join(large(leaf), ["drawing_id", "_px", "_py"], "left")
             .withColumn("tile", F.when(F.col("_big"), name).otherwise(F.lit("")))
             .select(*items.columns, "tile")), True
 
@@ -336,9 +337,9 @@ def messages(out: DataFrame) -> DataFrame:
     with something of it, and joins of its groups."""
     cell = ["drawing_id", "cx", "cy"]
     of = lambda kind: out.where(F.col("kind") == kind)
-    near = (of("reach").select(*cell, "id", "tile").join(of("cell").select(*cell, F.col("tile").alias("to")), cell)
+    near = (of("reach").select(*cell, "id", "tile").join(large(of("cell").select(*cell, F.col("tile").alias("to"))), cell)
             .where("tile <> to").select("drawing_id", "id", "tile", "to").distinct())
-    times = (of("time").join(near, ["drawing_id", "id", "tile"])
+    times = (of("time").join(large(near), ["drawing_id", "id", "tile"])
              .withColumns({"other": F.col("tile"), "tile": F.col("to")}).select(*out.columns))
     joins = of("join").withColumns({"tile": F.col("other"), "other": F.col("tile")}).select(*out.columns)
     return times.unionByName(joins)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
+from sheetweave.operators.joining import large
 from sheetweave.operators.ordering import with_position, with_successor, with_sum_before
 
 RUN = ["drawing_id", "orientation"]
@@ -54,7 +55,7 @@ def sweep_collinear(segments: DataFrame, gap: int = 7, angle: float = 5.5, track
             IF(size(runs) > 0 AND t - element_at(runs, -1).base <= {track}, element_at(runs, -1).base, t))))""")
     bases = tracks.select(*RUN, "stretch", F.explode(folded).alias("b")).select(
         *RUN, "stretch", "b.track", "b.base")
-    runs = (stretches.join(bases, [*RUN, "stretch", "track"]).groupBy(*RUN, "stretch", "base")
+    runs = (stretches.join(large(bases), [*RUN, "stretch", "track"]).groupBy(*RUN, "stretch", "base")
             .agg(F.min("low").alias("low"), F.max("high").alias("high"))
             .where(F.col("high") - F.col("low") >= min_length))
     flat = F.col("orientation") == "h"

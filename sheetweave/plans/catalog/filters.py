@@ -9,6 +9,7 @@ from sheetweave.functions.geometry import box
 from sheetweave.operators import filters as f
 from sheetweave.operators import ink as ink_ops
 from sheetweave.operators import masks as m
+from sheetweave.operators.joining import large
 from sheetweave.plans.catalog.registry import query, r6
 
 TEXT = ["drawing_id", "text_id"]
@@ -278,7 +279,7 @@ def _(fx):
     runs = fx.runs
     features = m.mask_features(runs)
     blobs = f.compact_blobs(features.withColumn("has_long_line", F.expr("mask_id % 5 = 0")), runs)
-    return features.select(*MASK).join(blobs.select(*MASK), MASK, "left_anti")
+    return features.select(*MASK).join(large(blobs.select(*MASK)), MASK, "left_anti")
 
 
 PATTERNS = """

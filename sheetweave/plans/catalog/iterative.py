@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.operators import folds, masks as m, tracks
 from sheetweave.operators.foldrules import iou_above, plain_iou_from
+from sheetweave.operators.joining import large
 from sheetweave.operators.suppression import absorbed_by, suppress
 from sheetweave.plans.catalog import sweepsql as sw
 from sheetweave.plans.catalog.registry import query
@@ -59,7 +60,7 @@ FROM absorbed a JOIN dets_v d ON d.drawing_id = a.drawing_id AND d.det_id = seed
 def _(fx):
     boxes = fx.detections.withColumnRenamed("det_id", "id")
     groups = absorbed_by(boxes, plain_iou_from(0.3))
-    return (boxes.join(groups, ["drawing_id", "id"]).groupBy("drawing_id", "seed")
+    return (boxes.join(large(groups), ["drawing_id", "id"]).groupBy("drawing_id", "seed")
             .agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"),
                  F.max("y2").alias("y2"), F.max("score").alias("score")))
 

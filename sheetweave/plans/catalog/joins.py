@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
 from sheetweave.operators import graph, matching as mt, masks as m
+from sheetweave.operators.joining import large
 from sheetweave.plans.catalog.registry import query, r6
 
 LINE = ["drawing_id", "line_id"]
@@ -210,8 +211,8 @@ def _(fx):
     texts = fx.texts.selectExpr("drawing_id", "text_id", "x1-20 x1", "y1-20 y1", "x2+20 x2", "y2+20 y2")
     key = ["drawing_id", "point_id"]
     return (points.select(*key)
-            .join(mt.topmost_box(points, texts, "text_id").withColumnRenamed("picked", "picked_text"), key, "left")
-            .join(mt.topmost_mask(points, fx.runs).withColumnRenamed("picked", "picked_mask"), key, "left"))
+            .join(large(mt.topmost_box(points, texts, "text_id").withColumnRenamed("picked", "picked_text")), key, "left")
+            .join(large(mt.topmost_mask(points, fx.runs).withColumnRenamed("picked", "picked_mask")), key, "left"))
 
 
 @query("join_line_pick", """

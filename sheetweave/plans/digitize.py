@@ -11,6 +11,7 @@ from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
 from sheetweave.operators import edits, filters, folds, graph, ink
 from sheetweave.operators.foldrules import iou_above
+from sheetweave.operators.joining import large
 from sheetweave.operators.suppression import suppress
 from sheetweave.scratch import Scratch
 from sheetweave.sources import sinks
@@ -53,7 +54,7 @@ def clean_texts(found: DataFrame, pages: DataFrame, min_score: float = 0.22, iou
     items = filters.confident(found, min_score)
     boxes = items.withColumnRenamed("text_id", "id")
     kept = suppress(boxes, iou_above(iou_limit)).selectExpr("drawing_id", "id text_id")
-    valid = filters.valid_texts(items.join(kept, ["drawing_id", "text_id"], "left_semi"))
+    valid = filters.valid_texts(items.join(large(kept), ["drawing_id", "text_id"], "left_semi"))
     close = folds.merge_close_texts(valid)
     return folds.merge_text_items(filters.plausible_text_boxes(close, pages), pages)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
+from sheetweave.operators.joining import large
 
 PART_SIZE = 50_000
 KEY = ["drawing_id", "part"]
@@ -70,7 +71,7 @@ def _with_part(rows: DataFrame, order: list, part_size: int) -> DataFrame:
         "drawing_id", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("drawing_id", "_range").orderBy(*order)
     place = F.col("_before") + F.row_number().over(inside) - 1
-    return (ranged.join(before, ["drawing_id", "_range"])
+    return (ranged.join(large(before), ["drawing_id", "_range"])
             .withColumn("part", F.floor(place / part_size)).drop("_range", "_before"))
 
 
@@ -139,7 +140,7 @@ def results(detections: DataFrame, headers: DataFrame, part_size: int = PART_SIZ
     count = detections.groupBy("drawing_id").agg(F.count("*").alias("num_masks"))
     head = headers.join(count, "drawing_id").select("drawing_id", F.to_json(F.struct(
         "image_path", "num_masks", F.col("params").alias("processing_params"))).alias("head"))
-    return (_listed(detections, ["det_id"], entry, "masks", part_size).join(head, "drawing_id")
+    return (_listed(detections, ["det_id"], entry, "masks", part_size).join(large(head), "drawing_id")
             .select(*KEY, F.concat(F.expr("left(head, length(head)-1)"), F.lit(',"masks_info":'),
                                    F.col("masks"), F.lit("}")).alias("value")))
 
@@ -176,7 +177,7 @@ def classification(symbols: DataFrame, headers: DataFrame, part_size: int = PART
         "drawing_id", F.to_json(F.struct(
             "image_path", "num_symbols_detected", "num_clusters", "categories", "discarded_categories",
             "num_symbols_valid", "num_symbols_discarded")).alias("head"))
-    return (valid.join(dropped, KEY, "full").join(head, "drawing_id")
+    return (valid.join(dropped, KEY, "full").join(large(head), "drawing_id")
             .select(*KEY, F.concat(
                 F.expr("left(head, length(head)-1)"), F.lit(',"symbols":'), _list_or_empty("valid"),
                 F.lit(',"discarded_symbols":'), _list_or_empty("dropped"), F.lit("}")).alias("value")))
@@ -193,7 +194,7 @@ def prompt_points(detections: DataFrame, headers: DataFrame, part_size: int = PA
     total = detections.groupBy("drawing_id").agg(F.count("*").alias("num_detections"))
     head = headers.join(total, "drawing_id").select(
         "drawing_id", F.to_json(F.struct("image_path", "num_detections")).alias("head"))
-    return (points.join(rows, KEY).join(head, "drawing_id")
+    return (points.join(large(rows), KEY).join(large(head), "drawing_id")
             .select(*KEY, F.concat(
                 F.expr("left(head, length(head)-1)"), F.lit(',"sam2_prompts":{"points":'), F.col("points"),
                 F.lit(',"labels":'), F.to_json(F.array_repeat(F.lit(1), F.json_array_length("points"))),
