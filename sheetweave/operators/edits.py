@@ -32,7 +32,7 @@ def combine_masks(masks: DataFrame, runs: DataFrame, chosen: DataFrame) -> DataF
              .agg(F.min("mask_id").alias("lowest"), F.count("*").alias("n")).where("n >= 2"))
     picked = chosen.join(large(first), ["drawing_id", "selection"]).select(*key, "lowest")
     scored = masks.select(*key, "score").join(large(picked), key)
-    _, united = union_masks(runs.join(large(picked.select(*key)), key, "left_semi"), scored, "lowest")
+    _, united = union_masks(runs, scored, "lowest")  # meets the runs of scored masks alone
     combined = united.select("drawing_id", F.col("lowest").alias("mask_id"), F.col("mean_score").alias("score"),
                              *PLACE, "area")
     return without(masks.select(*combined.columns), picked, "mask_id").unionByName(combined)

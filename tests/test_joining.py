@@ -87,3 +87,12 @@ def test_result_documents_are_shuffled(tables):
     docs = sinks.results(t.boxes, headers)
     top = next(x for x in docs._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
     assert "SortMergeJoin" in top and docs.count() == 1
+
+
+def test_runs_of_combined_masks_are_met_once(tables):
+    t = tables
+    runs = t.make([(0, m, y, 2 + m, 8) for m in range(4) for y in range(4)], RUNS)  # mask 3 is in no selection
+    made = edits.combine_masks(t.boxes, runs, t.chosen)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+    assert {(r.mask_id, r.x1, r.y1, r.x2, r.y2, r.area) for r in made.collect()} == {(0, 2, 0, 8, 4, 24), (2, 4, 0, 12, 5, 40)}
