@@ -57,7 +57,7 @@ def scale_symbols(symbols: DataFrame, lines: DataFrame, header: DataFrame) -> Da
                   & (F.col("line_mean") > F.col("symbol_mean") * 2), F.lit(False)))
               .withColumn("factor", F.coalesce("scale", F.expr("line_mean / symbol_mean")))
               .select("drawing_id", "bbox_scaled", "factor"))
-    joined = symbols.join(factor, "drawing_id")
+    joined = symbols.join(large(factor), "drawing_id")
     return joined.withColumns({
         c: F.when(F.col("bbox_scaled"), (F.col(c) * F.col("factor")).cast("bigint")).otherwise(F.col(c))
         for c in PLACE}).drop("factor")

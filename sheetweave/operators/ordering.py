@@ -32,7 +32,7 @@ def with_position(df: DataFrame, keys: list[str], order: list[Column | str],
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     pieces = pieces.withColumnsRenamed({c: f"_k_{c}" for c in (*keys, "_part")})
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_part")))
-    joined = placed.withColumn("_part", F.shiftright("_row", 33)).join(pieces, same)
+    joined = placed.withColumn("_part", F.shiftright("_row", 33)).join(large(pieces), same)
     return (joined.drop(*(f"_k_{c}" for c in (*keys, "_part"))).withColumn(name, F.col("_before") + F.col("_row") - F.col("_low"))
             .drop("_row", "_part", "_low", "_before"))
 
@@ -56,6 +56,6 @@ def with_sum_before(df: DataFrame, keys: list[str], position: str, value: str,
                        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(
         Window.unboundedPreceding, -1)
-    return (blocked.join(sums, [*keys, "_block"])
+    return (blocked.join(large(sums), [*keys, "_block"])
             .withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
             .drop("_block", "_base"))

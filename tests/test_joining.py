@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from sheetweave.operators import edits, filters, folds, graph, ink, masks, matching, prompts, suppression
+from sheetweave.operators import edits, filters, folds, graph, ink, masks, matching, ordering, prompts, suppression
 from sheetweave.operators.foldrules import iou_above
 from sheetweave.sources import sinks
 
@@ -62,6 +62,8 @@ CASES = {
     "combine": lambda t: edits.combine_masks(t.boxes, t.runs, t.chosen),
     "absorbed": lambda t: suppression.absorbed_by(t.boxes, iou_above(0.3)),
     "directions": lambda t: edits.set_directions(t.lines, t.turns),
+    "position": lambda t: ordering.with_position(t.lines, ["drawing_id"], ["line_id"]),
+    "sum_before": lambda t: ordering.with_sum_before(t.lines, ["drawing_id"], "line_id", "x2", "start"),
     "networks": lambda t: folds.line_networks(t.lines),
 }
 
