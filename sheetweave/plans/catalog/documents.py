@@ -196,8 +196,11 @@ def _(fx):
         "area": F.expr("(x2-x1)*(y2-y1)"),
         "prompt": F.when(F.expr("det_id%2 = 0"), F.array("x1", "y1")).otherwise(F.array("x1", "y1", "x2", "y2"))})
     docs = sinks.results(rows, _headers(fx))
+    # Parsed below the explode: what stands beside a generator is evaluated for each row that it makes. The
+    # outer one, as Spark puts a filter below the other that parses once more; every part has entries.
     d = F.from_json("value", readers.DETECTIONS)
-    flat = docs.select("drawing_id", d["num_masks"].alias("num_masks"), F.explode(d["masks_info"]).alias("e"))
+    parsed = docs.select("drawing_id", d["num_masks"].alias("num_masks"), d["masks_info"].alias("entries"))
+    flat = parsed.select("drawing_id", "num_masks", F.explode_outer("entries").alias("e")).where("e IS NOT NULL")
     return flat.select(
         "drawing_id", F.col("e.id").alias("det_id"), "e.score", F.get("e.bbox", 0).cast("bigint").alias("x1"),
         F.get("e.bbox", 3).cast("bigint").alias("y2"),

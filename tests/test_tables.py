@@ -244,3 +244,12 @@ def test_stream_takes_up_new_files(spark, tmp_path):
 
     assert arrive(1, 2) == [1, 2]
     assert arrive(3) == [1, 2, 3]
+
+
+def test_a_results_document_is_parsed_once_and_not_for_each_entry(spark):
+    from sheetweave.plans.catalog import QUERIES
+
+    plan = QUERIES["sink_results_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    generate = next(n for n, line in enumerate(plan) if "Generate explode" in line)
+    assert not any("from_json" in line for line in plan[:generate])
+    assert sum(line.count("from_json(") for line in plan[generate:]) == 2  # the counter and the entries
