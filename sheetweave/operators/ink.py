@@ -21,6 +21,8 @@ LINE = ["drawing_id", "line_id"]
 PLACE = ["x1", "y1", "x2", "y2"]
 #: Side of the squares by which ink meets lines, and lines of a square that stay together.
 TILE, SHARE = 256, 8192
+#: Points that are worked on at once.
+POINTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -42,14 +44,28 @@ class Sampling:
             return np.full(len(lines), self.count)
         return np.maximum(12, np.floor(np.maximum(1, np.floor(_lengths(lines))) / self.step)).astype(np.int64)
 
-    def points(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row of the line, place among its points (samples in order, each from -half to half), x and y."""
+    def portions(self, lines: np.ndarray) -> list[tuple[int, int]]:
+        """First row and end of runs of lines that have about ``POINTS`` points, or are one line."""
+        total = np.cumsum(self.counts(lines) * self.across)
+        starts = np.flatnonzero(np.diff(total // POINTS, prepend=-1))
+        return list(zip(starts.tolist(), [*starts[1:].tolist(), len(lines)]))
+
+    def points(self, lines: np.ndarray, square: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row of the line, place among its points (samples in order, each from -half to half), x and y.
+
+        With a square, samples too far from it to have a point in it are left out.
+        """
         n = self.counts(lines)
         row = np.repeat(np.arange(len(lines)), n)
         i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         last = i == n[row] - 1
         x1, y1, x2, y2 = lines.T
         sx, sy = (np.where(last, b[row], a[row] + i * ((b - a) / (n - 1))[row]) for a, b in ((x1, x2), (y1, y2)))
+        if square is not None:
+            margin = self.half + 2
+            tx, ty = square[0] * TILE, square[1] * TILE
+            near = np.flatnonzero((sx >= tx - margin) & (sx <= tx + TILE + margin) & (sy >= ty - margin) & (sy <= ty + TILE + margin))
+            row, i, sx, sy = row[near], i[near], sx[near], sy[near]
         if not self.half:
             return row, i, np.trunc(sx).astype(np.int64), np.trunc(sy).astype(np.int64)
         if self.whole:
@@ -75,6 +91,18 @@ def _inside(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
     return (x >= 0) & (x < size[:, 0]) & (y >= 0) & (y < size[:, 1])
 
 
+def _squares(row: np.ndarray, tx: np.ndarray, ty: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different triples, in order. Neighbours on a line mostly share a square, so few are sorted."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])
+    row, tx, ty = row[new], tx[new], ty[new]
+    order = np.lexsort((ty, tx, row))
+    row, tx, ty = row[order], tx[order], ty[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])
+    return row[new], tx[new], ty[new]
+
+
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
@@ -103,14 +131,15 @@ def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samplin
 
     def spread(batches):
         for batch in batches:
-            numbers = _ints(*batch.columns[1:])
-            row, _, x, y = sampling.points(numbers[:, 1:5])
-            there = _inside(x, y, numbers[row, 5:7])
-            met = np.unique(np.stack((row, x // TILE, y // TILE), 1)[there], axis=0)
-            rows = numbers[met[:, 0]]
-            columns = [batch.column(0).take(pa.array(met[:, 0])), pa.array(met[:, 1]), pa.array(met[:, 2]),
-                       *(pa.array(rows[:, c]) for c in range(7))]
-            yield pa.RecordBatch.from_arrays(columns, names=whole.names)
+            every = _ints(*batch.columns[1:])
+            for start, end in sampling.portions(every[:, 1:5]):
+                numbers = every[start:end]
+                row, _, x, y = sampling.points(numbers[:, 1:5])
+                there = _inside(x, y, numbers[row, 5:7])
+                met, tx, ty = _squares(row[there], x[there] // TILE, y[there] // TILE)
+                rows = numbers[met]
+                columns = [batch.column(0).take(pa.array(start + met)), pa.array(tx), pa.array(ty), *(pa.array(rows[:, c]) for c in range(7))]
+                yield pa.RecordBatch.from_arrays(columns, names=whole.names)
 
     square = ["drawing_id", "tx", "ty"]
     scratch = Scratch(lines.sparkSession)
@@ -127,8 +156,9 @@ def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samplin
             for n in range(batch.num_rows):
                 part = {c: batch.column(names.index(c)).slice(n, 1) for c in names}
                 numbers = _ints(*(part[c].flatten() for c in ("line_id", *PLACE, "width", "height")))
-                row, place, x, y = sampling.points(numbers[:, 1:5])
-                tx, ty = part["tx"][0].as_py() * TILE, part["ty"][0].as_py() * TILE
+                tx, ty = part["tx"][0].as_py(), part["ty"][0].as_py()
+                row, place, x, y = sampling.points(numbers[:, 1:5], (tx, ty))
+                tx, ty = tx * TILE, ty * TILE
                 here = np.flatnonzero((x >= tx) & (x < tx + TILE) & (y >= ty) & (y < ty + TILE) & _inside(x, y, numbers[row, 5:7]))
                 ys, a, b = (part[c].flatten().to_numpy().astype(np.int64) for c in ("y", "a", "b"))
                 size = TILE * (TILE + 1)
@@ -151,21 +181,21 @@ def _measured(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samp
 
     def run(batches):
         for batch in batches:
-            numbers = _ints(*batch.columns[2:8])
-            row, _, x, y = sampling.points(numbers[:, :4])
-            inside = _inside(x, y, numbers[row, 4:6])
-            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
-            hit = np.zeros(len(row), bool)
-            sizes = batch.column(8).value_lengths().to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), sizes)
-            hit[np.append(0, ends)[owner] + batch.column(8).flatten().to_numpy()] = True
-            shape = (-1, sampling.across)
-            found = [measure(i.reshape(shape), h.reshape(shape)) for i, h in zip(np.split(inside, ends[:-1]), np.split(hit, ends[:-1]))] \
-                if batch.num_rows else []
-            columns = zip(*found) if found else ([] for _ in schema)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(list(c), to_arrow_type(t)) for c, t in zip(columns, schema.values()))],
-                names=["drawing_id", "line_id", *schema])
+            every = _ints(*batch.columns[2:8])
+            for start, end in sampling.portions(every[:, :4]):
+                numbers, part = every[start:end], batch.slice(start, end - start)
+                row, _, x, y = sampling.points(numbers[:, :4])
+                inside = _inside(x, y, numbers[row, 4:6])
+                ends = np.cumsum(np.bincount(row, minlength=len(numbers)))
+                hit = np.zeros(len(row), bool)
+                sizes = part.column(8).value_lengths().to_numpy()
+                owner = np.repeat(np.arange(len(numbers)), sizes)
+                hit[np.append(0, ends)[owner] + part.column(8).flatten().to_numpy()] = True
+                shape = (-1, sampling.across)
+                found = [measure(i.reshape(shape), h.reshape(shape)) for i, h in zip(np.split(inside, ends[:-1]), np.split(hit, ends[:-1]))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *(pa.array(list(c), to_arrow_type(t)) for c, t in zip(zip(*found), schema.values()))],
+                    names=["drawing_id", "line_id", *schema])
 
     return probed(lines, ink, pages, sampling).mapInArrow(run, StructType(fields))
 

@@ -253,3 +253,23 @@ def test_a_results_document_is_parsed_once_and_not_for_each_entry(spark):
     generate = next(n for n, line in enumerate(plan) if "Generate explode" in line)
     assert not any("from_json" in line for line in plan[:generate])
     assert sum(line.count("from_json(") for line in plan[generate:]) == 2  # the counter and the entries
+
+
+@pytest.mark.parametrize("sampling", [ink.Sampling(), ink.Sampling(half=2), ink.Sampling(None, 3, 2, whole=True)])
+def test_points_are_made_in_portions_and_near_the_square_alone(monkeypatch, sampling):
+    draw = random.Random(5)
+    lines = np.array([[draw.randrange(-300, 1500) for _ in range(4)] for _ in range(60)] + [[7, 7, 7, 7], [0, 0, 40000, 0]])
+    monkeypatch.setattr(ink, "POINTS", 4000)
+    sizes = sampling.counts(lines) * sampling.across
+    portions = sampling.portions(lines)
+    assert [n for a, b in portions for n in range(a, b)] == list(range(len(lines)))
+    assert all(b == a + 1 or sizes[a:b].sum() < 4000 + sizes[a:b].max() for a, b in portions)
+    assert sampling.portions(lines[:0]) == []
+    every = list(zip(*(c.tolist() for c in sampling.points(lines))))
+    squares = {(r, x // ink.TILE, y // ink.TILE) for r, _, x, y in every}
+    row, _, x, y = sampling.points(lines)
+    assert list(zip(*(c.tolist() for c in ink._squares(row, x // ink.TILE, y // ink.TILE)))) == sorted(squares)
+    for tx, ty in {s[1:] for s in squares}:
+        there = lambda p: p[2] // ink.TILE == tx and p[3] // ink.TILE == ty
+        near = list(zip(*(c.tolist() for c in sampling.points(lines, (tx, ty)))))
+        assert list(filter(there, near)) == list(filter(there, every)) and len(near) < len(every)
