@@ -16,6 +16,8 @@ from sheetweave.operators.spatial import dealt
 
 STRIP = 64
 ROW = ["drawing_id", "y", "strip"]
+#: Runs that a task sorts at once.
+SHARE = 1_000_000
 
 
 def rectangle_runs(boxes: DataFrame, id_column: str) -> DataFrame:
@@ -89,10 +91,14 @@ def union_runs(runs: DataFrame, group: str) -> DataFrame:
 def union_masks(runs: DataFrame, masks: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     """Union per group: its runs, and its box, area, mean and best score.
 
-    Masks are (drawing_id, mask_id, score, group).
+    Masks are (drawing_id, mask_id, score, group). The tasks that sort runs grow in number with them, so
+    that none sorts more than about ``SHARE`` (or the runs of one mask, or of one row of pixels of a group).
+    The rows of a group are dealt out once, for all steps of the union.
     """
-    tagged = runs.join(large(masks.select("drawing_id", "mask_id", group)), ["drawing_id", "mask_id"])
-    merged = union_runs(tagged, group)
+    tasks = max(1, -(-runs.count() // SHARE))
+    tagged = (runs.repartition(tasks, "drawing_id", "mask_id")
+              .join(large(masks.select("drawing_id", "mask_id", group)), ["drawing_id", "mask_id"]))
+    merged = union_runs(tagged.repartition(tasks, "drawing_id", group, "y"), group)
     scores = masks.groupBy("drawing_id", group).agg(
         F.avg("score").alias("mean_score"), F.max("score").alias("best_score"),
         F.count("*").alias("members"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheetweave.operators import graph, clusters, editlog, ink, prompts
+from sheetweave.operators import graph, clusters, editlog, ink, masks, prompts
 from sheetweave.sources import readers, sinks
 from sheetweave.streaming import ingest
 
@@ -273,3 +273,17 @@ def test_points_are_made_in_portions_and_near_the_square_alone(monkeypatch, samp
         there = lambda p: p[2] // ink.TILE == tx and p[3] // ink.TILE == ty
         near = list(zip(*(c.tolist() for c in sampling.points(lines, (tx, ty)))))
         assert list(filter(there, near)) == list(filter(there, every)) and len(near) < len(every)
+
+
+def test_tasks_of_a_union_grow_with_the_runs(spark, monkeypatch):
+    rows = [(d, m, y, 3 * m, 3 * m + 5) for d in range(4) for m in range(6) for y in range(50)]
+    runs = spark.createDataFrame(rows, "drawing_id long, mask_id long, y long, x_start long, x_end long")
+    listed = spark.createDataFrame([(d, m, 0.5, m // 3) for d in range(4) for m in range(6)],
+                                   "drawing_id long, mask_id long, score double, group_id long")
+    monkeypatch.setattr(masks, "SHARE", 100)
+    merged, features = masks.union_masks(runs, listed, "group_id")
+    assert merged.rdd.getNumPartitions() == 12  # 1,200 runs, which no later step gathers again
+    assert {tuple(r) for r in features.collect()} == {
+        (d, g, 9 * g, 0, 9 * g + 11, 50, 550, 0.5, 0.5, 3) for d in range(4) for g in range(2)}
+    none = masks.union_masks(runs.where("false"), listed, "group_id")[1]
+    assert none.count() == 0
