@@ -123,7 +123,7 @@ def surviving_edits(log: DataFrame, depth: int = UNDO_DEPTH, block: int = BLOCK)
     after = placed.groupBy(*of_block).applyInPandas(summary, f"{schema}, after array<int>")
     starts = scratch.save(after.groupBy("drawing_id").applyInPandas(begin, f"{schema}, done int, undone int"))
     same = placed["drawing_id"].eqNullSafe(starts["drawing_id"]) & (placed["_block"] == starts["_block"])
-    known = placed.join(starts, same).select(placed["*"], "done", "undone")
+    known = placed.join(large(starts), same).select(placed["*"], "done", "undone")
     gone = scratch.save(known.groupBy(*of_block).applyInPandas(go, f"{schema}, state string, place int, kind int, seq {seq}"))
     # Own edits out of reach need nothing more; the others of a block are 2 depth at most.
     own = gone.where("state = 'fixed' AND kind = 2").select("drawing_id", "seq")
@@ -149,7 +149,7 @@ def replay_lines(lines: DataFrame, log: DataFrame) -> DataFrame:
     edits = scratch.save(surviving_edits(log))
     last = lines.groupBy("drawing_id").agg(F.max("line_id").alias("_last"))
     makers = with_position(edits.where("op IN ('combine', 'create')").select("drawing_id", "seq"), ["drawing_id"], ["seq"], "_n")
-    made = scratch.save(makers.join(last, "drawing_id", "left")
+    made = scratch.save(makers.join(large(last), "drawing_id", "left")
                         .selectExpr("drawing_id", "seq", "coalesce(_last, -1) + 1 + _n made"))
     named = edits.join(large(made), ["drawing_id", "seq"], "left")
     drawn = (F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= 5)

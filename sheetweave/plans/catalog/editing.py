@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sheetweave.functions import geometry as g
 from sheetweave.functions.geometry import box
 from sheetweave.operators import editlog, edits as ed
+from sheetweave.operators.joining import large
 from sheetweave.plans.catalog.registry import query, r6
 
 PLACE = ["x1", "y1", "x2", "y2"]
@@ -196,7 +197,7 @@ SELECT drawing_id, l.id line_id, l.t line_type, l.d direction, l.x1 x1, l.y1 y1,
 FROM (SELECT drawing_id, unnest(ls) l FROM replay)""")
 def _(fx):
     log = fx.spark.sql(MIXED.format(edits="{e}", targets="array(target_a*2, target_b, target_a)"), e=fx.edits)
-    drawn = log.withColumnRenamed("val", "value").join(fx.lines.select("drawing_id").distinct(), "drawing_id", "left_semi")
+    drawn = log.withColumnRenamed("val", "value").join(large(fx.lines.select("drawing_id").distinct()), "drawing_id", "left_semi")
     return editlog.replay_lines(fx.lines, drawn)
 
 

@@ -4,8 +4,9 @@ import uuid
 
 import pytest
 
-from sheetweave.operators import edits, filters, folds, graph, ink, masks, matching, ordering, prompts, suppression
+from sheetweave.operators import editlog, edits, filters, folds, graph, ink, masks, matching, ordering, prompts, suppression
 from sheetweave.operators.foldrules import iou_above
+from sheetweave.scratch import Scratch
 from sheetweave.sources import sinks
 
 PAGES = "drawing_id long, width long, height long"
@@ -98,3 +99,20 @@ def test_runs_of_combined_masks_are_met_once(tables):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan
     assert {(r.mask_id, r.x1, r.y1, r.x2, r.y2, r.area) for r in made.collect()} == {(0, 2, 0, 8, 4, 24), (2, 4, 0, 12, 5, 40)}
+
+
+def test_joins_of_a_replayed_log_are_shuffled(tables, monkeypatch):
+    plans, save = [], Scratch.save
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    place = "x1 long, y1 long, x2 long, y2 long"
+    lines = tables.make([(0, k, "solid", "none", 0, 9 * k, 30, 9 * k) for k in range(4)],
+                        f"drawing_id long, line_id long, line_type string, direction string, {place}")
+    log = tables.make([(0, 1, "delete", [3], *[None] * 6), (0, 2, "combine", [0, 1], *[None] * 6)],
+                      f"drawing_id long, seq long, op string, targets array<long>, value string, line_type string, {place}")
+    assert {r.line_id for r in editlog.replay_lines(lines, log).collect()} == {2, 4}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
