@@ -524,7 +524,8 @@ def _(fx):
     directions = fx.lines.where("line_id % 4 IN (1, 2)").selectExpr(
         "drawing_id", "line_id", "0 seq", "IF(line_id % 4 = 1, 'forward', 'backward') value")
     whole = digitize.digitize(found, fx.lines, fx.ink, symbols, header, pages, fx.drawings, caps, frames, components, directions)
-    full, compact = digitize.documents(whole)
+    scratch = Scratch(fx.spark)
+    full, compact = map(scratch.save, digitize.documents(whole))  # each is read for several kinds of entries
     kind = """nodes ARRAY<STRUCT<id: BIGINT, category: STRING, bbox: ARRAY<BIGINT>, captions: ARRAY<STRING>>>,
         links ARRAY<STRUCT<id: BIGINT, source: BIGINT, target: BIGINT, type: STRING, direction: STRING, `from`: BIGINT, `to`: BIGINT>>,
         metadata STRUCT<total_symbols: BIGINT, total_connections: BIGINT, full_connections: BIGINT, total_text_detections: BIGINT,

@@ -79,24 +79,28 @@ def clean_lines(segments: DataFrame, ink_runs: DataFrame, pages: DataFrame, text
     Segments, ink, pages, frames (contours, see ink.choose_frame) and symbols (components, see
     filters.symbol_contours) are in the pixels of the image that was searched; caps are (drawing_id,
     cap_scale, scale): that image is the page times both. Texts and the lines that come back are on the page. With
-    frames the notes block and all outside of the frame go, then the texts, then the symbols.
+    frames the notes block and all outside of the frame go, then the texts, then the symbols. What an
+    erasure leaves is written: the next step reads it twice, and the plan would double with each.
     """
+    scratch = Scratch(segments.sparkSession)
     factor = F.lit(1.0)
     if caps is not None:
         pages = pages.join(caps, "drawing_id")
         factor = F.col("cap_scale") * F.col("scale")
     if frames is not None:
-        ink_runs = ink.keep_area(ink_runs, pages, ink.choose_frame(frames, pages.select("drawing_id", "width", "height")))
+        framed = ink.choose_frame(frames, pages.select("drawing_id", "width", "height"))
+        ink_runs = ink.keep_area(ink_runs, pages, framed)
     if texts is not None:
         sized = texts.join(pages, "drawing_id")
         place = lambda c, by, size: F.greatest(F.lit(0), F.least(
             F.bround((F.col(c) + by) * factor).cast("bigint"), F.col(size) - 1)).alias(c)
-        ink_runs = ink.erase(ink_runs, sized.select(
+        ink_runs = scratch.save(ink.erase(ink_runs, sized.select(
             "drawing_id", place("x1", -text_pad, "width"), place("y1", -text_pad, "height"),
-            place("x2", text_pad, "width"), place("y2", text_pad, "height")))
+            place("x2", text_pad, "width"), place("y2", text_pad, "height"))))
     if symbols is not None:
         areas = filters.symbol_contours(symbols).selectExpr("drawing_id", "x1", "y1", "x2 - 1 x2", "y2 - 1 y2")
-        ink_runs = ink.erase(ink_runs, areas)
+        before, ink_runs = ink_runs, scratch.save(ink.erase(ink_runs, areas))
+        scratch.forget(before)
     solid = ink.solid_lines(segments, ink_runs, pages)
     if caps is not None:
         on_page = g.unscale(box(), 1 / F.col("scale"), 1 / F.col("cap_scale"))

@@ -6,6 +6,7 @@ import pytest
 
 from sheetweave.operators import editlog, edits, filters, folds, graph, ink, masks, matching, ordering, prompts, suppression
 from sheetweave.operators.foldrules import iou_above
+from sheetweave.plans import digitize
 from sheetweave.scratch import Scratch
 from sheetweave.sources import sinks
 
@@ -116,3 +117,19 @@ def test_joins_of_a_replayed_log_are_shuffled(tables, monkeypatch):
                       f"drawing_id long, seq long, op string, targets array<long>, value string, line_type string, {place}")
     assert {r.line_id for r in editlog.replay_lines(lines, log).collect()} == {2, 4}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_erased_ink_is_read_by_the_next_step_not_made_again(tables, monkeypatch):
+    plans, save = [], Scratch.save
+
+    def noted(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    t = tables
+    symbols = t.make([(0, 25, 0, 30, 25)], "drawing_id long, x long, y long, w long, h long")
+    lines = digitize.clean_lines(t.lines, t.ink, t.pages, t.boxes, 0, symbols=symbols)
+    # Erased ink is the runs that meet no box and the pieces of others: three joins, nine more if made three times.
+    assert max(p.count("SortMergeJoin") for p in plans) == 3
+    assert lines.columns == ["drawing_id", "line_id", "x1", "y1", "x2", "y2"] and lines.count() == 0
