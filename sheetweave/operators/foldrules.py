@@ -275,20 +275,32 @@ class CloseTexts(Rule):
 
 def _bitmap(box, ys, starts, ends) -> np.ndarray:
     pixels = np.zeros((box[3] - box[1], box[2] - box[0]), dtype=bool)
-    for y, s, e in zip(ys, starts, ends):
-        pixels[y - box[1], s - box[0]:e - box[0]] = True
+    for y, s, e in zip((ys - box[1]).tolist(), (starts - box[0]).tolist(), (ends - box[0]).tolist()):
+        pixels[y, s:e] = True
     return pixels
 
 
 def same_symbol(box, area, kept: np.ndarray, areas: np.ndarray, shared: np.ndarray,
                 iou_limit: float, reach: float) -> np.ndarray:
-    """Flags of the kept masks that belong to the same symbol as the given one."""
-    k = kept.T.astype(float)
-    x1, y1, x2, y2 = (float(v) for v in box)
+    """Flags of the kept masks that belong to the same symbol as the given one.
+
+    Each is put to the test that its overlap calls for, and to no other.
+    """
     union = area + areas - shared
     iou = np.where(union > 0, shared / np.maximum(union, 1), 0.0)
-    dx = np.maximum.reduce([np.zeros(len(kept)), k[0] - x2, x1 - k[2]])
-    dy = np.maximum.reduce([np.zeros(len(kept)), k[1] - y2, y1 - k[3]])
+    found, apart = iou > iou_limit, (shared == 0) | (iou < 0.1)
+    for rows, test in ((~found & apart, _neighbours), (~found & ~apart, _inside_reach)):
+        some = np.flatnonzero(rows)
+        if len(some):
+            found[some] = test([float(v) for v in box], area, kept[some].T.astype(float), areas[some], reach)
+    return found
+
+
+def _neighbours(box, area, k: np.ndarray, areas: np.ndarray, reach: float) -> np.ndarray:
+    """Masks close by, in a row or column, and of like size and shape."""
+    x1, y1, x2, y2 = box
+    dx = np.maximum.reduce([np.zeros(len(areas)), k[0] - x2, x1 - k[2]])
+    dy = np.maximum.reduce([np.zeros(len(areas)), k[1] - y2, y1 - k[3]])
     gap = np.hypot(dx, dy)
     size = np.maximum(area, areas) / np.maximum(np.minimum(area, areas), 1)
     w, h, kw, kh = x2 - x1, y2 - y1, k[2] - k[0], k[3] - k[1]
@@ -301,15 +313,18 @@ def same_symbol(box, area, kept: np.ndarray, areas: np.ndarray, shared: np.ndarr
     score = np.where((dx == 0) | (dy == 0), np.minimum(score * 1.2, 1.0), score * 0.8)
     hull = ((np.maximum(x2, k[2]) - np.minimum(x1, k[0])) * (np.maximum(y2, k[3]) - np.minimum(y1, k[1])))
     filled = (area + areas) / np.maximum(hull, 1)
-    near = (gap <= reach) & (
+    return (gap <= reach) & (
         ((score > 0.5) & (size < 5) & (stretch < 4) & (filled > 0.2))
         | ((gap < reach * 0.6) & (score > 0.4) & (size < 6) & (filled > 0.15))
         | ((score > 0.7) & (gap < reach * 0.8) & (size < 8)))
+
+
+def _inside_reach(box, area, k: np.ndarray, areas: np.ndarray, reach: float) -> np.ndarray:
+    """Masks that hold most of the box when grown by the reach."""
+    x1, y1, x2, y2 = box
     iw = np.minimum(x2, k[2] + reach) - np.maximum(x1, k[0] - reach)
     ih = np.minimum(y2, k[3] + reach) - np.maximum(y1, k[1] - reach)
-    inside = np.maximum(iw, 0) * np.maximum(ih, 0) / max(w * h, 1) > 0.6
-    apart = (shared == 0) | (iou < 0.1)
-    return (iou > iou_limit) | (apart & near & (iou <= iou_limit)) | (~apart & (iou <= iou_limit) & inside)
+    return np.maximum(iw, 0) * np.maximum(ih, 0) / max((x2 - x1) * (y2 - y1), 1) > 0.6
 
 
 class Masks(Rule):

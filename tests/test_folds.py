@@ -238,3 +238,24 @@ def test_components_in_rounds(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {(1, i): 0 for i in order} | {(2, i): 5 for i in range(5, 90)} | {(3, 8): 8, (3, 9): 8}
     assert have == want
+
+
+def test_masks_are_put_to_the_test_of_their_overlap_alone(monkeypatch):
+    import numpy as np
+
+    from sheetweave.operators import foldrules
+
+    def belongs(box, area, kept, areas, shared):
+        return foldrules.same_symbol(box, area, np.array(kept), np.array(areas), np.array(shared), 0.8, 20).tolist()
+
+    box, area = [0, 0, 10, 10], 100
+    kept = [[0, 0, 10, 10], [4, 0, 14, 10], [12, 0, 22, 10], [300, 300, 310, 310]]  # the same, over, beside, far off
+    areas, shared = [100, 100, 100, 100], [100, 60, 0, 0]
+    expected = [True, True, True, False]
+    assert belongs(box, area, kept, areas, shared) == expected
+    assert [belongs(box, area, [k], [a], [s])[0] for k, a, s in zip(kept, areas, shared)] == expected
+    seen, plain = [], foldrules._neighbours
+    monkeypatch.setattr(foldrules, "_neighbours", lambda *a: seen.append(len(a[3])) or plain(*a))
+    belongs(box, area, kept, areas, shared)
+    belongs(box, area, kept[:2], areas[:2], shared[:2])
+    assert seen == [2]  # of masks without overlap only
