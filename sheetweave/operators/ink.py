@@ -14,13 +14,13 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from sheetweave.operators.joining import large
 from sheetweave.operators.masks import ROW, in_strips
-from sheetweave.operators.spatial import dealt
 from sheetweave.scratch import Scratch
 
 LINE = ["drawing_id", "line_id"]
 PLACE = ["x1", "y1", "x2", "y2"]
-#: Side of the squares by which ink meets lines, and lines of a square that stay together.
-TILE, SHARE = 256, 8192
+#: Side of the squares by which ink meets lines, lines of a square that stay together, and what a place from 0 to the side is packed by.
+TILE, SHARE, WIDE = 256, 8192, 512
+SQUARE = np.array([[TILE, TILE]])
 #: Points that are worked on at once.
 POINTS = 1 << 20
 
@@ -50,20 +50,21 @@ class Sampling:
         starts = np.flatnonzero(np.diff(total // POINTS, prepend=-1))
         return list(zip(starts.tolist(), [*starts[1:].tolist(), len(lines)]))
 
-    def points(self, lines: np.ndarray, square: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def points(self, lines: np.ndarray, square: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row of the line, place among its points (samples in order, each from -half to half), x and y.
 
-        With a square, samples too far from it to have a point in it are left out.
+        With a square (or one for each line), samples too far from it to have a point in it are left out.
         """
         n = self.counts(lines)
+        ends = np.cumsum(n)
         row = np.repeat(np.arange(len(lines)), n)
-        i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        last = i == n[row] - 1
+        i = np.arange(len(row)) - np.repeat(ends - n, n)
         x1, y1, x2, y2 = lines.T
-        sx, sy = (np.where(last, b[row], a[row] + i * ((b - a) / (n - 1))[row]) for a, b in ((x1, x2), (y1, y2)))
+        sx, sy = (np.repeat(a, n) + i * np.repeat((b - a) / (n - 1), n) for a, b in ((x1, x2), (y1, y2)))
+        sx[ends - 1], sy[ends - 1] = x2, y2
         if square is not None:
             margin = self.half + 2
-            tx, ty = square[0] * TILE, square[1] * TILE
+            tx, ty = (np.repeat(np.broadcast_to(np.asarray(t) * TILE, len(lines)), n) for t in square)
             near = np.flatnonzero((sx >= tx - margin) & (sx <= tx + TILE + margin) & (sy >= ty - margin) & (sy <= ty + TILE + margin))
             row, i, sx, sy = row[near], i[near], sx[near], sy[near]
         if not self.half:
@@ -107,23 +108,43 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
-def ink_tiles(ink: DataFrame) -> DataFrame:
-    """(drawing_id, tx, ty, runs): the runs of each square of ``TILE`` pixels, cut at its edges."""
+def cut_ink(ink: DataFrame) -> DataFrame:
+    """(drawing_id, tx, ty, run): runs cut at the edges of the squares of ``TILE`` pixels; row, start and end in one number."""
     low, high = F.floor(F.col("x_start") / TILE), F.floor((F.col("x_end") - 1) / TILE)
-    cut = ink.where("x_end > x_start").withColumn("tx", F.explode(F.sequence(low, high)))
-    run = F.struct((F.pmod("y", F.lit(TILE))).cast("int").alias("y"),
-                   F.greatest(F.col("x_start") - F.col("tx") * TILE, F.lit(0)).cast("int").alias("a"),
-                   F.least(F.col("x_end") - F.col("tx") * TILE, F.lit(TILE)).cast("int").alias("b"))
-    # A square has so many different runs at most.
-    return (cut.groupBy("drawing_id", "tx", F.floor(F.col("y") / TILE).alias("ty"))
-            .agg(F.collect_list(run).alias("runs")).select("drawing_id", "tx", "ty", "runs.y", "runs.a", "runs.b"))
+    cut = ink.where("x_end > x_start AND drawing_id IS NOT NULL").withColumn("tx", F.explode(F.sequence(low, high)))
+    left = F.col("tx") * TILE
+    run = (F.pmod("y", F.lit(TILE)) * WIDE * WIDE + F.greatest(F.col("x_start") - left, F.lit(0)) * WIDE
+           + F.least(F.col("x_end") - left, F.lit(TILE)))
+    return cut.select("drawing_id", "tx", F.floor(F.col("y") / TILE).alias("ty"), run.cast("int").alias("run"))
+
+
+def _covered(runs: np.ndarray, square: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether runs of numbered squares cover places (square, row, column in one number)."""
+    start = square * (TILE * TILE) + runs // (WIDE * WIDE) * TILE
+    ends = np.sort(start + runs % WIDE)
+    start = np.sort(start + runs // WIDE % WIDE)
+    return np.searchsorted(start, at, "right") > np.searchsorted(ends, at, "right")
+
+
+def _shared(crossed: DataFrame, cut: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Adds ``block`` to both: lines of a square that more than ``SHARE`` cross are dealt into blocks, each with all its ink."""
+    square = ["drawing_id", "tx", "ty"]
+    none = F.lit(0).cast("bigint")
+    crowded = (crossed.groupBy(*square).agg(F.count("*").alias("n")).where(F.col("n") > SHARE)
+               .select(*square, F.ceil(F.col("n") / SHARE).alias("n")))
+    crowded = scratch.save(crowded)
+    if crowded.isEmpty():
+        return crossed.withColumn("block", none), cut.withColumn("block", none)
+    n = F.coalesce("n", F.lit(1).cast("bigint"))
+    return (crossed.join(crowded, square, "left").withColumn("block", F.pmod(F.xxhash64("line_id"), n)).drop("n"),
+            cut.join(crowded, square, "left").withColumn("block", F.explode(F.sequence(none, n - 1))).drop("n"))
 
 
 def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Sampling) -> DataFrame:
     """Lines on a page, (drawing_id, line_id, x1 .. y2, width, height, hits), with the places of the points on ink.
 
-    A line meets the few squares that its points lie in, not a row of ink per point. A square is
-    made into a bitmap once for all its lines.
+    A line meets the few squares that its points lie in, not a row of ink per point. Ink and lines are
+    sorted by square, and the squares of a batch are looked at together; ink of its last one is kept for the next batch.
     """
     placed = lines.select(*LINE, *PLACE).join(pages.select("drawing_id", "width", "height"), "drawing_id")
     drawing = lines.select("drawing_id").schema["drawing_id"]
@@ -141,42 +162,54 @@ def probed(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samplin
                 columns = [batch.column(0).take(pa.array(start + met)), pa.array(tx), pa.array(ty), *(pa.array(rows[:, c]) for c in range(7))]
                 yield pa.RecordBatch.from_arrays(columns, names=whole.names)
 
-    square = ["drawing_id", "tx", "ty"]
     scratch = Scratch(lines.sparkSession)
     crossed = scratch.save(placed.select("drawing_id", "line_id", *PLACE, "width", "height").mapInArrow(spread, whole))
-    crossed, squares, on = dealt(crossed, scratch.save(ink_tiles(ink)), square, SHARE)
-    pieces = (crossed.groupBy(*on).agg(F.collect_list(F.struct("line_id", *PLACE, "width", "height")).alias("l"))
-              .select(*on, *(F.col(f"l.{c}").alias(c) for c in ("line_id", *PLACE, "width", "height"))))
-    met = pieces.join(large(squares), on)
+    crossed, cut = _shared(crossed, cut_ink(ink), scratch)
+    square = ["drawing_id", "tx", "ty", "block"]
+    numbers = F.array("line_id", *PLACE, "width", "height")
+    rows = (cut.withColumn("piece", F.lit(None).cast("array<bigint>"))
+            .unionByName(crossed.select(*square, F.lit(None).cast("int").alias("run"), numbers.alias("piece"))))
+    met = rows.repartition(*square).sortWithinPartitions(*square, F.col("run").isNull())
     found = StructType([drawing, StructField("line_id", LongType()), StructField("hits", ArrayType(IntegerType()))])
 
     def look(batches):
+        last, kept = None, np.zeros(0, np.int64)
         for batch in batches:
-            names = batch.schema.names
-            for n in range(batch.num_rows):
-                part = {c: batch.column(names.index(c)).slice(n, 1) for c in names}
-                numbers = _ints(*(part[c].flatten() for c in ("line_id", *PLACE, "width", "height")))
-                tx, ty = part["tx"][0].as_py(), part["ty"][0].as_py()
-                row, place, x, y = sampling.points(numbers[:, 1:5], (tx, ty))
-                tx, ty = tx * TILE, ty * TILE
-                here = np.flatnonzero((x >= tx) & (x < tx + TILE) & (y >= ty) & (y < ty + TILE) & _inside(x, y, numbers[row, 5:7]))
-                ys, a, b = (part[c].flatten().to_numpy().astype(np.int64) for c in ("y", "a", "b"))
-                size = TILE * (TILE + 1)
-                edges = (np.bincount(ys * (TILE + 1) + a, minlength=size) - np.bincount(ys * (TILE + 1) + b, minlength=size))
-                hit = here[np.cumsum(edges)[(y[here] - ty) * (TILE + 1) + x[here] - tx] > 0]  # a row ends with none open
-                sizes = np.bincount(row[hit], minlength=len(numbers))
+            if not batch.num_rows:
+                continue
+            part = dict(zip(batch.schema.names, batch.columns))
+            keys = np.stack([part["drawing_id"].dictionary_encode().indices.to_numpy(),
+                             *(part[c].to_numpy() for c in ("tx", "ty", "block"))])
+            number = np.append(0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            place = lambda n: tuple(part[c][n].as_py() for c in square)
+            if place(0) != last:
+                kept = kept[:0]
+            line = part["run"].is_null().to_numpy(zero_copy_only=False)
+            runs = np.append(kept, part["run"].drop_null().to_numpy().astype(np.int64))
+            owner = np.append(np.zeros(len(kept), np.int64), number[~line])
+            kept, last = np.unique(runs[owner == number[-1]]), place(batch.num_rows - 1)
+            at = np.flatnonzero(line)
+            every = part["piece"].flatten().to_numpy().reshape(-1, 7)
+            for start, end in sampling.portions(every[:, 1:5]):
+                lines, own = every[start:end], at[start:end]
+                tx, ty = keys[1][own], keys[2][own]
+                row, spot, x, y = sampling.points(lines[:, 1:5], (tx, ty))
+                inner_x, inner_y = x - (tx * TILE)[row], y - (ty * TILE)[row]
+                here = np.flatnonzero(_inside(inner_x, inner_y, SQUARE) & _inside(x, y, lines[row, 5:7]))
+                wanted = number[own][row[here]] * (TILE * TILE) + inner_y[here] * TILE + inner_x[here]
+                hit = here[_covered(runs, owner, wanted)]
+                sizes = np.bincount(row[hit], minlength=len(lines))
                 some = np.flatnonzero(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part["drawing_id"][0].as_py()] * len(some), batch.column(0).type),
-                     pa.array(numbers[some, 0]), _lists(place[hit], sizes[some])], names=found.names)
+                yield pa.RecordBatch.from_arrays([part["drawing_id"].take(pa.array(own[some])), pa.array(lines[some, 0]),
+                                                  _lists(spot[hit], sizes[some])], names=found.names)
 
     hits = (met.mapInArrow(look, found).groupBy(*LINE).agg(F.flatten(F.collect_list("hits")).alias("hits")))
     return placed.join(large(hits), LINE, "left").select(*LINE, *PLACE, "width", "height", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"))
 
 
 def _measured(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Sampling,
-              measure: Callable[[np.ndarray, np.ndarray], tuple], schema: dict) -> DataFrame:
-    """Values of ``measure`` for each line, from (samples, across) flags on the page and on ink."""
+              measure: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple], schema: dict) -> DataFrame:
+    """Values of ``measure`` for many lines at once, from (samples, across) flags on the page and on ink and the line of each sample."""
     fields = [lines.schema["drawing_id"], lines.schema["line_id"], *(StructField(c, t) for c, t in schema.items())]
 
     def run(batches):
@@ -192,16 +225,27 @@ def _measured(lines: DataFrame, ink: DataFrame, pages: DataFrame, sampling: Samp
                 owner = np.repeat(np.arange(len(numbers)), sizes)
                 hit[np.append(0, ends)[owner] + part.column(8).flatten().to_numpy()] = True
                 shape = (-1, sampling.across)
-                found = [measure(i.reshape(shape), h.reshape(shape)) for i, h in zip(np.split(inside, ends[:-1]), np.split(hit, ends[:-1]))]
+                found = measure(inside.reshape(shape), hit.reshape(shape), row[::sampling.across])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(list(c), to_arrow_type(t)) for c, t in zip(zip(*found), schema.values()))],
+                    [part.column(0), part.column(1), *(pa.array(c, to_arrow_type(t)) for c, t in zip(found, schema.values()))],
                     names=["drawing_id", "line_id", *schema])
 
     return probed(lines, ink, pages, sampling).mapInArrow(run, StructType(fields))
 
 
-def _flips(flags: np.ndarray) -> int:
-    return int(np.count_nonzero(flags[1:] != flags[:-1]))
+def _flips(flags: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
+    """Changes from one flag of a line to its next, by line."""
+    return np.bincount(row[1:][(flags[1:] != flags[:-1]) & (row[1:] == row[:-1])], minlength=count)
+
+
+def _gaps(flags: np.ndarray, row: np.ndarray, count: int) -> np.ndarray:
+    """Longest stretch without a flag, by line."""
+    sizes = np.bincount(row, minlength=count)
+    first = np.append(0, np.cumsum(sizes + 1))  # a mark before each line and one after the last
+    marked = np.ones(first[-1] + 1, bool)
+    marked[np.arange(len(row)) + row + 1] = flags
+    marks = np.flatnonzero(marked)
+    return np.maximum.reduceat(np.diff(marks) - 1, np.searchsorted(marks, first[:-1]))
 
 
 def solid_stats(lines: DataFrame, ink: DataFrame, pages: DataFrame, count: int = 80) -> DataFrame:
@@ -209,12 +253,13 @@ def solid_stats(lines: DataFrame, ink: DataFrame, pages: DataFrame, count: int =
 
     Lines with fewer than ten samples on the page get 0, 999 and 999.
     """
-    def measure(inside, hit):
-        flags = hit[inside]
-        if len(flags) < 10:
-            return 0.0, 999, 999
-        marks = np.flatnonzero(np.concatenate(([True], flags, [True])))
-        return float(flags.mean()), int(np.diff(marks).max() - 1), _flips(flags)
+    def measure(inside, hit, row):
+        lines, inside = row[-1] + 1, inside[:, 0]
+        flags, row = hit[inside, 0], row[inside]
+        n = np.bincount(row, minlength=lines)
+        few = n < 10
+        density = np.bincount(row, flags, minlength=lines) / np.maximum(n, 1)
+        return np.where(few, 0.0, density), np.where(few, 999, _gaps(flags, row, lines)), np.where(few, 999, _flips(flags, row, lines))
 
     kinds = {"density": DoubleType(), "max_gap": LongType(), "transitions": LongType()}
     return _measured(lines, ink, pages, Sampling(count), measure, kinds)
@@ -232,8 +277,10 @@ def solid_lines(lines: DataFrame, ink: DataFrame, pages: DataFrame, min_density:
 def band_scores(lines: DataFrame, ink: DataFrame, pages: DataFrame, half: int = 2,
                 count: int = 80) -> DataFrame:
     """Share of ink in a band around the line, and flips along its middle."""
-    def measure(inside, hit):
-        return float(hit.sum() / max(inside.sum(), 1)), _flips(hit[:, half])
+    def measure(inside, hit, row):
+        lines = row[-1] + 1
+        on, there = (np.bincount(row, flags.sum(axis=1), minlength=lines) for flags in (hit, inside))
+        return on / np.maximum(there, 1), _flips(hit[:, half], row, lines)
 
     return _measured(lines, ink, pages, Sampling(count, half=half), measure, {"fill": DoubleType(), "transitions": LongType()})
 
@@ -241,8 +288,10 @@ def band_scores(lines: DataFrame, ink: DataFrame, pages: DataFrame, half: int =
 def sample_hits(lines: DataFrame, ink: DataFrame, pages: DataFrame, step: int = 1,
                 half: int = 2) -> DataFrame:
     """One flag per sample: ink on any of the points across the line, as text of 0 and 1."""
-    def measure(inside, hit):
-        return ((hit.any(axis=1) + np.uint8(48)).astype(np.uint8).tobytes().decode(),)
+    def measure(inside, hit, row):
+        flags = (hit.any(axis=1) + np.uint8(48)).astype(np.uint8).tobytes().decode()
+        ends = np.cumsum(np.bincount(row)).tolist()
+        return ([flags[a:b] for a, b in zip([0, *ends], ends)],)
 
     return _measured(lines, ink, pages, Sampling(None, step, half, whole=True), measure, {"hits": StringType()})
 

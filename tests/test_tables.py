@@ -275,6 +275,46 @@ def test_points_are_made_in_portions_and_near_the_square_alone(monkeypatch, samp
         assert list(filter(there, near)) == list(filter(there, every)) and len(near) < len(every)
 
 
+@pytest.mark.parametrize("share, batch", [(8192, "10000"), (3, "7")])
+def test_squares_are_looked_at_together_whatever_the_batch(spark, monkeypatch, share, batch):
+    """Long runs over several squares, repeated and overlapping ink, lines beyond the page, crowded squares and tiny batches."""
+    draw = random.Random(9)
+    lines = [(d, n, *(draw.randrange(-40, 700) for _ in range(4))) for d in (1, 2, 5) for n in range(40)] + [(3, 0, 1, 1, 9, 9)]
+    ink_runs = [(d, y, a, a + draw.choice([0, 1, 5, 300, 600])) for d in (1, 2, 4) for y in range(-3, 640)
+                for a in (draw.randrange(-20, 600), draw.randrange(-20, 600))] * 2 + [(None, 1, 0, 5)]
+    pages = {1: (600, 500), 2: (640, 640), 5: (600, 600)}
+    held = spark.createDataFrame(lines, "drawing_id long, line_id long, x1 long, y1 long, x2 long, y2 long")
+    held_ink = spark.createDataFrame(ink_runs, "drawing_id long, y long, x_start long, x_end long")
+    held_pages = spark.createDataFrame([(d, *s) for d, s in pages.items()], "drawing_id long, width long, height long")
+    black = {(d, x, y) for d, y, a, b in ink_runs for x in range(a, b)}
+    monkeypatch.setattr(ink, "SHARE", share)
+    saved, save = [], ink.Scratch.save
+    monkeypatch.setattr(ink.Scratch, "save", lambda self, df: saved.append([t for _, t in df.dtypes]) or save(self, df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = {(r[0], r[1]): r for r in ink.solid_stats(held, held_ink, held_pages).collect()}
+        bands = {(r[0], r[1]): r for r in ink.band_scores(held, held_ink, held_pages).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert saved and not any(t.startswith("array") for table in saved for t in table)  # the ink of a square was a row once
+    assert set(found) == set(bands) == {(d, n) for d, n, *_ in lines if d in pages}
+    for d, n, *place in lines:
+        if d not in pages:
+            continue
+        on_page = lambda x, y: 0 <= x < pages[d][0] and 0 <= y < pages[d][1]
+        _, _, xs, ys = ink.Sampling(80).points(np.array([place]))
+        flags = [(d, x, y) in black for x, y in zip(xs.tolist(), ys.tolist()) if on_page(x, y)]
+        gap = max(map(len, "".join("01"[f] for f in flags).split("1")))
+        flips = sum(a != b for a, b in zip(flags, flags[1:]))
+        expected = (sum(flags) / len(flags), gap, flips) if len(flags) >= 10 else (0.0, 999, 999)
+        assert tuple(found[d, n])[2:] == expected
+        _, _, xs, ys = ink.Sampling(80, half=2).points(np.array([place]))
+        there = [on_page(x, y) for x, y in zip(xs.tolist(), ys.tolist())]
+        hits = [t and (d, x, y) in black for t, x, y in zip(there, xs.tolist(), ys.tolist())]
+        middle = hits[2::5]
+        assert tuple(bands[d, n])[2:] == (sum(hits) / max(sum(there), 1), sum(a != b for a, b in zip(middle, middle[1:])))
+
+
 def test_tasks_of_a_union_grow_with_the_runs(spark, monkeypatch):
     rows = [(d, m, y, 3 * m, 3 * m + 5) for d in range(4) for m in range(6) for y in range(50)]
     runs = spark.createDataFrame(rows, "drawing_id long, mask_id long, y long, x_start long, x_end long")
