@@ -292,8 +292,12 @@ def chain_hits(members: DataFrame, symbols: DataFrame, max_distance: float) -> D
     to_ends = F.least(g.point_box_distance(F.col("x1"), F.col("y1"), b),
                       g.point_box_distance(F.col("x2"), F.col("y2"), b))
     t = g.segment_parameter(F.col("cx"), F.col("cy"), box())
+    # Most pairs of a cell are told apart by plain comparisons; the pixel more makes up for rounding.
+    edge = g.bounds(box())
+    beside = (F.col("cx").between(edge.x1 - reach - 1, edge.x2 + reach + 1)
+              & F.col("cy").between(edge.y1 - reach - 1, edge.y2 + reach + 1))
     # A pair may meet in several cells; minima do not mind.
-    pairs = (pieces.join(large(around), CELL)
+    pairs = (pieces.join(large(around), CELL).where(beside)
              .withColumn("center_distance", to_center)
              .where(F.col("center_distance") <= reach)
              .withColumn("distance", F.least("center_distance", to_ends))

@@ -13,6 +13,7 @@ from sheetweave.operators.ordering import with_position
 from sheetweave.plans.catalog.filters import FEATURES, PATTERNS, labelled
 from sheetweave.plans.catalog.joins import ASSIGNED, BY_FIVE, BY_LINE, chains_of_five, own_chains
 from sheetweave.plans.catalog.registry import query, r6
+from sheetweave.scratch import Scratch
 
 MASK = ["drawing_id", "mask_id"]
 
@@ -92,8 +93,8 @@ SELECT d.drawing_id, (SELECT count(*) FROM symbols_v s WHERE s.drawing_id = d.dr
  CAST(0 AS BIGINT) skipped_self_loops FROM drawings_v d""")
 def _(fx):
     members = own_chains(fx)
-    hits = graph.chain_hits(members, fx.symbols, 50.0)
-    links = graph.first_per_pair(_own_links(fx))
+    hits = Scratch(fx.spark).save(graph.chain_hits(members, fx.symbols, 50.0))  # links and three counters read them
+    links = graph.first_per_pair(graph.link_hits(hits, members, 50.0))
     nodes = fx.symbols.withColumn("page", F.lit(0))
     return graph.metadata(nodes, links, fx.texts, fx.lines, hits, members, fx.drawings)
 

@@ -275,6 +275,13 @@ def test_points_are_made_in_portions_and_near_the_square_alone(monkeypatch, samp
         assert list(filter(there, near)) == list(filter(there, every)) and len(near) < len(every)
 
 
+def test_hits_of_chains_are_found_once_for_all_counters(spark):
+    from sheetweave.plans.catalog import QUERIES
+
+    plan = QUERIES["agg_metadata"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell_x" not in plan  # the join of lines and symbols by cells is behind a written table
+
+
 @pytest.mark.parametrize("share, batch", [(8192, "10000"), (3, "7")])
 def test_squares_are_looked_at_together_whatever_the_batch(spark, monkeypatch, share, batch):
     """Long runs over several squares, repeated and overlapping ink, lines beyond the page, crowded squares and tiny batches."""
