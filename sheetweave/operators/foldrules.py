@@ -114,6 +114,23 @@ class NearCopies(Rule):
         reach = self.limit + 1
         return np.stack((x - reach, y - reach, x + reach, y + reach), 1)
 
+    def copies(self, x1, y1, x2, y2, room: int = 1 << 20):
+        """Each line that has near copies after it, with their places; about ``room`` pairs are looked at at once."""
+        x, y = (x1 + x2) / 2, (y1 + y2) / 2
+        step = max(1, room // max(1, len(x)))
+        for start in range(0, len(x), step):
+            rows = slice(start, start + step)
+            # Middles are no further apart than ends.
+            close = ((np.abs(x[rows, None] - x[start:]) < self.limit) & (np.abs(y[rows, None] - y[start:]) < self.limit))
+            a, b = np.nonzero(np.triu(close, 1))
+            a, b = a + start, b + start
+            same = np.maximum(np.hypot(x1[a] - x1[b], y1[a] - y1[b]), np.hypot(x2[a] - x2[b], y2[a] - y2[b]))
+            turned = np.maximum(np.hypot(x1[a] - x2[b], y1[a] - y2[b]), np.hypot(x2[a] - x1[b], y2[a] - y1[b]))
+            near = np.minimum(same, turned) < self.limit
+            a, b = a[near], b[near]
+            first = np.flatnonzero(np.diff(a, prepend=-1))
+            yield from zip(a[first].tolist(), np.split(b, first[1:]))
+
     def fold(self, home, told):
         items = sorted([(i.id, i.box, None) for i in home] + [
             (id_, g.first.box, g) for id_, g in told.groups.items()], key=lambda i: i[0])
@@ -124,13 +141,10 @@ class NearCopies(Rule):
         turn = np.array([never if g is None or g.gone is None else place_of(ids, g.gone) for *_, g in items])
         x1, y1, x2, y2 = np.array([b for _, b, _ in items], float).reshape(-1, 4).T
         length = np.hypot(x2 - x1, y2 - y1)
-        for i in range(len(ids)):
+        for i, later in self.copies(x1, y1, x2, y2):
             if turn[i] < i:
                 continue
-            later = i + 1 + np.flatnonzero(turn[i + 1:] >= i)
-            same = np.maximum(np.hypot(x1[i] - x1[later], y1[i] - y1[later]), np.hypot(x2[i] - x2[later], y2[i] - y2[later]))
-            turned = np.maximum(np.hypot(x1[i] - x2[later], y1[i] - y2[later]), np.hypot(x2[i] - x1[later], y2[i] - y1[later]))
-            near = later[np.minimum(same, turned) < self.limit]
+            near = later[turn[later] >= i]
             longer = np.flatnonzero(length[near] > length[i])
             if len(longer):
                 near = near[:longer[0]]

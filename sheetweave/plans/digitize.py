@@ -105,7 +105,7 @@ def clean_lines(segments: DataFrame, ink_runs: DataFrame, pages: DataFrame, text
     if caps is not None:
         on_page = g.unscale(box(), 1 / F.col("scale"), 1 / F.col("cap_scale"))
         solid = solid.join(caps, "drawing_id").withColumns(dict(zip(PLACE, on_page))).drop("cap_scale", "scale")
-    return folds.merge_segments(solid)
+    return folds.merge_segments(scratch.save(solid))  # the fold reads its items twice
 
 
 def digitize(found_texts: DataFrame, segments: DataFrame, ink_runs: DataFrame, symbols: DataFrame, header: DataFrame,

@@ -7,11 +7,12 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheetweave.operators import components, folds, masks as m
+from sheetweave.operators import components, foldrules, folds, masks as m
 from sheetweave.plans.catalog import iterative
 from sheetweave.plans.catalog.registry import SOURCE
 from tests import twins
@@ -259,3 +260,26 @@ def test_masks_are_put_to_the_test_of_their_overlap_alone(monkeypatch):
     belongs(box, area, kept, areas, shared)
     belongs(box, area, kept[:2], areas[:2], shared[:2])
     assert seen == [2]  # of masks without overlap only
+
+
+@pytest.mark.parametrize("room", [1, 200, 1 << 20])
+def test_near_copies_are_found_for_many_lines_at_once(room):
+    rows = [r[4:] for r in random_lines(3, drawings=1, count=50)] + [(5, 5, 5, 5)] * 3
+    at = np.array(rows, float).T
+    rule = foldrules.NearCopies(25.0)
+    near = lambda a, b: min(max(math.dist(a[:2], b[:2]), math.dist(a[2:], b[2:])),
+                            max(math.dist(a[:2], b[2:]), math.dist(a[2:], b[:2]))) < 25
+    want = {i: [j for j in range(i + 1, len(rows)) if near(rows[i], rows[j])] for i in range(len(rows))}
+    found = [(i, later.tolist()) for i, later in rule.copies(*at, room)]
+    assert found == [(i, later) for i, later in want.items() if later] and len(found) > 10
+    assert list(rule.copies(*at[:, :0], room)) == []
+
+
+def test_solid_lines_are_looked_up_once(spark, monkeypatch):
+    from sheetweave.plans import digitize
+    from sheetweave.plans.catalog import QUERIES
+
+    plans = []
+    monkeypatch.setattr(digitize.folds, "merge_segments", lambda df: plans.append(df._jdf.queryExecution().toString()) or df)
+    assert QUERIES["it_clean_lines"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "MapInArrow" not in plans[0]  # the fold reads its items twice
