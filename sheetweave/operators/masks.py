@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from sheetweave.operators.joining import large
 from sheetweave.operators.spatial import dealt
@@ -18,6 +18,10 @@ STRIP = 64
 ROW = ["drawing_id", "y", "strip"]
 #: Runs that a task sorts at once.
 SHARE = 1_000_000
+#: Rows of pixels that go to one task together, pixels between runs that are read as one piece, pixels summed at once.
+BAND, NEAR, BLOCK = 32, 64, 1 << 18
+#: Places beyond are as this one: an array has no more elements.
+FARTHEST = (1 << 31) - 2
 
 
 def rectangle_runs(boxes: DataFrame, id_column: str) -> DataFrame:
@@ -108,24 +112,49 @@ def union_masks(runs: DataFrame, masks: DataFrame, group: str) -> tuple[DataFram
 def pixel_stats(runs: DataFrame, pixel_rows: DataFrame) -> DataFrame:
     """Grey statistics of the pixels under each mask.
 
-    Pixel rows are (drawing_id, y, grey ARRAY). The runs over a row of pixels meet it once; sums
-    from its start are made once a row, and a run takes the difference of two of them. Sums of
-    the masks in a batch leave the task, no row per pixel or run. Whole numbers make the result
-    independent of the order. Parts of runs beyond the row have no pixels.
+    Pixel rows are (drawing_id, y, grey ARRAY). Runs of one row of pixels that are near each other form
+    a piece; a row is read piece by piece, in bands of rows that go to one task together, so pixels far from
+    all masks are not looked at and others once a piece. Sums from the start of a piece are made once, and a
+    run takes the difference of two of them. Sums of the masks in a batch leave the task, no row per pixel
+    or run. Whole numbers make the result independent of the order. Parts of runs beyond the row have no
+    pixels. Tasks grow in number with the runs, as each keeps the runs of its bands in memory.
     """
-    kinds = runs.select("drawing_id", "mask_id").schema
-    over = (runs.where("x_end > x_start").groupBy("drawing_id", "y")
-            .agg(F.collect_list(F.struct("mask_id", "x_start", "x_end")).alias("runs")))
-    met = over.join(large(pixel_rows), ["drawing_id", "y"]).select(
-        "drawing_id", F.col("runs.mask_id").alias("mask_id"), F.col("runs.x_start").alias("x_start"),
-        F.col("runs.x_end").alias("x_end"), "grey")
-    fields = [*kinds, *(StructField(c, LongType()) for c in _SUMS)]
+    placed = runs.where("x_end > x_start AND x_end > 0 AND drawing_id IS NOT NULL AND y IS NOT NULL").select(
+        "drawing_id", "mask_id", "y", *(F.expr(f"CAST(greatest(least({c}, {FARTHEST}), 0) AS INT) {c}")
+                                        for c in ("x_start", "x_end")))
+    kinds, share, block = placed.schema, SHARE, BLOCK
+    tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // share))
+    band = F.expr(f"y div {BAND}").alias("band")
+    numbers = ArrayType(IntegerType())
+    fields = [kinds["drawing_id"], kinds["y"], StructField("low", IntegerType()), StructField("high", IntegerType()),
+              StructField("masks", ArrayType(kinds["mask_id"].dataType)), StructField("starts", numbers),
+              StructField("ends", numbers)]
+
+    def gather(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= share:
+                yield _pieces(held)
+                held, rows = [], 0
+        if rows:
+            yield _pieces(held)
 
     def measure(batches):
         for batch in batches:
-            yield _run_sums(batch)
-
-    sums = met.mapInArrow(measure, StructType(fields)).groupBy("drawing_id", "mask_id").agg(
+            if batch.num_rows:
+                yield _run_sums(batch, block)
+
+    pieces = (placed.mapInArrow(gather, StructType(fields)).select("*", band)
+              .withColumnRenamed("y", "own_y").repartition(tasks, "drawing_id", "band").hint("shuffle_hash"))
+    rows = pixel_rows.select("drawing_id", "y", "grey", band).repartition(tasks, "drawing_id", "band")
+    # As an equality the rows would be a key, and Spark would deal out the rows of a band one by one.
+    met = rows.join(pieces, ["drawing_id", "band"]).where("y BETWEEN own_y AND own_y").select(
+        "drawing_id", "masks", "starts", "ends",
+        F.expr("slice(grey, low + 1, greatest(least(high, size(grey)) - low, 0))").alias("grey"))
+    sums = met.mapInArrow(measure, StructType([kinds["drawing_id"], kinds["mask_id"], *(
+        StructField(c, LongType()) for c in _SUMS)])).groupBy("drawing_id", "mask_id").agg(
         *(F.sum(c).alias(c) for c in _SUMS))
     spread = F.sqrt((F.col("pixels") * F.col("q") - F.col("s") * F.col("s")).cast("double"))
     return sums.where("pixels > 0").select(
@@ -136,19 +165,52 @@ def pixel_stats(runs: DataFrame, pixel_rows: DataFrame) -> DataFrame:
 _SUMS = ["pixels", "s", "q", "white"]
 
 
-def _run_sums(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Pixels, sum, sum of squares and white pixels of each mask under the rows of a batch."""
+def _pieces(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Pieces of rows of pixels, each with its runs; starts and ends count from the start of the piece."""
+    drawing, mask, y, start, end = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+    page = drawing.dictionary_encode().indices.to_numpy().astype(np.int64)
+    row, start, end = (c.to_numpy().astype(np.int64) for c in (y, start, end))
+    order = np.lexsort((start, row, page))
+    page, row, start, end = (c[order] for c in (page, row, start, end))
+    # Rows of pixels laid end to end, so far apart that no piece goes on to the next.
+    first = np.concatenate(([True], (page[1:] != page[:-1]) | (row[1:] != row[:-1])))
+    base = np.cumsum(first) << 32
+    reach = np.maximum.accumulate(base + end)
+    opens = np.flatnonzero(np.concatenate(([True], base[1:] + start[1:] > reach[:-1] + NEAR)))
+    closes = np.append(opens[1:], len(order))
+    low, high = start[opens], (reach - base)[closes - 1]
+    own = np.repeat(low, closes - opens)
+    offsets = pa.array(np.append(opens, len(order)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, c) for c in (
+        mask.take(pa.array(order)), pa.array((start - own).astype(np.int32)), pa.array((end - own).astype(np.int32)))]
+    there = pa.array(order[opens])
+    return pa.RecordBatch.from_arrays(
+        [drawing.take(there), y.take(there), *(pa.array(c.astype(np.int32)) for c in (low, high)), *lists],
+        names=["drawing_id", "y", "low", "high", "masks", "starts", "ends"])
+
+
+def _run_sums(batch: pa.RecordBatch, block: int) -> pa.RecordBatch:
+    """Pixels, sum, sum of squares and white pixels of each mask under the pieces of a batch."""
     drawing, masks, starts, ends, grey = batch.columns
-    sizes = grey.value_lengths().fill_null(0).to_numpy()
-    values = grey.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(batch.num_rows), masks.value_lengths().to_numpy())
-    low, high = (first[row] + np.clip(c.flatten().to_numpy(), 0, sizes[row]) for c in (starts, ends))
-    found = [high - low]
-    for what in (values, values * values, values > 240):
-        total = np.concatenate(([0], np.cumsum(what, dtype=np.int64)))
-        found.append(total[high] - total[low])
-    table = pa.table([drawing.take(pa.array(row)), masks.flatten(), *map(pa.array, found)],
+    sizes = grey.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    held = masks.value_lengths().to_numpy()
+    values = grey.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    first, run = (np.concatenate(([0], np.cumsum(c))) for c in (sizes, held))
+    piece = np.repeat(np.arange(batch.num_rows), held)
+    low, high = (first[piece] + np.minimum(c.flatten().to_numpy(), sizes[piece]) for c in (starts, ends))
+    found = np.empty((len(_SUMS), len(piece)), dtype=np.int64)
+    found[0] = high - low
+    # Pieces that start in one block of pixels: the sums stay in the processor's cache.
+    cuts = [0, *(np.flatnonzero(np.diff(first[:-1] // block)) + 1), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        grey_values = values[first[a]:first[b]].astype(np.int64)
+        runs = slice(run[a], run[b])
+        left, right = low[runs] - first[a], high[runs] - first[a]
+        total = np.zeros(len(grey_values) + 1, dtype=np.int64)
+        for n, what in enumerate((grey_values, grey_values * grey_values, grey_values > 240), 1):
+            np.cumsum(what, out=total[1:])
+            found[n, runs] = total[right] - total[left]
+    table = pa.table([drawing.take(pa.array(piece)), masks.flatten(), *map(pa.array, found)],
                      names=["drawing_id", "mask_id", *_SUMS])
     grouped = table.group_by(["drawing_id", "mask_id"]).aggregate([(c, "sum") for c in _SUMS])
     names = ["drawing_id", "mask_id", *(f"{c}_sum" for c in _SUMS)]

@@ -77,7 +77,7 @@ SELECT drawing_id, mask_id, pixels, round(white, 6) white_share, round(sd, 6) st
 def _(fx):
     # Limits at which the derived pages have masks of every verdict.
     masks = fx.detections.select("drawing_id", F.col("det_id").alias("mask_id"))
-    verdicts = m.content_verdicts(masks, fx.runs, fx.pixel_rows, 0.1, 0.97, 65.0, 3.0)
+    verdicts = m.content_verdicts(masks, fx.dealt_runs, fx.pixel_rows, 0.1, 0.97, 65.0, 3.0)
     return verdicts.select(*MASK, "pixels", r6("white_share").alias("white_share"),
                            r6("std").alias("std"), "reason")
 

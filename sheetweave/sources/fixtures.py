@@ -151,9 +151,20 @@ class Fixtures:
     def embeddings(self) -> DataFrame:
         return self.table("embeddings")
 
+    def _tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @property
     def runs(self) -> DataFrame:
-        return self.detections.select(
+        return self._runs(self.detections)
+
+    @property
+    def dealt_runs(self) -> DataFrame:
+        """The same rows; boxes are dealt out by drawing first, as a file of few row groups is read by few tasks."""
+        return self._runs(self.detections.repartition(self._tasks(), "drawing_id"))
+
+    def _runs(self, detections: DataFrame) -> DataFrame:
+        return detections.select(
             "drawing_id", F.col("det_id").alias("mask_id"),
             F.explode(F.expr("sequence(y1, y2-1)")).alias("y"), "x1", "x2",
         ).selectExpr("drawing_id", "mask_id", "y", "x1+y%3 x_start", "x2-y%2 x_end")
@@ -179,10 +190,13 @@ class Fixtures:
         """Grey values of every page, one array per row of pixels.
 
         The value at x is (13x + 7y + 5 drawing) % 256. Every row is a piece of
-        one periodic sequence, as 13 * 197 = 1 (mod 256).
+        one periodic sequence, as 13 * 197 = 1 (mod 256). Drawings are dealt out in a fixed
+        number of parts first: their list is short, and Spark would make all pages in one task.
         """
         period = ",".join(str(13 * i % 256) for i in range(1600 + 256))
-        rows = self.drawings.select("drawing_id", F.explode(F.expr("sequence(0L, 1099L)")).alias("y"))
-        return rows.withColumn("grey", F.expr(
-            f"slice(CAST(split('{period}', ',') AS ARRAY<SMALLINT>),"
-            " CAST((y*7+drawing_id*5)*197%256+1 AS INT), 1600)"))
+        starts = self.spark.range(256).selectExpr(
+            "id start", f"slice(CAST(split('{period}', ',') AS ARRAY<SMALLINT>), CAST(id+1 AS INT), 1600) grey")
+        pages = self.drawings.select("drawing_id").repartition(self._tasks())
+        rows = pages.select("drawing_id", F.explode(F.expr("sequence(0L, 1099L)")).alias("y"))
+        return (rows.withColumn("start", F.expr("(y*7+drawing_id*5)*197%256"))
+                .join(F.broadcast(starts), "start").select("drawing_id", "y", "grey"))

@@ -1,14 +1,17 @@
 """Documents, ink, edits, clusters and incremental work."""
 
 import json
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sheetweave.operators import graph, clusters, editlog, ink, masks, prompts
 from sheetweave.sources import readers, sinks
+from sheetweave.sources.fixtures import Fixtures
 from sheetweave.streaming import ingest
 
 
@@ -334,3 +337,52 @@ def test_tasks_of_a_union_grow_with_the_runs(spark, monkeypatch):
         (d, g, 9 * g, 0, 9 * g + 11, 50, 550, 0.5, 0.5, 3) for d in range(4) for g in range(2)}
     none = masks.union_masks(runs.where("false"), listed, "group_id")[1]
     assert none.count() == 0
+
+
+def test_pages_are_made_in_several_tasks(spark):
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    rows = fx.pixel_rows.withColumn("task", F.spark_partition_id())
+    made = rows.groupBy("drawing_id").agg(F.collect_set("task").alias("tasks"), F.count_distinct("y").alias("n")).collect()
+    assert len({t for r in made for t in r.tasks}) == len(made) == 2 and {r.n for r in made} == {1100}  # one task once
+    grey = "transform(sequence(0L, 1599L), x -> CAST((x*13+y*7+drawing_id*5)%256 AS SMALLINT))"
+    assert rows.where(f"NOT grey <=> {grey}").count() == 0
+    assert fx.dealt_runs.exceptAll(fx.runs).count() == 0 == fx.runs.exceptAll(fx.dealt_runs).count()
+
+
+@pytest.mark.parametrize("share, block, near, batch", [(1_000_000, 1 << 18, 64, "10000"), (300, 40, 2, "7")])
+def test_pixels_are_read_by_pieces_near_masks(spark, monkeypatch, share, block, near, batch):
+    """Runs beyond the row and beyond all arrays, equal and empty runs, rows without pixels, null pixels, wide values."""
+    draw = random.Random(4)
+    runs = [(d, draw.choice([None, 0, 1, 2, 3]), draw.randrange(-2, 70), a, a + draw.choice([-3, 0, 1, 30, 90]))
+            for d in (1, 2, 3) for a in draw.choices(range(-40, 500), k=400)]
+    runs += [*runs[:9], (1, 7, 3, -2**62, 2**62), (1, 8, 4, 2**40, 2**41), (None, 1, 1, 0, 5), (1, 1, None, 0, 5), (1, 1, 1, None, 5)]
+    grey = [(d, y, draw.choice([None, [], *[[draw.choice([None, -3, 239, 240, 241, 30000]) for _ in range(w)] for w in (1, 260, 600)]]))
+            for d in (1, 2, 4) for y in range(-2, 66)]
+    grey += [(2, 5, [9] * 50), (None, 1, [1]), (1, None, [1])]
+    for name, value in (("SHARE", share), ("BLOCK", block), ("NEAR", near)):
+        monkeypatch.setattr(masks, name, value)
+    held = spark.createDataFrame(runs, "drawing_id long, mask_id long, y long, x_start long, x_end long")
+    rows = spark.createDataFrame(grey, "drawing_id long, y long, grey array<smallint>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        stats = masks.pixel_stats(held, rows)
+        found = {(r[0], r[1]): tuple(r)[2:] for r in stats.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    under = {}
+    for d, m, y, a, b in runs:
+        for page, row, values in grey:
+            if None not in (d, y, a) and (d, y) == (page, row) and values:
+                under.setdefault((d, m), []).extend(v or 0 for v in values[max(a, 0):max(b, 0)])
+    expected = {}
+    for key, v in under.items():
+        if v:
+            n, s, q = len(v), sum(v), sum(x * x for x in v)
+            expected[key] = (n, sum(x > 240 for x in v) / n, math.sqrt(n * q - s * s) / n)
+    assert found == expected and len(found) > 8
+    # A row of pixels goes to Python without what is far from masks, and once however many masks lie over it.
+    table = pa.table([[1] * 5 + [2], [*range(6)], [0] * 5 + [0], [10, 10, 12, 400, 900, 10], [20, 50, 30, 420, 901, 11]],
+                     names=["drawing_id", "mask_id", "y", "x_start", "x_end"])
+    pieces = masks._pieces(table.to_batches())
+    assert [tuple(p[c] for c in ("drawing_id", "low", "high", "masks", "starts", "ends")) for p in pieces.to_pylist()] == [
+        (1, 10, 50, [0, 1, 2], [0, 0, 2], [10, 40, 20]), (1, 400, 420, [3], [0], [20]), (1, 900, 901, [4], [0], [1]), (2, 10, 11, [5], [0], [1])]
